@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftframe.llm import bpe
+from driftframe.llm import bpe, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +22,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Query]:
-    return {"op10_byte_bpe": op10_byte_bpe}
+    return {"op4_quality_rules": op4_quality_rules, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": quality_rules.sql()}
