@@ -44,7 +44,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 14.0),
     Rule("symbols", "n_symbols", "n_words", upper=0.1),
     Rule("stop_words", "n_stop_words", "n_words", lower=0.02),
-    Rule("lines", "n_dup_lines", "n_lines", upper=0.3),
+    Rule("lines", "n_dup_lines", "n_lines", upper=0.5),
     Rule("shouting", "n_upper", "word_chars", upper=0.5),
     Rule("exclamation", "n_bangs", "n_words", upper=0.2),
 )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftframe.llm import bpe, quality_rules
+from driftframe.llm import bpe, mixture, quality_rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in eight shards of near equal bytes."""
+    out = sharding.assign(table(spark, sf_dir, "documents"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded, decoded again, and both hashed."""
     import public_tokenizers
@@ -22,14 +29,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixture.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_quality_rules": op4_quality_rules, "op10_byte_bpe": op10_byte_bpe}
+    return {"op2_mixing": op2_mixing, "op4_quality_rules": op4_quality_rules, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.sql()}
+    return {"op2_mixing": mixture.sql(), "op4_quality_rules": quality_rules.sql()}
