@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import bpe, mixture, quality_rules, sharding
+from driftframe.llm import bpe, host_reputation, mixture, quality_rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or reputation verdict on every page."""
+    return host_reputation.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in eight shards of near equal bytes."""
     out = sharding.assign(table(spark, sf_dir, "documents"), shards=8)
@@ -40,8 +45,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_mixing": op2_mixing, "op4_quality_rules": op4_quality_rules, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
+    return {"op2_mixing": op2_mixing, "op4_quality_rules": op4_quality_rules, "op6_url_reputation": op6_url_reputation, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixture.sql(), "op4_quality_rules": quality_rules.sql()}
+    return {"op2_mixing": mixture.sql(), "op4_quality_rules": quality_rules.sql(), "op6_url_reputation": host_reputation.sql()}
