@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import bpe, host_reputation, mixture, quality_rules, sharding
+from driftframe.llm import bpe, host_reputation, mixture, quality_bayes, quality_rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,13 +39,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, site posterior, score and verdict of every document."""
+    return quality_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_mixing": op2_mixing, "op4_quality_rules": op4_quality_rules, "op6_url_reputation": op6_url_reputation, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
+    return {"op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op6_url_reputation": op6_url_reputation, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
