@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import bpe, host_reputation, mixture, quality_bayes, quality_rules, sharding
+from driftframe.llm import bpe, host_reputation, mixture, pii, quality_bayes, quality_rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,17 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(table(spark, sf_dir, "pages"))
 
 
+def _is(kind: int) -> Callable[[Column], Column]:
+    return lambda x: x["kind"] == kind
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and all spans of every document."""
+    out = pii.spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in eight shards of near equal bytes."""
     out = sharding.assign(table(spark, sf_dir, "documents"), shards=8)
@@ -50,7 +61,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op6_url_reputation": op6_url_reputation, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
+    return {"op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op6_url_reputation": op6_url_reputation, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
