@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import bpe, host_reputation, mixture, pii, quality_bayes, quality_rules, sharding
+from driftframe.llm import ann, bpe, host_reputation, mixture, pii, quality_bayes, quality_rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest neighbours of every vector whose id is divisible by 50."""
+    base = ann.vectors(table(spark, sf_dir, "embeddings"))
+    return ann.search(base, base.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixture.mix(table(spark, sf_dir, "documents")).drop("source")
@@ -61,7 +67,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op6_url_reputation": op6_url_reputation, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_cross_polytope": op1_cross_polytope, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op6_url_reputation": op6_url_reputation, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
