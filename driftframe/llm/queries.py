@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import ann, bpe, host_reputation, mixture, pii, quality_bayes, quality_rules, sharding
+from driftframe.llm import ann, bpe, host_reputation, line_dedup, mixture, pii, quality_bayes, quality_rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated and nearly repeated lines."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in eight shards of near equal bytes."""
     out = sharding.assign(table(spark, sf_dir, "documents"), shards=8)
@@ -67,8 +72,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_cross_polytope": op1_cross_polytope, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op6_url_reputation": op6_url_reputation, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_cross_polytope": op1_cross_polytope, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op6_url_reputation": op6_url_reputation, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixture.sql(), "op4_quality_rules": quality_rules.sql(), "op6_url_reputation": host_reputation.sql()}
+    return {"op2_mixing": mixture.sql(), "op4_quality_rules": quality_rules.sql(), "op6_url_reputation": host_reputation.sql(), "op8_line_dedup": line_dedup.sql()}
