@@ -26,7 +26,7 @@ from driftframe.llm.text import stored
 
 #: Shorter lines (headings, list items, blank lines) always stay.
 MIN_CHARS = 20
-#: So many lines with company in the first grain are looked up by broadcast, more by a shuffle.
+#: The texts of so many lines with company in the first grain are looked up by broadcast, of more by a shuffle.
 BROADCAST_LINES = 200_000
 
 
@@ -48,45 +48,51 @@ def _segments(line: Column, n: Column) -> Column:
     the shorter length: the hash of the rest, and the segment."""
 
     def role(short: Column, longer: int) -> Column:
-        count = F.greatest(F.lit(3), F.ceil(F.cbrt(short.cast("double")) / 2)).cast("int")
-        cut = lambda j: F.floor(j.cast("double") * short / count).cast("int")
-        return F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda j: F.struct(
-                F.xxhash64(short, j, F.left(line, cut(j)), F.right(line, short - cut(j + 1))).alias("rest"),
-                F.substr(line, cut(j) + 1, cut(j + 1) - cut(j) + longer).alias("part"),
-                F.lit(bool(longer)).alias("longer"),
-            ),
-        )
+        def of(count: Column) -> Column:
+            cut = lambda j: F.floor(j.cast("double") * short / count).cast("int")
+            return F.transform(
+                F.sequence(F.lit(0), count - 1),
+                lambda j: F.struct(
+                    F.xxhash64(short, j, F.left(line, cut(j)), F.right(line, short - cut(j + 1))).alias("rest"),
+                    F.substr(line, cut(j) + 1, cut(j + 1) - cut(j) + longer).alias("part"),
+                    F.lit(bool(longer)).alias("longer"),
+                ),
+            )
+
+        return let(F.greatest(F.lit(3), F.ceil(F.cbrt(short.cast("double")) / 2)).cast("int"), of)
 
     return F.concat(role(n, 0), role(n - 1, 1))
 
 
 def _variants(rest: Column, part: Column, longer: Column) -> Column:
     """Grain 3: (role, hash): x replaces a character, l deletes one to become the shorter line, s is that line."""
-    size = F.length(part)
-    less = lambda i: F.concat(F.left(part, i), F.right(part, size - i - 1))
-    every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    keyed = lambda role, key: F.struct(F.lit(role).alias("role"), key.alias("key"))
-    replaced = F.transform(every, lambda i: keyed("x", F.xxhash64(rest, F.lit("x"), i, less(i))))
-    deleted = F.array_distinct(F.transform(every, lambda i: keyed("l", F.xxhash64(rest, F.lit("i"), less(i)))))
-    return F.when(longer, deleted).otherwise(F.concat(replaced, F.array(keyed("s", F.xxhash64(rest, F.lit("i"), part)))))
+
+    def of(size: Column) -> Column:
+        less = lambda i: F.concat(F.left(part, i), F.right(part, size - i - 1))
+        every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+        keyed = lambda role, key: F.struct(F.lit(role).alias("role"), key.alias("key"))
+        replaced = F.transform(every, lambda i: keyed("x", F.xxhash64(rest, F.lit("x"), i, less(i))))
+        deleted = F.array_distinct(F.transform(every, lambda i: keyed("l", F.xxhash64(rest, F.lit("i"), less(i)))))
+        return F.when(longer, deleted).otherwise(F.concat(replaced, F.array(keyed("s", F.xxhash64(rest, F.lit("i"), part)))))
+
+    return let(F.length(part), of)
 
 
 def _in_company(rows: DataFrame, key: str, line: str) -> DataFrame:
-    """The rows whose ``key`` another ``line`` has too. Equal rows are merged before the shuffle."""
-    rows = rows.distinct()
+    """The rows whose ``key`` another ``line`` has too; ``rows`` is read twice."""
     shared = rows.groupBy(key).agg(F.min(line).alias("_a"), F.max(line).alias("_b")).where("_a <> _b").select(key)
     return rows.join(shared, key, "left_semi")
 
 
-def places(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id, doc_key, no, h1, h2, n`` of each line that is long enough and has a word, and its text ``line``."""
+def places(docs: DataFrame, min_chars: int, ends: bool) -> DataFrame:
+    """``doc_id, doc_key, no, h1, h2`` of each line that is long enough and has a word, and its ``ends``."""
     text = F.col("text").cast("string")
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    n = F.length("line")
-    lines = lines.where((n >= min_chars) & (F.translate("line", SPACE, "") != "")) if min_chars > 0 else lines.where(F.translate("line", SPACE, "") != "")
-    return lines.withColumns({"n": n, "h1": F.xxhash64("line"), "h2": F.hash("line")})
+    lines = lines.withColumn("n", F.length("line")).where((F.col("n") >= max(min_chars, 1)) & (F.btrim("line", F.lit(SPACE)) != ""))
+    out = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line")})
+    if ends:
+        out = out.withColumn("ends", F.when(F.col("n") >= 4, _ends(F.col("line"), F.col("n"))))
+    return out.drop("line", "n")
 
 
 def _at() -> Column:
@@ -94,20 +100,31 @@ def _at() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("doc_key").alias("doc_key"), F.col("no").alias("no"))
 
 
-def near(lines: DataFrame, found: DataFrame) -> DataFrame:
+def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (``h1, h2, at``) with the text ``line`` that is found there."""
+    at = F.col("at")
+    spots = wanted.groupBy(at["doc_id"].alias("w_id"), at["doc_key"].alias("w_key")).agg(F.collect_list(F.struct("h1", "h2", "at")).alias("spots"))
+    spots = F.broadcast(spots) if wanted.count() <= BROADCAST_LINES else spots
+    text = F.col("text").cast("string")
+    # of equal rows one is enough
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    lines = own.join(spots, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")))
+    found = let(F.split("text", "\n"), lambda a: F.transform("spots", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["at"].alias("at"), F.get(a, x["at"]["no"]).alias("line"))))
+    return lines.select(F.explode(found).alias("x")).select("x.*").dropDuplicates(["h1", "h2"])
+
+
+def near(docs: DataFrame, lines: DataFrame, found: DataFrame) -> DataFrame:
     """``h1, h2`` of the lines whose earliest place comes after that of a line one edit away.
 
     ``lines``: ``places`` of the documents; ``found``: ``h1, h2, at`` of each different line.
     """
-    ends = lines.where(F.col("n") >= 4).select("h1", F.explode(let(F.col("n"), lambda n: _ends(F.col("line"), n))).alias("key"))
-    some = stored(_in_company(ends, "key", "h1").select("h1").distinct())
-    wanted = F.broadcast(some) if some.count() <= BROADCAST_LINES else some
-    texts = lines.join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    texts = stored(texts.join(found, ["h1", "h2"]))
+    ends = lines.select("h1", F.explode("ends").alias("key")).distinct()
+    some = _in_company(ends, "key", "h1").select("h1").distinct()
+    texts = stored(fetched(docs, stored(found.join(some, "h1", "left_semi"))))
 
-    parts = texts.select("h1", F.explode(_segments(F.col("line"), F.length("line"))).alias("x")).select("h1", "x.*")
+    parts = stored(texts.select("h1", F.explode(let(F.length("line"), lambda n: _segments(F.col("line"), n))).alias("x")).select("h1", "x.*"))
     parts = _in_company(parts, "rest", "h1")
-    keys = parts.select("h1", F.explode(_variants(F.col("rest"), F.col("part"), F.col("longer"))).alias("x")).select("h1", "x.*")
+    keys = stored(parts.select("h1", F.explode(_variants(F.col("rest"), F.col("part"), F.col("longer"))).alias("x")).select("h1", "x.*"))
     keys = stored(_in_company(keys, "key", "h1").join(texts.select("h1", "h2", "at"), "h1"))
 
     own = F.struct("at", "h1", "h2")
@@ -124,15 +141,13 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) ->
     """``d_id, d_key, gone``: the places of the lines that go, for each document that has any."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    lines = places(docs, max(min_chars, 0))
-    kept = stored(lines.drop("line"))
-    found = stored(kept.groupBy("h1", "h2").agg(F.min(_at()).alias("at")))
+    lines = stored(places(docs, min_chars, max_edits > 0))
+    found = stored(lines.groupBy("h1", "h2").agg(F.min(_at()).alias("at")))
     if max_edits:
-        late = near(lines, found).withColumn("late", F.lit(True))
-        found = found.join(late, ["h1", "h2"], "left")
+        found = found.join(near(docs, lines, found).withColumn("late", F.lit(True)), ["h1", "h2"], "left")
     else:
         found = found.withColumn("late", F.lit(None).cast("boolean"))
-    placed = kept.join(found, ["h1", "h2"]).withColumn("goes", F.coalesce(F.col("late"), F.lit(False)) | (_at() != F.col("at")))
+    placed = lines.join(found, ["h1", "h2"]).withColumn("goes", F.coalesce(F.col("late"), F.lit(False)) | (_at() != F.col("at")))
     return placed.where("goes").groupBy(F.col("doc_id").alias("d_id"), F.col("doc_key").alias("d_key")).agg(F.collect_set("no").alias("gone"))
 
 
