@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import ann, bpe, host_reputation, line_dedup, mixture, pii, quality_bayes, quality_rules, sharding
+from driftframe.llm import ann, bpe, host_reputation, line_dedup, mixture, order_minhash, pii, quality_bayes, quality_rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return order_minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or reputation verdict on every page."""
     return host_reputation.judge(table(spark, sf_dir, "pages"))
@@ -72,7 +77,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_cross_polytope": op1_cross_polytope, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op6_url_reputation": op6_url_reputation, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_cross_polytope": op1_cross_polytope, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_order_minhash": op5_order_minhash, "op6_url_reputation": op6_url_reputation, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
