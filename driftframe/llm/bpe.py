@@ -20,11 +20,13 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Cached encodings of pieces a worker keeps; at the bound the cache starts afresh.
 CACHE_PIECES = 400_000
@@ -199,13 +201,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     A null or empty text has an empty array. ``path`` is a rank file each executor can open.
     """
-    @F.pandas_udf("array<int>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    own = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != ids), F.col(f"`{text}`").cast("string").alias("_text"))
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType()))])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for s in parts:
-            yield pd.Series([c.encode(x) if x else [] for x in s], dtype=object)
+        for part in parts:
+            raw = [c.encode_bytes(x.as_py() or "") for x in part.column(part.num_columns - 1)]
+            ends = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*part.schema.names[:-1], ids])
 
-    return docs.withColumn(ids, run(F.col(text)))
+    return own.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

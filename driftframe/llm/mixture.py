@@ -128,6 +128,22 @@ def mix(docs: DataFrame, cycle: int = 3, epochs: int = MAX_EPOCHS, slots: int =
     return full.select(*columns).unionByName(none.select(*columns))
 
 
+def repeated(docs: DataFrame, cycle: int = 3, epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
+    """The mix itself, in whole documents: each row of ``docs`` as often as ``taken`` / ``size`` rounds to (half
+    up), all columns. Rows of size 0 go. Rows that agree in doc_id, source and size share what they are taken
+    together, evenly and rounded as one.
+    """
+    found = mix(docs, cycle, epochs, slots).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("t"), F.count(F.lit(1)).alias("n"))
+    times = F.floor(F.col("t") / (F.col("n") * F.col("size")) + 0.5).cast("int")
+    plan = found.where(F.col("size") > 0).select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), times.alias("times")).where("times > 0")
+    own = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"),
+        F.col("source").cast("string").alias("of"), n_words(F.col("text").cast("string")).alias("words"),
+    )
+    joined = own.join(plan, F.col("id").eqNullSafe(F.col("p_id")) & F.col("of").eqNullSafe(F.col("p_source")) & (F.col("words") == F.col("p_size")))
+    return joined.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+
 def sql(cycle: int = 3, epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> str:
     """The same in DuckDB SQL, over ``documents``; without buckets and chunks, which don't show in the result."""
     return rf"""

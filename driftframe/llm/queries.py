@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from driftframe.llm import ann, bpe, host_reputation, line_dedup, mixture, order_minhash, pii, quality_bayes, quality_rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,8 +77,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_cross_polytope": op1_cross_polytope, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_order_minhash": op5_order_minhash, "op6_url_reputation": op6_url_reputation, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_cross_polytope": op1_cross_polytope, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_order_minhash": op5_order_minhash, "op6_url_reputation": op6_url_reputation, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
