@@ -9,11 +9,10 @@ connected components of the links.
 
 Scale: equal texts are one text from the start. Texts stay where they are; sketches travel, and later the
 word hashes of texts that share a sketch with another one. Texts that share a sketch are a bucket. Its most
-popular members, those that meet most others over all buckets, are its pivots, and each member is compared
-with ``PIVOTS`` pivots: comparisons grow with the members of a bucket, not with their pairs. Rounds go on with
-further pivots, for members that are not in one component yet, until a round finds no link. A copy that no
-pivot of some 16 shared buckets leads to its class needs a further round; one that none leads there in the
-last round stays apart. ``exhaustive=True`` goes on until every member has been a pivot, which is exact.
+popular members, those that meet most others over all buckets, are its pivots, and members are compared with
+pivots only: comparisons grow with the members of a bucket, not with their pairs. Rounds go on with further
+pivots, for members that are not in one component yet, until a round finds no link. Two texts at the threshold
+share some 16 buckets; their link is lost only if in each of these no pivot leads both to one component. ``exhaustive=True`` goes on until every member has been a pivot, which is exact.
 """
 
 from __future__ import annotations
@@ -33,7 +32,8 @@ SHINGLE = 5
 SKETCHES = 32
 SAMPLED = 3
 THRESHOLD = 0.8
-PIVOTS = 8
+#: Pivots of a bucket in each round after the first.
+PIVOTS = 3
 SEED = 11
 #: The words of so many texts are looked up by broadcast, of more by a shuffle.
 BROADCAST_TEXTS = 200_000
@@ -208,25 +208,31 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked(members: DataFrame, words: DataFrame, threshold: float, pivots: int, exhaustive: bool) -> DataFrame | None:
-    """``tid, root`` of the texts that have a link; None if there is none."""
+    """``tid, root`` of the texts that have a link; None if there is none.
+
+    A bucket's pivots of a round are looked up by a window, beside its members, so rows don't multiply. The first
+    round has one pivot, which leads most texts to their class; later ones have ``pivots`` each.
+    """
     links, roots, start = None, None, 1
     top = members.agg(F.max("rank")).first()[0] or 0
+    whole = Window.partitionBy("bucket").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while start <= top:
-        own = members
-        if roots is not None:
-            own = members.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-        else:
-            own = members.withColumn("root", F.col("tid"))
-        p = own.where(F.col("rank").between(start, start + pivots - 1)).select("bucket", F.col("tid").alias("p"), F.col("n").alias("p_n"), F.col("root").alias("p_root"), F.col("rank").alias("p_rank"))
-        near = (F.least("n", "p_n") >= threshold * F.greatest("n", "p_n") - 1e-9) & (F.col("root") != F.col("p_root")) & (F.col("rank") > F.col("p_rank"))
-        pairs = own.join(p, (own["bucket"] == p["bucket"]) & near).select(F.least("p", "tid").alias("a"), F.greatest("p", "tid").alias("b")).distinct()
-        new = stored(verified(stored(pairs), words, threshold))
-        if new.isEmpty() and not exhaustive:
+        stop = start + (1 if start == 1 else pivots)
+        own = members.withColumn("root", F.col("tid")) if roots is None else members.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+        beside = own.withColumns({f"p{k - start}": F.nth_value(F.struct("tid", "n", "root", "rank"), k).over(whole) for k in range(start, stop)})
+        pairs = None
+        for k in range(stop - start):
+            p = F.col(f"p{k}")
+            near = (F.least(F.col("n"), p["n"]) >= threshold * F.greatest(F.col("n"), p["n"]) - 1e-9) & (F.col("root") != p["root"]) & (F.col("rank") > p["rank"])
+            some = beside.where(near).select(F.least(p["tid"], F.col("tid")).alias("a"), F.greatest(p["tid"], F.col("tid")).alias("b"))
+            pairs = some if pairs is None else pairs.union(some)
+        new = stored(verified(stored(pairs.distinct()), words, threshold))
+        if start > 1 and not exhaustive and new.isEmpty():
             break
         links = new if links is None else links.union(new)
         if not links.isEmpty():
             roots = components(links)
-        start += pivots
+        start = stop
     return roots
 
 

@@ -1 +1,137 @@
-"""To come."""
+"""Label algebra, linking across files and graph closure."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftframe.functions import stats
+from driftframe.operators import labels, linking
+from driftframe.plans import fixtures as fx
+from driftframe.plans.registry import query
+
+
+def _label(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    return fx.label(spark, sf_dir, shift)
+
+
+SLICED = fx.LABEL + ", s as (select t, y, x, v, label, case when label = 0 then 0 else r end::int as step_label from (select *, dense_rank() over (order by label = 0, t, label) as r from label))"
+
+
+@query(f"with {SLICED} select t, y, x, label, step_label from s")
+def slice_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.slice_labels(_label(spark, sf_dir)).select("t", "y", "x", "label", "step_label")
+
+
+@query(f"with {fx.LABEL} select t, y, x, case when label = 0 then 0 else dense_rank() over (order by label = 0, label * 7 % 13, label) end::int as label from label where label not in (3, 5)")
+def relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with gaps, shuffled, made contiguous again."""
+    p = _label(spark, sf_dir).where("label not in (3, 5)").withColumn("label", F.when(F.col("label") != 0, F.col("label") * 7 % 13 * 100 + F.col("label")).otherwise(0))
+    return labels.relabel(p).select("t", "y", "x", "label")
+
+
+@query(f"with {fx.LABEL} select t, y, x, case when label % 2 = 1 then label * 10 else 0 end::int as label from label")
+def remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _label(spark, sf_dir)
+    m = p.select("label").distinct().where("label % 2 = 1").withColumn("new_label", F.col("label") * 10)
+    return labels.remap(p, m).select("t", "y", "x", "label")
+
+
+FILTERED = "k as (select label, dense_rank() over (order by label)::int as n from c where {cond}) select t, y, x, coalesce(n, 0)::int as label from label l left join k using (label)"
+
+
+@query(f"with {fx.LABEL}, g as (select * replace (case when label = 0 then 0 else label * 1000 + t // label end as label) from label), label_ as (select * from g), c as (select label, max(t) - min(t) + 1 as len from g where label <> 0 group by label), k as (select label, dense_rank() over (order by label)::int as n from c where len >= 5) select t, y, x, coalesce(n, 0)::int as label from g left join k using (label)")
+def filter_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels cut in time into pieces of as many steps as their number; those of five or more stay."""
+    p = _label(spark, sf_dir)
+    cut = F.when(F.col("label") == 0, 0).otherwise(F.col("label") * 1000 + F.floor(F.col("t") / F.col("label"))).cast("int")
+    return labels.filter_labels(p.withColumn("label", cut), 5).select("t", "y", "x", "label")
+
+
+@query(f"with {fx.LABEL}, c as (select label, bool_or(v > 0.4) as a, bool_or(v between 0.3 and 0.301) as b from label where label <> 0 group by label), {FILTERED.format(cond='a and b')}")
+def filter_by_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.filter_labels(_label(spark, sf_dir), 0, [F.col("v") > 0.4, F.col("v").between(0.3, 0.301)]).select("t", "y", "x", "label")
+
+
+@query(f"with {fx.LABEL} select label, max(t) - min(t) + 1 as length, bool_or(v > 0.42) as inside from label where label <> 0 group by label")
+def label_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _label(spark, sf_dir)
+    return labels.lengths(p).join(labels.mask_labels(p, F.col("v") > 0.42), "label")
+
+
+@query(f"with {SLICED} select label, list(distinct step_label order by step_label) as steps from s where label <> 0 group by label")
+def steps_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.steps_of(labels.slice_labels(_label(spark, sf_dir)))
+
+
+@query(f"""with {fx.LABELS2}, s as (select t, y, x, dense_rank() over (order by t, label) as step_label from label where label <> 0),
+c as (select step_label, b.label as parent, count(*) as n from s join label2 b using (t, y, x) where b.label <> 0 group by all)
+select step_label::int as step_label, arg_min(parent, {{'n': -n, 'p': parent}}) as parent from c group by step_label""")
+def step_to_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = labels.slice_labels(_label(spark, sf_dir)).select("t", "y", "x", "step_label")
+    return labels.step_parents(p.join(_label(spark, sf_dir, 3).select("t", "y", "x", "label"), ["t", "y", "x"]))
+
+
+@query(f"with {fx.LABELS2}, c as (select a.t, b.label, count(*) as n from label a join label2 b using (t, y, x) where a.label <> 0 and b.label <> 0 group by all) select t, arg_min(label, {{'n': -n, 'l': label}}) as mode from c group by t")
+def overlap_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _label(spark, sf_dir).where("label <> 0").select("t", "y", "x")
+    return a.join(_label(spark, sf_dir, 3), ["t", "y", "x"]).groupBy("t").agg(stats.overlap_mode(F.col("label")).alias("mode"))
+
+
+PAIRS = """a as (select t, y, x, label as a from label where label <> 0), b as (select t, y, x, label as b from label2 where label <> 0),
+na as (select a, count(*) as n_a from a group by a), nb as (select b, count(*) as n_b from b group by b), c as (select a, b, count(*) as n from a join b using (t, y, x) group by all)"""
+
+
+@query(f"with {fx.LABELS2}, {PAIRS} select a, b, n, n_a, n_b from c join na using (a) join nb using (b) where n > 40 and n >= 0.2 * least(n_a, n_b)")
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.overlaps(_label(spark, sf_dir), _label(spark, sf_dir, 3), 0.2, 40)
+
+
+@query(f"with {fx.LABELS2}, {PAIRS} select a, case when max(n) >= 5 then arg_min(b, {{'n': -n, 'b': b}}) else 0 end as b from c group by a")
+def max_overlap_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.max_overlap(_label(spark, sf_dir), _label(spark, sf_dir, 3))
+
+
+@query(f"""with {fx.LABELS2}, {PAIRS}, i as (select a, case when max(n) >= 5 then arg_min(b, {{'n': -n, 'b': b}}) else 0 end as b from c group by a)
+select q.t, q.y, q.x, coalesce(nullif(i.b, 0), q.label)::int as label from label2 q left join label p using (t, y, x) left join i on p.label = i.a""")
+def link_cores_and_anvils(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anvil cube with the pixels of linked cores."""
+    return labels.link_cores_and_anvils(_label(spark, sf_dir), _label(spark, sf_dir, 3))[1].select("t", "y", "x", "label")
+
+
+@query(f"with {fx.LABELS2} select a.t, a.y, a.x, case when a.t % 2 = 0 and a.label <> 0 then a.label else b.label end::int as label from label a join label2 b using (t, y, x)")
+def fill_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _label(spark, sf_dir).withColumn("label", F.when(F.col("t") % 2 == 0, F.col("label")).otherwise(0))
+    return labels.fill_from(own, _label(spark, sf_dir, 3)).select("t", "y", "x", "label")
+
+
+CROSS = fx.LABELS2 + """, w as (select min(t) + 1 as lo, max(t) - 1 as hi from label), a as (select t, y, x, (label * 100 + t // 9)::int as a from label, w where label <> 0 and t between lo and hi),
+b as (select t, y, x, (label * 100 + t // 7)::int as b from label2, w where label <> 0 and t between lo and hi), na as (select a, count(*) as n_a from a group by a), nb as (select b, count(*) as n_b from b group by b),
+c as (select a, b, count(*) as n from a join b using (t, y, x) group by all), e as (select a, b, n, n_a, n_b from c join na using (a) join nb using (b) where n >= 5 and n >= 0.5 * least(n_a, n_b))"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    def cut(df: DataFrame, k: int) -> DataFrame:
+        return df.withColumn("label", F.when(F.col("label") == 0, 0).otherwise(F.col("label") * 100 + F.floor(F.col("t") / k)).cast("int"))
+
+    return cut(_label(spark, sf_dir), 9), cut(_label(spark, sf_dir, 3), 7)
+
+
+@query(f"with {CROSS} select * from e")
+def cross_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.edges_between(*_files(spark, sf_dir))
+
+
+@query(f"""with recursive {CROSS}, u as (select a as p, 10000 + b as q from e union all select 10000 + b, a from e), r as (select p as node, p as root from u union select u.q, r.root from r join u on u.p = r.node)
+select node, min(root)::int as root from r group by node""")
+def cross_file_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = linking.edges_between(*_files(spark, sf_dir)).select(F.col("a").alias("src"), (F.col("b") + 10000).alias("dst"))
+    return linking.components(e)
+
+
+@query("""with f as (select date_trunc('month', ts)::date as file, max(user_id) as m from events group by 1)
+select file, coalesce(sum(m) over (order by file rows between unbounded preceding and 1 preceding), 0)::bigint as start, lag(file) over (order by file) as previous, lead(file) over (order by file) as next from f""")
+def file_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each file's labels start in the global numbering, and its neighbours."""
+    e = fx.table(spark, sf_dir, "events")
+    return linking.offsets(e.groupBy(F.trunc("ts", "month").alias("file")).agg(F.max("user_id").alias("max_label")))
