@@ -1 +1,148 @@
-"""To come."""
+"""Roll-ups, filters and flags of objects."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftframe.operators import entities
+from driftframe.plans import fixtures as fx
+from driftframe.plans.registry import query
+from driftframe.plans.stat_queries import r6
+
+GRADIENT = """l as (select *, lag(t) over g as t0, lead(t) over g as t2, lag(bt) over g as f0, lead(bt) over g as f2, lead(t) over g - t as gap from steps window g as (partition by core order by t, step)),
+d as (select *, 60 * case when t0 is null then (f2 - bt) / (t2 - t) when t2 is null then (bt - f0) / (t - t0)
+ else ((t - t0) * (t - t0) * f2 + ((t2 - t) * (t2 - t) - (t - t0) * (t - t0)) * bt - (t2 - t) * (t2 - t) * f0) / ((t - t0) * (t2 - t) * (t2 - t0)) end as d from l)"""
+
+
+@query(f"""with {fx.STEPS}, {GRADIENT}
+select core, round(min(t), 6) as core_start_t, round(max(t), 6) as core_end_t, round(max(t) - min(t), 6) as core_lifetime, arg_min(step, {{'t': t, 's': step}}) as core_initial_step_index,
+ round(avg(area), 6) as core_average_area, sum(area) as core_total_area, max(area) as core_max_area, round(arg_min(t, {{'a': -area, 's': step}}), 6) as core_max_area_t, arg_min(step, {{'a': -area, 's': step}}) as core_max_area_step_index,
+ round(min(bt), 6) as core_min_bt, round(arg_min(t, {{'b': bt, 's': step}}), 6) as core_min_bt_t, arg_min(step, {{'b': bt, 's': step}}) as core_min_bt_step_index,
+ round(-min(d), 6) as core_bt_cooling_rate, arg_min(step, {{'d': d, 't': t}}) as core_bt_cooling_rate_step_index, round(coalesce(max(gap), 0), 6) as max_gap from d group by core""")
+def core_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: the properties of each core from its steps, and its longest gap."""
+    s = fx.steps(spark, sf_dir)
+    return r6(entities.core_properties(s).join(entities.gaps(s, "core"), "core"))
+
+
+@query(f"""with {fx.STEPS}, a as (select *, bt as bt_mean, abs(bt) * 0.1 as bt_std, bt - 1 as bt_min, bt + 1 as bt_max, abs(bt) * 0.01 as bt_mean_uncertainty, bt as y, area as x, core % 9 as anvil from steps),
+c as (select *, sum(bt * area) over (partition by anvil) / sum(area) over (partition by anvil) as m from a)
+select anvil, round(min(t), 6) as thick_anvil_start_t, round(max(t), 6) as thick_anvil_end_t, round(max(t) - min(t), 6) as thick_anvil_lifetime, arg_min(step, {{'t': t, 's': step}}) as thick_anvil_initial_step_index,
+ arg_min(x, {{'t': t, 's': step}}) as thick_anvil_start_x, arg_min(x, {{'t': -t, 's': step}}) as thick_anvil_end_x, round(sum(x * area) / sum(area), 6) as thick_anvil_average_x,
+ round(arg_min(y, {{'t': t, 's': step}}), 6) as thick_anvil_start_y, round(arg_min(y, {{'t': -t, 's': step}}), 6) as thick_anvil_end_y, round(sum(y * area) / sum(area), 6) as thick_anvil_average_y,
+ round(avg(area), 6) as thick_anvil_average_area, sum(area) as thick_anvil_total_area, max(area) as thick_anvil_max_area, round(arg_min(t, {{'a': -area, 's': step}}), 6) as thick_anvil_max_area_t, arg_min(step, {{'a': -area, 's': step}}) as thick_anvil_max_area_step_index,
+ round(any_value(m), 6) as thick_anvil_bt_mean, round(sqrt(sum(area * (bt_std + (bt - m) * (bt - m))) / sum(area)), 6) as thick_anvil_bt_std, round(min(bt_min), 6) as thick_anvil_bt_min, round(max(bt_max), 6) as thick_anvil_bt_max,
+ round(sqrt(sum(area * area * bt_mean_uncertainty * bt_mean_uncertainty)) / sum(area), 6) as thick_anvil_bt_mean_uncertainty from c group by anvil""")
+def anvil_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of anvils with the roll-up of suffixed step columns."""
+    b = F.col("bt")
+    s = fx.steps(spark, sf_dir).withColumns({
+        "bt_mean": b, "bt_std": F.abs(b) * 0.1, "bt_min": b - 1, "bt_max": b + 1, "bt_mean_uncertainty": F.abs(b) * 0.01, "y": b, "x": F.col("area"), "anvil": F.col("core") % 9
+    }).drop("bt")
+    return r6(entities.thick_anvil_properties(s))
+
+
+@query(f"""with {fx.LABEL}, p as (select *, (100 + y)::double as area, label * 1000 + t as step from label where label <> 0),
+s as (select label, step, count(*) as n, sum(area) as area, min(t) as t, sum(x * area) / sum(area) as x, sum(y * area) / sum(area) as y from p group by all)
+select label, sum(n)::bigint as pixel_count, round(sum(area), 6) as total_area, round(max(area), 6) as max_area, min(t) as start_t, max(t) as end_t, max(t) - min(t) as lifetime,
+ arg_min(t, {{'a': -area, 's': step}}) as max_area_t, round(arg_min(x, step), 6) as start_x, round(arg_min(y, step), 6) as start_y from s group by label""")
+def label_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of labels by way of their steps."""
+    p = fx.label(spark, sf_dir).withColumns({"area": (F.col("y") + 100).cast("double"), "step": F.col("label") * 1000 + F.col("t"), "x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
+    return r6(entities.label_properties(p, "step", "label")[1])
+
+
+LIMITS = {"min_lifetime": 20 * 86400.0, "max_gap": 2 * 86400.0, "min_cooling": 0.0, "max_area": 1e4}
+
+
+@query(f"""with {fx.STEPS}, g as (select *, lead(t) over (partition by core order by t) - t as gap from steps),
+c as (select core, arg_min(bt, step) - arg_max(bt, step) as cooling, coalesce(max(gap), 0) as max_gap, max(t) - min(t) as lifetime, max(area) as max_area from g group by core)
+select core, round(cooling, 6) as cooling, round(max_gap, 6) as max_gap, round(lifetime, 6) as lifetime, max_area from c where cooling >= 0 and max_gap <= 172800 and lifetime >= 1728000 and max_area <= 10000""")
+def filter_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(entities.valid_cores(fx.steps(spark, sf_dir), **LIMITS))
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> entities.Objects:
+    s = fx.steps(spark, sf_dir)
+    core = s.groupBy("core").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.max("area").alias("max_area")).withColumn("anvil", F.col("core") % 40)
+    thick = s.withColumns({"anvil": F.col("core") % 40, "area": F.col("area") + F.col("step") % 3}).where("anvil <> 0").select("anvil", "step", "t", "area")
+    anvil = thick.groupBy("anvil").agg(F.min("t").alias("start_t"), F.max_by("t", F.struct(F.col("area"), -F.col("step"))).alias("max_area_t"))
+    return entities.Objects(core, anvil, s.where("core % 7 <> 0"), thick, thick.where("anvil % 5 <> 0"))
+
+
+OBJECTS = fx.STEPS + """, core as (select core, min(t) as start_t, max(t) as end_t, max(area) as max_area, core % 40 as anvil from steps group by core),
+thick as (select core % 40 as anvil, step, t, area + step % 3 as area from steps where core % 40 <> 0), anvil as (select anvil, min(t) as start_t, arg_min(t, {'a': -area, 's': step}) as max_area_t from thick group by anvil),
+core_step as (select * from steps where core % 7 <> 0), thin as (select * from thick where anvil % 5 <> 0)"""
+
+
+@query(f"""with {OBJECTS}, b as (select c.anvil, max(s.area) as core_area, max(s.t) as core_end from core_step s join core c using (core) group by c.anvil),
+g as (select *, lead(t) over (partition by anvil order by t) - t as gap from thick), t as (select anvil, max(area) as area, max(t) as e, max(t) - min(t) as life, coalesce(max(gap), 0) as gap from g group by anvil)
+select anvil from anvil join b using (anvil) join t using (anvil) where life >= 840 and gap <= 172800 and t.area > core_area and e > core_end and anvil in (select anvil from thin)""")
+def filter_anvils(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _objects(spark, sf_dir)
+    return entities.valid_anvils(o.anvil, o.thick_anvil_step, o.thin_anvil_step, o.core, o.core_step, max_gap=172800.0)
+
+
+@query(f"""with {OBJECTS}, a as (select anvil from anvil where anvil in (select anvil from thick) and anvil in (select anvil from thin)), c as (select core from core where core in (select core from core_step))
+select 'core' as kind, count(*) as n, sum(core)::bigint as ids from c union all select 'anvil', count(*), sum(anvil)::bigint from a union all select 'core_step', count(*), sum(step)::bigint from core_step where core in (select core from c)
+union all select 'thick', count(*), sum(step)::bigint from thick where anvil in (select anvil from a) union all select 'thin', count(*), sum(step)::bigint from thin where anvil in (select anvil from a)""")
+def remove_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _objects(spark, sf_dir).without_orphans()
+    out = None
+    for kind, df, c in (("core", o.core, "core"), ("anvil", o.anvil, "anvil"), ("core_step", o.core_step, "step"), ("thick", o.thick_anvil_step, "step"), ("thin", o.thin_anvil_step, "step")):
+        one = df.agg(F.count(F.lit(1)).alias("n"), F.sum(c).alias("ids")).select(F.lit(kind).alias("kind"), "n", "ids")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""with {OBJECTS}, p as (select core, row_number() over (order by core) - 1 as i from core) select core, step from core_step where core in (select core from p where i in (2, 3, 11))""")
+def select_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the cores at given places."""
+    return _objects(spark, sf_dir).at("core", [2, 3, 11]).core_step.select("core", "step")
+
+
+@query(f"""with {OBJECTS}, k as (select anvil, count(*) as n, arg_min(core, {{'s': start_t, 'c': core}}) as i, arg_min(end_t, {{'s': start_t, 'c': core}}) as e, min(start_t) as s, bool_and(core % 11 <> 0) as good from core where anvil <> 0 group by anvil),
+f as (select anvil, coalesce(n, 0) as core_count, coalesce(i, 0) as initial_core, coalesce(max_area_t <= e, false) as no_growth, coalesce(anvil.start_t < s, false) as no_initial_core, not coalesce(good, false) as invalid_core from anvil left join k using (anvil))
+select *, core_count > 0 and not no_growth and not no_initial_core and not invalid_core as is_valid from f""")
+def validity_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _objects(spark, sf_dir)
+    return entities.validity_flags(o.core.withColumn("is_good", F.col("core") % 11 != 0), o.anvil)
+
+
+@query(f"""with {fx.LABEL}, p as (select case when t < 9 then t else t + 40 end * 60 as t, y, x, label from label), b as (select min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1, min(t) as t0, max(t) as t1 from p),
+g as (select t, coalesce(lead(t) over (order by t) - t > 900, false) as s, coalesce(t - lag(t) over (order by t) > 900, false) as e from (select distinct t from p))
+select label + 100 * (t // 240) as label, bool_or(y in (y0, y1) or x in (x0, x1)) as edge, bool_or(t <= t0 or s) as start, bool_or(t >= t1 or e) as end from p join g using (t), b where label <> 0 group by 1""")
+def edge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of labels cut into pieces of four minutes, with a gap in time."""
+    t = F.when(F.col("t") < 9, F.col("t")).otherwise(F.col("t") + 40) * 60
+    p = fx.label(spark, sf_dir).withColumn("t", t).withColumn("label", F.when(F.col("label") != 0, F.col("label") + 100 * F.floor(F.col("t") / 240)).otherwise(0))
+    return entities.edge_flags(p)
+
+
+@query(f"""with {fx.LABEL}, p as (select t, y, x, label * 100 + t as label, case when t % 6 <> 2 or x <> 20 then v end as v from label where label <> 0 or (t % 6 = 2 and x = 20)),
+h as (select distinct t + dt as t, y + dy as y, x + dx as x from p, (select unnest([-1, 0, 1]) as dt), (select unnest([-1, 0, 1]) as dy), (select unnest([-1, 0, 1]) as dx) where v is null)
+select label, bool_or(h.t is not null) as nan_flag from p left join h using (t, y, x) where label >= 100 group by label""")
+def nan_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hole = (F.col("t") % 6 == 2) & (F.col("x") == 20)
+    p = fx.label(spark, sf_dir).withColumns({"v": F.when(~hole, F.col("v")), "label": F.when(F.col("label") != 0, F.col("label") * 100 + F.col("t")).otherwise(0)})
+    return entities.nan_adjacent(p)
+
+
+@query("""with f as (select user_id as core, date_trunc('day', ts)::date as file, bool_or(event_id % 17 = 0) as edge, bool_or(event_id % 29 = 0) as nan, bool_or(event_type = 'click') as start, bool_or(event_type = 'error') as "end", max(event_id % 4) as parent from events group by 1, 2)
+select core, bool_or(edge) as edge, bool_or(nan) as nan, arg_min(start, file) as start, arg_max("end", file) as "end", coalesce(arg_min(parent, file) filter (parent <> 0), 0) as parent from f group by core""")
+def flag_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of objects that appear in several daily files, merged."""
+    e, i = fx.table(spark, sf_dir, "events"), F.col("event_id")
+    files = e.groupBy(F.col("user_id").alias("core"), F.to_date("ts").alias("file")).agg(
+        F.bool_or(i % 17 == 0).alias("edge"), F.bool_or(i % 29 == 0).alias("nan"), F.bool_or(F.col("event_type") == "click").alias("start"), F.bool_or(F.col("event_type") == "error").alias("end"), F.max(i % 4).alias("parent"),
+    )
+    return entities.upsert_flags(files, "core", "file")
+
+
+@query("""with o as (select o_custkey, date_trunc('month', o_orderdate)::date as m, o_totalprice from orders), f as (select *, min(m) over (partition by o_custkey) as month from o)
+select month, count(distinct o_custkey) as objects, count(*) as steps from f group by month""")
+def monthly_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects and steps by the month in which an object begins."""
+    o = entities.monthly(fx.table(spark, sf_dir, "orders"), "o_custkey", F.trunc("o_orderdate", "month"))
+    return o.groupBy("month").agg(F.count_distinct("o_custkey").alias("objects"), F.count(F.lit(1)).alias("steps"))

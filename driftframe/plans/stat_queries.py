@@ -20,7 +20,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.label(spark, sf_dir).withColumns({"w": fx.area(), "e": F.abs("v") * 0.1 + 0.01}).where("label <> 0")
 
 
-L = f"with {fx.LABEL}, p as (select *, 1 + 0.01 * y as w, abs(v) * 0.1 + 0.01 as e from label where label <> 0)"
+L = f"with {fx.LABEL}, p as (select *, 1 + 0.01::double * y as w, abs(v) * 0.1::double + 0.01::double as e from label where label <> 0)"
 
 
 @query(f"{L} select t, label, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, round(max(v), 6) as max, round(min(v), 6) as min from p group by all")
@@ -80,8 +80,8 @@ def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {fx.STEPS}, c as (select *, sum(bt * area) over (partition by core) / sum(area) over (partition by core) as m from steps)
-select core, round(any_value(m), 6) as combined_mean, round(sqrt((sum(area * abs(bt) * 0.1) + sum(area * (bt - m) * (bt - m))) / sum(area)), 6) as combined_std,
- round(sqrt((sum(area * bt * bt * 0.01) + sum(area * (bt - m) * (bt - m))) / sum(area)), 6) as pooled_std from c group by core""")
+select core, round(any_value(m), 6) as combined_mean, round(sqrt((sum(area * abs(bt) * 0.1::double) + sum(area * (bt - m) * (bt - m))) / sum(area)), 6) as combined_std,
+ round(sqrt((sum(area * bt * bt * 0.01::double) + sum(area * (bt - m) * (bt - m))) / sum(area)), 6) as pooled_std from c group by core""")
 def combined_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roll-up of step means and deviations, in the literal form and by pooled variances."""
     s = fx.steps(spark, sf_dir).withColumn("std", F.abs("bt") * 0.1)
