@@ -1 +1,135 @@
-"""To come."""
+"""Queries on dense frames: filters, distances, components, flow, flooding, detection."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftframe.operators import detection, flooding, frames, labels, stencil, tracking
+from driftframe.plans import fixtures as fx
+from driftframe.plans.registry import query
+from driftframe.plans.stat_queries import r6
+
+REGIONS = fx.MASK + """, e as (select a.t, a.y * 64 + a.x as p, b.y * 64 + b.x as q from mask a join mask b on a.t = b.t and a.m and b.m and abs(a.y - b.y) + abs(a.x - b.x) = 1),
+r as (select t, y * 64 + x as p, y * 64 + x as root from mask where m union select e.t, e.q, r.root from r join e on e.t = r.t and e.p = r.p),
+c as (select t, p, min(root) as root from r group by t, p), n as (select t, root, row_number() over (order by t, root) as label from (select distinct t, root from c))"""
+
+
+@query(f"with recursive {REGIONS} select mask.t, y, x, coalesce(label, 0)::int as label from mask left join c on c.t = mask.t and c.p = y * 64 + x left join n on n.t = c.t and n.root = c.root")
+def flat_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected regions of each step."""
+    return tracking.flat_label(fx.mask(spark, sf_dir))
+
+
+@query(f"""with recursive {REGIONS}, g as (select mask.t, y, x, label, x // 16 as part from mask join c on c.t = mask.t and c.p = y * 64 + x join n on n.t = c.t and n.root = c.root)
+select m.t, m.y, m.x, coalesce(s, 0)::int as step_label from mask m left join (select t, y, x, dense_rank() over (order by label, part) as s from g) using (t, y, x)""")
+def make_step_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions split by an existing label."""
+    m = fx.mask(spark, sf_dir).select("t", "y", "x", F.when(F.col("m"), 1 + F.floor(F.col("x") / 16)).otherwise(0).cast("int").alias("label"))
+    return labels.split_components(m).select("t", "y", "x", "step_label")
+
+
+@query(f"""with {fx.CUBE}, p as (select t, y, x, v > 0.3 as m from cube), d as (select a.t, a.y, a.x, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) as v from p a left join p b on a.t = b.t and b.m group by a.t, a.y, a.x)
+select t, y, x, round(v, 6) as v from d""")
+def edt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance to the nearest high pixel of the step."""
+    return r6(frames.distance(fx.cube(spark, sf_dir).select("t", "y", "x", (F.col("v") > 0.3).alias("m"))))
+
+
+@query(f"""with recursive {fx.CUBE}, mask as (select t, y, x, v <= 0.02 as m from cube), b as (select t, y, x from mask where not m and (y in (0, 19) or x in (0, 63))
+ union select m.t, m.y, m.x from b join mask m on m.t = b.t and abs(m.y - b.y) + abs(m.x - b.x) = 1 and not m.m)
+select mask.t, mask.y, mask.x, b.t is null as m from mask left join b using (t, y, x)""")
+def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.fill_holes(fx.cube(spark, sf_dir).select("t", "y", "x", (F.col("v") <= 0.02).alias("m")))
+
+
+@query(f"""with {fx.CUBE}, k as (select range - 4 as i, exp(-0.5 * (range - 4) ** 2) as w from range(9)), n as (select i, w / sum(w) over () as w from k),
+a as (select c.t, c.y, c.x, i, w, case when c.y + i < 0 then -1 - c.y - i when c.y + i > 19 then 39 - c.y - i else c.y + i end as q from cube c cross join n),
+b as (select a.t, a.y, a.x, sum(w * s.v) as v from a join cube s on s.t = a.t and s.y = a.q and s.x = a.x group by a.t, a.y, a.x),
+d as (select c.t, c.y, c.x, w, case when c.x + i < 0 then -1 - c.x - i when c.x + i > 63 then 127 - c.x - i else c.x + i end as q from cube c cross join n)
+select d.t, d.y, d.x, round(sum(w * s.v), 6) as v from d join b s on s.t = d.t and s.y = d.y and s.x = d.q group by d.t, d.y, d.x""")
+def gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian smoothing of each step, mirrored at the border."""
+    return r6(frames.gaussian(fx.cube(spark, sf_dir), 1.0))
+
+
+@query(f"""with {fx.CUBE}, m as (select a.t, a.y, a.x, max(b.v) as top from cube a join cube b on a.t = b.t and abs(a.y - b.y) <= 2 and abs(a.x - b.x) <= 2 group by a.t, a.y, a.x)
+select t, y, x, v = top and y between 2 and 17 and x between 2 and 61 as m from cube join m using (t, y, x)""")
+def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.peaks(fx.cube(spark, sf_dir), 2)
+
+
+@query()
+def curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the smoothed field bends down."""
+    return frames.curvature_filter(fx.cube(spark, sf_dir))
+
+
+@query()
+def subsegments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions split at their waists."""
+    m = fx.cube(spark, sf_dir).select("t", "y", "x", (F.col("v") > 0).alias("m"))
+    return tracking.subsegments(m, 0.5, 2)
+
+
+@query()
+def flow_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions linked along the flow, in the order of their discovery."""
+    return tracking.flow_label(fx.flow(spark, sf_dir), fx.mask(spark, sf_dir), 0.1, 1)
+
+
+@query(f"""with recursive {fx.LABEL}, flow as (select t, y, x, (t + y) % 3 - 1 as fx, (t + x) % 3 - 1 as fy from cube), s as (select t, y, x, (label * 1000 + t)::int as step from label where label <> 0), z as (select step, count(*) as n from s group by step),
+w as (select s.step as a, f.step as b, true as fwd from s join flow k using (t, y, x) join s f on f.t = s.t + 1 and f.y = s.y + fy and f.x = s.x + fx union all
+ select s.step, f.step, false from s join flow k using (t, y, x) join s f on f.t = s.t - 1 and f.y = s.y - fy and f.x = s.x - fx),
+e as (select a, b from w group by a, b, fwd having count(*) > 4 and count(*) >= 0.3 * least((select n from z where step = a), (select n from z where step = b))),
+u as (select a, b from e union select b, a from e), r as (select step as node, step as root from z union select u.b, r.root from r join u on u.a = r.node), c as (select node, min(root) as root from r group by node),
+o as (select node, dense_rank() over (order by root) as label from c) select l.t, l.y, l.x, coalesce(o.label, 0)::int as label from label l left join o on o.node = l.label * 1000 + l.t and l.label <> 0""")
+def link_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step labels linked along the flow, undirected."""
+    steps = fx.label(spark, sf_dir).select("t", "y", "x", F.when(F.col("label") != 0, F.col("label") * 1000 + F.col("t")).otherwise(0).cast("int").alias("label"))
+    return tracking.link_overlap(fx.flow(spark, sf_dir), steps, 0.3, 4, undirected=True)
+
+
+def _markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.cube(spark, sf_dir).select("t", "y", "x", F.when(F.col("v") > 0.3, 1 + F.floor(F.col("x") / 16)).when(F.col("v") < -0.3, -1).otherwise(0).cast("int").alias("label"))
+
+
+@query()
+def watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact flood from high pixels against low ones."""
+    field = fx.cube(spark, sf_dir).withColumn("v", -F.col("v"))
+    return flooding.watershed(fx.flow(spark, sf_dir), field, _markers(spark, sf_dir), chunk=10)
+
+
+@query()
+def network_watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flood by descent, in joins."""
+    field = fx.cube(spark, sf_dir).where("t < 3").withColumn("v", -F.col("v"))
+    return flooding.descent(fx.flow(spark, sf_dir).where("t < 3"), field, _markers(spark, sf_dir).where("t < 3"))
+
+
+@query()
+def optical_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(frames.optical_flow(fx.cube(spark, sf_dir)))
+
+
+@query()
+def detect_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.cube(spark, sf_dir)
+    return detection.detect_cores(fx.flow(spark, sf_dir), c, bt_threshold=0.02, overlap=0.1, absolute=1, min_length=1, min_cooling=0.0, method="nearest", use_filters=False)
+
+
+@query()
+def detect_anvils(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, c = fx.flow(spark, sf_dir), frames.gaussian(fx.cube(spark, sf_dir), 2.0)
+    markers = detection.anvil_markers(f, c, 0.02, 0.1, 1, 1)
+    return detection.detect_anvils(f, c, markers, 0.02, -0.02, 1, 1, "nearest", chunk=10)
+
+
+@query(f"""with {fx.FLOW}, n as (select f.t, f.y, f.x, c.v, s.v as n from flow f join cube c using (t, y, x) left join cube s on s.t = f.t + 1 and s.y = f.y + fy and s.x = f.x + fx)
+select t, round(avg((n - v) ** 2), 6) as mse, round(avg((n - v) ** 2) filter (v < 0), 6) as cold_mse from n where n is not null group by t""")
+def flow_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the flow carries a step to the next."""
+    c = fx.cube(spark, sf_dir)
+    d = stencil.taps(c, fx.flow(spark, sf_dir), [(1, 0, 0)]).join(c, ["t", "y", "x"]).where("value is not null").withColumn("d", (F.col("value") - F.col("v")) * (F.col("value") - F.col("v")))
+    return r6(d.groupBy("t").agg(F.avg("d").alias("mse"), F.avg(F.when(F.col("v") < 0, F.col("d"))).alias("cold_mse")))
