@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftframe.functions.normalise import linearise
 from driftframe.operators import flooding, frames, labels, morphology, stencil, tracking
+from driftframe.operators.linking import stored
 from driftframe.operators.stencil import KEY
 
 
@@ -56,12 +57,12 @@ def detect_cores(
     if wvd is not None:
         other = growth_markers(flow, wvd, wvd_threshold, filters, method, 1.0, times).withColumnRenamed("m", "o")
         m = m.join(other, KEY).select(*KEY, (F.col("m") | F.col("o")).alias("m"))
-    found = tracking.flow_label(flow, m, overlap, absolute).join(bt.select(*KEY, "v"), KEY)
+    found = stored(tracking.flow_label(flow, stored(m), overlap, absolute)).join(bt.select(*KEY, "v"), KEY)
     masks = []
     if wvd is not None:
         found = found.join(wvd.select(*KEY, F.col("v").alias("wvd")), KEY)
         masks = [F.col("wvd") > min_wvd]
-    found = labels.filter_labels(found, min_length, masks, strict=True)
+    found = stored(labels.filter_labels(stored(found), min_length, masks, strict=True))
     fast = cooling(found, min_length, times).where(F.col("cooling") >= min_cooling).select("label")
     return labels.remap(found, labels.numbered(fast, ["label"], "new_label")).select(*KEY, "label")
 
@@ -69,28 +70,29 @@ def detect_cores(
 def anvil_markers(flow: DataFrame, field: DataFrame, threshold: float = -5.0, overlap: float = 0.5, absolute: int = 5, min_length: int = 3) -> DataFrame:
     """``label``: regions at or over the threshold that last longer than ``min_length`` steps."""
     m = morphology.opening(field.select(*KEY, F.coalesce(F.col("v") >= threshold, F.lit(False)).alias("m")))
-    return labels.filter_labels(tracking.flow_label(flow, m, overlap, absolute), min_length, strict=True).select(*KEY, "label")
+    return labels.filter_labels(stored(tracking.flow_label(flow, stored(m), overlap, absolute)), min_length, strict=True).select(*KEY, "label")
 
 
 def detect_anvils(flow: DataFrame, field: DataFrame, markers: DataFrame, upper: float = -5.0, lower: float = -15.0, erode: int = 1, min_length: int = 3, method: str = "linear", chunk: int | None = None) -> DataFrame:
     """Markers flooded outwards over the edges of a field scaled between two thresholds; the background, where the
     scaled field is 0, floods against them. Objects that last longer than ``min_length`` and hold a marker stay."""
-    scaled = field.select(*KEY, linearise(F.col("v"), lower, upper).alias("v"))
+    markers = stored(markers)
+    scaled = stored(field.select(*KEY, linearise(F.col("v"), lower, upper).alias("v")))
     core = morphology.erode(markers.select(*KEY, (F.col("label") != 0).alias("m")))
     back = morphology.watershed_mask(scaled, erode).withColumnRenamed("m", "b")
     seeds = markers.join(core, KEY).join(back, KEY).select(*KEY, F.when(F.col("b"), -1).when(F.col("m"), F.col("label")).otherwise(0).cast("int").alias("label"))
     edges = stencil.edge_field(scaled, flow, method).select(*KEY, F.col("value").alias("v"))
-    basins = flooding.watershed(flow, edges, seeds, None, chunk).withColumn("label", F.greatest("label", F.lit(0)))
+    basins = stored(flooding.watershed(flow, edges, seeds, None, chunk)).withColumn("label", F.greatest("label", F.lit(0)))
     kept = morphology.opening(basins.select(*KEY, (F.col("label") != 0).alias("m")))
     own = markers.select(*KEY, F.col("label").alias("marker"))
     out = basins.join(kept, KEY).join(own, KEY).withColumn("label", F.when(F.col("marker") != 0, F.col("marker")).when(F.col("m"), F.col("label")).otherwise(0))
-    return labels.filter_labels(out, min_length, [F.col("marker") != 0], strict=True).select(*KEY, "label")
+    return labels.filter_labels(stored(out), min_length, [F.col("marker") != 0], strict=True).select(*KEY, "label")
 
 
 def relabel_anvils(flow: DataFrame, anvils: DataFrame, markers: DataFrame | None = None, overlap: float = 0.5, absolute: int = 5, min_length: int = 3) -> DataFrame:
     """Anvils split into connected regions of each step and linked again; those with a marker stay."""
     steps = labels.split_components(anvils).select(*KEY, F.col("step_label").cast("int").alias("label"))
-    linked = tracking.link_overlap(flow, steps, overlap, absolute)
+    linked = stored(tracking.link_overlap(flow, steps, overlap, absolute))
     if markers is None:
         return labels.filter_labels(linked, min_length, strict=True).select(*KEY, "label")
     both = linked.join(markers.select(*KEY, F.col("label").alias("marker")), KEY)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftframe.operators import kernels
 from driftframe.operators.frames import per_frame
 from driftframe.operators.labels import numbered
-from driftframe.operators.linking import components
+from driftframe.operators.linking import components, stored
 from driftframe.operators.stencil import KEY, taps
 
 
@@ -50,6 +50,7 @@ def link_overlap(flow: DataFrame, steps: DataFrame, overlap: float = 0.0, absolu
     has to keep: it holds the links between step labels, a table that is small beside the pixels. ``undirected``
     takes connected components instead, which any number of tasks can do.
     """
+    steps = stored(steps)  # read for the links, their sizes and the result
     edges = flow_edges(flow, steps, overlap, absolute)
     every = steps.where(F.col("label") != 0).select("label").distinct()
     if undirected:

@@ -1 +1,232 @@
-"""To come."""
+"""Geometry, regridding and validation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftframe.functions import geo
+from driftframe.operators import regrid, validation
+from driftframe.plans import fixtures as fx
+from driftframe.plans.registry import query
+from driftframe.plans.stat_queries import r6
+from driftframe.sources import files
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(k.alias("k"), ((k * 37) % 140 - 70 + 0.25).alias("lat"), ((k * 53) % 120 - 135 + 0.5).alias("lon"))
+
+
+PLACES = "places as (select s_suppkey as k, (s_suppkey * 37 % 140 - 70 + 0.25)::double as lat, (s_suppkey * 53 % 120 - 135 + 0.5)::double as lon from supplier)"
+
+
+def _fourier(terms: tuple[float, ...]) -> str:
+    out = [repr(terms[0])]
+    for k in range(1, (len(terms) + 1) // 2):
+        out += [f"{terms[2 * k - 1]!r} * cos({k} * a)", f"{terms[2 * k]!r} * sin({k} * a)"]
+    return "(" + " + ".join(out) + ")"
+
+
+@query(f"""with {PLACES}, d as (select k, lat, lon, 150 + 18.5 / 24 as day from places), a as (select *, 2 * pi() * day / 365 as a from d), e as (select *, {_fourier(geo.DECLINATION)} as dec, {_fourier(geo.EQUATION_OF_TIME)} as eqt from a),
+h as (select *, radians(15 * 6.5 + lon) + eqt as h, radians(lat) as p from e)
+select k, round(degrees(acos(least(greatest(sin(dec) * sin(p) + cos(dec) * cos(p) * cos(h), -1), 1))), 6) as zenith,
+ round((degrees(atan2(-cos(dec) * sin(h), sin(dec) * cos(p) - cos(dec) * sin(p) * cos(h))) + 360) % 360, 6) as azimuth from h""")
+def solar_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position of the sun at 18:30 on the last of May."""
+    p = _places(spark, sf_dir).withColumn("ts", F.lit("2018-05-31 18:30:00").cast("timestamp_ntz"))
+    z, a = geo.solar_angles(F.col("ts"), F.col("lat"), F.col("lon"))
+    return r6(p.select("k", z.alias("zenith"), a.alias("azimuth")))
+
+
+@query(f"""with {PLACES}, c as (select k, radians(lat) as p, radians(lon + 75) as d, cos(radians(lat)) * cos(radians(lon + 75)) as c from places)
+select k, round(degrees(atan2(sqrt(1 - c * c), c - 6371.0 / 42164.0)), 6) as zenith, round((degrees(atan2(-sin(d), -sin(p) * cos(d))) + 360) % 360, 6) as azimuth from c""")
+def satellite_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z, a = geo.viewing_angles(F.col("lat"), F.col("lon"), 0.0, -75.0)
+    return r6(_places(spark, sf_dir).select("k", z.alias("zenith"), a.alias("azimuth")))
+
+
+A, B = geo.GRS80
+GEOS = f"""{PLACES}, g as (select k, lat, lon, atan(tan(radians(lat)) * {B * B / (A * A)!r}) as p, radians(lon + 75) as d from places),
+r as (select *, {B!r} / sqrt(1 - {1 - B * B / (A * A)!r} * cos(p) * cos(p)) as r from g),
+s as (select *, {A + geo.SATELLITE_HEIGHT!r} - r * cos(p) * cos(d) as sx, -r * cos(p) * sin(d) as sy, r * sin(p) as sz from r)"""
+
+
+@query(f"""with {GEOS} select k, case when {A + geo.SATELLITE_HEIGHT!r} * ({A + geo.SATELLITE_HEIGHT!r} - sx) >= sy * sy + {A * A / (B * B)!r} * sz * sz then round(asin(-sy / sqrt(sx * sx + sy * sy + sz * sz)), 9) end as x,
+ case when {A + geo.SATELLITE_HEIGHT!r} * ({A + geo.SATELLITE_HEIGHT!r} - sx) >= sy * sy + {A * A / (B * B)!r} * sz * sz then round(atan(sz / sx), 9) end as y from s""")
+def geos_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = geo.geos_forward(F.col("lat"), F.col("lon"))
+    return _places(spark, sf_dir).select("k", F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
+
+
+@query(f"""with {GEOS} select k, round(lat, 6) as lat, round(lon, 6) as lon from s where {A + geo.SATELLITE_HEIGHT!r} * ({A + geo.SATELLITE_HEIGHT!r} - sx) >= sy * sy + {A * A / (B * B)!r} * sz * sz""")
+def geos_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places on the visible disc, projected and back."""
+    x, y = geo.geos_forward(F.col("lat"), F.col("lon"))
+    p = _places(spark, sf_dir).withColumns({"x": x, "y": y}).where("x is not null")
+    lat, lon = geo.geos_inverse(F.col("x"), F.col("y"))
+    return p.select("k", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+
+
+@query(f"with {PLACES} select k, round(lon, 6) as lon, round(lat, 6) as lat, round(k::double, 3) as alt from places")
+def ecef_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geodetic coordinates to geocentric ones and back."""
+    p = _places(spark, sf_dir)
+    x, y, z = geo.to_ecef(F.col("lon"), F.col("lat"), F.col("k").cast("double"))
+    p = p.select("k", x.alias("x"), y.alias("y"), z.alias("z"))
+    lon, lat, alt = geo.from_ecef(F.col("x"), F.col("y"), F.col("z"))
+    return p.select("k", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), F.round(alt, 3).alias("alt"))
+
+
+@query()
+def lightning_parallax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shift between the ellipsoid of lightning and the grid's."""
+    lon, lat = geo.parallax_offsets(F.col("lon"), F.col("lat"))
+    return r6(_places(spark, sf_dir).select("k", lon.alias("dlon"), lat.alias("dlat")))
+
+
+@query(f"""with {fx.STEPS}, p as (select core, t, step, 10 + bt / 100 as lat, area as lon from steps), l as (select *, lead(lat) over g as la, lead(lon) over g as lo, lead(t) over g as tt from p window g as (partition by core order by t)),
+r as (select *, radians(lat) as a, radians(la) as b, radians(lo) - radians(lon) as d from l where la is not null),
+v as (select core, case when lat <> la or lon <> lo then atan2(sin(d) * cos(b), cos(a) * sin(b) - sin(a) * cos(b) * cos(d)) end as az,
+ 2 * 6371000.0 * asin(sqrt(sin((b - a) / 2) ** 2 + cos(a) * cos(b) * sin(d / 2) ** 2)) / nullif(tt - t, 0) as speed from r)
+select core, round(degrees(atan2(avg(sin(az)), avg(cos(az)))), 6) as azimuth, round(avg(speed), 6) as speed from v group by core""")
+def azimuth_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean direction and speed of objects, on a sphere."""
+    from driftframe.operators.entities import roll_up
+
+    s = fx.steps(spark, sf_dir).withColumns({"lat": 10 + F.col("bt") / 100, "lon": F.col("area")})
+    return r6(roll_up(s, "core", "c", rates=False).select("core", F.col("c_propagation_direction").alias("azimuth"), F.col("c_propagation_speed").alias("speed")))
+
+
+@query()
+def geodesic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance on the ellipsoid between places."""
+    p = _places(spark, sf_dir)
+    d = geo.geodesic(F.col("lat"), F.col("lon"), F.col("lat") + 1, F.col("lon") + 1)
+    return r6(p.select("k", d.alias("km")))
+
+
+FLASH = "flash as (select epoch_us(ts) / 1e6 as s, user_id % 20 as y, event_id % 64 as x from events where event_type = 'error'), scan as (select i as t, m + i * 21600.0 as s from range(100) r(i), (select min(epoch_us(ts)) / 1e6 as m from events))"
+SPAN = "span as (select t, s, s - least(coalesce(s - lag(s) over g, lead(s) over g - s), 10800) / 2 as lo, s + least(coalesce(lead(s) over g - s, s - lag(s) over g), 10800) / 2 as hi from scan window g as (order by s))"
+
+
+def _flashes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = fx.table(spark, sf_dir, "events")
+    s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    flash = e.where("event_type = 'error'").select(s.alias("s"), (F.col("user_id") % 20).alias("y"), (F.col("event_id") % 64).alias("x"))
+    first = e.agg(F.min(s).alias("m"))
+    scan = spark.range(100).join(F.broadcast(first)).select(F.col("id").alias("t"), (F.col("m") + F.col("id") * 21600.0).alias("s"))
+    return flash, scan
+
+
+@query(f"with {FLASH}, {SPAN} select t, y, x, count(*) as n from flash f join span w on f.s > w.lo and f.s < w.hi group by t, y, x")
+def interval_join_gridding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flashes counted on cells and steps, each step taking half of the time to its neighbours."""
+    flash, scan = _flashes(spark, sf_dir)
+    return regrid.interval_join(flash, regrid.windows(scan, 10800.0), slot=10800.0).groupBy("t", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {FLASH}, p as (select f.s, f.y, f.x, k.t, abs(k.s - f.s) as d, k.s as ks from flash f left join scan k on abs(k.s - f.s) <= 7200)
+select round(s, 6) as s, y, x, arg_min(t, {{'d': d, 'k': ks}}) filter (t is not null) as t from p group by s, y, x""")
+def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each flash with the nearest scan within two hours."""
+    flash, scan = _flashes(spark, sf_dir)
+    return regrid.asof_nearest(flash, scan, 7200.0).select(F.round("s", 6).alias("s"), "y", "x", "t")
+
+
+@query(f"with {FLASH}, n as (select y, x, count(*) as n from flash group by y, x) select t, y, x, case when t % 9 = 4 then -1 else coalesce(case when t = 0 then n end, 0) end as n from (select i as t from range(10) r(i)) cross join (select i as y from range(20) r(i)) cross join (select i as x from range(64) r(i)) left join n using (y, x)")
+def flash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts on a full grid, -1 at steps without observations."""
+    flash, _ = _flashes(spark, sf_dir)
+    grid = spark.range(10 * 20 * 64).select(F.floor(F.col("id") / 1280).alias("t"), (F.floor(F.col("id") / 64) % 20).alias("y"), (F.col("id") % 64).alias("x"))
+    covered = spark.range(10).where("id % 9 <> 4").select(F.col("id").alias("t"))
+    return regrid.counted(flash.withColumn("t", F.lit(0).cast("long")), grid, covered)
+
+
+@query("""with e as (select i, case when i = 0 then 0.0 else i * 2500.0 - 1250 end as lo, case when i = 20 then 50000.0 else i * 2500.0 + 1250 end as hi from range(21) r(i))
+select e.i as bin, count(*) as n from lineitem l join e on l_extendedprice >= lo and (l_extendedprice < hi or (i = 20 and l_extendedprice = hi)) group by e.i""")
+def bin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points counted in bins around coordinates, half-width at the ends."""
+    grid = regrid.edges(spark.range(21).select((F.col("id") * 2500.0).alias("c")))
+    return regrid.binned(fx.table(spark, sf_dir, "lineitem"), grid, "l_extendedprice", "bin").groupBy(F.col("bin").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with g as (select l_suppkey % 7 as t, l_suppkey % 20 as y, l_partkey % 64 as x, l_extendedprice / 5 as alt, case when l_returnflag <> 'N' then l_quantity end as ref from lineitem),
+l as (select t, y, x, floor((alt - 2500) / 500) as layer, count(*) as raw, count(ref) as valid, sum(ref) as s from g where alt > 2500 and alt < 10000 group by all)
+select t, y, x, sum(raw)::bigint as raw, sum(valid)::bigint as valid, round(sum(s) / nullif(sum(valid), 0), 6) as mean, round(max(s / nullif(valid, 0)), 6) as max from l group by t, y, x""")
+def radar_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates on cells and layers of height."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    gates = li.select((F.col("l_suppkey") % 7).alias("t"), (F.col("l_suppkey") % 20).alias("y"), (F.col("l_partkey") % 64).alias("x"), (F.col("l_extendedprice") / 5).alias("alt"), F.when(F.col("l_returnflag") != "N", F.col("l_quantity")).alias("ref"))
+    return r6(regrid.layered(gates))
+
+
+@query("""with g as (select l_suppkey % 7 as t, l_suppkey % 20 as y, l_partkey % 64 as x, l_linenumber as site, count(*) as raw, count(case when l_returnflag <> 'N' then 1 end) as valid, avg(case when l_returnflag <> 'N' then l_quantity end) as mean from lineitem group by all)
+select t, y, x, round(coalesce(sum(mean * valid) / nullif(sum(valid), 0), -33), 6) as ref from g group by t, y, x""")
+def radar_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites combined; scanned cells without echo at the floor."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    ref = F.when(F.col("l_returnflag") != "N", F.col("l_quantity"))
+    cells = li.groupBy((F.col("l_suppkey") % 7).alias("t"), (F.col("l_suppkey") % 20).alias("y"), (F.col("l_partkey") % 64).alias("x"), "l_linenumber").agg(F.count(F.lit(1)).alias("raw"), F.count(ref).alias("valid"), F.avg(ref).alias("mean"))
+    return r6(regrid.combined_sites(cells))
+
+
+@query(f"with {PLACES} select least(floor(lat), 89)::bigint as lat, least(floor(lon), 179)::bigint as lon, count(*) as n from places group by 1, 2")
+def degree_climatology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lon = regrid.degree_bins(F.col("lat"), F.col("lon"))
+    return _places(spark, sf_dir).groupBy(lat.alias("lat"), lon.alias("lon")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.cube(spark, sf_dir).select("t", "y", "x", F.when(F.col("v") > 0.4, 1 + F.floor(F.col("x") / 8)).otherwise(0).cast("int").alias("label"))
+
+
+RARE = fx.CUBE + ", rare as (select t, y, x, case when v > 0.4 then 1 + x // 8 else 0 end::int as label from cube), m as (select * from rare where label <> 0)"
+CYLINDER = "cyl as (select c.t, c.y, c.x, min(sqrt((c.y - m.y) ** 2 + (c.x - m.x) ** 2)) as v from cube c left join m on abs(m.t - c.t) <= 1 group by c.t, c.y, c.x)"
+
+
+@query(f"with {RARE}, {CYLINDER} select t, y, x, round(v, 6) as v from cyl")
+def cylinder_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(validation.cylinder_distance(_rare(spark, sf_dir), 1))
+
+
+EVENTS = "ev as (select (event_id % 25)::int as t, (user_id % 20)::int as y, (event_id * 7 % 64)::int as x, count(*) as n from events where event_type = 'error' group by all)"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.table(spark, sf_dir, "events").where("event_type = 'error'")
+    return e.groupBy((F.col("event_id") % 25).cast("int").alias("t"), (F.col("user_id") % 20).cast("int").alias("y"), (F.col("event_id") * 7 % 64).cast("int").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {RARE}, {CYLINDER}, {EVENTS}, i as (select t, y, x, y between 3 and 16 and x between 3 and 60 and t between 1 and (select max(t) from cube) - 1 as inside from cube),
+d as (select c.t, c.y, c.x, min(sqrt((c.y - e.y) ** 2 + (c.x - e.x) ** 2)) as d from cube c left join ev e on abs(e.t - c.t) <= 1 group by c.t, c.y, c.x),
+p as (select sum(case when v <= 6 then n else 0 end) / sum(n) as pod, sum(n)::bigint as n_events from ev join i using (t, y, x) join cyl using (t, y, x) where inside),
+o as (select label, min(d) as dist, bool_and(inside) as ok from m join i using (t, y, x) join d using (t, y, x) group by label),
+f as (select avg(case when ok then coalesce(dist > 6, true)::int end) as far, count(*) filter (ok) as n_objects from o)
+select round(pod, 6) as pod, n_events, round(far, 6) as far, n_objects, round(2 * pod * (1 - far) / nullif(pod + 1 - far, 0), 6) as f1 from p, f""")
+def pod_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of events that objects explain, share of objects without events, and their harmonic mean."""
+    rare, ev = _rare(spark, sf_dir), _events(spark, sf_dir)
+    grid = fx.cube(spark, sf_dir).select("t", "y", "x")
+    on_grid = grid.join(ev, ["t", "y", "x"], "left").select("t", "y", "x", F.coalesce("n", F.lit(0)).alias("label"))
+    inside = validation.edge_filter(grid, 3, 1)
+    return r6(validation.validate(rare, ev, validation.cylinder_distance(rare, 1), validation.cylinder_distance(on_grid, 1), inside, 6.0)[1])
+
+
+@query(f"with {RARE}, {CYLINDER}, n as (select count(v) as n from cyl) select least(floor(v), 39)::bigint as bin, round(count(*) / any_value(n.n), 9) as share from cyl, n where v between 0 and 40 group by 1")
+def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = validation.distance_histogram(validation.cylinder_distance(_rare(spark, sf_dir), 1), "v")
+    return h.withColumn("share", F.round("share", 9))
+
+
+@query("""with f as (select page_id, 'OR_ABI-L2-MCMIPC-M6_G16_s2018' || lpad((1 + page_id % 365)::varchar, 3, '0') || lpad((page_id % 24)::varchar, 2, '0') || '01125_e2018' || lpad((1 + page_id % 365)::varchar, 3, '0') || lpad((page_id % 24)::varchar, 2, '0') || '03509_c.nc' as name from pages)
+select page_id, name, (timestamp '2018-01-01' + to_days((page_id % 365)::int) + to_hours(page_id % 24) + to_microseconds(151700000))::timestamp as t from f where page_id % 10 <> 3""")
+def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times in names of files, without the files known to be corrupt."""
+    k = F.col("page_id")
+    stamp = F.concat(F.lpad((1 + k % 365).cast("string"), 3, "0"), F.lpad((k % 24).cast("string"), 2, "0"))
+    name = F.concat(F.lit("OR_ABI-L2-MCMIPC-M6_G16_s2018"), stamp, F.lit("01125_e2018"), stamp, F.lit("03509_c.nc"))
+    f = fx.table(spark, sf_dir, "pages").select("page_id", name.alias("name"))
+    corrupt = f.where("page_id % 10 = 3").select("name")
+    return files.without(f, corrupt).select("page_id", "name", files.goes_time(F.col("name")).cast("timestamp_ntz").alias("t"))

@@ -1 +1,40 @@
-"""To come."""
+"""Streams: the same results as over tables, from files read as a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftframe.plans import fixtures as fx
+from driftframe.plans.registry import query
+from driftframe.streaming import sessions
+
+GAP = """g as (select user_id as core, ts, case when ts - lag(ts) over w >= interval 16 hours or lag(ts) over w is null then 1 else 0 end as new from events window w as (partition by user_id order by ts)),
+s as (select *, sum(new) over (partition by core order by ts rows unbounded preceding) as object from g)"""
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = fx.table(spark, sf_dir, "events").schema
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return s.select(F.col("user_id").alias("core"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(f"with {GAP} select core, min(ts) as start, max(ts) as \"end\", count(*) as steps from s group by core, object")
+def session_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifetimes of objects that no gap of 16 hours interrupts."""
+    s = sessions.lifetimes(fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("core"), F.col("ts").cast("timestamp").alias("ts")), "core", "ts", "16 hours")
+    return s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("select time_bucket(interval 6 hours, ts) as start, time_bucket(interval 6 hours, ts) + interval 6 hours as \"end\", count(*) as n from events group by 1, 2")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in windows of six hours, from a stream."""
+    out = sessions.drained(spark, sessions.tumbling(_stream(spark, sf_dir), "ts", "6 hours"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query(f"with {GAP} select core, epoch_us(ts) / 1e6 as t, object::bigint as object from s")
+def stream_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects numbered by key with state kept between batches."""
+    steps = _stream(spark, sf_dir).select("core", (F.unix_micros("ts") / 1e6).alias("t"))
+    return sessions.drained(spark, sessions.carry_ids(steps, "core", 16 * 3600.0 - 1e-6))
