@@ -21,7 +21,7 @@ from driftframe.llm.text import cut, n_words
 #: Cells that ordinary groups are hashed into.
 CELLS = 8192
 #: A group over 1 / SPREAD of a shard's bytes, tokens or rows is dealt out over cells of at most that size.
-SPREAD = 64
+SPREAD = 4
 
 
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
