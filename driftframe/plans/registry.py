@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from driftframe.plans import entity_queries, field_queries, grid_queries, kernel_queries, label_queries, stat_queries, stream_queries  # noqa: F401
+    from driftframe.plans import entity_queries, field_queries, grid_queries, kernel_queries, label_queries, source_queries, stat_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
