@@ -151,9 +151,9 @@ def found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def frequencies(docs: DataFrame, terms: DataFrame, marks: int = MARKS) -> DataFrame:
     """``term, n_term``: in how many documents each of ``terms`` occurs."""
-    spots = [r[0] for r in terms.select((F.crc32(F.col("term").cast("binary")) % marks).cast("int").alias("spot")).distinct().collect()]
+    spots = terms.select((F.crc32(F.col("term").cast("binary")) % marks).cast("int").alias("spot")).distinct().toArrow()
     table = np.zeros(marks, dtype=bool)
-    table[spots] = True
+    table[spots.column("spot").to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
