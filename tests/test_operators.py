@@ -265,3 +265,29 @@ def test_listing(spark, tmp_path):
     got = files.prefer(files.listing(spark, str(tmp_path)))
     assert {r["name"] for r in got.collect()} == {"a.nat", "b.zip"}
     assert {(r["a"], r["b"]) for r in files.parameters(spark, a=[1, 2], b=["x"]).collect()} == {(1, "x"), (2, "x")}
+
+
+def test_jobs(spark, tmp_path):
+    from driftframe.plans import fixtures, jobs
+
+    lab = fixtures.label(spark, "/root/testdata/sf0.001").withColumns({"area": F.lit(1.0), "bt": F.col("v")})
+    lab.write.parquet(str(tmp_path / "in"))
+    a = lambda *v: jobs.main(["--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), *v])
+    a("statistics")
+    steps = spark.read.parquet(str(tmp_path / "out" / "steps"))
+    assert steps.count() == lab.where("label <> 0").select("t", "label").distinct().count() and "bt_mean" in steps.columns
+    assert "core_bt_mean" in spark.read.parquet(str(tmp_path / "out" / "objects")).columns
+    lab.where("v > 0.3").select("t", "y", "x", F.lit(2).alias("n")).write.parquet(str(tmp_path / "events"))
+    a("validate", "--events", str(tmp_path / "events"), "--margin", "2", "--time-margin", "1", "--output", str(tmp_path / "val"))
+    assert 0 <= spark.read.parquet(str(tmp_path / "val" / "summary")).first()["pod"] <= 1
+    files_ = lab.withColumn("file", F.floor(F.col("t") / 9)).union(lab.where("t % 9 < 4 and t >= 9").withColumn("file", F.floor(F.col("t") / 9) - 1))
+    assert jobs.link(files_.select("file", "t", "y", "x", "label")).where("label > 0").count() > 0
+
+
+def test_residual_of_a_perfect_flow(spark):
+    from driftframe.plans import jobs
+
+    a = kernels.gaussian(np.random.default_rng(1).random((50, 60)), 4) * 100
+    p = pixels(spark, np.stack([a, np.roll(a, 2, 1)]))
+    r = jobs.residual(p, constant_flow(spark, (2, 50, 60), 2.0)).where("t = 0 and y between 15 and 35 and x between 15 and 45")
+    assert r.agg(F.max("value")).first()[0] < 0.05
