@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Mean radius of the Earth in km, for spherical distances.
@@ -160,3 +162,32 @@ def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column, axes: tuple
         return b * p * (sigma - d) / 1000
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), row, turn, length)
+
+
+def pixel_spacing(grid: DataFrame) -> DataFrame:
+    """``y, x, dx, dy, area`` in km: geodesic distances to both neighbours averaged, the only one at the borders."""
+    out = grid
+    for axis, across in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy(across).orderBy(axis)
+        lat, lon = F.lead("lat").over(w), F.lead("lon").over(w)
+        out = out.withColumns({"_lat": lat, "_lon": lon}).withColumn("_n", F.when(F.col("_lat").isNotNull(), geodesic(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))).drop("_lat", "_lon")
+        before = F.lag("_n").over(w)
+        out = out.withColumn(f"d{axis}", F.when(before.isNull(), F.col("_n")).when(F.col("_n").isNull(), before).otherwise((before + F.col("_n")) / 2)).drop("_n")
+    return out.select("y", "x", "dx", "dy", (F.col("dx") * F.col("dy")).alias("area"))
+
+
+def view_zenith(lat: Column, lon: Column, sat_lon: float = -75.0, height: float = SATELLITE_HEIGHT, axes: tuple[float, float] = GRS80) -> Column:
+    """Angle in degrees between the surface's normal and the direction of the satellite, on the ellipsoid."""
+    x, y, z = to_ecef(lon, lat, F.lit(0.0), axes)
+    p, q = F.radians(lat), F.radians(lon)
+    nx, ny, nz = F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p)
+    s = math.radians(sat_lon)
+    vx, vy, vz = (axes[0] + height) * math.cos(s) - x, (axes[0] + height) * math.sin(s) - y, -z
+    return F.degrees(F.acos((nx * vx + ny * vy + nz * vz) / F.sqrt(vx * vx + vy * vy + vz * vz)))
+
+
+def radar_parallax(lat: Column, lon: Column, alt: Column, sat_lon: float = -75.0) -> tuple[Column, Column]:
+    """Where a satellite over the equator sees an echo at height ``alt`` (m): shifted away from it by
+    alt * tan(angle) / radius along each axis."""
+    k = F.degrees(alt / (RADIUS * 1000))
+    return lat + k * F.tan(F.radians(lat)), lon + k * F.tan(F.radians(lon - sat_lon))

@@ -230,3 +230,26 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fx.table(spark, sf_dir, "pages").select("page_id", name.alias("name"))
     corrupt = f.where("page_id % 10 = 3").select("name")
     return files.without(f, corrupt).select("page_id", "name", files.goes_time(F.col("name")).cast("timestamp_ntz").alias("t"))
+
+
+@query()
+def pixel_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spacing and area of a regular grid of a quarter of a degree."""
+    grid = fx.cube(spark, sf_dir).where("t = 0").select("y", "x", (20 + F.col("y") / 4).alias("lat"), (-90 + F.col("x") / 4).alias("lon"))
+    return r6(geo.pixel_spacing(grid))
+
+
+VIEW = f"""{PLACES}, e as (select k, radians(lat) as p, radians(lon) as q, {A!r} / sqrt(1 - {1 - B * B / (A * A)!r} * sin(radians(lat)) ** 2) as n from places),
+v as (select k, cos(p) * cos(q) as nx, cos(p) * sin(q) as ny, sin(p) as nz, {A + geo.SATELLITE_HEIGHT!r} * cos(radians(-75)) - n * cos(p) * cos(q) as vx, {A + geo.SATELLITE_HEIGHT!r} * sin(radians(-75)) - n * cos(p) * sin(q) as vy, -n * {B * B / (A * A)!r} * sin(p) as vz from e)"""
+
+
+@query(f"with {VIEW} select k, round(degrees(acos((nx * vx + ny * vy + nz * vz) / sqrt(vx * vx + vy * vy + vz * vz))), 6) as zenith from v")
+def view_zenith(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(_places(spark, sf_dir).select("k", geo.view_zenith(F.col("lat"), F.col("lon")).alias("zenith")))
+
+
+@query(f"with {PLACES} select k, round(lat + degrees(9000 / 6371000.0) * tan(radians(lat)), 6) as lat, round(lon + degrees(9000 / 6371000.0) * tan(radians(lon + 75)), 6) as lon from places where abs(lon + 75) < 60")
+def radar_parallax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _places(spark, sf_dir).where("abs(lon + 75) < 60")
+    lat, lon = geo.radar_parallax(F.col("lat"), F.col("lon"), F.lit(9000.0))
+    return r6(p.select("k", lat.alias("lat"), lon.alias("lon")))

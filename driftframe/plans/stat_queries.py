@@ -183,3 +183,23 @@ def weighted_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.steps(spark, sf_dir).withColumn("b", F.when(F.col("step") % 11 != 0, F.col("bt")))
     b, a = F.col("b"), F.col("area")
     return r6(s.groupBy("core").agg(stats.strict_mean(b, a).alias("strict"), stats.wmean(b, a).alias("lenient"), stats.weighted_uncertainty(F.col("bt"), a).alias("uncertainty")))
+
+
+@query(f"""{L}, c as (select *, sum(v * w) over g / sum(w) over g as m from p window g as (partition by label))
+select label, round(any_value(m), 6) as label_v_mean, round(sqrt(sum(w * (v - m) * (v - m)) / sum(w) / nullif(1 - sum(w * w) / (sum(w) * sum(w)), 0)), 6) as label_v_std, round(min(v), 6) as label_v_min, round(max(v), 6) as label_v_max from c group by label""")
+def named_label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics under names made of the dimension, the field and the statistic."""
+    from driftframe.functions.attributes import named_stats
+
+    return r6(named_stats(_labelled(spark, sf_dir), "label", ["v"], "w"))
+
+
+@query("""with s as (select l_returnflag as label, l_linenumber % 4 as value, sum(l_quantity) as w from lineitem group by all), f as (select * from (values (0, 'clear'), (1, 'water'), (2, 'ice'), (9, 'other')) _(value, meaning)),
+e as (select distinct label from s) select e.label, meaning, round(coalesce(w / (select sum(w) from s z where z.label = e.label), 0), 6) as label_phase_proportion from e cross join f left join s on s.label = e.label and s.value = f.value""")
+def named_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proportions of every value of a flag that its attributes name."""
+    from driftframe.functions import attributes
+
+    rows = fx.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), (F.col("l_linenumber") % 4).alias("phase"), F.col("l_quantity").alias("w"))
+    flags = attributes.flag_table(spark, "0b 1b 2b 9b", "0:clear 1:water 2:ice 9:other")
+    return r6(attributes.named_proportions(rows, "label", "phase", "w", flags))
