@@ -12,7 +12,9 @@ word hashes of texts that share a sketch with another one. Texts that share a sk
 popular members, those that meet most others over all buckets, are its pivots, and members are compared with
 pivots only: comparisons grow with the members of a bucket, not with their pairs. Rounds go on with further
 pivots, for members that are not in one component yet, until a round finds no link. Two texts at the threshold
-share some 16 buckets; their link is lost only if in all but one of these no pivot leads both to one component. ``exhaustive=True`` goes on until every member has been a pivot, which is exact.
+share some 16 buckets; their link is lost only if in all of these no pivot leads both to one component.
+``exhaustive=True`` goes on until every member has been a pivot, so every pair that shares a sketch is compared
+or in one component.
 """
 
 from __future__ import annotations
@@ -34,9 +36,6 @@ SAMPLED = 3
 THRESHOLD = 0.8
 #: Pivots of a bucket in each round after the first.
 PIVOTS = 4
-#: Buckets in which a pivot and a member must meet. Two texts at the threshold share about 16 of 32 sketches,
-#: and fewer than two with a probability under 1e-7.
-MEETINGS = 2
 SEED = 11
 #: The words of so many texts are looked up by broadcast, of more by a shuffle.
 BROADCAST_TEXTS = 200_000
@@ -229,8 +228,7 @@ def linked(members: DataFrame, words: DataFrame, threshold: float, pivots: int,
             near = (F.least(F.col("n"), p["n"]) >= threshold * F.greatest(F.col("n"), p["n"]) - 1e-9) & (F.col("root") != p["root"]) & (F.col("rank") > p["rank"])
             some = beside.where(near).select(F.least(p["tid"], F.col("tid")).alias("a"), F.greatest(p["tid"], F.col("tid")).alias("b"))
             pairs = some if pairs is None else pairs.union(some)
-        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= MEETINGS).select("a", "b")
-        new = stored(verified(stored(pairs), words, threshold))
+        new = stored(verified(stored(pairs.distinct()), words, threshold))
         if start > 1 and not exhaustive and new.isEmpty():
             break
         links = new if links is None else links.union(new)

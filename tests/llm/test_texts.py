@@ -140,6 +140,26 @@ def test_classes_of_a_large_group(spark):
     assert got == classes_of(texts)
 
 
+def crowded(spark, ranks, crowd):
+    """Two similar texts, 0 and 1, in buckets where the better-ranked one has the given ranks and the other the last
+    one, among texts that are like no other: members and words."""
+    rnd = np.random.default_rng(3)
+    words = {i: rnd.integers(0, 1 << 32, 60, dtype=np.uint32) for i in range(2 + crowd)}
+    words[1] = words[0].copy()
+    words[1][0] += 1
+    rows = []
+    for bucket, rank in enumerate(ranks):
+        ids = list(range(2, 2 + crowd))
+        ids.insert(rank - 1, 0)
+        rows += [(bucket, i, 56, k + 1) for k, i in enumerate([*ids, 1])]
+    return spark.createDataFrame(rows, "bucket long, tid long, n int, rank int"), spark.createDataFrame([(i, bytearray(w.astype("<u4").tobytes())) for i, w in words.items()], "tid long, words binary")
+
+
+def test_exhaustive_finds_pairs_that_meet_once_a_round(spark):
+    members, words = crowded(spark, [3, 7, 11], 12)
+    assert {tuple(r) for r in order_minhash.linked(members, words, 0.8, 4, exhaustive=True).collect()} == {(0, 0), (1, 0)}
+
+
 def test_near_dedup_odd_cases(spark):
     d = spark.createDataFrame([(1, "a b c d e f g h i j", "p"), (1, "a b c d e f g h i j", "p"), (None, "a b c d e  f g h i j", "p"), (2, "", None), (None, None, None), (3, " \n", None), (4, "zz", "q"), (5, "zz ", "q")], "doc_id long, text string, key string")
     got = Counter((r["doc_id"], r["class_id"], r["kept"]) for r in order_minhash.classes(d).collect())
