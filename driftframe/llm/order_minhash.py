@@ -10,11 +10,12 @@ connected components of the links.
 Scale: equal texts are one text from the start. Texts stay where they are; sketches travel, and later the
 word hashes of texts that share a sketch with another one. Texts that share a sketch are a bucket. Its most
 popular members, those that meet most others over all buckets, are its pivots, and members are compared with
-pivots only: comparisons grow with the members of a bucket, not with their pairs. Rounds go on with further
-pivots, for members that are not in one component yet, until a round finds no link. Two texts at the threshold
-share some 16 buckets; their link is lost only if in all of these no pivot leads both to one component.
-``exhaustive=True`` goes on until every member has been a pivot, so every pair that shares a sketch is compared
-or in one component.
+pivots first: comparisons grow with the members of a bucket, not with their pairs. Rounds go on with further
+pivots, for members that are not in one component yet, until a round finds no link. What then still shares a
+bucket across components goes through an exact join: in a common order of shingles, rare ones first, two
+similar texts share one among the first few of each, at places that leave enough to match. So each pair that
+shares a sketch is in one component or proven unlike; two texts at the threshold share some 16 sketches, and
+none with a probability near 1e-10. ``exhaustive=True`` takes rounds until every member has been a pivot instead.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ PIVOTS = 4
 SEED = 11
 #: The words of so many texts are looked up by broadcast, of more by a shuffle.
 BROADCAST_TEXTS = 200_000
+#: Shingles that a worker hands on at once.
+HELD = 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Odd multipliers: each orders 64-bit hashes in its own way.
 ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -209,11 +212,55 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
+def shingled(texts: DataFrame) -> DataFrame:
+    """``tid, root, n, shingle``: the labelled shingles of ``texts`` (``tid, root, words``)."""
+    schema = pa.schema([("tid", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("shingle", pa.int64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for tid, root, words in zip(*part.columns, strict=True):
+                h = labelled(shingles(np.frombuffer(words.as_py(), "<u4"))).view(np.int64)
+                for k in range(0, len(h), HELD):
+                    some = h[k : k + HELD]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), v), t) for v, t in ((tid.as_py(), pa.int64()), (root.as_py(), pa.int64()), (len(h), pa.int32()))] + [pa.array(some)], schema=schema)
+
+    return texts.select("tid", "root", "words").mapInArrow(run, "tid long, root long, n int, shingle long")
+
+
+def rest(members: DataFrame, roots: DataFrame | None, words: DataFrame, threshold: float) -> DataFrame:
+    """The links ``a, b`` between components that share a bucket, by a prefix-filter join.
+
+    A text can only match another with ``threshold`` of its own shingles or more, so of two similar texts each has
+    the first shingle that both have among its first ``n - ceil(threshold n) + 1``. A shingle's places in the two
+    bound what can still match from there. Members of the component that has most texts with a shingle don't meet
+    each other, so a group of near copies that is already one component isn't compared with itself.
+    """
+    own = members.select("bucket", "tid").withColumn("root", F.col("tid")) if roots is None else members.select("bucket", "tid").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    mixed = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    live = own.join(mixed, "bucket").select("tid", "root").distinct()
+    of_shingle, of_text = Window.partitionBy("shingle"), Window.partitionBy("tid")
+    each = shingled(live.join(words, "tid"))
+    each = each.withColumns({"texts": F.count(F.lit(1)).over(of_shingle), "lo": F.min("root").over(of_shingle), "hi": F.max("root").over(of_shingle)}).where("texts > 1")
+    # a text's shingles that no other has come first; of the others, only their number is needed
+    each = each.withColumn("place", F.col("n") - F.count(F.lit(1)).over(of_text) + F.row_number().over(of_text.orderBy("texts", "shingle")) - 1)
+    prefix = stored(each.where((F.col("lo") != F.col("hi")) & (F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9))).select("shingle", "tid", "root", "n", "place"))
+    main = prefix.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    prefix = stored(prefix.join(main.where("roots > 1"), "shingle"))
+    x = prefix.where(F.col("root") != F.col("main")).select("shingle", F.col("tid").alias("xt"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("place").alias("xp"))
+    need = threshold * (F.col("n") + F.col("xn")) / (1 + threshold) - 1e-9
+    enough = F.least(F.col("n") - F.col("place"), F.col("xn") - F.col("xp")) >= need
+    once = (F.col("root") == F.col("main")) | (F.col("tid") > F.col("xt"))
+    met = prefix.join(x, "shingle").where((F.col("root") != F.col("xr")) & once & enough)
+    pairs = met.select(F.least("tid", "xt").alias("a"), F.greatest("tid", "xt").alias("b")).distinct()
+    return stored(verified(stored(pairs), words, threshold))
+
+
 def linked(members: DataFrame, words: DataFrame, threshold: float, pivots: int, exhaustive: bool) -> DataFrame | None:
     """``tid, root`` of the texts that have a link; None if there is none.
 
     A bucket's pivots of a round are looked up by a window, beside its members, so rows don't multiply. The first
-    round has one pivot, which leads most texts to their class; later ones have ``pivots`` each.
+    round has one pivot, which leads most texts to their class; later ones have ``pivots`` each. After a round
+    without a link, ``rest`` settles what is left.
     """
     links, roots, start = None, None, 1
     top = members.agg(F.max("rank")).first()[0] or 0
@@ -230,6 +277,9 @@ def linked(members: DataFrame, words: DataFrame, threshold: float, pivots: int,
             pairs = some if pairs is None else pairs.union(some)
         new = stored(verified(stored(pairs.distinct()), words, threshold))
         if start > 1 and not exhaustive and new.isEmpty():
+            new = rest(members, roots, words, threshold)
+            if not new.isEmpty():
+                roots = components(new if links is None else links.union(new))
             break
         links = new if links is None else links.union(new)
         if not links.isEmpty():

@@ -160,6 +160,11 @@ def test_exhaustive_finds_pairs_that_meet_once_a_round(spark):
     assert {tuple(r) for r in order_minhash.linked(members, words, 0.8, 4, exhaustive=True).collect()} == {(0, 0), (1, 0)}
 
 
+def test_links_beyond_the_last_round(spark):
+    members, words = crowded(spark, [30, 31, 32], 40)
+    assert {tuple(r) for r in order_minhash.linked(members, words, 0.8, 4, exhaustive=False).collect()} == {(0, 0), (1, 0)}
+
+
 def test_near_dedup_odd_cases(spark):
     d = spark.createDataFrame([(1, "a b c d e f g h i j", "p"), (1, "a b c d e f g h i j", "p"), (None, "a b c d e  f g h i j", "p"), (2, "", None), (None, None, None), (3, " \n", None), (4, "zz", "q"), (5, "zz ", "q")], "doc_id long, text string, key string")
     got = Counter((r["doc_id"], r["class_id"], r["kept"]) for r in order_minhash.classes(d).collect())
