@@ -1,26 +1,30 @@
 """Information-theoretic sanitisation of personal data.
 
-Entities (e-mail, IP, card and phone) are found by linear scans of the whole text. Words close to an entity
-can give it away as well: a term t reveals an entity e to the degree
+Entities (e-mail, IP, card and phone) are found by linear scans of the whole text. Words of the same document
+can give an entity away as well: a term t reveals an entity e to the degree
 
     pmi(t, e) / ic(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
 
-with document counts over the whole corpus; it is 1 if t never occurs without e. Terms near e that have been
-seen with it in enough different texts and whose degree exceeds a threshold are generalised, those that all
-but name it are removed.
+with document counts over the whole corpus; it is 1 if t never occurs without e. Terms that have been seen with e
+in enough different texts and whose degree exceeds a threshold are generalised, those that all but name it are
+removed, wherever they occur in a document that holds e.
 
-Scale: one pass finds entities and the words around them and leaves rows without text. Pairs (entity, term) are
-counted by map-side sums. How often a term occurs at all is counted in a second pass, only for terms whose
-hash is marked in a bit table of fixed size, with sums per batch before the shuffle; marks that collide cost a
-few more rows and are dropped by the join. Nothing that grows with the corpus reaches the driver.
+Scale: one pass finds entities and leaves rows without entities without their text. Only entities and terms with
+enough texts go on, and a term meets an entity only if it is rare enough beside it to reach the threshold with
+all of the entity's documents; pairs are counted by map-side sums. How often a term occurs at all is counted in a second
+pass, only for terms whose hash is marked in a bit table of fixed size, with sums per batch before the shuffle;
+marks that collide cost a few more rows and are dropped by the join. Nothing that grows with the corpus reaches
+the driver.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +35,7 @@ from driftframe.llm.text import cut
 
 #: In the order in which spans with the same start are listed.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
-#: Words on either side of an entity, in the same line, that may reveal it.
-WINDOW = 6
-#: Different texts in which a term must have been seen near an entity.
+#: Different texts in which a term must have been seen with an entity.
 SUPPORT = 3
 #: Degrees of disclosure from which terms are generalised and removed.
 GENERALISE, REMOVE = 0.8, 0.95
@@ -109,46 +111,76 @@ def entity(text: str, span: Span) -> str:
     return f"{KINDS[span[1]]}:{said.lower() if span[1] == 0 else said if span[1] == 1 else re.sub('[^0-9]', '', said)}"
 
 
-def context(text: str, spans: list[Span], window: int = WINDOW) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms around each base span, entities themselves left out."""
-    out = []
-    for s in spans:
-        line, end = text.rfind("\n", 0, s[0]) + 1, text.find("\n", s[2])
-        # a term is looked for in the part of the line that the window can span; a word cut by its edge is none
-        first, last = max(line, s[0] - 40 * window), min(len(text) if end < 0 else end, s[2] + 40 * window)
-        left = [m.span() for m in WORD.finditer(text, first, s[0]) if m.start() > first or first == line][-window:]
-        right = [m.span() for m in WORD.finditer(text, s[2], last) if m.end() < last or last in (end, len(text))][:window]
-        who = entity(text, s)
-        out += [(who, text[a:b].lower(), a, b) for a, b in left + right if not any(a < o[2] and o[0] < b for o in spans)]
-    return out
+def terms(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words outside the base spans, which are in order."""
+    ends = list(accumulate((s[2] for s in spans), max))
+    for m in WORD.finditer(text):
+        a, b = m.span()
+        before = bisect_left(spans, (b,))  # spans that start before the word ends
+        if not before or ends[before - 1] <= a:
+            yield m.group().lower(), a, b
 
 
-FOUND = pa.schema([
-    ("doc_id", pa.int64()), ("text_key", pa.int64()),
-    ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))),
-    ("near", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))),
-])
-FOUND_DDL = "doc_id long, text_key long, base array<struct<start int, kind int, end int>>, near array<struct<entity string, term string, start int, end int>>"
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+SPANS_DDL = "array<struct<start int, kind int, end int>>"
+FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("base", SPANS), ("entities", pa.list_(pa.string())), ("held", pa.string())])
+FOUND_DDL = f"doc_id long, text_key long, base {SPANS_DDL}, entities array<string>, held string"
 
 
-def found(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, text_key, base, near`` and ``row`` for every row, worked out once and without the text."""
+def found(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, base, entities, held`` and ``row`` for every row, worked out once; ``held`` is the text of
+    those with an entity."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            base, near = [], []
+            base, who, held = [], [], []
             for value in part.column(2):
                 text = value.as_py() or ""
                 spans = find(text)
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-                near.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in context(text, spans, window)] if spans else [])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(base, FOUND.field("base").type), pa.array(near, FOUND.field("near").type)], schema=FOUND)
+                who.append(sorted({entity(text, s) for s in spans}))
+                held.append(text if spans else None)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(base, SPANS), pa.array(who, pa.list_(pa.string())), pa.array(held, pa.string())], schema=FOUND)
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, FOUND_DDL)
     return cut(rows).withColumn("row", F.monotonically_increasing_id())  # of stored rows, so it doesn't change
 
 
+def _base(value: pa.Scalar) -> list[Span]:
+    return [(x["start"], x["kind"], x["end"]) for x in value.as_py()]
+
+
+def terms_of(rows: DataFrame) -> DataFrame:
+    """``row, text_key, term``: the different terms of ``rows``."""
+    schema = pa.schema([("row", pa.int64()), ("text_key", pa.int64()), ("term", pa.string())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for row, key, base, text in zip(*part.columns, strict=True):
+                own = sorted({t for t, _, _ in terms(text.as_py(), _base(base))})
+                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(own), pa.int64()), pa.array([key.as_py()] * len(own), pa.int64()), pa.array(own, pa.string())], schema=schema)
+
+    return rows.select("row", "text_key", "base", "held").mapInArrow(run, "row long, text_key long, term string")
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """``h_row, more``: where the terms in ``told`` (term, kind) occur in ``rows``."""
+    schema = pa.schema([("h_row", pa.int64()), ("more", SPANS)])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            more = []
+            for base, text, told in zip(*part.columns[1:], strict=True):
+                kinds = {}
+                for x in told.as_py():
+                    kinds[x["term"]] = max(x["kind"], kinds.get(x["term"], 0))
+                more.append([{"start": a, "kind": kinds[t], "end": b} for t, a, b in terms(text.as_py(), _base(base)) if t in kinds])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(more, SPANS)], schema=schema)
+
+    return rows.select("row", "base", "held", "told").mapInArrow(run, f"h_row long, more {SPANS_DDL}")
+
+
 def frequencies(docs: DataFrame, terms: DataFrame, marks: int = MARKS) -> DataFrame:
     """``term, n_term``: in how many documents each of ``terms`` occurs."""
     spots = terms.select((F.crc32(F.col("term").cast("binary")) % marks).cast("int").alias("spot")).distinct().toArrow()
@@ -173,35 +205,44 @@ def frequencies(docs: DataFrame, terms: DataFrame, marks: int = MARKS) -> DataFr
     return counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms.distinct(), "term")
 
 
+def mentions(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """``row, text_key, entity, n_entity`` of the entities that occur in enough different texts."""
+    each = rows.where(F.size("entities") > 0).select("row", "text_key", F.explode("entities").alias("entity"))
+    counts = each.groupBy("entity", "text_key").count().groupBy("entity").agg(F.sum("count").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
+    return each.join(counts.where(F.col("texts") >= support).drop("texts"), "entity")
+
+
 def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """``entity, term, degree`` of the pairs whose degree of disclosure is at least ``generalise``."""
-    near = rows.where(F.size("near") > 0).select("row", "text_key", F.explode("near").alias("x")).select("row", "text_key", F.col("x.entity").alias("entity"), F.col("x.term").alias("term"))
-    texts = near.groupBy("entity", "term", "text_key").agg(F.countDistinct("row").alias("n"))
-    pairs = cut(texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support))
-    entities = near.groupBy("entity", "row").agg(F.lit(1)).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    who = cut(mentions(rows, support))
+    said = cut(terms_of(rows.join(who.select("row").distinct(), "row")))
+    often = said.groupBy("term", "text_key").agg(F.lit(1)).groupBy("term").count().where(F.col("count") >= support).select("term")
     n = rows.count()
-    joined = pairs.join(frequencies(docs, pairs.select("term").distinct()), "term").join(entities, "entity")
+    # the degree is at most what it is if all documents of the entity hold the term
+    most = F.col("n_entity") * F.pow(n / F.col("n_entity"), F.lit(1 - generalise)) * (1 + 1e-9)
+    near = said.join(cut(frequencies(docs, cut(often))), "term").join(who.drop("text_key"), "row").where(F.col("n_term") <= most)
+    texts = near.groupBy("entity", "term", "text_key").agg(F.count(F.lit(1)).alias("n"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
     # a document can hold a term only inside another word form than the counted one; then n_both bounds it
     n_term = F.greatest(F.col("n_term"), F.col("n_both"))
     degree = F.log(n * F.col("n_both") / (n_term * F.col("n_entity"))) / F.nullif(F.log(n / F.col("n_entity")), F.lit(0.0))
-    return joined.select("entity", "term", F.coalesce(degree, F.lit(0.0)).alias("degree")).where(F.col("degree") >= generalise)
+    return pairs.where(F.col("texts") >= support).select("entity", "term", F.coalesce(degree, F.lit(0.0)).alias("degree")).where(F.col("degree") >= generalise)
 
 
-def spans(docs: DataFrame, support: int = SUPPORT, window: int = WINDOW) -> DataFrame:
+def spans(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """``doc_id, text_key, base, spans`` for every row of ``docs`` (``doc_id, text``).
 
     ``base``: spans of entities; ``spans``: those and the method's, as structs (start, kind, end) with kind
     an index of ``KINDS``, in order. A null or empty text has none. Repeated rows each have their row and
     count as documents, but equal texts support a pair only once. An empty table gives an empty result.
     """
-    rows = found(docs, window)
-    terms = disclosing(docs, rows, support)
-    near = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
+    rows = found(docs)
+    pairs = cut(disclosing(docs, rows, support))
     kind = F.when(F.col("degree") >= REMOVE, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
-    hits = near.join(terms, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max(kind).cast("int").alias("kind"))
-    more = hits.groupBy(F.col("row").alias("h_row")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    told = mentions(rows, support).join(pairs, "entity").groupBy("row").agg(F.collect_set(F.struct("term", kind.cast("int").alias("kind"))).alias("told"))
+    more = marked(rows.join(told, "row"))
     joined = rows.join(more, F.col("row") == F.col("h_row"), "left")
-    return joined.select("doc_id", "text_key", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start int, kind int, end int>>")))).alias("spans"))
+    return joined.select("doc_id", "text_key", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPANS_DDL)))).alias("spans"))
 
 
 def listed(items: Column) -> Column:
@@ -220,14 +261,14 @@ def redact(text: str, items: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, window: int = WINDOW) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """``docs`` with the texts redacted; all columns stay. A null text stays null."""
 
     @F.udf("string")
     def run(text, items):
         return text if not text or not items else redact(text, [(x["start"], x["kind"], x["end"]) for x in items])
 
-    marks = spans(docs, support, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "spans").dropDuplicates(["m_id", "m_key"])
+    marks = spans(docs, support).where(F.size("spans") > 0).select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "spans").dropDuplicates(["m_id", "m_key"])
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
     joined = own.join(marks, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left")
     new = run(F.col("row.text").cast("string"), F.col("spans"))

@@ -218,6 +218,13 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii.disclosing(copies, pii.found(copies)).count() == 0  # one text, however often
 
 
+def test_terms_anywhere_in_a_document(spark):
+    rows = [(i, f"zorblatt\n\nmail a.b@c.de\n{'so it is here ' * 9}{i}\nask zorblatt") for i in range(6)] + [(100 + i, f"mail ask here and there {i}") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    text = pii.sanitise(d).where("doc_id = 3").first()["text"]
+    assert text == f"\n\nmail [EMAIL]\n{'so it is here ' * 9}3\nask "
+
+
 def test_pii_odd_cases(spark):
     d = spark.createDataFrame([(1, None, "q"), (1, "x a@b.cd", None), (1, "x a@b.cd", None), (None, "", "r")], "doc_id long, text string, spans string")
     assert pii.sanitise(d).columns == d.columns
