@@ -49,7 +49,7 @@ def watershed(flow: DataFrame, field: DataFrame, markers: DataFrame, allowed: Da
     return own.groupBy("w").applyInPandas(run, "t int, y int, x int, label int")
 
 
-def descent(flow: DataFrame, field: DataFrame, markers: DataFrame, max_rounds: int = 64) -> DataFrame:
+def descent(flow: DataFrame, field: DataFrame, markers: DataFrame) -> DataFrame:
     """Each pixel takes the label of the marker or the local minimum that steepest descent ends at; minima without
     a marker join the marked basin with the lowest pass to them, round by round."""
     f = field.select(*KEY, "v")
@@ -59,7 +59,7 @@ def descent(flow: DataFrame, field: DataFrame, markers: DataFrame, max_rounds: i
     to = taps(ids, flow, full(1), value="id").withColumnRenamed("value", "to")
     best = got.join(to, [*KEY, "tap"]).groupBy(*KEY).agg(F.min_by("to", F.struct("value", "tap")).alias("to"))
     jump = stored(best.select(F.struct(*KEY).alias("id"), "to"))
-    for _ in range(max_rounds):
+    while True:
         far = jump.select(F.col("id").alias("to"), F.col("to").alias("next"))
         step = stored(jump.join(far, "to").select("id", F.col("to").alias("old"), F.col("next").alias("to")))
         jump = step.select("id", "to")
@@ -69,7 +69,7 @@ def descent(flow: DataFrame, field: DataFrame, markers: DataFrame, max_rounds: i
     basin = jump.join(mark, "id", "left").withColumn("label", F.max("label").over(_by("to")))
     named = stored(basin.select("id", "to", "label"))
     flat = f.select(F.struct(*KEY).alias("id"), "v")
-    for _ in range(max_rounds):
+    while True:
         lost = named.where(F.col("label").isNull())
         if lost.isEmpty():
             break

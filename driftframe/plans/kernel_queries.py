@@ -104,8 +104,8 @@ def watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def network_watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flood by descent, in joins."""
-    field = fx.cube(spark, sf_dir).where("t < 3").withColumn("v", -F.col("v"))
-    return flooding.descent(fx.flow(spark, sf_dir).where("t < 3"), field, _markers(spark, sf_dir).where("t < 3"))
+    field = fx.cube(spark, sf_dir).withColumn("v", -F.col("v"))
+    return flooding.descent(fx.flow(spark, sf_dir), field, _markers(spark, sf_dir))
 
 
 @query()

@@ -291,3 +291,46 @@ def test_residual_of_a_perfect_flow(spark):
     p = pixels(spark, np.stack([a, np.roll(a, 2, 1)]))
     r = jobs.residual(p, constant_flow(spark, (2, 50, 60), 2.0)).where("t = 0 and y between 15 and 35 and x between 15 and 45")
     assert r.agg(F.max("value")).first()[0] < 0.05
+
+
+def plain_descent(v, marks):
+    """Labels by descent and lowest passes, in a frame that stands still."""
+    near = lambda p: [q for d in ((-1, 0, 0), (0, -1, 0), (0, 0, -1), (0, 0, 0), (0, 0, 1), (0, 1, 0), (1, 0, 0)) if (q := tuple(np.add(p, d))) in at]
+    at = {p: v[p] for p in np.ndindex(v.shape)}
+
+    def low(p):
+        q = min(near(p), key=at.get)
+        return p if q == p else low(q)
+
+    ends = {p: low(p) for p in at}
+    label = {}
+    for p, e in ends.items():
+        if marks[p]:
+            label[e] = max(label.get(e, marks[p]), marks[p])
+    while lost := [p for p in at if ends[p] not in label]:
+        best = {}
+        for p in lost:
+            for q in near(p):
+                if ends[q] in label:
+                    step = (max(at[p], at[q]), label[ends[q]])
+                    best[ends[p]] = min(best.get(ends[p], step), step)
+        if not best:
+            break
+        label |= {e: b for e, (_, b) in best.items()}
+    return np.array([label.get(ends[p], 0) for p in at]).reshape(v.shape)
+
+
+def test_descent_against_brute_force(spark):
+    rnd = np.random.default_rng(5)
+    v, marks = rnd.permutation(72).reshape(3, 4, 6).astype(float), np.zeros((3, 4, 6), int)
+    marks[0, 0, 0], marks[2, 3, 5] = 1, 2
+    got = flooding.descent(constant_flow(spark, v.shape), pixels(spark, v), pixels(spark, marks, "label"))
+    assert (array(got, v.shape, "label") == plain_descent(v, marks)).all()
+
+
+def test_network_watershed_takes_all_steps(spark, monkeypatch):
+    from driftframe.plans import fixtures, kernel_queries
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(flooding, "descent", lambda flow, field, markers: field.join(flow, ["t", "y", "x"]).join(markers, ["t", "y", "x"]))
+    assert kernel_queries.network_watershed(spark, sf).count() == fixtures.cube(spark, sf).count()
