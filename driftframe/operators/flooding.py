@@ -2,7 +2,8 @@
 
 The exact flood takes its pixels one by one from a queue, so one task holds a window of steps. ``chunk`` bounds
 that window; each window is flooded with ``halo`` steps on either side, whose labels are then left to their own
-window. Without ``chunk`` the whole cube is one window. ``descent`` follows each pixel to the lowest neighbour in
+window; labels of floods that meet or come from further away can then differ from those of the whole cube. Without
+``chunk`` the whole cube is one window, which is exact. ``descent`` follows each pixel to the lowest neighbour in
 joins alone, for cubes of any size.
 """
 

@@ -98,7 +98,7 @@ def _markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact flood from high pixels against low ones."""
     field = fx.cube(spark, sf_dir).withColumn("v", -F.col("v"))
-    return flooding.watershed(fx.flow(spark, sf_dir), field, _markers(spark, sf_dir), chunk=10)
+    return flooding.watershed(fx.flow(spark, sf_dir), field, _markers(spark, sf_dir))
 
 
 @query()
@@ -123,7 +123,7 @@ def detect_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detect_anvils(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, c = fx.flow(spark, sf_dir), frames.gaussian(fx.cube(spark, sf_dir), 2.0)
     markers = detection.anvil_markers(f, c, 0.02, 0.1, 1, 1)
-    return detection.detect_anvils(f, c, markers, 0.02, -0.02, 1, 1, "nearest", chunk=10)
+    return detection.detect_anvils(f, c, markers, 0.02, -0.02, 1, 1, "nearest")
 
 
 @query(f"""with {fx.FLOW}, n as (select f.t, f.y, f.x, c.v, s.v as n from flow f join cube c using (t, y, x) left join cube s on s.t = f.t + 1 and s.y = f.y + fy and s.x = f.x + fx)

@@ -334,3 +334,20 @@ def test_network_watershed_takes_all_steps(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     monkeypatch.setattr(flooding, "descent", lambda flow, field, markers: field.join(flow, ["t", "y", "x"]).join(markers, ["t", "y", "x"]))
     assert kernel_queries.network_watershed(spark, sf).count() == fixtures.cube(spark, sf).count()
+
+
+def test_watershed_query_floods_the_whole_cube(spark):
+    from driftframe.plans import fixtures, kernel_queries
+
+    sf = "/root/testdata/sf0.001"
+    v, marks, flow = fixtures.cube(spark, sf).toPandas(), kernel_queries._markers(spark, sf).toPandas(), fixtures.flow(spark, sf).toPandas()
+    shape = tuple(v[["t", "y", "x"]].max() + 1)
+
+    def cube(df, name):
+        a = np.zeros(shape)
+        a[df["t"], df["y"], df["x"]] = df[name]
+        return a
+
+    f, b = (np.stack([cube(flow, f"{p}y"), cube(flow, f"{p}x")], axis=-1) for p in "fb")
+    want = kernels.flood(-cube(v, "v").astype(np.float32), cube(marks, "label").astype(np.int32), np.ones(shape, bool), f, b)
+    assert (array(kernel_queries.watershed(spark, sf), shape, "label") == want).all()
