@@ -6,24 +6,12 @@ each file with the next, and one closure over all links gives the global labels.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftframe.operators import labels
 from driftframe.operators.stencil import KEY
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` worked out once, in the folder that the session names in ``spark.checkpoint.dir``."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from driftframe.sources.store import forget, stored
 
 
 def edges_between(current: DataFrame, following: DataFrame, atol: int = 5, rtol: float = 0.5, trim: bool = True) -> DataFrame:
@@ -46,15 +34,18 @@ def offsets(files: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of undirected ``src, dst``: the smallest node that can be reached. Each round takes the
-    smallest root among neighbours, then the root's root; the number of rounds is logarithmic on chains."""
+    smallest root among neighbours, then the root's root; the number of rounds is logarithmic on chains. Tables of
+    rounds that are over are removed."""
     both = stored(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    roots = stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("root")))
+    roots = step = stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         near = both.join(roots.select(F.col("node").alias("dst"), F.col("root").alias("near")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("near").alias("near"))
-        step = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("new"))
-        step = stored(step.join(roots.select(F.col("node").alias("new"), F.col("root").alias("top")), "new").select("node", "old", F.least("new", "top").alias("root")))
-        roots = step.select("node", "root")
+        new = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("new"))
+        new = stored(new.join(roots.select(F.col("node").alias("new"), F.col("root").alias("top")), "new").select("node", "old", F.least("new", "top").alias("root")))
+        forget(step)
+        step, roots = new, new.select("node", "root")
         if step.where("old <> root").isEmpty():
+            forget(both)
             return roots
 
 
