@@ -1,16 +1,19 @@
 """Quality classifier: a document classifier's evidence, tempered by what is known of its site.
 
-1. A logistic model over measures of the text is fitted to labelled documents: at most ``sample`` of them,
-   those with the smallest hash of their id.
+1. A logistic model over measures of the text is fitted to labelled documents: at most ``sample`` of them, those
+   whose id has a small hash.
 2. Every document of the corpus then has an outcome, its label or else the model's probability. Outcomes are
    summed for each path (host and first path segment) and host in one grouped aggregation.
 3. The rate of good documents of a host is its mean, shrunk towards the global rate; that of a path is shrunk
-   towards its host's. Sparse sites thus stay near their parents.
+   towards its host's. Sparse sites thus stay near their parents. A document's own outcome is left out of the sums
+   that it is judged by, so its evidence counts once.
 4. A document's log odds are the model's plus those of its path against the global rate.
 
 ``source`` is read as a site: what follows an optional scheme, up to the first ``/``, is the host; the next
-segment makes the path. Texts never pass through a shuffle; the table of paths is broadcast while it has at
-most ``BROADCAST_PATHS`` rows and otherwise joined by shuffle.
+segment makes the path. The sample is chosen among the labels, so nothing else reaches the driver, and every
+text is measured once, when the model is known; of the sampled ones also for the fit. Labels and paths are joined
+without hints: Spark broadcasts them if their size allows, else rows are shuffled by id and then by path, where a hot
+path is split as a skewed join. ``classify`` carries no texts through either, ``keep`` carries its rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftframe.llm.quality_rules import SPACE, STOP_WORDS, SYMBOLS, let, words
-from driftframe.llm.text import cut
+from driftframe.llm.text import stored
 
 #: Labelled documents that the model is fitted to, at most.
 SAMPLE = 20_000
@@ -30,7 +33,6 @@ SAMPLE = 20_000
 STRENGTH = 20.0
 #: Documents with a score from here on are kept.
 THRESHOLD = 0.5
-BROADCAST_PATHS = 100_000
 #: Outcomes are summed as whole numbers of 1 / UNIT, so that sums don't depend on their order.
 UNIT = 1_000_000
 FEATURES = ("log_words", "word_length", "symbols", "stop_words", "upper", "bangs", "distinct", "distinct_lines", "digits", "bars", "echoes")
@@ -111,39 +113,49 @@ def labelled(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & good.isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.avg(good).alias("good"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id, host, path, f`` of every document, worked out once."""
-    host, path = site(F.col("source").cast("string"))
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), path.alias("path"), features(F.col("text").cast("string")).alias("f")))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    known = stored(labelled(labels))
+    n = known.count()
+    if n > sample:  # a threshold that leaves somewhat fewer than ``sample``; the limit below is out of its reach
+        known = known.where(F.pmod(F.xxhash64("l_id"), F.lit(1 << 40)) < int((1 << 40) * 0.95 * sample / n))
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    # at most ``sample`` rows of two numbers
+    both = own.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("doc_id", "good", features(F.col("text")).alias("f")).select("doc_id", "good", *(F.col(f"f.{k}") for k in FEATURES))
+    got = both.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(sample).toPandas()
+    return fit(got[list(FEATURES)].to_numpy(), (got["good"].to_numpy() >= 0.5).astype(float))
 
 
-def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    known = rows.join(labelled(labels), F.col("doc_id") == F.col("l_id")).select("doc_id", "good", *(F.col(f"f.{k}") for k in FEATURES))
-    got = known.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(sample).toPandas()
-    return fit(got[list(FEATURES)].to_numpy(), (got["good"].to_numpy() >= 0.5).astype(float))
+def measured(docs: DataFrame, labels: DataFrame, model: Model, row: Column | None = None) -> DataFrame:
+    """``doc_id, path, worded, evidence, outcome`` of every document and ``row`` if given, worked out once."""
+    extra = [] if row is None else [row.alias("row")]
+    host, path = site(F.col("source").cast("string"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), path.alias("path"), features(F.col("text").cast("string")).alias("f"), *extra)
+    known = stored(labelled(labels))
+    rows = own.join(known, F.col("doc_id") == F.col("l_id"), "left").withColumn("evidence", model.probability(F.col("f")))
+    # whole numbers of 1 / UNIT, so that sums don't depend on their order
+    outcome = F.round(F.coalesce("good", "evidence") * UNIT).cast("long")
+    return stored(rows.select("doc_id", "host", "path", (F.col("f.n_words") > 0).alias("worded"), "evidence", outcome.alias("outcome"), *(["row"] if extra else [])))
 
 
-def posteriors(rows: DataFrame, labels: DataFrame, model: Model, strength: float = STRENGTH) -> DataFrame:
-    """``s_path, path_rate, global_rate``: shrunk rates of good documents."""
-    good = F.coalesce(F.col("good"), model.probability(F.col("f")))
-    known = rows.join(labelled(labels), F.col("doc_id") == F.col("l_id"), "left")
-    paths = known.groupBy("host", "path").agg(F.sum(F.round(good * UNIT).cast("long")).alias("g"), F.count(F.lit(1)).alias("n"))
-    paths = cut(paths.withColumn("g", F.col("g") / UNIT))
+def posteriors(rows: DataFrame) -> DataFrame:
+    """``s_host, s_path, g, n, hg, hn, world``: outcomes and documents of each path and host, and the global rate."""
+    paths = stored(rows.groupBy("host", "path").agg(F.sum("outcome").alias("g"), F.count(F.lit(1)).alias("n")))
     total = paths.agg(F.sum("g").alias("g"), F.sum("n").alias("n")).first()
-    world = float(total["g"] / total["n"]) if total["n"] else 0.5
-    hosts = paths.groupBy("host").agg(F.sum("g").alias("hg"), F.sum("n").alias("hn"))
-    host_rate = (strength * world + F.col("hg")) / (strength + F.col("hn"))
-    path_rate = F.when(F.col("path") == F.col("host"), host_rate).otherwise((strength * host_rate + F.col("g")) / (strength + F.col("n")))
-    return paths.join(hosts, "host").select(F.col("path").alias("s_path"), path_rate.alias("path_rate"), F.lit(world).alias("global_rate"))
+    world = total["g"] / UNIT / total["n"] if total["n"] else 0.5
+    hosts = paths.groupBy(F.col("host").alias("s_host")).agg(F.sum("g").alias("hg"), F.sum("n").alias("hn"))
+    return stored(paths.join(hosts, F.col("host") == F.col("s_host")).select("s_host", F.col("path").alias("s_path"), "g", "n", "hg", "hn", F.lit(float(world)).alias("world")))
 
 
-def score(rows: DataFrame, model: Model, sites: DataFrame) -> DataFrame:
-    """``rows`` (with ``path`` and ``f``) with ``evidence``, ``path_rate``, ``score`` and ``kept``."""
-    sites = F.broadcast(sites) if sites.count() <= BROADCAST_PATHS else sites
-    joined = rows.join(sites, F.col("path") == F.col("s_path")).withColumn("evidence", model.probability(F.col("f")))
-    z = _logit(F.col("evidence")) + _logit(F.col("path_rate")) - _logit(F.col("global_rate"))
-    joined = joined.withColumn("score", F.when(F.col("f.n_words") > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(0.0)))
-    return joined.withColumn("kept", F.col("score") >= THRESHOLD).drop("s_path", "global_rate")
+def score(rows: DataFrame, sites: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """``rows`` of ``measured`` with ``path_rate``, ``score`` and ``kept``."""
+    joined = rows.join(sites, F.col("path") == F.col("s_path"))
+    rate = lambda parent, g, n: (strength * parent + (F.col(g) - F.col("outcome")) / UNIT) / (strength + F.col(n) - 1)
+    host_rate = rate(F.col("world"), "hg", "hn")
+    joined = joined.withColumn("path_rate", F.when(F.col("path") == F.col("s_host"), host_rate).otherwise(rate(host_rate, "g", "n")))
+    z = _logit(F.col("evidence")) + _logit(F.col("path_rate")) - _logit(F.col("world"))
+    joined = joined.withColumn("score", F.when(F.col("worded"), 1 / (1 + F.exp(-z))).otherwise(F.lit(0.0)))
+    return joined.withColumn("kept", F.col("score") >= THRESHOLD)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -153,15 +165,12 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     like any others; rows with a null id have no label. Without labels every text with words is kept. An
     empty table gives an empty result.
     """
-    rows = measured(docs)
-    model = train(rows, labels, sample)
-    return score(rows, model, posteriors(rows, labels, model)).select("doc_id", "evidence", "path_rate", "score", "kept")
+    rows = measured(docs, labels, train(docs, labels, sample))
+    return score(rows, posteriors(rows)).select("doc_id", "evidence", "path_rate", "score", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, all their columns."""
-    rows = measured(docs)
-    model = train(rows, labels, sample)
-    host, path = site(F.col("source").cast("string"))
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), path.alias("path"), features(F.col("text").cast("string")).alias("f"))
-    return score(row, model, posteriors(rows, labels, model)).where("kept").select("row.*")
+    """The rows of ``docs`` that ``classify`` keeps, all their columns. The rows are stored once with their evidence."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = measured(docs, labels, train(docs, labels, sample), row)
+    return score(rows, posteriors(rows)).where("kept").select("row.*")

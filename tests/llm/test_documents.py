@@ -1,5 +1,10 @@
 """Mixing, rules, classifier, sharding, hosts: own fixtures with nulls, repeats, clashes and empty tables."""
 
+import math
+import random
+import unicodedata
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,11 +100,67 @@ def test_classifier_odd_cases(spark, odd):
 
 
 def test_shrinkage_of_sparse_sites(spark):
-    rows = spark.createDataFrame([("big", i) for i in range(400)] + [("small", 400)], "source string, doc_id long").withColumn("text", F.lit("same words in all of them"))
+    rows = spark.createDataFrame([("big", i) for i in range(400)] + [("small", 400), ("small", 401)], "source string, doc_id long").withColumn("text", F.lit("same words in all of them"))
     labels = rows.select("doc_id", F.when(F.col("source") == "big", (F.col("doc_id") % 2)).otherwise(0).cast("int").alias("quality"))
-    m = quality_bayes.measured(rows)
-    rates = {r["s_path"]: r["path_rate"] for r in quality_bayes.posteriors(m, labels, quality_bayes.train(m, labels)).collect()}
-    assert 0.44 < rates["small"] < 0.5 and abs(rates["big"] - 0.5) < 0.01
+    got = quality_bayes.classify(rows, labels).join(rows.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.min("path_rate").alias("lo"), F.max("path_rate").alias("hi"))
+    rates = {r["source"]: (r["lo"], r["hi"]) for r in got.collect()}
+    # a document's own outcome is left out: the other one of "small" alone pulls its rate below the global one
+    world = 200 / 402
+    assert rates["small"] == pytest.approx((20 * world / 21,) * 2) and all(abs(x - 0.5) < 0.01 for x in rates["big"])
+
+
+def plain_features(text):
+    import re
+
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    if not w:
+        return [0.0] * len(quality_bayes.FEATURES)
+    stop, chars, lines = set(quality_rules.STOP_WORDS), sum(map(len, w)), t.split("\n")
+    count = lambda cs: sum(c in cs for c in t)
+    upper = sum(unicodedata.category(c) == "Lu" for c in t)
+    return [
+        math.log1p(len(w)), chars / len(w), count(quality_rules.SYMBOLS) / len(w), sum(x.lower() in stop for x in w) / len(w), upper / chars, count("!") / len(w), len(set(w)) / len(w),
+        len(set(lines)) / len(lines), count("0123456789") / chars, count("|") / len(w), sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w),
+    ]
+
+
+def test_classifier_against_brute_force(spark):
+    rnd = random.Random(8)
+    good, bad = "the house of a river is in the small valley and we walk there".split(), "BUY now !!! $$$ win | win | 99 click #".split()
+    docs, quality = [], {}
+    for i in range(300):
+        site = rnd.choice(["a.com/x/1", "http://A.com/y", "a.com", "b.org/p/q", "c.net", None])
+        kind = rnd.random() < (0.2 if site == "a.com/x/1" else 0.7)
+        text = rnd.choice([" ", "\n"]).join(rnd.choice(good if rnd.random() < (0.8 if kind else 0.3) else bad) for _ in range(rnd.randint(1, 40)))
+        docs.append((i if i % 40 else i - 1, rnd.choice([text, text, text, None, ""]) if i % 11 == 0 else text, site))
+        if i % 3 == 0:
+            quality[docs[-1][0]] = int(kind)
+    docs.append((None, "the river", "b.org/p"))
+    got = quality_bayes.classify(spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame([*quality.items(), (None, 1), (7, None)], "doc_id long, quality int")).collect()
+
+    x = [plain_features(t) for _, t, _ in docs]
+    known = [k for k, (i, _, _) in enumerate(docs) if i in quality]
+    m = quality_bayes.fit(np.array([x[k] for k in known]), np.array([float(quality[docs[k][0]]) for k in known]))
+    z = lambda f: m.weights[0] + sum(w * min(max((v - c) / s, -4), 4) for v, c, s, w in zip(f, m.center, m.scale, m.weights[1:], strict=True))
+    sites = []
+    for _, _, s in docs:
+        s = (s or "").split("://")[-1]
+        host = s.split("/")[0].lower()
+        sites.append((host, "/".join([host, *s.split("/")[1:2]])))
+    evidence = [1 / (1 + math.exp(-z(f))) for f in x]
+    out = [quality.get(i, e) for (i, _, _), e in zip(docs, evidence, strict=True)]
+    world, logit = sum(out) / len(out), lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    want = Counter()
+    for k, (host, path) in enumerate(sites):
+        rest = lambda level, own: [out[j] for j in range(len(out)) if j != k and sites[j][level] == own]  # noqa: B023, E731
+        rate = (20 * world + sum(rest(0, host))) / (20 + len(rest(0, host)))
+        if path != host:
+            rate = (20 * rate + sum(rest(1, path))) / (20 + len(rest(1, path)))
+        score = 1 / (1 + math.exp(-(logit(evidence[k]) + logit(rate) - logit(world)))) if (docs[k][1] or "").split() else 0.0
+        want[docs[k][0], round(evidence[k], 4), round(rate, 4), round(score, 4), score >= 0.5] += 1
+    assert Counter((r["doc_id"], round(r["evidence"], 4), round(r["path_rate"], 4), round(r["score"], 4), r["kept"]) for r in got) == want
+    assert {p for _, p in sites} >= {"a.com/x", "a.com/y", "b.org/p"} and {r["kept"] for r in got} == {True, False}
 
 
 def test_packing():
