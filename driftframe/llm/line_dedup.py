@@ -1,7 +1,7 @@
 """Removal of repeated and nearly repeated lines by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line goes if an earlier one, by (doc_id, place in the document), is equal to it or can be turned into it by
-one edit: a character replaced, inserted or deleted. Two lines are one edit apart just if they share a variant,
+A line with a word goes if an earlier one, by (doc_id, place in the document), is equal to it or, if both are long
+enough, can be turned into it by one edit: a character replaced, inserted or deleted. Two lines are one edit apart just if they share a variant,
 the line itself or the line less one character. Variants are joined as hashes and pairs verified by edit
 distance. Emitting a variant for each character of each line would multiply the corpus by the length of its
 lines, so the neighbourhood is built in three grains, each for lines that found company in the one before:
@@ -13,7 +13,8 @@ lines, so the neighbourhood is built in three grains, each for lines that found
 No grain loses a pair that is one edit apart. At the last one, lines that share a variant by replacing the same
 character are all one edit from each other, and those that insert into one shorter line are all one edit from
 it; so each line needs the earliest of its group only, and no pairs within a group are made. Equal lines are
-first reduced to their earliest place by map-side aggregation.
+first reduced to their earliest place by map-side aggregation. What goes is joined back to all places in a stage of
+its own, where Spark splits a hot line as a skewed join.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from driftframe.llm.quality_rules import SPACE, let
 from driftframe.llm.text import stored
 
-#: Shorter lines (headings, list items, blank lines) always stay.
+#: Shorter lines are compared for equality only: one edit would be more than a twentieth of them.
 MIN_CHARS = 20
-#: The texts of so many lines with company in the first grain are looked up by broadcast, of more by a shuffle.
+#: The texts of so many lines with company in the first grain are looked up by broadcast, of more by a shuffle. What is
+#: broadcast are the places of the lines, under 100 bytes each, so 20 MB at most.
 BROADCAST_LINES = 200_000
 
 
@@ -85,13 +87,13 @@ def _in_company(rows: DataFrame, key: str, line: str) -> DataFrame:
 
 
 def places(docs: DataFrame, min_chars: int, ends: bool) -> DataFrame:
-    """``doc_id, doc_key, no, h1, h2`` of each line that is long enough and has a word, and its ``ends``."""
+    """``doc_id, doc_key, no, h1, h2`` of each line that has a word, and the ``ends`` of those that are long enough."""
     text = F.col("text").cast("string")
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    lines = lines.withColumn("n", F.length("line")).where((F.col("n") >= max(min_chars, 1)) & (F.btrim("line", F.lit(SPACE)) != ""))
+    lines = lines.withColumn("n", F.length("line")).where(F.btrim("line", F.lit(SPACE)) != "")
     out = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line")})
     if ends:
-        out = out.withColumn("ends", F.when(F.col("n") >= 4, _ends(F.col("line"), F.col("n"))))
+        out = out.withColumn("ends", F.when(F.col("n") >= max(min_chars, 4), _ends(F.col("line"), F.col("n"))))
     return out.drop("line", "n")
 
 
@@ -144,7 +146,7 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) ->
     lines = stored(places(docs, min_chars, max_edits > 0))
     found = stored(lines.groupBy("h1", "h2").agg(F.min(_at()).alias("at")))
     if max_edits:
-        found = found.join(near(docs, lines, found).withColumn("late", F.lit(True)), ["h1", "h2"], "left")
+        found = stored(found.join(near(docs, lines, found).withColumn("late", F.lit(True)), ["h1", "h2"], "left"))
     else:
         found = found.withColumn("late", F.lit(None).cast("boolean"))
     placed = lines.join(found, ["h1", "h2"]).withColumn("goes", F.coalesce(F.col("late"), F.lit(False)) | (_at() != F.col("at")))
@@ -156,8 +158,8 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> Da
 
     All rows and columns stay (``n_lines`` and ``n_dropped`` replace columns of these names); a document all of
     whose lines go has an empty text. A null text stays null and has no lines. Rows that agree in doc_id and
-    text count as one document. Lines of fewer than ``min_chars`` characters, or without a word, stay;
-    lines of fewer than 4 are compared for equality only.
+    text count as one document. Lines without a word stay; lines of fewer than ``min_chars`` characters (4 at least)
+    are compared for equality only.
     """
     gone = dropped(docs, min_chars, max_edits)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -177,9 +179,9 @@ def sql(min_chars: int = MIN_CHARS) -> str:
     return f"""
 with t as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
 l as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as no from t),
-e as (select doc_id, no, line, length(line) as n from l where length(line) >= {min_chars} and translate(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> ''),
+e as (select doc_id, no, line, length(line) as n from l where translate(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') <> ''),
 d as (select line, n, min({{'none': doc_id is null, 'doc_id': doc_id, 'no': no}}) as spot from e group by all),
-k as (select line, spot, n, unnest([n, n - 1]) as short from d where n >= 4),
+k as (select line, spot, n, unnest([n, n - 1]) as short from d where n >= {max(min_chars, 4)}),
 h as (select line, spot, n, short, 'p' as side, left(line, short // 2) as half from k union all select line, spot, n, short, 's', right(line, short - short // 2) from k),
 p as (select distinct b.line, a.line as mate, b.n as n, a.n as m from h a join h b on a.short = b.short and a.side = b.side and a.half = b.half and a.spot < b.spot and a.line <> b.line),
 v as (select distinct line from p where case
