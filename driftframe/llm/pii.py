@@ -6,8 +6,8 @@ can give an entity away as well: a term t reveals an entity e to the degree
     pmi(t, e) / ic(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
 
 with document counts over the whole corpus; it is 1 if t never occurs without e. Terms that have been seen with e
-in enough different texts and whose degree exceeds a threshold are generalised, those that all but name it are
-removed, wherever they occur in a document that holds e.
+in enough different texts and whose degree exceeds a threshold are generalised to the kind of word that they are, a
+name or a plain term; those that all but name it are removed, wherever they occur in a document that holds e.
 
 Scale: one pass finds entities and leaves rows without entities without their text. Only entities and terms with
 enough texts go on, and a term meets an entity only if it is rare enough beside it to reach the threshold with
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -252,11 +253,13 @@ def listed(items: Column) -> Column:
 
 
 def redact(text: str, items: list[Span]) -> str:
-    """The text with spans replaced by their kind, removed terms left out, overlapping spans merged."""
+    """The text with entities replaced by their kind and generalised terms by ``[NAME]`` if they are capitalised, else
+    ``[TERM]``; removed terms are left out, overlapping spans merged under the first."""
     out, at = [], 0
     for a, k, b in items:
         if a >= at:
-            out += [text[at:a], "" if KINDS[k] == "remove" else f"[{KINDS[k].upper()}]"]
+            said = "" if KINDS[k] == "remove" else f"[{KINDS[k].upper()}]" if KINDS[k] != "generalise" else "[NAME]" if text[a].isupper() else "[TERM]"
+            out += [text[at:a], said]
         at = max(at, b)
     return "".join(out) + text[at:]
 
@@ -264,9 +267,9 @@ def redact(text: str, items: list[Span]) -> str:
 def sanitise(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """``docs`` with the texts redacted; all columns stay. A null text stays null."""
 
-    @F.udf("string")
-    def run(text, items):
-        return text if not text or not items else redact(text, [(x["start"], x["kind"], x["end"]) for x in items])
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, items: pd.Series) -> pd.Series:
+        return pd.Series([t if not t or x is None or not len(x) else redact(t, [(s["start"], s["kind"], s["end"]) for s in x]) for t, x in zip(texts, items, strict=True)], dtype=object)
 
     marks = spans(docs, support).where(F.size("spans") > 0).select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "spans").dropDuplicates(["m_id", "m_key"])
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
