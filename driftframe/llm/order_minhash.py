@@ -8,14 +8,15 @@ shingles and their order. Two texts are linked if an alignment of their shingle
 connected components of the links.
 
 Scale: equal texts are one text from the start. Texts stay where they are; sketches travel, and later the
-word hashes of texts that share a sketch with another one. Texts that share a sketch are a bucket. Its most
-popular members, those that meet most others over all buckets, are its pivots, and members are compared with
-pivots first: comparisons grow with the members of a bucket, not with their pairs. Rounds go on with further
-pivots, for members that are not in one component yet, until a round finds no link. What then still shares a
-bucket across components goes through an exact join: in a common order of shingles, rare ones first, two
-similar texts share one among the first few of each, at places that leave enough to match. So each pair that
-shares a sketch is in one component or proven unlike; two texts at the threshold share some 16 sketches, and
-none with a probability near 1e-10. ``exhaustive=True`` takes rounds until every member has been a pivot instead.
+word hashes of texts that share a sketch with another one. Texts that share a sketch are a bucket. In the first
+round all members of a bucket are compared with its most popular one, the one that meets most others over all
+buckets, so comparisons grow with the members of a bucket, not with their pairs. Then ``ROUNDS`` rounds follow in
+which a few members of each component in a bucket, drawn anew each time, are compared with a few pivots. Pivots
+and members drawn come from aggregates with map-side sums, so a bucket with a third of all rows is spread over
+all tasks; a round's links are closed over the components of the one before, so links are gone through once. All
+that spares the exact join work, no more. Components that then still share a bucket go through that: in a common order of shingles, rare ones first, two similar texts share one among the first few of
+each, at places that leave enough to match. So each pair that shares a sketch is in one component or proven
+unlike; two texts at the threshold share some 16 sketches, and none with a probability near 1e-10.
 """
 
 from __future__ import annotations
@@ -26,19 +27,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftframe.llm.text import stored
+from driftframe.llm.text import forget, stored
+from driftframe.operators.linking import components
 
 SHINGLE = 5
 SKETCHES = 32
 SAMPLED = 3
 THRESHOLD = 0.8
-#: Pivots of a bucket in each round after the first.
-PIVOTS = 4
+#: Rounds after the first; in each, pivots of a bucket, and members of a component in it.
+ROUNDS, PIVOTS, DRAWN = 2, 4, 2
+#: Members of a component in a bucket among which rounds draw.
+HEADS = 8
+#: Of a text's shingles at alignment, those that occur oftener than this and its length / COMMON have ready bit rows.
+COMMON = 512
 SEED = 11
-#: The words of so many texts are looked up by broadcast, of more by a shuffle.
+#: The words of so many texts are looked up by broadcast, of more by a shuffle. What is broadcast are their keys, under
+#: 100 bytes each, so 20 MB at most.
 BROADCAST_TEXTS = 200_000
 #: Shingles that a worker hands on at once.
 HELD = 100_000
@@ -105,22 +112,45 @@ def sketch(h: np.ndarray) -> np.ndarray:
 
 
 def distance(a: list[int], b: list[int], most: int) -> int | None:
-    """Insertions and deletions that turn a into b, if at most ``most``: the furthest-reaching paths of each
-    diagonal, in a band that grows by one diagonal to either side for each of them."""
+    """Insertions and deletions that turn a into b, if at most ``most``.
+
+    An alignment with so few stays in a band of diagonals. The table of common subsequences is kept as one bit for
+    each place of ``a`` (0 where the length grows), and a row of it is one addition of whole numbers; rows go by in
+    blocks, each over the places that the band reaches from it.
+    """
     n, m = len(a), len(b)
-    reach = {1: 0}
-    for d in range(most + 1):
-        for k in range(-d + 2 * max(0, d - m), d - 2 * max(0, d - n) + 1, 2):
-            down, right = reach.get(k + 1, -1), reach.get(k - 1, -2) + 1
-            x = down if k == -d or down >= right else right
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x += 1
-                y += 1
-            reach[k] = x
-            if x >= n and y >= m:
-                return d
-    return None
+    low, high = (n - m - most) // 2, (n - m + most) // 2  # of place in a less place in b
+    if abs(n - m) > most:
+        return None
+    where: dict[int, list[int]] = {}
+    for i, v in enumerate(a):
+        where.setdefault(v, []).append(i)
+    ready = {v: sum(1 << i for i in at) for v, at in where.items() if len(at) > max(16, n // COMMON)}
+    rows, block = (1 << n) - 1, max(64, min(high - low, n))
+    for top in range(0, m, block):
+        left, right = max(0, top + low), min(n, top + block + high + 1)
+        if left >= right:
+            continue
+        full = (1 << (right - left)) - 1
+        own = (rows >> left) & full
+        common: dict[int, int] = {}
+        for v in b[top : top + block]:
+            at = where.get(v)
+            if at is None:
+                continue
+            if v in ready:
+                match = common[v] if v in common else common.setdefault(v, (ready[v] >> left) & full)
+            else:
+                match = 0
+                for i in at:
+                    if left <= i < right:
+                        match |= 1 << (i - left)
+            met = own & match
+            if met:
+                own = ((own + met) | (own - met)) & full
+        rows = (rows & ~(full << left)) | (own << left)
+    found = n + m - 2 * (n - rows.bit_count())
+    return found if found <= most else None
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
@@ -175,13 +205,14 @@ def words_of(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """``bucket, tid, n, rank`` of texts that share a sketch with another: rank 1 is the most popular."""
+    """``bucket, tid, n, popular`` of texts that share a sketch with another."""
     each = texts.select("tid", "n", F.explode("sketch").alias("bucket"))
     sizes = each.groupBy("bucket").count().where(F.col("count") > 1)
-    members = stored(each.join(sizes, "bucket"))
-    popular = members.groupBy("tid").agg(F.sum("count").alias("popular"))
-    order = Window.partitionBy("bucket").orderBy(F.desc("popular"), "tid")
-    return stored(members.join(popular, "tid").select("bucket", "tid", "n", F.row_number().over(order).alias("rank")))
+    shared = stored(each.join(sizes, "bucket"))
+    popular = shared.groupBy("tid").agg(F.sum("count").alias("popular"))
+    members = stored(shared.join(popular, "tid").select("bucket", "tid", "n", "popular"))
+    forget(shared)
+    return members
 
 
 def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
@@ -196,20 +227,12 @@ def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(w("a"), "a").join(w("b"), "b").select("a", "b", "w_a", "w_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``tid, root`` of every end of ``links`` (``a, b``): the smallest id of its component. Each step takes the
-    smallest root among neighbours and then the root's root, so chains shorten by half or more."""
-    edges = stored(links.select("a", "b").union(links.select("b", "a")))
-    roots = stored(edges.groupBy(F.col("a").alias("tid")).agg(F.min("b").alias("m")).select("tid", F.least("tid", "m").alias("root")))
-    while True:
-        other = roots.select(F.col("tid").alias("b"), F.col("root").alias("near"))
-        best = edges.join(other, "b").groupBy(F.col("a").alias("tid")).agg(F.min("near").alias("near"))
-        step = roots.join(best, "tid").select("tid", F.col("root").alias("old"), F.least("root", "near").alias("new"))
-        up = roots.select(F.col("tid").alias("new"), F.col("root").alias("top"))
-        step = stored(step.join(up, "new").select("tid", "old", F.least("new", "top").alias("root")))
-        roots = step.select("tid", "root")
-        if step.where("old <> root").isEmpty():
-            return roots
+def closed(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (``tid, root``) after ``links`` (``a, b``) have joined their components."""
+    of = lambda side: roots.select(F.col("tid").alias(side), F.col("root").alias(f"r_{side}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").where("r_a <> r_b").select(F.col("r_a").alias("src"), F.col("r_b").alias("dst"))
+    new = components(edges).withColumnRenamed("root", "top")
+    return stored(roots.join(new, F.col("root") == F.col("node"), "left").select("tid", F.coalesce("top", "root").alias("root")))
 
 
 def shingled(texts: DataFrame) -> DataFrame:
@@ -227,17 +250,17 @@ def shingled(texts: DataFrame) -> DataFrame:
     return texts.select("tid", "root", "words").mapInArrow(run, "tid long, root long, n int, shingle long")
 
 
-def rest(members: DataFrame, roots: DataFrame | None, words: DataFrame, threshold: float) -> DataFrame:
-    """The links ``a, b`` between components that share a bucket, by a prefix-filter join.
+def rest(members: DataFrame, roots: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """The links ``a, b`` between components of which any share a bucket, by a prefix-filter join.
 
     A text can only match another with ``threshold`` of its own shingles or more, so of two similar texts each has
     the first shingle that both have among its first ``n - ceil(threshold n) + 1``. A shingle's places in the two
     bound what can still match from there. Members of the component that has most texts with a shingle don't meet
     each other, so a group of near copies that is already one component isn't compared with itself.
     """
-    own = members.select("bucket", "tid").withColumn("root", F.col("tid")) if roots is None else members.select("bucket", "tid").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    mixed = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    live = own.join(mixed, "bucket").select("tid", "root").distinct()
+    held = stored(members.join(roots, "tid").select("bucket", "root").distinct())
+    mixed = held.groupBy("bucket").count().where(F.col("count") > 1).select("bucket")
+    live = roots.join(held.join(mixed, "bucket", "left_semi").select("root").distinct(), "root", "left_semi")
     of_shingle, of_text = Window.partitionBy("shingle"), Window.partitionBy("tid")
     each = shingled(live.join(words, "tid"))
     each = each.withColumns({"texts": F.count(F.lit(1)).over(of_shingle), "lo": F.min("root").over(of_shingle), "hi": F.max("root").over(of_shingle)}).where("texts > 1")
@@ -255,40 +278,42 @@ def rest(members: DataFrame, roots: DataFrame | None, words: DataFrame, threshol
     return stored(verified(stored(pairs), words, threshold))
 
 
-def linked(members: DataFrame, words: DataFrame, threshold: float, pivots: int, exhaustive: bool) -> DataFrame | None:
-    """``tid, root`` of the texts that have a link; None if there is none.
-
-    A bucket's pivots of a round are looked up by a window, beside its members, so rows don't multiply. The first
-    round has one pivot, which leads most texts to their class; later ones have ``pivots`` each. After a round
-    without a link, ``rest`` settles what is left.
-    """
-    links, roots, start = None, None, 1
-    top = members.agg(F.max("rank")).first()[0] or 0
-    whole = Window.partitionBy("bucket").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    while start <= top:
-        stop = start + (1 if start == 1 else pivots)
-        own = members.withColumn("root", F.col("tid")) if roots is None else members.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-        beside = own.withColumns({f"p{k - start}": F.nth_value(F.struct("tid", "n", "root", "rank"), k).over(whole) for k in range(start, stop)})
-        pairs = None
-        for k in range(stop - start):
-            p = F.col(f"p{k}")
-            near = (F.least(F.col("n"), p["n"]) >= threshold * F.greatest(F.col("n"), p["n"]) - 1e-9) & (F.col("root") != p["root"]) & (F.col("rank") > p["rank"])
-            some = beside.where(near).select(F.least(p["tid"], F.col("tid")).alias("a"), F.greatest(p["tid"], F.col("tid")).alias("b"))
-            pairs = some if pairs is None else pairs.union(some)
-        new = stored(verified(stored(pairs.distinct()), words, threshold))
-        if start > 1 and not exhaustive and new.isEmpty():
-            new = rest(members, roots, words, threshold)
-            if not new.isEmpty():
-                roots = components(new if links is None else links.union(new))
-            break
-        links = new if links is None else links.union(new)
-        if not links.isEmpty():
-            roots = components(links)
-        start = stop
-    return roots
-
-
-def classes(docs: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, exhaustive: bool = False) -> DataFrame:
+def some(own: DataFrame, n: int, *salt: Column) -> DataFrame:
+    """``bucket, root, tid, n``: up to ``n`` members of each component in a bucket, drawn by a hash."""
+    place = F.xxhash64("tid", *salt)
+    first = F.min(F.struct(place.alias("place"), F.col("tid"), F.col("n"))).alias("m")
+    return own.groupBy("bucket", "root", F.pmod(place, F.lit(n)).alias("draw")).agg(first).select("bucket", "root", "m.tid", "m.n")
+
+
+def compared(own: DataFrame, pivots: DataFrame, slots: int, threshold: float) -> DataFrame:
+    """The pairs ``a, b`` of members (``bucket, root, tid, n``) and pivots (``bucket, p``: a list of them) that are
+    neither in one component nor of too different lengths."""
+    beside, pairs = own.join(pivots, "bucket"), None
+    for k in range(slots):
+        p = F.get("p", F.lit(k))
+        near = F.least(F.col("n"), p["n"]) >= threshold * F.greatest(F.col("n"), p["n"]) - 1e-9
+        one = beside.where((F.col("root") != p["root"]) & near).select(F.least(p["tid"], F.col("tid")).alias("a"), F.greatest(p["tid"], F.col("tid")).alias("b"))
+        pairs = one if pairs is None else pairs.union(one)
+    return pairs.distinct()
+
+
+def linked(members: DataFrame, words: DataFrame, threshold: float, pivots: int = PIVOTS, rounds: int = ROUNDS) -> DataFrame:
+    """``tid, root`` of all ``members`` (``bucket, tid, n, popular``): the component of each."""
+    roots = stored(members.select("tid").distinct().select("tid", F.col("tid").alias("root")))
+    first = members.groupBy("bucket").agg(F.min(F.struct(-F.col("popular"), "tid", "n", F.col("tid").alias("root"))).alias("p")).select("bucket", F.array("p").alias("p"))
+    pairs = stored(compared(members.withColumn("root", F.col("tid")), first, 1, threshold))
+    roots = closed(roots, stored(verified(pairs, words, threshold)))
+    heads = stored(some(members.join(roots, "tid"), HEADS, F.col("bucket")))
+    for no in range(rounds):
+        own = stored(some(heads.drop("root").join(roots, "tid"), DRAWN, F.lit(no)))
+        slot = F.pmod(F.xxhash64("root", F.lit(no)), F.lit(pivots)).alias("slot")
+        best = own.groupBy("bucket", slot).agg(F.min(F.struct(F.xxhash64("tid", F.lit(no)), "tid", "n", "root")).alias("p")).groupBy("bucket").agg(F.collect_list("p").alias("p"))
+        pairs = stored(compared(own, best, pivots, threshold))
+        roots = closed(roots, stored(verified(pairs, words, threshold)))
+    return closed(roots, rest(members, roots, words, threshold))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
     """``doc_id, key, class_id, kept`` for every row of ``docs`` (``doc_id, text``).
 
     ``class_id`` is the smallest doc_id of the class, null if no row of it has one. ``kept`` marks the rows
@@ -297,15 +322,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS,
     """
     rows = stored(sketched(docs))
     worded = rows.where(F.col("n") > 0)
-    texts = stored(worded.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    texts = texts.withColumn("tid", F.monotonically_increasing_id())  # of a stored table, so it doesn't change
-    texts = stored(texts)
+    texts = worded.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    texts = stored(texts.withColumn("tid", F.monotonically_increasing_id()))  # as written, so it doesn't change
     members = buckets(texts.select("tid", "n", "sketch"))
     narrow = texts.select("tid", "key", "first_id")
     some = narrow.join(members.select("tid").distinct(), "tid", "left_semi")
     words = stored(words_of(docs, some))
-    roots = linked(members, words, threshold, pivots, exhaustive)
-    narrow = narrow.withColumn("root", F.col("tid")) if roots is None else narrow.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    roots = linked(members, words, threshold, pivots)
+    narrow = narrow.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("key").alias("key"))).alias("first")
     heads = narrow.groupBy("root").agg(first)
     of_text = narrow.join(heads, "root").select(F.col("key").alias("t_key"), F.col("first.id").alias("class_id"), F.col("first.key").alias("class_key"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftframe.sources.store import cut, forget, shared_folder, stored  # noqa: F401
+
 #: Runs of the characters that separate words.
 SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -19,25 +18,3 @@ def n_words(text: Column) -> Column:
     edges = F.when(F.substring(text, 1, 1).rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0) + F.when(text.rlike(r"[\x20\x09-\x0D]\z"), 1).otherwise(0)
     blank = F.regexp_replace(text, SPLIT, "") == ""
     return F.when(text.isNull() | blank, F.lit(0)).otherwise(F.size(parts) - edges).cast("long")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; only where nothing is set, as in tests,
-    a temporary one is made."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` worked out once and kept in the shared checkpoint folder, from where any executor can reread it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` worked out once and kept as a compressed table in the shared checkpoint folder."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

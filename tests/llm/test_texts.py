@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -23,7 +24,7 @@ def one_edit(a, b):
 
 def test_lines_against_brute_force(spark):
     rnd = random.Random(5)
-    base = ["".join(rnd.choice("abé ") for _ in range(rnd.choice([4, 5, 6, 7, 8, 20, 21, 50, 400]))) for _ in range(40)]
+    base = ["".join(rnd.choice("abé ") for _ in range(rnd.choice([1, 2, 3, 4, 5, 6, 7, 8, 20, 21, 50, 400]))) for _ in range(40)]
 
     def changed(s):
         s = list(s)
@@ -44,10 +45,10 @@ def test_lines_against_brute_force(spark):
             continue
         keep = []
         for x in t.split("\n"):
-            if len(x) < 4 or not x.strip():
+            if not x.strip():
                 keep.append(x)
                 continue
-            if not any(one_edit(x, y) for y in seen):
+            if not any(x == y or min(len(x), len(y)) >= 4 and one_edit(x, y) for y in seen):
                 keep.append(x)
             seen.append(x)
         assert got[i] == ("\n".join(keep), len(t.split("\n")) - len(keep))
@@ -60,6 +61,8 @@ def test_lines_odd_cases(spark):
     got = sorted((str(r["doc_id"]), str(r["text"]), r["n_lines"], r["n_dropped"]) for r in out.collect())
     assert got == sorted([("1", "same line of text that is long\nx", 2, 0)] * 2 + [("None", "", 1, 1), ("None", "", 1, 0), ("None", "None", 0, 0), ("2", "short", 2, 1)])
     assert line_dedup.dedup(d.limit(0)).count() == 0
+    short = spark.createDataFrame([(i, f"{'yes' if i < 3 else 'yet'}\n\n \n{i}") for i in range(4)], "doc_id long, text string")
+    assert [r["text"] for r in line_dedup.dedup(short).orderBy("doc_id").collect()] == ["yes\n\n \n0", "\n \n1", "\n \n2", "yet\n\n \n3"]
     assert {r["n_dropped"] for r in line_dedup.dedup(d, max_edits=0).where("doc_id is null and text <> ''").collect()} == {0}
 
 
@@ -140,29 +143,32 @@ def test_classes_of_a_large_group(spark):
     assert got == classes_of(texts)
 
 
-def crowded(spark, ranks, crowd):
-    """Two similar texts, 0 and 1, in buckets where the better-ranked one has the given ranks and the other the last
-    one, among texts that are like no other: members and words."""
+def crowded(spark, buckets, crowd):
+    """Two similar texts, 0 and 1, in buckets among texts that are like no other and all more popular."""
     rnd = np.random.default_rng(3)
     words = {i: rnd.integers(0, 1 << 32, 60, dtype=np.uint32) for i in range(2 + crowd)}
     words[1] = words[0].copy()
     words[1][0] += 1
-    rows = []
-    for bucket, rank in enumerate(ranks):
-        ids = list(range(2, 2 + crowd))
-        ids.insert(rank - 1, 0)
-        rows += [(bucket, i, 56, k + 1) for k, i in enumerate([*ids, 1])]
-    return spark.createDataFrame(rows, "bucket long, tid long, n int, rank int"), spark.createDataFrame([(i, bytearray(w.astype("<u4").tobytes())) for i, w in words.items()], "tid long, words binary")
+    rows = [(bucket, i, 56, 1 if i < 2 else 2) for bucket in range(buckets) for i in words]
+    return spark.createDataFrame(rows, "bucket long, tid long, n int, popular long"), spark.createDataFrame([(i, bytearray(w.astype("<u4").tobytes())) for i, w in words.items()], "tid long, words binary")
 
 
-def test_exhaustive_finds_pairs_that_meet_once_a_round(spark):
-    members, words = crowded(spark, [3, 7, 11], 12)
-    assert {tuple(r) for r in order_minhash.linked(members, words, 0.8, 4, exhaustive=True).collect()} == {(0, 0), (1, 0)}
+def test_links_that_no_round_draws(spark):
+    for buckets, crowd in ((1, 12), (3, 60)):
+        members, words = crowded(spark, buckets, crowd)
+        roots = dict(map(tuple, order_minhash.linked(members, words, 0.8).collect()))
+        assert len(roots) == crowd + 2 and roots.pop(0) == roots.pop(1) and all(k == v for k, v in roots.items())
 
 
-def test_links_beyond_the_last_round(spark):
-    members, words = crowded(spark, [30, 31, 32], 40)
-    assert {tuple(r) for r in order_minhash.linked(members, words, 0.8, 4, exhaustive=False).collect()} == {(0, 0), (1, 0)}
+def test_alignment_of_long_texts_is_quick():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 1 << 32, 20_000)
+    y = x.copy()
+    y[rng.choice(20_000, 400, replace=False)] = 7
+    began = time.perf_counter()
+    assert order_minhash.similar(x.astype(np.uint32), y.astype(np.uint32))
+    assert order_minhash.distance([1, 2] * 10_000, [2, 1] * 10_000, 10) == 2
+    assert time.perf_counter() - began < 5
 
 
 def test_near_dedup_odd_cases(spark):
