@@ -25,35 +25,32 @@ def azimuth(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.when((lat1 != lat2) | (lon1 != lon2), F.degrees(F.atan2(x, y)))
 
 
-def daynum(ts: Column) -> Column:
-    """Day of the year with its fraction, from 0."""
-    return F.dayofyear(ts) - 1 + (F.hour(ts) + F.minute(ts) / 60.0 + F.second(ts) / 3600.0) / 24.0
+#: Fourier coefficients (constant, then cosine and sine of each harmonic) of the declination in radians and
+#: of the equation of time in hours.
+DECLINATION = (0.006918, -0.399912, 0.070257, -0.006758, 0.000907, -0.002697, 0.001480)
+EQUATION_OF_TIME = (0.0, 0.0072, -0.1229, -0.0528, -0.1565, -0.0012, -0.0041)
 
 
 def _series(a: Column, terms: tuple[float, ...]) -> Column:
-    """Constant, then cosine and sine coefficients of each harmonic."""
     out = F.lit(terms[0])
     for k in range(1, (len(terms) + 1) // 2):
         out = out + terms[2 * k - 1] * F.cos(k * a) + terms[2 * k] * F.sin(k * a)
     return out
 
 
-#: Fourier coefficients of the declination (radians) and the equation of time (radians).
-DECLINATION = (0.006918, -0.399912, 0.070257, -0.006758, 0.000907, -0.002697, 0.001480)
-EQUATION_OF_TIME = (0.000075, 0.001868, -0.032077, -0.014615, -0.040849)
-
-
-def solar_angles(ts: Column, lat: Column, lon: Column, day_ahead: bool = False) -> tuple[Column, Column]:
-    """Zenith and azimuth (clockwise from north) of the sun in degrees; ``day_ahead`` counts days from 1."""
-    utc = F.hour(ts) + F.minute(ts) / 60.0 + F.second(ts) / 3600.0
-    a = 2 * F.pi() * (daynum(ts) + (1 if day_ahead else 0)) / 365.0
-    dec, eqt = _series(a, DECLINATION), _series(a, EQUATION_OF_TIME)
-    hour = F.radians(15 * (utc - 12) + lon) + eqt
-    p = F.radians(lat)
-    cosz = F.sin(dec) * F.sin(p) + F.cos(dec) * F.cos(p) * F.cos(hour)
-    zenith = F.acos(F.least(F.greatest(cosz, F.lit(-1.0)), F.lit(1.0)))
-    azi = F.atan2(-F.cos(dec) * F.sin(hour), F.sin(dec) * F.cos(p) - F.cos(dec) * F.sin(p) * F.cos(hour))
-    return F.degrees(zenith), F.pmod(F.degrees(azi), F.lit(360.0))
+def solar_angles(ts: Column, lat: Column, lon: Column, day_ahead: bool = False, full_circle: bool = False) -> tuple[Column, Column]:
+    """Zenith and azimuth of the sun in degrees. Whole days count from 1, from 2 if ``day_ahead``. The azimuth is the
+    angle from north to either side, from 0 to 180; with ``full_circle`` it goes clockwise up to 360."""
+    day = (F.dayofyear(ts) + (1 if day_ahead else 0)).cast("double")
+    dec, eqt = _series(2 * F.pi() * day / 365.0, DECLINATION), _series(2 * F.pi() * day / 366.0, EQUATION_OF_TIME)
+    utc = F.hour(ts) + F.minute(ts) / 60.0 + (F.lit(0.0) if day_ahead else F.second(ts) / 3600.0)
+    hour, p = F.radians(15.0 * (utc + lon / 15.0 + eqt - 12.0)), F.radians(lat)
+    within = lambda c: F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0))
+    height = F.asin(within(F.sin(dec) * F.sin(p) + F.cos(dec) * F.cos(p) * F.cos(hour)))
+    north = F.sin(dec) * F.cos(p) - F.cos(dec) * F.sin(p) * F.cos(hour)
+    if full_circle:
+        return 90.0 - F.degrees(height), F.pmod(F.degrees(F.atan2(-F.cos(dec) * F.sin(hour), north)), F.lit(360.0))
+    return 90.0 - F.degrees(height), F.degrees(F.acos(within(north / F.nullif(F.cos(height), F.lit(0.0)))))
 
 
 def viewing_angles(lat: Column, lon: Column, sat_lat: float = 0.0, sat_lon: float = 0.0, altitude: float = 35793.0) -> tuple[Column, Column]:

@@ -17,10 +17,12 @@ from driftframe.operators import kernels
 from driftframe.operators.stencil import KEY
 
 
-def dense(part: pd.DataFrame, value: str, fill: float = np.nan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The array of a frame, and the places of the rows in it."""
-    y, x = part["y"].to_numpy() - part["y"].min(), part["x"].to_numpy() - part["x"].min()
-    a = np.full((y.max() + 1, x.max() + 1), fill)
+def dense(part: pd.DataFrame, value: str, fill: float = np.nan, box: pd.DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The array of a frame, and the places of the rows in it; ``box`` has rows that span its extent, its own if None."""
+    of = part if box is None else box
+    (y0, y1), (x0, x1) = ((int(of[c].min()), int(of[c].max())) for c in "yx")
+    y, x = part["y"].to_numpy() - y0, part["x"].to_numpy() - x0
+    a = np.full((y1 - y0 + 1, x1 - x0 + 1), fill)
     a[y, x] = part[value].to_numpy(dtype=float, na_value=fill)
     return a, y, x
 
@@ -70,6 +72,21 @@ def distance(mask: DataFrame) -> DataFrame:
     return per_frame(mask.withColumn("v", F.col("m").cast("double")), lambda a: kernels.distance(np.nan_to_num(a) > 0.5)[0])
 
 
+def nearest(labels: DataFrame) -> DataFrame:
+    """``v, near``: distance of each pixel to the nearest labelled one (``label`` not 0) of its step, and that label;
+    NULL in steps without any. Of pixels at one distance, the kernel's first counts."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        a, y, x = dense(part, "label", 0.0)
+        d, near = kernels.distance(a != 0, a)
+        ok = np.isfinite(d[y, x])
+        out = pd.DataFrame({c: part[c].to_numpy() for c in KEY})
+        return out.assign(v=pd.Series(np.where(ok, d[y, x], 0.0)).astype(object).where(ok, None), near=pd.Series(near[y, x].astype(np.int64)).astype(object).where(ok, None))
+
+    own = labels.select(*(F.col(c).cast("int") for c in KEY), F.coalesce("label", F.lit(0)).cast("double").alias("label"))
+    return own.groupBy("t").applyInPandas(run, "t int, y int, x int, v double, near long")
+
+
 def optical_flow(df: DataFrame, model: str = "farneback", smoothing: int = 0, limit: float = 20.0, value: str = "v") -> DataFrame:
     """``t, y, x, fx, fy, bx, by`` from consecutive frames of a field.
 
@@ -87,11 +104,11 @@ def optical_flow(df: DataFrame, model: str = "farneback", smoothing: int = 0, li
     def run(part: pd.DataFrame) -> pd.DataFrame:
         pair = int(part["pair"].iloc[0])
         first, second = part[part["t"] == pair], part[part["t"] != pair]
-        (a, y, x), (b, _, _) = dense(first, "v"), dense(second, "v")
+        (a, y, x), (b, y2, x2) = dense(first, "v", box=part), dense(second, "v", box=part)
         u = kernels.pair_flow(a, b, model, smoothing, limit)
-        base = pd.DataFrame({"y": first["y"].to_numpy(), "x": first["x"].to_numpy()})
-        fwd = base.assign(t=pair, ux=u[0][y, x], uy=u[1][y, x], kind=0)
-        back = base.assign(t=int(second["t"].iloc[0]), ux=u[2][y, x], uy=u[3][y, x], kind=1)
+        base = lambda rows, t: pd.DataFrame({"y": rows["y"].to_numpy(), "x": rows["x"].to_numpy(), "t": t})
+        fwd = base(first, pair).assign(ux=u[0][y, x], uy=u[1][y, x], kind=0)
+        back = base(second, int(second["t"].iloc[0])).assign(ux=u[2][y2, x2], uy=u[3][y2, x2], kind=1)
         return pd.concat([fwd, back])[["t", "y", "x", "ux", "uy", "kind"]]
 
     got = pairs.select("pair", F.col("t").cast("int").alias("t"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "v").groupBy("pair").applyInPandas(run, "t int, y int, x int, ux double, uy double, kind int")

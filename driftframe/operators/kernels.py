@@ -277,6 +277,15 @@ def to_8bit(a: np.ndarray, low: float, high: float, fill: int = 127) -> np.ndarr
     return np.where(np.isfinite(a), np.floor((a - low) * factor), fill).clip(0, 255)
 
 
+def pair_8bit(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two frames scaled together; a pixel that one lacks takes the other's value, so that gaps don't look like motion."""
+    both = np.r_[a.ravel(), b.ravel()]
+    ok = both[np.isfinite(both)]
+    low, high = (ok.min(), ok.max()) if len(ok) else (0.0, 0.0)
+    qa, qb = to_8bit(a, low, high), to_8bit(b, low, high)
+    return np.where(np.isfinite(a), qa, qb), np.where(np.isfinite(b), qb, qa)
+
+
 def smoothed(f: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[tuple, tuple]:
     """Each vector averaged with the reverse of the opposite one where it leads."""
     yy, xx = np.mgrid[: f[0].shape[0], : f[0].shape[1]]
@@ -290,10 +299,7 @@ def smoothed(f: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 def pair_flow(a: np.ndarray, b: np.ndarray, name: str = "farneback", smoothing: int = 0, limit: float = 20.0) -> tuple[np.ndarray, ...]:
     """Forward and backward vectors (fx, fy, bx, by) of two frames scaled together to 8 bits, clamped to ±limit."""
-    both = np.r_[a.ravel(), b.ravel()]
-    ok = both[np.isfinite(both)]
-    low, high = (ok.min(), ok.max()) if len(ok) else (0.0, 0.0)
-    qa, qb = to_8bit(a, low, high), to_8bit(b, low, high)
+    qa, qb = pair_8bit(a, b)
     f, g = model(name)(qa, qb), model(name)(qb, qa)
     for _ in range(smoothing):
         f, g = smoothed(f, g)
@@ -338,20 +344,20 @@ def subsegments(mask: np.ndarray, shrink: float = 0.1, min_distance: int = 5) ->
     return np.searchsorted(both, split) * (split > 0) + (split > 0)
 
 
-def ordered_groups(n: int, forward: dict[int, list[int]], backward: dict[int, list[int]]) -> dict[int, int]:
-    """Step labels 1..n -> objects: from the lowest label without an object, follow its list in the order of
-    insertion, taking labels without an object, forward ones first, ascending."""
+def ordered_groups(known: list[int], forward: dict[int, list[int]], backward: dict[int, list[int]]) -> dict[int, int]:
+    """Step labels (ascending) -> the first label of their object: from the lowest label without an object, follow its
+    list in the order of insertion, taking labels without an object, forward ones first, ascending."""
     got: dict[int, int] = {}
-    for seed in range(1, n + 1):
+    for seed in known:
         if seed in got:
             continue
-        number, queue, at = max(got.values(), default=0) + 1, [seed], 0
-        got[seed] = number
+        queue, at = [seed], 0
+        got[seed] = seed
         while at < len(queue):
             for edges in (forward, backward):
                 for b in sorted(edges.get(queue[at], ())):
                     if b not in got:
-                        got[b] = number
+                        got[b] = seed
                         queue.append(b)
             at += 1
     return got

@@ -1,7 +1,7 @@
 """Algebra of label cubes: renumbering, remapping, lengths, masks, overlaps and cascades over entity tables.
 
-Numbers are given by ``dense_rank`` over the table of distinct labels, which is small beside the pixels, and
-carried to the pixels by a join; pixels themselves are never ordered as a whole.
+Numbers are given to the table of distinct labels, bucket by bucket of its first key, and carried to the pixels by
+a join; only the buckets' counts are ordered as a whole.
 """
 
 from __future__ import annotations
@@ -14,9 +14,20 @@ from pyspark.sql import functions as F
 from driftframe.operators.stencil import KEY
 
 
+#: Labels of so many consecutive numbers (a power of 2) are ordered by one task.
+BUCKET_BITS = 16
+
+
 def numbered(labels: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-    """The distinct ``by`` with contiguous numbers from 1 in their order."""
-    return labels.select(*by).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(*by)).cast("int"))
+    """The distinct ``by`` (whole numbers) with contiguous numbers from 1 in their order."""
+    own = labels.select(*by).distinct()
+    first = F.col(by[0]).cast("long")
+    own = own.withColumn("_b", first if len(by) > 1 else F.shiftright(first, BUCKET_BITS))
+    counts = own.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_b", F.coalesce(before, F.lit(0)).alias("_s"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(*by))
+    return own.join(starts, "_b").select(*by, (F.col("_s") + rank).cast("int").alias(name))
 
 
 def slice_labels(pixels: DataFrame, label: str = "label") -> DataFrame:

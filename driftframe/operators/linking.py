@@ -70,7 +70,7 @@ def link_map(pixels: DataFrame, atol: int = 5, rtol: float = 0.5) -> DataFrame:
     edges = e.join(of("file", "a"), ["file", "a"]).join(of("next", "b"), ["next", "b"]).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
     roots = components(edges).withColumnRenamed("node", "id")
     rooted = ids.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    return rooted.select("file", "label", F.dense_rank().over(Window.orderBy("root")).alias("global_label"))
+    return rooted.join(labels.numbered(rooted, ["root"], "global_label"), "root").select("file", "label", "global_label")
 
 
 def relabel_files(pixels: DataFrame, links: DataFrame) -> DataFrame:
@@ -101,5 +101,5 @@ def bipartite_closure(a: DataFrame, b: DataFrame, overlap: float = 0.0, absolute
 def carry_over(known: DataFrame, linked: Column, previous_max: int) -> DataFrame:
     """Sequential numbering: ``label`` of a new file becomes ``linked`` where that is not null, else the next number
     after ``previous_max``, in order."""
-    new = known.where(linked.isNull()).select("label", (F.lit(previous_max) + F.row_number().over(Window.orderBy("label"))).alias("global_label"))
+    new = labels.numbered(known.where(linked.isNull()), ["label"], "n").select("label", (F.lit(previous_max) + F.col("n")).alias("global_label"))
     return known.where(linked.isNotNull()).select("label", linked.alias("global_label")).unionByName(new)

@@ -19,14 +19,18 @@ def edges(coords: DataFrame, name: str = "c") -> DataFrame:
 def binned(points: DataFrame, grid: DataFrame, value: str, name: str) -> DataFrame:
     """Points with the number of their bin; the last bin holds its right end, points outside all go.
 
-    ``grid`` is ``edges`` of one axis: as many rows as the axis has cells, so it is broadcast; both ends are
-    compared, and on a regular axis Spark turns that into one pass over the points.
+    ``grid`` is ``edges`` of one axis, regular or not. The axis is cut into as many slots as it has cells; a cell lies
+    in the slots that it touches, about two for each cell in all, and points meet cells in equal slots.
     """
-    last = grid.agg(F.max("i").alias("_n"))
-    g = grid.join(F.broadcast(last))
-    v = F.col(value)
-    inside = (v >= g["lo"]) & ((v < g["hi"]) | ((g["i"] == g["_n"]) & (v == g["hi"])))
-    return points.join(F.broadcast(g.select("i", "lo", "hi", "_n")), inside).withColumnRenamed("i", name).drop("lo", "hi", "_n")
+    axis = grid.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("i").alias("n")).first()
+    if axis["n"] is None:
+        return points.limit(0).withColumn(name, F.lit(None).cast("int"))
+    width = (axis["hi"] - axis["lo"]) / (axis["n"] + 1) or 1.0
+    slot = lambda c: F.floor((c - axis["lo"]) / width)
+    cells = grid.select(F.col("i").alias(name), "lo", "hi", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))).alias("_slot"))
+    own, v = points.withColumn("_slot", slot(F.col(value))), F.col(value)
+    inside = (v >= F.col("lo")) & ((v < F.col("hi")) | ((F.col(name) == axis["n"]) & (v == F.col("hi"))))
+    return own.join(cells, "_slot").where(inside).drop("_slot", "lo", "hi")
 
 
 def windows(times: DataFrame, cap: float = 900.0, time: str = "s") -> DataFrame:

@@ -2,7 +2,8 @@
 
 A tap of pixel (t, y, x) with offset (dt, dy, dx) samples frame t + dt at (y + fy + dy, x + fx + dx), where the
 vector is the pixel's forward one for dt = 1, its backward one for dt = -1 and zero for dt = 0. Same-step and
-nearest taps are one equi-join on integer coordinates, linear ones a join on the four corners with weights.
+nearest taps are one equi-join on integer coordinates; linear, cubic and Lanczos ones a join on the 4, 16 or 64
+pixels around with weights.
 Joins and the aggregation that follows hash on coordinates, so work spreads evenly over frames.
 """
 
@@ -30,16 +31,67 @@ def _vector(dt: Column, axis: str) -> Column:
     return F.when(dt == 1, F.col(f"f{axis}")).when(dt == -1, F.col(f"b{axis}")).otherwise(F.lit(0.0))
 
 
-def taps(data: DataFrame, flow: DataFrame | None, offsets: Sequence[Offset], method: str = "nearest", value: str = "v") -> DataFrame:
+#: Shape of the cubic kernel (its slope at distance 1) and reach of the Lanczos kernel.
+CUBIC, LANCZOS = -0.75, 4
+
+
+def _weights(a: Column, method: str) -> list[tuple[int, Column]]:
+    """Offsets of the pixels on one axis that make up a sample ``a`` beyond a pixel, with their weights."""
+    if method == "linear":
+        return [(0, 1 - a), (1, a)]
+    if method == "cubic":
+        near = lambda d: ((CUBIC + 2) * d - (CUBIC + 3)) * d * d + 1
+        far = lambda d: ((CUBIC * d - 5 * CUBIC) * d + 8 * CUBIC) * d - 4 * CUBIC
+        return [(-1, far(a + 1)), (0, near(a)), (1, near(1 - a)), (2, far(2 - a))]
+
+    def windowed(i: int) -> Column:
+        d = F.pi() * (a - i)
+        return F.when(a == float(i), F.lit(1.0)).when(F.floor(a) == a, F.lit(0.0)).otherwise(F.sin(d) * F.sin(d / LANCZOS) * LANCZOS / (d * d))
+
+    each = [(i, windowed(i)) for i in range(1 - LANCZOS, LANCZOS + 1)]
+    total = sum((w for _, w in each), F.lit(0.0))
+    return [(i, w / total) for i, w in each]
+
+
+def _bordered(at: Column, low: int, n: int, border: str) -> Column:
+    """A coordinate of an axis of ``n`` pixels from ``low`` on, brought inside: the last pixel goes on (nearest), the
+    axis is mirrored about its edge (reflect) or its last pixel (mirror), or starts again (wrap)."""
+    i = at - low
+    if border == "nearest":
+        inside = F.least(F.greatest(i, F.lit(0)), F.lit(n - 1))
+    elif border == "wrap":
+        inside = F.pmod(i, F.lit(n))
+    elif border == "reflect":
+        m = F.pmod(i, F.lit(2 * n))
+        inside = F.least(m, 2 * n - 1 - m)
+    else:
+        m = F.pmod(i, F.lit(max(2 * n - 2, 1)))
+        inside = F.least(m, F.abs(2 * n - 2 - m))
+    return (inside + low).cast("int")
+
+
+METHODS = ("nearest", "linear", "cubic", "lanczos")
+BORDERS = ("constant", "nearest", "reflect", "mirror", "wrap")
+
+
+def taps(data: DataFrame, flow: DataFrame | None, offsets: Sequence[Offset], method: str = "nearest", value: str = "v", border: str = "constant") -> DataFrame:
     """``t, y, x, tap, value``: one row for each pixel and offset, NULL where the sample lies outside the data or
-    (linear) touches a missing value. ``tap`` numbers the offsets as given."""
-    if method not in ("nearest", "linear"):
-        raise ValueError("method is nearest or linear")
+    (but for nearest) a missing value has a weight other than 0. ``tap`` numbers the offsets as given. Other borders
+    than constant bring samples outside the box of the data back into it."""
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}")
+    if border not in BORDERS:
+        raise ValueError(f"border is one of {BORDERS}")
     own = data.select(*KEY)
     if flow is not None:
         own = own.join(flow.select(*KEY, "fx", "fy", "bx", "by"), KEY)
     elif any(o[0] for o in offsets):
         raise ValueError("offsets in time need a flow")
+    fit = lambda c, axis: c
+    if border != "constant":
+        box = data.agg(*(f(c).alias(f"{k}{c}") for c in "yx" for k, f in (("lo", F.min), ("hi", F.max)))).first()
+        if box["loy"] is not None:
+            fit = lambda c, axis: _bordered(c, int(box[f"lo{axis}"]), int(box[f"hi{axis}"] - box[f"lo{axis}"]) + 1, border)
     table = F.array(*(F.struct(F.lit(i).alias("tap"), *(F.lit(v).alias(n) for n, v in zip(("dt", "dy", "dx"), o, strict=True))) for i, o in enumerate(offsets)))
     each = own.withColumn("o", F.explode(table)).select("*", "o.*").drop("o")
     source = data.select(F.col("t").alias("s_t"), F.col("y").alias("s_y"), F.col("x").alias("s_x"), F.col(value).alias("s_v"))
@@ -48,14 +100,15 @@ def taps(data: DataFrame, flow: DataFrame | None, offsets: Sequence[Offset], met
     px = F.col("x") + F.col("dx") + (F.lit(0.0) if zero else _vector(F.col("dt"), "x"))
     each = each.select(*KEY, "tap", (F.col("t") + F.col("dt")).alias("s_t"), py.alias("py"), px.alias("px"))
     if method == "nearest":
-        at = each.select(*KEY, "tap", "s_t", F.rint("py").cast("int").alias("s_y"), F.rint("px").cast("int").alias("s_x"))
+        at = each.select(*KEY, "tap", "s_t", fit(F.rint("py").cast("int"), "y").alias("s_y"), fit(F.rint("px").cast("int"), "x").alias("s_x"))
         return at.join(source, ["s_t", "s_y", "s_x"], "left").select(*KEY, "tap", F.col("s_v").alias("value"))
     fy, fx = F.floor("py"), F.floor("px")
-    a, b = F.col("py") - fy, F.col("px") - fx
+    each = each.select(*KEY, "tap", "s_t", fy.alias("fy"), fx.alias("fx"), (F.col("py") - fy).alias("ay"), (F.col("px") - fx).alias("ax"))
     corners = F.array(*(
-        F.struct((fy + i).cast("int").alias("s_y"), (fx + j).cast("int").alias("s_x"), ((a if i else 1 - a) * (b if j else 1 - b)).alias("w")) for i in (0, 1) for j in (0, 1)
+        F.struct(fit((F.col("fy") + i).cast("int"), "y").alias("s_y"), fit((F.col("fx") + j).cast("int"), "x").alias("s_x"), (a * b).alias("w"))
+        for i, a in _weights(F.col("ay"), method) for j, b in _weights(F.col("ax"), method)
     ))
-    at = each.withColumn("c", F.explode(corners)).select(*KEY, "tap", "s_t", "c.*").where("w > 0")
+    at = each.withColumn("c", F.explode(corners)).select(*KEY, "tap", "s_t", "c.*").where("w <> 0")
     met = at.join(source, ["s_t", "s_y", "s_x"], "left")
     whole = F.when(F.count(F.lit(1)) == F.count("s_v"), F.sum(F.col("w") * F.col("s_v")))
     return met.groupBy(*KEY, "tap").agg(whole.alias("value"))
@@ -210,17 +263,17 @@ class FlowFrame:
     def sobel(self, data: DataFrame, direction: str | None = None, method: str = "linear", value: str = "v") -> DataFrame:
         return sobel(data, self.df, direction, method, value)
 
-    def watershed(self, field: DataFrame, markers: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    def watershed(self, field: DataFrame, markers: DataFrame, allowed: DataFrame | None = None, chunk: int | None = None) -> DataFrame:
         from driftframe.operators import flooding
 
-        return flooding.watershed(self.df, field, markers, allowed)
+        return flooding.watershed(self.df, field, markers, allowed, chunk)
 
-    def label(self, mask: DataFrame, overlap: float = 0.0, absolute_overlap: int = 1, shrink: float = 0.0) -> DataFrame:
+    def label(self, mask: DataFrame, overlap: float = 0.0, absolute_overlap: int = 1, shrink: float = 0.0, undirected: bool = False) -> DataFrame:
         from driftframe.operators import tracking
 
-        return tracking.flow_label(self.df, mask, overlap, absolute_overlap, shrink)
+        return tracking.flow_label(self.df, mask, overlap, absolute_overlap, shrink, undirected=undirected)
 
-    def link_overlap(self, steps: DataFrame, overlap: float = 0.0, absolute_overlap: int = 1) -> DataFrame:
+    def link_overlap(self, steps: DataFrame, overlap: float = 0.0, absolute_overlap: int = 1, undirected: bool = False) -> DataFrame:
         from driftframe.operators import tracking
 
-        return tracking.link_overlap(self.df, steps, overlap, absolute_overlap)
+        return tracking.link_overlap(self.df, steps, overlap, absolute_overlap, undirected)

@@ -46,30 +46,32 @@ def flow_edges(flow: DataFrame, steps: DataFrame, overlap: float = 0.0, absolute
 def link_overlap(flow: DataFrame, steps: DataFrame, overlap: float = 0.0, absolute: int = 0, undirected: bool = False) -> DataFrame:
     """Step labels (``label``) joined to objects.
 
-    By default objects follow directed overlaps from the lowest label without an object, an order that one task
-    has to keep: it holds the links between step labels, a table that is small beside the pixels. ``undirected``
-    takes connected components instead, which any number of tasks can do.
+    By default objects follow directed overlaps from the lowest label without an object. That order matters only
+    among labels that links connect in any direction, so each such component is one group, in the order of its lowest
+    label; objects are numbered by theirs. ``undirected`` takes the components themselves.
     """
     steps = stored(steps)  # read for the links, their sizes and the result
     edges = flow_edges(flow, steps, overlap, absolute)
+    edges = edges if undirected else stored(edges)
     every = steps.where(F.col("label") != 0).select("label").distinct()
+    roots = components(edges.select("src", "dst")).withColumnRenamed("node", "label")
     if undirected:
-        roots = components(edges.select("src", "dst"))
-        rooted = every.join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.coalesce("root", "label"))
-        objects = rooted.join(numbered(rooted, ["root"], "object"), "root").select("label", "object")
+        rooted = every.join(roots, "label", "left").withColumn("root", F.coalesce("root", "label"))
     else:
+        of = roots.select(F.col("label").alias("src"), F.col("root").alias("part"))
+        own = roots.select(F.col("root").alias("part"), F.col("label").alias("src"), F.lit(None).cast("int").alias("dst"), F.lit(None).cast("boolean").alias("forward"))
+        grouped = edges.join(of, "src").select("part", "src", "dst", "forward").unionByName(own)
 
         def run(part: pd.DataFrame) -> pd.DataFrame:
             known = np.sort(part.loc[part["dst"].isna(), "src"].to_numpy())
-            at = {int(v): i + 1 for i, v in enumerate(known)}
             links: tuple[dict, dict] = ({}, {})
             for s, d, f in part.loc[part["dst"].notna(), ["src", "dst", "forward"]].itertuples(index=False):
-                links[0 if f else 1].setdefault(at[int(s)], []).append(at[int(d)])
-            got = kernels.ordered_groups(len(known), *links)
-            return pd.DataFrame({"label": known, "object": [got[i + 1] for i in range(len(known))]})
+                links[0 if f else 1].setdefault(int(s), []).append(int(d))
+            return pd.DataFrame(list(kernels.ordered_groups(known.tolist(), *links).items()), columns=["label", "root"])
 
-        both = edges.unionByName(every.select(F.col("label").alias("src"), F.lit(None).cast("int").alias("dst"), F.lit(None).cast("boolean").alias("forward")))
-        objects = both.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "label int, object int")
+        seeds = grouped.groupBy("part").applyInPandas(run, "label int, root int")
+        rooted = every.join(seeds, "label", "left").withColumn("root", F.coalesce("root", "label"))
+    objects = rooted.join(numbered(rooted, ["root"], "object"), "root").select("label", "object")
     return steps.join(objects, "label", "left").select(*KEY, F.coalesce("object", F.lit(0)).alias("label"))
 
 

@@ -5,42 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftframe.operators.frames import distance
+from driftframe.operators.frames import distance, nearest
 from driftframe.operators.stencil import KEY
+from driftframe.sources.store import stored
 
 
 def cylinder_distance(markers: DataFrame, time_margin: int = 3, ids: bool = False) -> DataFrame:
     """``v``: distance of each pixel to the nearest marker (``label`` not 0) of its step or of ``time_margin`` steps on
-    either side; NULL where none is. With ``ids`` also ``nearest``, by a join out to each pixel's distance."""
-    each = distance(markers.select(*KEY, (F.col("label") != 0).alias("m")))
+    either side; NULL where none is. With ``ids`` also ``nearest``, its label, of the earliest step on ties."""
     w = Window.partitionBy("y", "x").orderBy("t").rangeBetween(-time_margin, time_margin)
-    out = each.withColumn("v", F.min("v").over(w))
     if not ids:
-        return out
-    own = markers.where(F.col("label") != 0).select(F.col("t").alias("m_t"), F.col("y").alias("m_y"), F.col("x").alias("m_x"), "label")
-    near = each.where(F.col("v").isNotNull())
-    r = F.ceil("v").cast("int")
-    rows = near.withColumn("m_y", F.explode(F.sequence(F.col("y") - r, F.col("y") + r)))
-    d2 = F.pow(F.col("y") - F.col("m_y"), 2) + F.pow(F.col("x") - F.col("m_x"), 2)
-    hit = rows.join(own, (F.col("t") == F.col("m_t")) & (rows["m_y"] == own["m_y"])).withColumn("_e", F.abs(F.sqrt(d2) - F.col("v"))).where("_e < 1e-6")
-    first = hit.groupBy(*KEY, "v").agg(F.min("label").alias("near"))
-    joined = each.join(first.drop("v"), KEY, "left")
-    return joined.withColumn("_b", F.min(F.when(F.col("v").isNotNull(), F.struct("v", "t", "near"))).over(w)).select(*KEY, F.col("_b.v").alias("v"), F.col("_b.near").alias("nearest"))
-
-
-def edge_filter(grid: DataFrame, margin: int, time_margin: int, missing: Column | None = None) -> DataFrame:
+        return distance(markers.select(*KEY, (F.col("label") != 0).alias("m"))).withColumn("v", F.min("v").over(w))
+    best = F.min(F.when(F.col("v").isNotNull(), F.struct("v", "t", "near"))).over(w)
+    return nearest(markers).withColumn("_b", best).select(*KEY, F.col("_b.v").alias("v"), F.col("_b.near").alias("nearest"))
+
+
+def ellipse_distance(markers: DataFrame, time_margin: float, margin: float) -> DataFrame:
+    """``v, nearest``: distance of each pixel to the nearest marker of any step, a step counting as ``margin /
+    time_margin`` pixels, and its label; NULL where the cube has none. A row meets the other steps of its pixel."""
+    step = margin / time_margin
+    near = nearest(markers)
+    column = near.where(F.col("v").isNotNull()).groupBy("y", "x").agg(F.collect_list(F.struct("t", "v", "near")).alias("_steps"))
+    far = lambda s: F.struct(F.sqrt(s["v"] * s["v"] + F.pow((s["t"] - F.col("t")) * step, 2)).alias("v"), s["t"].alias("t"), s["near"].alias("near"))
+    best = F.array_min(F.transform("_steps", far))
+    return near.select(*KEY).join(column, ["y", "x"], "left").withColumn("_b", best).select(*KEY, F.col("_b.v").alias("v"), F.col("_b.near").alias("nearest"))
+
+
+def edge_filter(grid: DataFrame, margin: int, time_margin: int, missing: Column | None = None, times: DataFrame | None = None, longest_gap: float = 900.0) -> DataFrame:
     """``inside``: farther than the margins from the sides of the domain and its ends in time; ``missing`` marks pixels
-    without observations, whose surroundings of the same margins are not inside either."""
+    without observations, whose surroundings within the same margins are not inside either. With ``times`` (``t,
+    seconds``), neither are steps within ``time_margin`` of a gap of over ``longest_gap`` seconds."""
     b = grid.agg(*(f(c).alias(f"{c}{k}") for c in KEY for k, f in ((0, F.min), (1, F.max))))
     c = F.col
     inside = lambda n, m: (c(n) >= c(f"{n}0") + m) & (c(n) <= c(f"{n}1") - m)
     out = grid.join(F.broadcast(b)).withColumn("inside", inside("y", margin) & inside("x", margin) & inside("t", time_margin))
-    if missing is None:
-        return out.select(*KEY, "inside")
-    around = [(t, y, x) for t in range(-time_margin, time_margin + 1) for y in range(-margin, margin + 1) for x in range(-margin, margin + 1) if y * y + x * x < margin * margin]
-    shifts = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("dt", "dy", "dx"), o, strict=True))) for o in around))
-    holes = grid.where(missing).select(*KEY, F.explode(shifts).alias("o")).select((c("t") + c("o.dt")).alias("t"), (c("y") + c("o.dy")).alias("y"), (c("x") + c("o.dx")).alias("x")).distinct().withColumn("_h", F.lit(True))
-    return out.join(holes, KEY, "left").select(*KEY, (c("inside") & c("_h").isNull()).alias("inside"))
+    if times is not None:
+        w = Window.orderBy("t")  # one row for each step
+        gaps = times.select("t", (F.lead("seconds").over(w) - c("seconds") > longest_gap).alias("gap")).where("gap")
+        lost = gaps.select(F.explode(F.sequence(c("t") - time_margin + 1, c("t") + time_margin + 1)).alias("t")).distinct().withColumn("_lost", F.lit(True))
+        out = out.join(lost, "t", "left").withColumn("inside", c("inside") & c("_lost").isNull())
+    if missing is not None:
+        holes = cylinder_distance(grid.select(*KEY, F.coalesce(missing, F.lit(False)).cast("int").alias("label")), time_margin)
+        out = out.join(holes, KEY).withColumn("inside", c("inside") & F.coalesce(c("v") >= margin, F.lit(True)))
+    return out.select(*KEY, "inside")
+
+
+def only(pixels: DataFrame, kept: DataFrame) -> DataFrame:
+    """Pixels whose label is not in ``kept`` (``label``) are background."""
+    known = kept.select("label").distinct().withColumn("_k", F.lit(True))
+    return pixels.join(known, "label", "left").select(*KEY, F.when(F.col("_k"), F.col("label")).otherwise(0).alias("label"))
+
+
+def with_partners(cores: DataFrame, anvils: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cores that have an anvil and the anvils that have a core. ``index``: ``core, anvil``, 0 for none."""
+    linked = index.where("core <> 0 and anvil <> 0")
+    return only(cores, linked.select(F.col("core").alias("label"))), only(anvils, linked.select(F.col("anvil").alias("label")))
 
 
 def validate(markers: DataFrame, events: DataFrame, marker_distance: DataFrame, event_distance: DataFrame, inside: DataFrame, margin: float = 10.0) -> tuple[DataFrame, DataFrame]:
@@ -59,6 +78,16 @@ def validate(markers: DataFrame, events: DataFrame, marker_distance: DataFrame,
     return objects, pod.join(far).withColumn("f1", f1)
 
 
+def validate_all(kinds: dict[str, DataFrame], events: DataFrame, grid: DataFrame, inside: DataFrame, margin: float = 10.0, time_margin: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``validate`` for each kind of object (cores, anvils, markers, those with partners): its results with ``kind``."""
+    on_grid = grid.select(*KEY).join(events, KEY, "left").select(*KEY, F.coalesce("n", F.lit(0)).alias("label"))
+    event_distance, out = stored(cylinder_distance(on_grid, time_margin)), None
+    for kind, pixels in kinds.items():
+        both = [df.withColumn("kind", F.lit(kind)) for df in validate(pixels, events, cylinder_distance(pixels, time_margin), event_distance, inside, margin)]
+        out = both if out is None else [a.unionByName(b) for a, b in zip(out, both, strict=True)]
+    return tuple(out)
+
+
 def distance_histogram(distances: DataFrame, column: str = "d", bins: int = 40) -> DataFrame:
     """Share of the distances in unit bins up to ``bins``, the last right end included."""
     total = distances.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("_n"))

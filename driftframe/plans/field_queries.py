@@ -45,6 +45,40 @@ def warp_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(stencil.taps(fx.cube(spark, sf_dir), fx.flow(spark, sf_dir, 0.5), [(1, 0, 0)], "linear").drop("tap"))
 
 
+def _resampled(weight: str, low: int, high: int) -> str:
+    """SQL of samples along the half flow; ``weight`` is that of a pixel at a distance ``{d}``."""
+    return f"""with {fx.HALF}, p as (select t, y, x, t + 1 as st, y + fy as py, x + fx as px from half),
+a as (select *, floor(py)::int + i as sy, floor(px)::int + j as sx, abs(py - floor(py) - i) as dy, abs(px - floor(px) - j) as dx from p cross join range({low}, {high + 1}) r(i) cross join range({low}, {high + 1}) q(j)),
+b as (select *, {weight.format(d="dy")} * {weight.format(d="dx")} as w1 from a),
+n as (select *, w1 / sum(w1) over (partition by t, y, x) as w from b where abs(w1) > 1e-12)
+select n.t, n.y, n.x, round(case when count(*) = count(v) then sum(w * v) end, 6) as value from n left join cube s on s.t = st and s.y = sy and s.x = sx group by n.t, n.y, n.x"""
+
+
+@query(_resampled("(case when {d} <= 1 then 1.25 * {d} * {d} * {d} - 2.25 * {d} * {d} + 1 else -0.75 * {d} * {d} * {d} + 3.75 * {d} * {d} - 6 * {d} + 3 end)", -1, 2))
+def warp_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(stencil.taps(fx.cube(spark, sf_dir), fx.flow(spark, sf_dir, 0.5), [(1, 0, 0)], "cubic").drop("tap"))
+
+
+@query(_resampled("(case when {d} = 0 then 1 when {d} = floor({d}) then 0 else sin(pi() * {d}) * sin(pi() * {d} / 4) * 4 / (pi() * {d}) ** 2 end)", -3, 4))
+def warp_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(stencil.taps(fx.cube(spark, sf_dir), fx.flow(spark, sf_dir, 0.5), [(1, 0, 0)], "lanczos").drop("tap"))
+
+
+@query(f"""with {fx.FLOW}, b as (select f.t, f.y, f.x, c.v as nearest, r.v as reflect, m.v as mirror, w.v as wrap from flow f
+ left join cube c on c.t = f.t + 1 and c.y = least(greatest(f.y + 3 * fy, 0), 19) and c.x = least(greatest(f.x + 3 * fx, 0), 63)
+ left join cube r on r.t = f.t + 1 and r.y = case when f.y + 3 * fy < 0 then -1 - f.y - 3 * fy when f.y + 3 * fy > 19 then 39 - f.y - 3 * fy else f.y + 3 * fy end and r.x = case when f.x + 3 * fx < 0 then -1 - f.x - 3 * fx when f.x + 3 * fx > 63 then 127 - f.x - 3 * fx else f.x + 3 * fx end
+ left join cube m on m.t = f.t + 1 and m.y = case when f.y + 3 * fy > 19 then 38 - f.y - 3 * fy else abs(f.y + 3 * fy) end and m.x = case when f.x + 3 * fx > 63 then 126 - f.x - 3 * fx else abs(f.x + 3 * fx) end
+ left join cube w on w.t = f.t + 1 and w.y = (f.y + 3 * fy + 20) % 20 and w.x = (f.x + 3 * fx + 64) % 64) select * from b""")
+def warp_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples beyond the border, brought back inside in four ways."""
+    c, f = fx.cube(spark, sf_dir), fx.flow(spark, sf_dir, 3.0)
+    out = None
+    for border in stencil.BORDERS[1:]:
+        one = stencil.taps(c, f, [(1, 0, 0)], border=border).select("t", "y", "x", F.col("value").alias(border))
+        out = one if out is None else out.join(one, ["t", "y", "x"])
+    return out
+
+
 F_HOLED = fx.FLOW + ", " + fx.HOLED.removeprefix(fx.CUBE + ", ")
 
 

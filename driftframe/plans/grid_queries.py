@@ -22,22 +22,21 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLACES = "places as (select s_suppkey as k, (s_suppkey * 37 % 140 - 70 + 0.25)::double as lat, (s_suppkey * 53 % 120 - 135 + 0.5)::double as lon from supplier)"
 
 
-def _fourier(terms: tuple[float, ...]) -> str:
-    out = [repr(terms[0])]
-    for k in range(1, (len(terms) + 1) // 2):
-        out += [f"{terms[2 * k - 1]!r} * cos({k} * a)", f"{terms[2 * k]!r} * sin({k} * a)"]
-    return "(" + " + ".join(out) + ")"
+#: The sun at 18:30 on day 151; the coefficients are written out, apart from those of the library.
+SUN = PLACES + """, u as (select k, lat, lon, 2 * pi() * 151 / 365 as a, 2 * pi() * 151 / 366 as e from places),
+d as (select k, radians(lat) as p, lon, 0.006918 - 0.399912 * cos(a) - 0.006758 * cos(2 * a) - 0.002697 * cos(3 * a) + 0.070257 * sin(a) + 0.000907 * sin(2 * a) + 0.001480 * sin(3 * a) as dec,
+  0.0072 * cos(e) - 0.0528 * cos(2 * e) - 0.0012 * cos(3 * e) - 0.1229 * sin(e) - 0.1565 * sin(2 * e) - 0.0041 * sin(3 * e) as eqt from u),
+h as (select *, radians(15 * (18.5 + lon / 15 + eqt - 12)) as h from d),
+z as (select *, asin(sin(dec) * sin(p) + cos(dec) * cos(p) * cos(h)) as height, sin(dec) * cos(p) - cos(dec) * sin(p) * cos(h) as north from h)"""
 
 
-@query(f"""with {PLACES}, d as (select k, lat, lon, 150 + 18.5 / 24 as day from places), a as (select *, 2 * pi() * day / 365 as a from d), e as (select *, {_fourier(geo.DECLINATION)} as dec, {_fourier(geo.EQUATION_OF_TIME)} as eqt from a),
-h as (select *, radians(15 * 6.5 + lon) + eqt as h, radians(lat) as p from e)
-select k, round(degrees(acos(least(greatest(sin(dec) * sin(p) + cos(dec) * cos(p) * cos(h), -1), 1))), 6) as zenith,
- round((degrees(atan2(-cos(dec) * sin(h), sin(dec) * cos(p) - cos(dec) * sin(p) * cos(h))) + 360) % 360, 6) as azimuth from h""")
+@query(f"""with {SUN} select k, round(90 - degrees(height), 6) as zenith, round(degrees(acos(least(greatest(north / cos(height), -1), 1))), 4) as azimuth,
+ round((degrees(atan2(-cos(dec) * sin(h), north)) + 360) % 360, 6) as bearing from z""")
 def solar_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position of the sun at 18:30 on the last of May."""
     p = _places(spark, sf_dir).withColumn("ts", F.lit("2018-05-31 18:30:00").cast("timestamp_ntz"))
-    z, a = geo.solar_angles(F.col("ts"), F.col("lat"), F.col("lon"))
-    return r6(p.select("k", z.alias("zenith"), a.alias("azimuth")))
+    (z, a), (_, b) = (geo.solar_angles(F.col("ts"), F.col("lat"), F.col("lon"), full_circle=full) for full in (False, True))
+    return r6(p.select("k", z.alias("zenith"), F.round(a, 4).alias("azimuth"), b.alias("bearing")))
 
 
 @query(f"""with {PLACES}, c as (select k, radians(lat) as p, radians(lon + 75) as d, cos(radians(lat)) * cos(radians(lon + 75)) as c from places)
@@ -253,3 +252,33 @@ def radar_parallax(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _places(spark, sf_dir).where("abs(lon + 75) < 60")
     lat, lon = geo.radar_parallax(F.col("lat"), F.col("lon"), F.lit(9000.0))
     return r6(p.select("k", lat.alias("lat"), lon.alias("lon")))
+
+
+@query(f"""with {RARE}, d as (select c.t, c.y, c.x, min(sqrt((c.y - r.y) ** 2 + (c.x - r.x) ** 2 + ((c.t - r.t) * 2.0) ** 2)) as v from cube c left join rare r on r.label <> 0 group by c.t, c.y, c.x)
+select t, y, x, round(v, 6) as v from d""")
+def ellipse_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance to the nearest marker of any step, a step counting as two pixels."""
+    return r6(validation.ellipse_distance(_rare(spark, sf_dir), 3, 6).drop("nearest"))
+
+
+@query(f"""with {fx.CUBE}, m as (select t, y, x from cube where v > 0.35), k as (select distinct c.t, c.y, c.x from cube c join m on abs(c.t - m.t) <= 1 and (c.y - m.y) ** 2 + (c.x - m.x) ** 2 < 9),
+g as (select t from (select t, 600 * t + case when t > 10 then 3600 else 0 end as s from (select distinct t from cube)) qualify lead(s) over (order by t) - s > 900),
+l as (select distinct unnest([t, t + 1, t + 2]) as t from g)
+select t, y, x, y between 3 and 16 and x between 3 and 60 and t between 1 and (select max(t) from cube) - 1 and (t, y, x) not in (select (t, y, x) from k) and t not in (select t from l) as inside from cube""")
+def edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels away from the border, from missing ones and from a gap in time."""
+    c = fx.cube(spark, sf_dir)
+    times = c.select("t").distinct().select("t", (600 * F.col("t") + F.when(F.col("t") > 10, 3600).otherwise(0)).alias("seconds"))
+    return validation.edge_filter(c, 3, 1, F.col("v") > 0.35, times)
+
+
+@query()
+def validation_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection and false alarms of cores, of anvils, and of those that have each other."""
+    cores, ev = _rare(spark, sf_dir), _events(spark, sf_dir)
+    anvils = fx.label(spark, sf_dir).select("t", "y", "x", "label")
+    index = cores.where("label <> 0").join(anvils.select("t", "y", "x", F.col("label").alias("anvil")), ["t", "y", "x"]).groupBy(F.col("label").alias("core")).agg(F.max(F.when(F.col("anvil") % 2 == 0, F.col("anvil")).otherwise(0)).alias("anvil"))
+    both = validation.with_partners(cores, anvils, index)
+    grid = fx.cube(spark, sf_dir).select("t", "y", "x")
+    kinds = {"core": cores, "core_with_anvil": both[0], "anvil": anvils, "anvil_with_core": both[1]}
+    return r6(validation.validate_all(kinds, ev, grid, validation.edge_filter(grid, 3, 1), 6.0, 1)[1])

@@ -33,6 +33,7 @@ class Preset:
     smoothing: int = 1
 
 
+#: Thresholds of the three kinds of source.
 PRESETS = {
     "goes": Preset(0.5, 0.25, 4, 3, (-5.0, -12.5), (0.0, -7.5)),
     "native": Preset(0.25, 0.25, 1, 2, (-5.0, -10.0), (0.0, -5.0)),
@@ -45,7 +46,7 @@ def detect(pixels: DataFrame, preset: Preset, flow: DataFrame | None = None, chu
     field = lambda c: pixels.select(*KEY, c.alias("v"))
     bt, wvd, swd = F.col("bt"), F.col("wvd"), F.col("swd")
     flow = linking.stored(frames.optical_flow(field(bt), smoothing=preset.smoothing) if flow is None else flow)
-    cores = detection.detect_cores(flow, field(bt), field(wvd), field(swd), preset.bt_growth, preset.wvd_growth, preset.overlap, preset.absolute, preset.min_length)
+    cores = detection.detect_cores(flow, field(bt), field(wvd), field(swd), preset.bt_growth, preset.wvd_growth, preset.overlap, preset.absolute, min_length=preset.min_length)
     thick_field, thin_field = field(wvd - swd), field(wvd + swd)
     markers = detection.anvil_markers(flow, thick_field, preset.thick[0], preset.overlap, preset.absolute, preset.min_length)
     thick = linking.stored(detection.detect_anvils(flow, thick_field, markers, *preset.thick, preset.erode, preset.min_length, chunk=chunk))

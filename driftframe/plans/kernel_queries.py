@@ -113,10 +113,63 @@ def optical_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(frames.optical_flow(fx.cube(spark, sf_dir)))
 
 
+def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A field that falls, one that rises and one that shows cirrus in places."""
+    c = fx.cube(spark, sf_dir)
+    return c, frames.gaussian(c, 1.0).withColumn("v", -F.col("v")), c.withColumn("v", 10 * F.col("v") + F.col("x") / 16)
+
+
 @query()
 def detect_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.cube(spark, sf_dir)
-    return detection.detect_cores(fx.flow(spark, sf_dir), c, bt_threshold=0.02, overlap=0.1, absolute=1, min_length=1, min_cooling=0.0, method="nearest", use_filters=False)
+    """Cores in two channels, with filters and cubic sampling."""
+    bt, wvd, swd = _channels(spark, sf_dir)
+    return detection.detect_cores(fx.flow(spark, sf_dir, 0.5), bt, wvd, swd, 0.02, 0.01, overlap=0.1, absolute=1, min_length=1, min_wvd=0.05, min_cooling=0.05)
+
+
+@query()
+def combined_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where either channel bends or peaks, less cirrus."""
+    return r6(detection.combined_filter(fx.flow(spark, sf_dir), *_channels(spark, sf_dir)))
+
+
+@query()
+def growth_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growing regions of one channel as objects."""
+    return detection.growth_markers(fx.flow(spark, sf_dir), _channels(spark, sf_dir)[1], 0.01, 0.02, -0.1, 1)[1]
+
+
+@query()
+def growth_markers_multichannel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions that moisten or cool as objects."""
+    bt, wvd, _ = _channels(spark, sf_dir)
+    return detection.growth_markers_multichannel(fx.flow(spark, sf_dir), wvd, bt, 0.1, 1, 0.0, 1, 0.01, 0.02, -0.1)[2]
+
+
+@query()
+def edge_watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flood from high pixels over the background of a clipped field."""
+    field = frames.gaussian(fx.cube(spark, sf_dir), 1.0)
+    return detection.edge_watershed(fx.flow(spark, sf_dir), field, _markers(spark, sf_dir), 0.1, 0.0, 1, literal=False)
+
+
+@query()
+def relabel_anvils(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels split into regions and linked again, those that hold a high pixel."""
+    own = fx.label(spark, sf_dir).select("t", "y", "x", "label")
+    return detection.relabel_anvils(fx.flow(spark, sf_dir), own, _markers(spark, sf_dir).select("t", "y", "x", F.greatest("label", F.lit(0)).alias("label")), 0.1, 1, 1)
+
+
+@query()
+def link_overlap_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step labels linked along the flow in the order of their discovery."""
+    steps = fx.label(spark, sf_dir).select("t", "y", "x", F.when(F.col("label") != 0, F.col("label") * 1000 + F.col("t")).otherwise(0).cast("int").alias("label"))
+    return tracking.link_overlap(fx.flow(spark, sf_dir), steps, 0.3, 4)
+
+
+@query()
+def peak_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surroundings of the peaks of the smoothed field."""
+    return frames.peak_filter(fx.cube(spark, sf_dir), 0.5)
 
 
 @query()

@@ -26,6 +26,20 @@ def session_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
+@query(f"with {GAP} select core, min(ts) as start, max(ts) as \"end\", count(*) as steps from s group by core, object")
+def stream_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream."""
+    out = sessions.drained(spark, sessions.lifetimes(_stream(spark, sf_dir), "core", "ts", "16 hours"), "complete")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("select event_id, ts + to_hours((event_id % 5)::int) as received, event_id % 5 > 2 as late from events")
+def late_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that came in more than two hours after their time."""
+    e = fx.table(spark, sf_dir, "events").select("event_id", "ts", (F.col("ts") + F.make_dt_interval(F.lit(0), (F.col("event_id") % 5).cast("int"))).alias("received"))
+    return sessions.flag_late(e, "ts", "received", "2 hours").select("event_id", "received", "late")
+
+
 @query("select time_bucket(interval 6 hours, ts) as start, time_bucket(interval 6 hours, ts) + interval 6 hours as \"end\", count(*) as n from events group by 1, 2")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts in windows of six hours, from a stream."""

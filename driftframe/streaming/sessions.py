@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from driftframe.sources.store import shared_folder
+
 
 def lifetimes(events: DataFrame, key: str, time: str, gap: str = "16 minutes", late: str | None = None) -> DataFrame:
     """``key, start, end, steps`` of sessions of an object that no gap of ``gap`` interrupts. On a stream, ``late`` is
@@ -33,38 +37,42 @@ def flag_late(events: DataFrame, time: str, received: str, allowed: str) -> Data
     return events.withColumn("late", F.col(received) > F.col(time) + F.expr(f"interval {allowed}"))
 
 
-def carry_ids(steps: DataFrame, key: str, gap_seconds: float = 960.0) -> DataFrame:
+def carry_ids(steps: DataFrame, key: str, gap_seconds: float = 960.0, forget_after: str | None = None, time: str = "ts") -> DataFrame:
     """``key, t, object``: each key's steps numbered by object, a new one after each gap, the number and the last time
-    kept between batches. ``t`` is in seconds; rows of a batch are taken in order of time."""
+    kept between batches. ``t`` is in seconds; rows of a batch are taken in order of time. A step that comes in a later
+    batch than one after it belongs to the object of that batch's last step, however far back it is. With
+    ``forget_after``, a watermark on the timestamp ``time``, the state of a key goes a gap after its last step, once the
+    watermark is past that; should the key come again, its numbers start anew."""
 
     def run(k: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         number, last = state.get if state.exists else (0, float("-inf"))
-        rows = pd.concat(list(parts)).sort_values("t")
-        out = []
-        for t in rows["t"]:
-            if t - last > gap_seconds:
-                number += 1
-            last = max(last, t)
-            out.append(number)
-        state.update((number, last))
-        yield pd.DataFrame({key: [k[0]] * len(rows), "t": rows["t"].to_numpy(), "object": out})
-
-    return steps.select(F.col(key).cast("long").alias(key), F.col("t").cast("double").alias("t")).groupBy(key).applyInPandasWithState(
-        run, f"{key} long, t double, object long", "number long, last double", "append", GroupStateTimeout.NoTimeout
+        t = np.sort(np.concatenate([p["t"].to_numpy() for p in parts]))
+        before = np.maximum(np.r_[last, t[:-1]], last)
+        numbers = number + np.cumsum(t - before > gap_seconds)
+        last = max(last, float(t[-1]))
+        state.update((int(numbers[-1]), last))
+        if forget_after:
+            state.setTimeoutTimestamp(max(int((last + gap_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]] * len(t), "t": t, "object": numbers})
+
+    if forget_after:
+        steps = steps.withWatermark(time, forget_after)
+    kept = [time] if forget_after else []
+    return steps.select(F.col(key).cast("long").alias(key), F.col("t").cast("double").alias("t"), *kept).groupBy(key).applyInPandasWithState(
+        run, f"{key} long, t double, object long", "number long, last double", "append", GroupStateTimeout.EventTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
     )
 
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None) -> DataFrame:
-    """What a stream gives when it has read all there is, as a table in the folder for checkpoints."""
-    from driftframe.operators.linking import stored
-
-    stored(spark.range(0))  # names the folder
-    import uuid
-
-    base = checkpoint or f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    """What a stream gives when it has read all there is, as a table in the folder for checkpoints: all batches, or the
+    last one of a stream in ``complete`` mode."""
+    base = checkpoint or f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")
         if each:
             each(batch, number)
 

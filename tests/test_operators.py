@@ -185,8 +185,8 @@ def test_objects_follow_the_flow(spark):
 
 
 def test_ordered_groups_are_directed():
-    assert kernels.ordered_groups(3, {2: [1], 3: [2]}, {}) == {1: 1, 2: 2, 3: 3}
-    assert kernels.ordered_groups(3, {1: [2], 2: [3]}, {}) == {1: 1, 2: 1, 3: 1}
+    assert kernels.ordered_groups([1, 2, 3], {2: [1], 3: [2]}, {}) == {1: 1, 2: 2, 3: 3}
+    assert kernels.ordered_groups([1, 2, 3], {1: [2], 2: [3]}, {}) == {1: 1, 2: 1, 3: 1}
 
 
 def test_components_of_a_chain(spark):
