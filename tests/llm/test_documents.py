@@ -202,6 +202,15 @@ def test_hosts(spark):
     assert host_reputation.judge(d.limit(0)).count() == 0
 
 
+def test_labelled_outcomes(spark):
+    rows = [(i, f"http://{h}.bad.com/a", None) for i, h in enumerate(["a"] * 60 + ["b"] * 3)] + [(100 + i, f"http://{h}.org/", "x!! " * 9) for i, h in enumerate(["x"] * 300 + ["y"] * 9)] + [(None, None, None), (None, "http://a.bad.com/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(0, 409, 2)] + [(4, 0), (6, None), (None, 1)], "page_id long, bad int")
+    got = {r["host"]: (r["verdict"], r["reputation"]) for r in host_reputation.judge(pages, labels).collect()}
+    assert got["a.bad.com"][0] == "block" and got["x.org"][0] == "allow" and got[""] == ("allow", None) and got["a.bad.com"][1] > 0.9 > got["b.bad.com"][1]
+    assert host_reputation.judge(pages, labels.limit(0)).where("verdict = 'block'").count() == 0
+
+
 def test_reputation_shrinks(spark):
     rows = [("a.bad.com", 1)] * 50 + [("b.bad.com", 1)] * 40 + [("c.bad.com", 1)] + [("x.good.com", 0)] * 300 + [("y.good.com", 0)] * 5 + [("z.good.com", 1)]
     r = {x["host"]: x for x in host_reputation.reputation(spark.createDataFrame(rows, "host string, bad long")).collect()}
