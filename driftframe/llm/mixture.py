@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftframe.llm.text import cut, n_words
+from driftframe.llm.text import cut, n_words, stored
 
 #: Fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
@@ -26,8 +26,8 @@ GOLDEN = 0.6180339887498949
 SLOTS = 1 << 20
 #: A source is gone through so many times at most.
 MAX_EPOCHS = 3
-#: Slots of one chunk of the schedule.
-CHUNK = 1 << 14
+#: Slots of one chunk of the schedule, and cells of the interval in which slots and pieces meet.
+CHUNK, CELLS = 1 << 14, 1 << 12
 
 
 def source_order(source: Column) -> list[Column]:
@@ -78,7 +78,9 @@ def schedule(shares: DataFrame) -> DataFrame:
     i = F.col("id")
     point = i * F.lit(GOLDEN) - F.floor(i * F.lit(GOLDEN))
     slots = spark.range(1, int(n + 0.5) + 1).withColumn("point", point * F.lit(float(n)))
-    placed = slots.join(F.broadcast(shares), (F.col("point") >= F.col("lower")) & (F.col("point") < F.col("upper")))
+    cell = lambda c: F.floor(F.col(c) * F.lit(CELLS / (float(n) or 1.0))).cast("int")
+    pieces = shares.where("lower < upper").withColumn("cell", F.explode(F.sequence(cell("lower"), cell("upper"))))
+    placed = slots.withColumn("cell", cell("point")).join(pieces, "cell").where("point >= lower and point < upper")
     placed = placed.select("source", "id", F.floor(i / CHUNK).alias("chunk"))
     w = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = placed.groupBy("source", "chunk").count().withColumn("before", F.coalesce(F.sum("count").over(w), F.lit(0)))
@@ -104,18 +106,18 @@ def mix(docs: DataFrame, cycle: int = 3, epochs: int = MAX_EPOCHS, slots: int =
     block = F.greatest(F.ceil(total / F.lit(slots)), F.lit(1))
     t = t.withColumn("n_blocks", F.ceil(F.col("source_size") / block)).withColumn("slots", F.coalesce(F.col("target") * F.col("n_blocks") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
     w = Window.orderBy(*source_order(F.col("source")))
-    t = cut(t.withColumn("upper", F.sum("slots").over(w)).withColumn("lower", F.coalesce(F.lag("upper").over(w), F.lit(0.0))))
+    t = stored(t.withColumn("upper", F.sum("slots").over(w)).withColumn("lower", F.coalesce(F.lag("upper").over(w), F.lit(0.0))))
     blocks = t.select(F.col("source").alias("t_source"), "source_size", "target", "n_blocks")
     ranks = schedule(t.select("source", "lower", "upper"))
     same = F.col("source").eqNullSafe(F.col("t_source"))
     taken = (
-        ranks.join(F.broadcast(blocks), same)
+        ranks.join(blocks, same)
         .where(F.col("rank") < epochs * F.col("n_blocks"))
         .groupBy(F.col("source").alias("k_source"), (F.col("rank") % F.col("n_blocks")).alias("k_block"))
         .agg(F.count(F.lit(1)).alias("times"))
     )
     s, size, n, a = F.col("source_size"), F.col("size"), F.col("n_blocks"), F.col("start")
-    spans = streams(rows.where(F.col("size") > 0)).join(F.broadcast(blocks), same)
+    spans = streams(rows.where(F.col("size") > 0)).join(blocks, same)
     # block b holds the words from floor(b * s / n): word a is in block ceil((a + 1) * n / s) - 1
     of = lambda word: F.floor(((word + 1) * n - 1) / s)
     cut_at = lambda b: F.floor(b * s / n)
@@ -123,7 +125,7 @@ def mix(docs: DataFrame, cycle: int = 3, epochs: int = MAX_EPOCHS, slots: int =
     parts = parts.withColumn("words", F.least(a + size, cut_at(F.col("block") + 1)) - F.greatest(a, cut_at(F.col("block"))))
     got = parts.join(taken, F.col("source").eqNullSafe(F.col("k_source")) & (F.col("block") == F.col("k_block")), "left")
     full = got.groupBy("source", "start", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0))).alias("taken"))
-    none = rows.where(F.col("size") == 0).join(F.broadcast(blocks), same).withColumn("taken", F.lit(0).cast("long"))
+    none = rows.where(F.col("size") == 0).join(blocks, same).withColumn("taken", F.lit(0).cast("long"))
     columns = ["doc_id", "size", "source", "source_size", "target", "taken"]
     return full.select(*columns).unionByName(none.select(*columns))
 
