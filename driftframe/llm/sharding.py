@@ -7,7 +7,8 @@ cell, largest first, where the dot product of its vector with the shard's residu
 
 At most ``cells + spread * shards`` vectors reach the driver and come back as a broadcast: with the default
 parameters under 10,000 rows of five numbers. Texts are read once and never shuffled. Slots come from the counts of
-the cells placed before in the same shard plus the rank inside the cell, so no task holds a whole shard.
+the cells placed before in the same shard, the counts of the stretches before in the same cell and the rank inside
+the stretch, so no task holds a whole shard, nor a large cell.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from driftframe.llm.text import cut, n_words
 CELLS = 8192
 #: A group over 1 / SPREAD of a shard's bytes, tokens or rows is dealt out over cells of at most that size.
 SPREAD = 4
+#: Stretches that a cell's rows are ranked in.
+STRETCHES = 16
 
 
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -52,7 +55,7 @@ def assign(docs: DataFrame, shards: int = 8, cells: int = CELLS, spread: int = S
         n_words(text).alias("tokens"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.when(text.isNull(), F.lit(0)).otherwise(F.xxhash64(text)).alias("group"),
-    ))
+    )).withColumn("row", F.monotonically_increasing_id())  # of stored rows, so it doesn't change
     sums = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")]
     groups = rows.groupBy("group").agg(*sums)
     total = groups.agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n")).first()
@@ -68,7 +71,7 @@ def assign(docs: DataFrame, shards: int = 8, cells: int = CELLS, spread: int = S
         first[g] = start
         start += large[g]
     hot = F.broadcast(spark.createDataFrame([(g, first[g], large[g]) for g in sorted(large)], "`group` long, first long, parts long"))
-    cell = F.when(F.col("first").isNull(), F.pmod(F.col("group"), F.lit(cells))).otherwise(F.col("first") + F.pmod(F.xxhash64("doc_id", F.lit("deal")), F.col("parts")))
+    cell = F.when(F.col("first").isNull(), F.pmod(F.col("group"), F.lit(cells))).otherwise(F.col("first") + F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")))
     dealt = rows.join(hot, "group", "left").withColumn("cell", cell.cast("long")).drop("group", "first", "parts")
     found = dealt.groupBy("cell").agg(*sums).collect()
     found.sort(key=lambda r: r["cell"])
@@ -78,8 +81,13 @@ def assign(docs: DataFrame, shards: int = 8, cells: int = CELLS, spread: int = S
         plan.append((r["cell"], s, filled[s]))
         filled[s] += r["n"]
     placed = dealt.join(F.broadcast(spark.createDataFrame(plan, "cell long, shard int, before long")), "cell")
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size"))
-    return placed.withColumn("slot", F.col("before") + rank - 1).select("doc_id", "size", "tokens", "text_crc32", "shard", "slot")
+    placed = placed.withColumn("stretch", F.pmod(F.xxhash64("doc_id", "row"), F.lit(STRETCHES)))
+    # at most STRETCHES rows of three numbers for each cell, some 160,000 in all
+    sums = placed.groupBy("cell", "stretch").count()
+    sooner = Window.partitionBy("cell").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(sums.select("cell", "stretch", F.coalesce(F.sum("count").over(sooner), F.lit(0)).alias("start")))
+    rank = F.row_number().over(Window.partitionBy("cell", "stretch").orderBy("doc_id", "row"))
+    return placed.join(starts, ["cell", "stretch"]).withColumn("slot", F.col("before") + F.col("start") + rank - 1).select("doc_id", "size", "tokens", "text_crc32", "shard", "slot")
 
 
 def write(docs: DataFrame, path: str, shards: int = 8, **options: int) -> None:
