@@ -3,6 +3,7 @@
 import math
 import random
 import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -190,6 +191,49 @@ def test_shards(spark, odd, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
 
 
+def test_shards_against_packing_of_groups(spark):
+    rnd = random.Random(4)
+    texts = [None, "", *("w" * rnd.randint(1, 400) + " x" * rnd.randint(0, 20) + str(i) for i in range(60))]
+    rows = [(rnd.choice([None, i, i // 2]), rnd.choice(texts), "clash", 7) for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot int")
+    got = sharding.assign(d, 4).collect()
+    # every group is small against a shard, so each is one cell but for those that share a hash of the cell
+    groups = {}
+    for i, t, _, _ in rows:
+        groups.setdefault(t, []).append(i)
+    cells = {r["text"]: r["cell"] for r in spark.createDataFrame([(t,) for t in groups], "text string").select("text", F.when(F.col("text").isNull(), 0).otherwise(F.pmod(F.xxhash64("text"), F.lit(sharding.CELLS))).alias("cell")).collect()}
+    vectors = {}
+    for t, ids in groups.items():
+        v = np.array([len((t or "").encode()) + 1, len((t or "").split()), 1]) * len(ids)
+        vectors[cells[t]] = vectors.get(cells[t], 0) + v
+    order = sorted(vectors)
+    shard = dict(zip(order, sharding.pack(np.array([vectors[c] for c in order]), 4).tolist(), strict=True))
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), shard[cells[t]]) for i, t, _, _ in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == want
+    for k in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"word{i % 997}" for i in range(200_000))
+    rows = [(1, long, "a", 1, 2.0), (2, long + " end", "a", 3, 4.0), (3, "\n".join(["one line that is long enough"] * 50_000), "b", 5, 6.0), (None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, target int, score double").withColumns({"taken": F.lit("x"), "kept": F.lit(1), "row": F.lit(2), "cell": F.lit(3), "key": F.lit(4)})
+    sizes = {1: 200_000, 2: 200_001, 3: 300_000, None: 0}
+    assert {r["doc_id"]: r["size"] for r in mixture.mix(d).collect()} == sizes
+    again = mixture.repeated(d)
+    assert again.columns == d.columns and {r["doc_id"] for r in again.collect()} <= {1, 2, 3}
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.apply_rules(d).collect()} == sizes
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert quality_bayes.classify(d, labels).count() == 4 and quality_bayes.keep(d, labels).columns == d.columns
+    assert {r["doc_id"]: r["tokens"] for r in sharding.assign(d, 2).collect()} == sizes
+    from driftframe.llm import line_dedup, order_minhash
+
+    assert {r["doc_id"]: r["class_id"] for r in order_minhash.classes(d).collect()} == {1: 1, 2: 1, 3: 3, None: None}
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup(d).collect()} == {1: 0, 2: 0, 3: 49_999, None: 0}
+    for keep in (order_minhash.keep(d), line_dedup.dedup(d).drop("n_lines", "n_dropped")):
+        assert keep.columns == d.columns
+
+
 def test_hosts(spark):
     urls = [None, "no scheme", "http://A.Example.COM/en/1?x", "https://example.com/en/7", "http://notexample.com/en/7", "http://x.net/de/1#f", "http://a.example.net/de/8", "ftp://b.org/es/", "http://u@h.org:80?q", "x://y://z/", "http:///p"]
     d = spark.createDataFrame([(i, u, None, "c") for i, u in enumerate(urls)], "page_id long, url string, html string, verdict string")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -224,6 +225,53 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii.disclosing(copies, pii.found(copies)).count() == 0  # one text, however often
 
 
+def plain_spans(rows, support=3):
+    """Spans of every row by definition: all pairs of entities and terms, counted by document."""
+    base = [base_spans(t or "") for _, t in rows]
+    who = [{pii.entity(t, s) for s in b} for (_, t), b in zip(rows, base, strict=True)]
+    inside = lambda b, a, e: any(x < e and a < y for x, _, y in b)
+    words = [[(m.group().lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", t or "") if not inside(b, *m.span())] for (_, t), b in zip(rows, base, strict=True)]
+    anywhere = [set(re.findall(r"[^\W\d_]{3,}", (t or "").lower())) for _, t in rows]
+    said = [{w for w, _, _ in ws} for ws in words]
+    n, told = len(rows), [{} for _ in rows]
+    for e in set().union(*who):
+        docs = [k for k in range(n) if e in who[k]]
+        if len({rows[k][1] for k in docs}) < support:
+            continue
+        for term in set().union(*(said[k] for k in docs)):
+            both = [k for k in docs if term in said[k]]
+            if len({rows[k][1] for k in both}) < support:
+                continue
+            n_term = max(sum(term in a for a in anywhere), len(both))
+            ic = math.log(n / len(docs))
+            degree = math.log(n * len(both) / (n_term * len(docs))) / ic if ic else 0.0
+            if degree >= pii.GENERALISE - 1e-12:
+                for k in docs:
+                    told[k][term] = max(told[k].get(term, 0), 5 if degree >= pii.REMOVE else 4)
+    return [sorted(b + [(a, t[w], e) for w, a, e in ws if w in t]) for b, ws, t in zip(base, words, told, strict=True)]
+
+
+def test_method_spans_against_brute_force(spark):
+    rnd = random.Random(6)
+    people = {f"p{i}.q@mail{i}.example.com": [f"{w}{'abcdefgh'[i]}" for w in ("zorb", "quill", "Marn")] for i in range(6)}
+    common, rows = "the office was here and they all went home again".split(), []
+    for k in range(240):
+        words = [rnd.choice(common) for _ in range(rnd.randint(0, 20))]
+        if k % 3 == 0:
+            who = rnd.choice(list(people))
+            words += [rnd.choice([who, who, who.upper(), "+1 (212) 555-7209"]), *rnd.sample(people[who], rnd.randint(1, 3))]
+        if k % 17 == 0:
+            words.append(rnd.choice(rnd.choice(list(people.values()))))
+        rnd.shuffle(words)
+        rows.append((rnd.choice([k, None]), rnd.choice([" ".join(words), " ".join(words), "\n".join(words)]) or None))
+    rows += [rows[3], rows[3], (1000, None), (1001, "")]
+    got = pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = Counter((i, tuple(s)) for (i, _), s in zip(rows, plain_spans(rows), strict=True))
+    assert Counter((r["doc_id"], tuple(tuple(x) for x in r["spans"])) for r in got) == want
+    kinds = Counter(k for _, s in want.elements() for _, k, _ in s)
+    assert kinds[4] > 5 and kinds[5] > 5
+
+
 def test_terms_anywhere_in_a_document(spark):
     rows = [(i, f"zorblatt\n\nmail a.b@c.de\n{'so it is here ' * 9}{i}\nask zorblatt") for i in range(6)] + [(100 + i, f"mail ask here and there {i}") for i in range(60)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
@@ -238,6 +286,19 @@ def test_pii_odd_cases(spark):
     assert pii.spans(d.limit(0)).count() == 0
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7, " \n\t", None, None, None), (7, " \n\t", None, None, None), (8, "w " * 100_000, "en", "s", 200_000)], base.schema)
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd, base.limit(0), odd.withColumns({"row": F.lit(1), "key": F.lit("k"), "kept": F.lit(0), "size": F.lit(2.0), "tokens": F.lit(None).cast("string")})):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.count() <= docs.count() * 3
+            assert out.columns == docs.columns if name != "byte_bpe" else set(out.columns) >= {"doc_id", "ids"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
