@@ -31,7 +31,7 @@ from driftframe.llm.text import cut
 BLOCK = 4096
 #: Queries of one block that are compared at once.
 QUERIES = 512
-TABLES, PROBES = 12, 8
+TABLES, PROBES = 8, 12
 #: So many times the probes for each axis of a bucket after the first.
 WIDER = 16
 DEEPEST = 4
