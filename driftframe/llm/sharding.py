@@ -23,8 +23,8 @@ from driftframe.llm.text import cut, n_words
 CELLS = 8192
 #: A group over 1 / SPREAD of a shard's bytes, tokens or rows is dealt out over cells of at most that size.
 SPREAD = 4
-#: Stretches that a cell's rows are ranked in.
-STRETCHES = 16
+#: A cell of over so many times the mean number of rows is ranked in stretches of about that size.
+STRETCH = 4
 
 
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -78,11 +78,11 @@ def assign(docs: DataFrame, shards: int = 8, cells: int = CELLS, spread: int = S
     where = pack(np.array([[r["b"], r["t"], r["n"]] for r in found]).reshape(-1, 3), shards)
     filled, plan = [0] * shards, []
     for r, s in zip(found, where.tolist(), strict=True):
-        plan.append((r["cell"], s, filled[s]))
+        plan.append((r["cell"], s, filled[s], -(-r["n"] * len(found) // (STRETCH * total["n"]))))
         filled[s] += r["n"]
-    placed = dealt.join(F.broadcast(spark.createDataFrame(plan, "cell long, shard int, before long")), "cell")
-    placed = placed.withColumn("stretch", F.pmod(F.xxhash64("doc_id", "row"), F.lit(STRETCHES)))
-    # at most STRETCHES rows of three numbers for each cell, some 160,000 in all
+    placed = dealt.join(F.broadcast(spark.createDataFrame(plan, "cell long, shard int, before long, stretches long")), "cell")
+    placed = placed.withColumn("stretch", F.pmod(F.xxhash64("doc_id", "row"), F.col("stretches")))
+    # at most a row of three numbers for each cell and a quarter as many more
     sums = placed.groupBy("cell", "stretch").count()
     sooner = Window.partitionBy("cell").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     starts = F.broadcast(sums.select("cell", "stretch", F.coalesce(F.sum("count").over(sooner), F.lit(0)).alias("start")))
@@ -91,12 +91,14 @@ def assign(docs: DataFrame, shards: int = 8, cells: int = CELLS, spread: int = S
 
 
 def write(docs: DataFrame, path: str, shards: int = 8, **options: int) -> None:
-    """Write ``doc_id, text`` with its shard as folders ``shard=<n>`` under ``path``."""
-    placed = assign(docs, shards, **options).select("doc_id", "text_crc32", "size", "shard").distinct()
+    """Write ``doc_id, text`` with its shard as folders ``shard=<n>`` under ``path``, each row once."""
+    keys = ["doc_id", "text_crc32", "size"]
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))).alias("copy")  # equal rows may be in different shards
+    placed = assign(docs, shards, **options).select(*keys, "shard", copy)
     text = F.col("text").cast("string")
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-    )
-    same = [keyed[c].eqNullSafe(placed[c]) for c in ("doc_id", "text_crc32", "size")]
-    keyed.join(placed, same[0] & same[1] & same[2]).select(keyed["doc_id"], keyed["text"], placed["shard"]).write.partitionBy("shard").parquet(path)
+    ).select(*keys, "text", copy)
+    same = [keyed[c].eqNullSafe(placed[c]) for c in [*keys, "copy"]]
+    keyed.join(placed, same[0] & same[1] & same[2] & same[3]).select(keyed["doc_id"], keyed["text"], placed["shard"]).write.partitionBy("shard").parquet(path)

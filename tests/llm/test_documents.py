@@ -187,6 +187,10 @@ def test_shards(spark, odd, tmp_path):
     assert p["b"].max() / p["b"].min() < 1.1 and p["n"].max() / p["n"].min() < 1.1
     few = docs.where("doc_id % 3 <> 0").join(a.select("doc_id", "shard"), "doc_id").groupBy("text").agg(F.countDistinct("shard").alias("k"))
     assert few.where("k > 1").count() == 0
+    alike = odd.unionByName(spark.createDataFrame([(None, "hot", "x", "k")] * 90 + [(9, "hot", "x", "k")] * 90, odd.schema))
+    sharding.write(alike, str(tmp_path / "alike"), 3)
+    assert Counter(map(tuple, spark.read.parquet(str(tmp_path / "alike")).select("doc_id", "text").collect())) == Counter(map(tuple, alike.select("doc_id", "text").collect()))
+    assert sharding.assign(alike, 3).where("size = 4").select("shard").distinct().count() == 3
     sharding.write(docs, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
 
