@@ -4,7 +4,8 @@ A tap of pixel (t, y, x) with offset (dt, dy, dx) samples frame t + dt at (y + f
 vector is the pixel's forward one for dt = 1, its backward one for dt = -1 and zero for dt = 0. Same-step and
 nearest taps are one equi-join on integer coordinates; linear, cubic and Lanczos ones a join on the 4, 16 or 64
 pixels around with weights.
-Joins and the aggregation that follows hash on coordinates, so work spreads evenly over frames.
+Joins and the aggregation that follows hash on coordinates, so work spreads evenly over frames. The stencils that
+detection is made of (differences, means along the flow, Sobel) run on tiles instead, see ``tiles``.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftframe.operators import tiles
+
 KEY = ["t", "y", "x"]
 Offset = tuple[int, int, int]
 
@@ -121,25 +124,14 @@ def convolve(data: DataFrame, flow: DataFrame | None, offsets: Sequence[Offset],
     return data.select(*KEY, F.col(value).alias("_own")).join(got, KEY).select(*KEY, F.when(F.col("_own").isNotNull(), F.col("value")).alias("value"))
 
 
-def _pivoted(data: DataFrame, flow: DataFrame, method: str, value: str) -> DataFrame:
-    """Pixels with ``prev`` and ``next`` along the flow beside their own value."""
-    t = taps(data, flow, [(-1, 0, 0), (1, 0, 0)], method, value)
-    both = t.groupBy(*KEY).agg(F.max(F.when(F.col("tap") == 0, F.col("value"))).alias("prev"), F.max(F.when(F.col("tap") == 1, F.col("value"))).alias("next"))
-    return data.select(*KEY, F.col(value).alias("v")).join(both, KEY)
-
-
 def diff(data: DataFrame, flow: DataFrame, method: str = "linear", value: str = "v") -> DataFrame:
     """Lagrangian time difference: the mean of what there is of next - own and own - previous, 0 if neither is."""
-    p = _pivoted(data, flow, method, value)
-    forward, backward = F.col("next") - F.col("v"), F.col("v") - F.col("prev")
-    n = F.greatest(F.col("next").isNotNull().cast("int") + F.col("prev").isNotNull().cast("int"), F.lit(1))
-    d = (F.coalesce(forward, F.lit(0.0)) + F.coalesce(backward, F.lit(0.0))) / n
-    return p.select(*KEY, F.when(F.col("v").isNotNull(), d).alias("value"))
+    return tiles.moving(data, flow, tiles.diff, method, 0, value)
 
 
 def filtered_tdiff(data: DataFrame, flow: DataFrame, method: str = "linear", value: str = "v") -> DataFrame:
     """Mean over the previous, own and next step along the flow."""
-    return convolve(data, flow, [(-1, 0, 0), (0, 0, 0), (1, 0, 0)], F.avg("value"), method, value)
+    return tiles.moving(data, flow, tiles.average, method, 0, value)
 
 
 def time_steps(data: DataFrame, times: DataFrame | None = None) -> DataFrame:
@@ -153,8 +145,8 @@ def time_steps(data: DataFrame, times: DataFrame | None = None) -> DataFrame:
 
 def growth_rate(data: DataFrame, flow: DataFrame, method: str = "linear", times: DataFrame | None = None, value: str = "v") -> DataFrame:
     """Lagrangian difference per minute, then the mean over the cross of five pixels of the same step."""
-    rate = diff(data, flow, method, value).join(F.broadcast(time_steps(data, times)), "t").select(*KEY, (F.col("value") / F.col("minutes")).alias("v"))
-    return convolve(rate, None, CROSS, F.avg("value"))
+    mean = tiles.moving(data, flow, tiles.growth, method, 1, value)
+    return mean.join(F.broadcast(time_steps(data, times)), "t").select(*KEY, (F.col("value") / F.col("minutes")).alias("value"))
 
 
 def sobel(data: DataFrame, flow: DataFrame, direction: str | None = None, method: str = "nearest", value: str = "v") -> DataFrame:
@@ -162,22 +154,7 @@ def sobel(data: DataFrame, flow: DataFrame, direction: str | None = None, method
     falls from the centre (a missing tap counts as level there, and takes no part in the plain one)."""
     if direction not in (None, "uphill", "downhill"):
         raise ValueError("direction is None, uphill or downhill")
-    offsets = full()
-    centre = data.select(*KEY, F.col(value).alias("_own"))
-    d = F.col("value") - F.col("_own")
-    if direction == "uphill":
-        d = F.greatest(F.coalesce(d, F.lit(0.0)), F.lit(0.0))
-    elif direction == "downhill":
-        d = F.least(F.coalesce(d, F.lit(0.0)), F.lit(0.0))
-    smooth = {-1: 1, 0: 2, 1: 1}
-
-    def axis(k: int) -> Column:
-        weights = [o[k] * smooth[o[(k + 1) % 3]] * smooth[o[(k + 2) % 3]] for o in offsets]
-        return F.coalesce(F.sum(d * F.get(F.array(*map(F.lit, weights)), F.col("tap"))), F.lit(0))
-
-    t = taps(data, flow, offsets, method, value).join(centre, KEY)
-    total = axis(0) * axis(0) + axis(1) * axis(1) + axis(2) * axis(2)
-    return t.groupBy(*KEY, "_own").agg(F.sqrt(total).alias("value")).select(*KEY, F.when(F.col("_own").isNotNull(), F.col("value")).alias("value"))
+    return tiles.moving(data, flow, lambda tile: tiles.sobel(tile, direction), method, 1, value)
 
 
 def argmin_tap(data: DataFrame, key: DataFrame, flow: DataFrame, offsets: Sequence[Offset], value: str = "v") -> DataFrame:

@@ -45,8 +45,8 @@ def edge_filter(grid: DataFrame, margin: int, time_margin: int, missing: Column
         lost = gaps.select(F.explode(F.sequence(c("t") - time_margin + 1, c("t") + time_margin + 1)).alias("t")).distinct().withColumn("_lost", F.lit(True))
         out = out.join(lost, "t", "left").withColumn("inside", c("inside") & c("_lost").isNull())
     if missing is not None:
-        holes = cylinder_distance(grid.select(*KEY, F.coalesce(missing, F.lit(False)).cast("int").alias("label")), time_margin)
-        out = out.join(holes, KEY).withColumn("inside", c("inside") & F.coalesce(c("v") >= margin, F.lit(True)))
+        holes = cylinder_distance(grid.select(*KEY, F.coalesce(missing, F.lit(False)).cast("int").alias("label")), time_margin).withColumnRenamed("v", "_far")
+        out = out.join(holes, KEY).withColumn("inside", c("inside") & F.coalesce(c("_far") >= margin, F.lit(True)))
     return out.select(*KEY, "inside")
 
 

@@ -99,12 +99,12 @@ def filtered_tdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(stencil.filtered_tdiff(fx.holed(spark, sf_dir), fx.flow(spark, sf_dir), "nearest"))
 
 
-def _sobel_sql(d: str) -> str:
+def _sobel_sql(d: str, digits: int = 6) -> str:
     w = {-1: 1, 0: 2, 1: 1}
     rows = ", ".join(f"({i}, {t}, {y}, {x}, {t * w[y] * w[x]}, {y * w[t] * w[x]}, {x * w[t] * w[y]})" for i, (t, y, x) in enumerate(stencil.full()))
     return f"""with {fx.FLOW}, o as (select * from (values {rows}) as _(tap, dt, dy, dx, wt, wy, wx)), {NEAREST.format(src='cube')},
 g as (select k.t, k.y, k.x, {d} as d, wt, wy, wx from taps k join o using (tap) join cube c on c.t = k.t and c.y = k.y and c.x = k.x)
-select t, y, x, round(sqrt(coalesce(sum(d * wt), 0) ** 2 + coalesce(sum(d * wy), 0) ** 2 + coalesce(sum(d * wx), 0) ** 2), 6) as value from g group by t, y, x"""
+select t, y, x, round(sqrt(coalesce(sum(d * wt), 0) ** 2 + coalesce(sum(d * wy), 0) ** 2 + coalesce(sum(d * wx), 0) ** 2), {digits}) as value from g group by t, y, x"""
 
 
 @query(_sobel_sql("value - v"))
@@ -122,6 +122,18 @@ def sobel_downhill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(stencil.sobel(fx.cube(spark, sf_dir), fx.flow(spark, sf_dir), "downhill"))
 
 
+@query(f"""select t, y, x, round(case when s.value > 0 then s.value + 1 else s.value end - v, 5) as value from ({_sobel_sql("greatest(coalesce(value - v, 0), 0)", 12)}) s join (with {fx.CUBE} select * from cube) c using (t, y, x)""")
+def edge_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uphill edges less the field, to flood over."""
+    return stencil.edge_field(fx.cube(spark, sf_dir), fx.flow(spark, sf_dir), "nearest").withColumn("value", F.round("value", 5))
+
+
+@query(f"with {fx.FLOW}, {_o(stencil.full(1))}, {NEAREST.format(src='cube')}, m as (select t, y, x, min(value) as m from taps group by t, y, x) select t, y, x, v = m as value from cube join m using (t, y, x)")
+def local_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels that are the least of their neighbours along the flow."""
+    return stencil.local_min(fx.cube(spark, sf_dir), fx.flow(spark, sf_dir), stencil.full(1))
+
+
 @query(f"""with {fx.FLOW}, k as (select * from flow union all select t, y, x, 2.0 * fy, 0.5 * fx, 2.0 * "by", 0.5 * bx from flow),
 w as (select *, sqrt(fx * fx + fy * fy) as f, sqrt(bx * bx + "by" * "by") as b from k)
 select t, y, x, round(sum(fx * f) / nullif(sum(f), 0), 6) as fx, round(sum(fy * f) / nullif(sum(f), 0), 6) as fy, round(sum(bx * b) / nullif(sum(b), 0), 6) as bx, round(sum("by" * b) / nullif(sum(b), 0), 6) as "by" from w group by t, y, x""")

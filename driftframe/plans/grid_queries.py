@@ -106,7 +106,7 @@ def geodesic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(p.select("k", d.alias("km")))
 
 
-FLASH = "flash as (select epoch_us(ts) / 1e6 as s, user_id % 20 as y, event_id % 64 as x from events where event_type = 'error'), scan as (select i as t, m + i * 21600.0 as s from range(100) r(i), (select min(epoch_us(ts)) / 1e6 as m from events))"
+FLASH = "flash as (select epoch_us(ts) / 1e6 as s, user_id % 20 as y, event_id % 64 as x from events where event_type = 'error'), scan as (select i as t, m + i * 21600.0 as s from range(200) r(i), (select min(epoch_us(ts)) / 1e6 as m from events))"
 SPAN = "span as (select t, s, s - least(coalesce(s - lag(s) over g, lead(s) over g - s), 10800) / 2 as lo, s + least(coalesce(lead(s) over g - s, s - lag(s) over g), 10800) / 2 as hi from scan window g as (order by s))"
 
 
@@ -115,7 +115,7 @@ def _flashes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     flash = e.where("event_type = 'error'").select(s.alias("s"), (F.col("user_id") % 20).alias("y"), (F.col("event_id") % 64).alias("x"))
     first = e.agg(F.min(s).alias("m"))
-    scan = spark.range(100).join(F.broadcast(first)).select(F.col("id").alias("t"), (F.col("m") + F.col("id") * 21600.0).alias("s"))
+    scan = spark.range(200).join(F.broadcast(first)).select(F.col("id").alias("t"), (F.col("m") + F.col("id") * 21600.0).alias("s"))
     return flash, scan
 
 
@@ -126,6 +126,21 @@ def interval_join_gridding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regrid.interval_join(flash, regrid.windows(scan, 10800.0), slot=10800.0).groupBy("t", "y", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"with {FLASH}, w as (select t, m.s - 10800 as lo, m.s + 10800 as hi from scan m) select t, y, x, count(*) as n from flash f join w on f.s >= w.lo and f.s < w.hi group by t, y, x")
+def half_open_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flashes of spans that hold their beginnings."""
+    flash, scan = _flashes(spark, sf_dir)
+    spans = scan.select("t", (F.col("s") - 10800).alias("lo"), (F.col("s") + 10800).alias("hi"))
+    return regrid.interval_join(flash, spans, slot=10800.0, closed_left=True).groupBy("t", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {PLACES}, b as (select min(lat) + 20.0 as lat0, max(lat) - 20.0 as lat1, min(lon) + 20.0 as lon0, max(lon) - 20.0 as lon1 from places) select k, lat, lon from places, b where lat > lat0 - 0.005 and lat < lat1 + 0.005 and lon > lon0 - 0.005 and lon < lon1 + 0.005")
+def sites_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _places(spark, sf_dir)
+    box = p.agg(*((f(c) + d).alias(f"{c}{k}") for c in ("lat", "lon") for f, d, k in ((F.min, 20.0, 0), (F.max, -20.0, 1))))
+    return regrid.sites_inside(p.select("k", "lat", "lon"), box)
+
+
 @query(f"""with {FLASH}, p as (select f.s, f.y, f.x, k.t, abs(k.s - f.s) as d, k.s as ks from flash f left join scan k on abs(k.s - f.s) <= 7200)
 select round(s, 6) as s, y, x, arg_min(t, {{'d': d, 'k': ks}}) filter (t is not null) as t from p group by s, y, x""")
 def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,13 +149,13 @@ def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regrid.asof_nearest(flash, scan, 7200.0).select(F.round("s", 6).alias("s"), "y", "x", "t")
 
 
-@query(f"with {FLASH}, n as (select y, x, count(*) as n from flash group by y, x) select t, y, x, case when t % 9 = 4 then -1 else coalesce(case when t = 0 then n end, 0) end as n from (select i as t from range(10) r(i)) cross join (select i as y from range(20) r(i)) cross join (select i as x from range(64) r(i)) left join n using (y, x)")
+@query(f"with {FLASH}, n as (select floor(s / 259200)::bigint % 10 as t, y, x, count(*) as n from flash group by all) select t, y, x, case when t % 9 = 4 then -1 else coalesce(n, 0) end as n from (select i as t from range(10) r(i)) cross join (select i as y from range(20) r(i)) cross join (select i as x from range(64) r(i)) left join n using (t, y, x)")
 def flash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts on a full grid, -1 at steps without observations."""
     flash, _ = _flashes(spark, sf_dir)
     grid = spark.range(10 * 20 * 64).select(F.floor(F.col("id") / 1280).alias("t"), (F.floor(F.col("id") / 64) % 20).alias("y"), (F.col("id") % 64).alias("x"))
     covered = spark.range(10).where("id % 9 <> 4").select(F.col("id").alias("t"))
-    return regrid.counted(flash.withColumn("t", F.lit(0).cast("long")), grid, covered)
+    return regrid.counted(flash.withColumn("t", F.floor(F.col("s") / 259200) % 10), grid, covered)
 
 
 @query("""with e as (select i, case when i = 0 then 0.0 else i * 2500.0 - 1250 end as lo, case when i = 20 then 50000.0 else i * 2500.0 + 1250 end as hi from range(21) r(i))
@@ -234,7 +249,7 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pixel_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spacing and area of a regular grid of a quarter of a degree."""
-    grid = fx.cube(spark, sf_dir).where("t = 0").select("y", "x", (20 + F.col("y") / 4).alias("lat"), (-90 + F.col("x") / 4).alias("lon"))
+    grid = fx.cube(spark, sf_dir).select("y", "x").distinct().select("y", "x", (20 + F.col("y") / 4).alias("lat"), (-90 + F.col("x") / 4).alias("lon"))
     return r6(geo.pixel_spacing(grid))
 
 

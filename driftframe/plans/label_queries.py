@@ -135,3 +135,30 @@ def file_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each file's labels start in the global numbering, and its neighbours."""
     e = fx.table(spark, sf_dir, "events")
     return linking.offsets(e.groupBy(F.trunc("ts", "month").alias("file")).agg(F.max("user_id").alias("max_label")))
+
+
+@query(f"with {fx.LABEL}, k as (select distinct label from label where label <> 0) select label, case when label % 3 = 0 then label * 10 else 100 + row_number() over (partition by label % 3 = 0 order by label) end as global_label from k")
+def carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a new file: linked ones keep their number, others count on."""
+    known = _label(spark, sf_dir).where("label <> 0").select("label").distinct()
+    c = F.col("label")
+    return linking.carry_over(known, F.when(c % 3 == 0, c * 10), 100).select("label", F.col("global_label").cast("long").alias("global_label"))
+
+
+@query(f"""with {fx.LABEL}, p as (select f, t, y, x, case when (t + f) % 3 = 0 then 0 else label * 10 + f end as label from label, (select unnest([0, 1, 2]) as f) where t between 6 * f and 6 * f + 10),
+s as (select f, min(t) as lo, max(t) as hi from p group by f), i as (select p.* from p join s using (f) where t > lo and t < hi)
+select p.f as file, p.t, p.y, p.x, coalesce(nullif(p.label, 0), nullif(a.label, 0), nullif(b.label, 0), 0) as label from p left join i a on a.f = p.f - 1 and a.t = p.t and a.y = p.y and a.x = p.x left join i b on b.f = p.f + 1 and b.t = p.t and b.y = p.y and b.x = p.x""")
+def merge_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of files filled from the files before and after."""
+    c = F.col
+    p = _label(spark, sf_dir).withColumn("file", F.explode(F.array(*map(F.lit, range(3))))).where("t between 6 * file and 6 * file + 10")
+    own = F.when((c("t") + c("file")) % 3 == 0, 0).otherwise(c("label") * 10 + c("file"))
+    return linking.merge_neighbours(p.select("file", "t", "y", "x", own.alias("label")))
+
+
+@query(f"""with recursive {fx.LABELS2}, n as (select a.label as a, b.label as b, count(*) as n from label a join label2 b using (t, y, x) where a.label <> 0 and b.label <> 0 group by all), e as (select 'a' || lpad(a::varchar, 12, '0') as p, 'b' || lpad(b::varchar, 12, '0') as q from n where n > 300),
+u as (select p, q from e union select q, p from e), r as (select p as node, p as root from u union select u.q, r.root from r join u on u.p = r.node)
+select left(node, 1) as side, substr(node, 2)::bigint as label, min(root) as root from r group by node""")
+def bipartite_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of two cubes closed over their overlaps."""
+    return linking.bipartite_closure(_label(spark, sf_dir), _label(spark, sf_dir, 3), 0.0, 300)

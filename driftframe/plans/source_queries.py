@@ -9,7 +9,7 @@ from driftframe.functions import radiance
 from driftframe.plans import fixtures as fx
 from driftframe.plans.registry import query
 from driftframe.plans.stat_queries import r6
-from driftframe.sources import frames
+from driftframe.sources import files, frames
 
 CHANNELS = fx.CUBE + """, ch as (select t, y, x, 270 + 20 * v as C13, case when (t + y + x) % 17 <> 0 then 240 + 10 * v end as C08, 245 + 5 * v as C10, 268 + 19 * v as C15, case when (y * x) % 31 = 7 then 1 else 0 end as DQF_C13 from cube)"""
 
@@ -71,6 +71,40 @@ def true_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(fx.cube(spark, sf_dir).select("t", "y", "x", rgb.alias("c")).select("t", "y", "x", "c.*"))
 
 
+@query(f"""with {fx.CUBE}, c as (select t, y, x, v + 0.5 as c02, 250 + 40 * v as c08, 260 + 50 * v as c13, greatest(v + 0.4, 0.05) as mu from cube)
+select t, y, x, round(least(greatest((c08 - c13 + 35) / 40, 0), 1), 6) as r, round(least(greatest((c02 / mu - 0.7) / 0.3, 0), 1), 6) as g, round(1 - least(greatest((c13 - 243.6) / 49, 0), 1), 6) as b from c""")
+def deep_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("v")
+    rgb = radiance.deep_cloud(v + 0.5, 250 + 40 * v, 260 + 50 * v, v + 0.4)
+    return r6(fx.cube(spark, sf_dir).select("t", "y", "x", rgb.alias("c")).select("t", "y", "x", "c.*"))
+
+
+@query("with f as (select event_id, ts from events), b as (select min(ts) + interval 10 days as lo, min(ts) + interval 20 days as hi from f) select event_id, ts from f, b where ts >= lo and ts <= hi - interval 1 second")
+def trimmed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of ten days."""
+    e = fx.table(spark, sf_dir, "events").select("event_id", "ts")
+    b = F.broadcast(e.agg((F.min("ts") + F.expr("interval 10 days")).alias("lo"), (F.min("ts") + F.expr("interval 20 days")).alias("hi")))
+    return files.trim(e.join(b), F.col("lo"), F.col("hi"), "ts").select("event_id", "ts")
+
+
+@query("""with m as (select min(ts) + interval 10 days as lo, min(ts) + interval 20 days as hi from events) select event_id, ts from events, m where ts >= lo and ts < hi
+union all (select event_id, ts from events, m where ts < lo order by ts desc, event_id desc limit 12) union all (select event_id, ts from events, m where ts >= hi order by ts, event_id limit 12)""")
+def padded_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with twelve steps on either side."""
+    e = fx.table(spark, sf_dir, "events").select("event_id", "ts")
+    lo, hi = (F.lit(e.agg(F.min("ts")).first()[0]) + F.expr(f"interval {n} days") for n in (10, 20))
+    return files.padded(e, lo, hi, 12, "ts")
+
+
+@query("select p_partkey as k, 'part-' || p_partkey as name, 1000 + p_size * 10 as length from part where abs(10 * p_size + 1000 - (1000 + (p_partkey % 50) * 10)) <= 1.0 + 0.1 * (1000 + (p_partkey % 50) * 10)")
+def same_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files about as long as a manifest says."""
+    name = F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("name")
+    p = fx.table(spark, sf_dir, "part")
+    manifest = p.select(name, (1000 + F.col("p_partkey") % 50 * 10).alias("size"))
+    return files.same_size(p.select(F.col("p_partkey").alias("k"), name, (1000 + F.col("p_size") * 10).alias("length")), manifest).select("k", "name", "length")
+
+
 @query("""with f as (select l_orderkey as k, l_linenumber as n, l_extendedprice as sw, l_extendedprice * (1 - l_discount) as swc, l_quantity * 1000 as lw, l_quantity * 990 as lwc from lineitem)
 select k, n, round(sw - swc, 6) as toa_swup_cre, round(lw - lwc, 6) as toa_lwup_cre, round(-((sw - swc) + (lw - lwc)), 6) as toa_net_cre from f""")
 def radiative_effects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from driftframe.operators import detection, kernels, stencil, tracking, validation
+from driftframe.operators import detection, kernels, stencil, tiles, tracking, validation
 
 CROSS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
 
@@ -273,3 +273,12 @@ def test_distances(spark):
         assert np.allclose(v, want, equal_nan=True)
         for p in np.ndindex(marks.shape):
             assert math.isnan(near[p]) if math.isnan(want[p]) else any(marks[tuple(q)] == near[p] for q in at)
+
+
+@pytest.mark.parametrize("method", ["nearest", "cubic"])
+def test_small_tiles_give_the_same(spark, scene, method):
+    bt, _, _, flow = scene
+    t, f = table(spark, bt), flow_table(spark, *flow)
+    for one in (tiles.diff, tiles.growth, tiles.average, lambda tile: tiles.sobel(tile, "uphill")):
+        whole, small = (cube_of(tiles.moving(t, f, one, method, tile=n), "value", bt.shape) for n in (512, 4))
+        assert np.allclose(whole, small, equal_nan=True) and np.isfinite(whole).any()
