@@ -115,7 +115,7 @@ def edge_watershed(flow: DataFrame, field: DataFrame, markers: DataFrame, upper:
         back = morphology.erode(back, [o for o in stencil.full() if o[0] == 0], True)
     allowed = stored(back if literal else back.withColumn("m", ~F.col("m")))
     edges = stencil.sobel(clipped, flow, None, "nearest").select(*KEY, F.col("value").alias("v"))
-    found = stored(flooding.watershed(flow, edges, markers, allowed, chunk))
+    found = stored(flooding.watershed(flow, edges, markers, allowed, chunk, regions=True))
     kept = morphology.opening(found.select(*KEY, (F.col("label") != 0).alias("m")))
     return found.join(kept, KEY).select(*KEY, F.when(F.col("m"), F.col("label")).otherwise(0).alias("label"))
 
@@ -129,7 +129,7 @@ def detect_anvils(flow: DataFrame, field: DataFrame, markers: DataFrame, upper:
     back = morphology.watershed_mask(scaled, erode).withColumnRenamed("m", "b")
     seeds = markers.join(core, KEY).join(back, KEY).select(*KEY, F.when(F.col("b"), -1).when(F.col("m"), F.col("label")).otherwise(0).cast("int").alias("label"))
     edges = stencil.edge_field(scaled, flow, method).select(*KEY, F.col("value").alias("v"))
-    basins = stored(flooding.watershed(flow, edges, seeds, None, chunk)).withColumn("label", F.greatest("label", F.lit(0)))
+    basins = stored(flooding.watershed(flow, edges, seeds, None, chunk, regions=True)).withColumn("label", F.greatest("label", F.lit(0)))
     kept = morphology.opening(basins.select(*KEY, (F.col("label") != 0).alias("m")))
     own = markers.select(*KEY, F.col("label").alias("marker"))
     out = basins.join(kept, KEY).join(own, KEY).withColumn("label", F.when(F.col("marker") != 0, F.col("marker")).when(F.col("m"), F.col("label")).otherwise(0))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftframe.functions.stats import arg_extreme, gradient, wmean
+from driftframe.operators import linking
 
 #: Step fields whose extremes are reported: name, whether the largest is of interest, whether a rate of change is.
 EXTREMES = (("bt", False, True), ("ctt", False, True), ("ctt_corrected", False, True), ("cth", True, True), ("cth_corrected", True, True))
@@ -220,3 +221,17 @@ def upsert_flags(rows: DataFrame, key: str, order: str) -> DataFrame:
 def monthly(objects: DataFrame, key: str, month: Column) -> DataFrame:
     """Each object in the month of its first step only: objects of an earlier month are not counted again."""
     return objects.withColumn("_m", month).withColumn("month", F.min("_m").over(Window.partitionBy(key))).drop("_m")
+
+
+def combined_files(objects: DataFrame, steps: DataFrame, key: str, time: str = "t") -> tuple[DataFrame, DataFrame]:
+    """Objects and steps of many linked files as one table each, with ``month`` of the object's first step.
+
+    ``objects``: ``file``, ``key`` (the same in all files) and ``edge, nan, start, end, parent``; flags of an object that
+    several files have are merged. ``steps``: ``file, step``, ``key`` and the timestamp ``time``; steps are numbered on
+    from file to file. An object belongs to the month in which it begins, whatever file its steps are in.
+    """
+    files = linking.offsets(steps.groupBy("file").agg(F.max("step").alias("max_label"))).select("file", "start")
+    numbered = steps.join(files, "file").withColumn("step", F.col("start") + F.col("step")).drop("start", "file")
+    numbered = monthly(numbered, key, F.trunc(time, "month"))
+    months = numbered.groupBy(key).agg(F.first("month").alias("month"))
+    return upsert_flags(objects, key, "file").join(months, key), numbered

@@ -1,10 +1,12 @@
-"""Watershed of a field in the moving frame: an exact flood of windows of time, and a descent in joins.
+"""Watershed of a field in the moving frame: an exact flood, whole or by region, and a descent in joins.
 
-The exact flood takes its pixels one by one from a queue, so one task holds a window of steps. ``chunk`` bounds
-that window; each window is flooded with ``halo`` steps on either side, whose labels are then left to their own
-window; labels of floods that meet or come from further away can then differ from those of the whole cube. Without
-``chunk`` the whole cube is one window, which is exact. ``descent`` follows each pixel to the lowest neighbour in
-joins alone, for cubes of any size.
+The exact flood takes its pixels one by one from a queue. Floods in regions of free pixels that no link connects don't
+meet, and the order within a region doesn't depend on the others; so ``regions`` floods each region, with the
+markers that lead into it, as a group of its own, with the same result as the whole cube. How far that spreads the work
+depends on the markers: background that is marked, as in detection, cuts a cube into many regions, a few seeds in an open
+field leave one. ``chunk`` bounds what a task holds in that case too, by windows of steps with ``halo`` steps on either
+side, whose labels are then left to their own window; labels of floods that meet or come from further away can then differ.
+``descent`` follows each pixel to the lowest neighbour in joins alone, for cubes of any size.
 """
 
 from __future__ import annotations
@@ -15,39 +17,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftframe.operators import kernels
-from driftframe.operators.linking import stored
+from driftframe.operators.linking import components, stored
 from driftframe.operators.stencil import KEY, full, taps
 
 
-def watershed(flow: DataFrame, field: DataFrame, markers: DataFrame, allowed: DataFrame | None = None, chunk: int | None = None, halo: int = 6) -> DataFrame:
+def _flooded(part: pd.DataFrame) -> np.ndarray:
+    """The label of each row of a group ``t, y, x, v, label, m, fx, fy, bx, by``."""
+    lo = {c: int(part[c].min()) for c in KEY}
+    at = tuple(part[c].to_numpy() - lo[c] for c in KEY)
+    shape = tuple(int(a.max()) + 1 for a in at)
+
+    def cube(c: str, fill: float) -> np.ndarray:
+        a = np.full(shape, fill)
+        a[at] = part[c].to_numpy(dtype=float, na_value=fill)
+        return a
+
+    pair = lambda p: np.stack([cube(f"{p}y", 0.0), cube(f"{p}x", 0.0)], axis=-1)
+    return kernels.flood(cube("v", np.inf).astype(np.float32), cube("label", 0).astype(np.int32), cube("m", 0) > 0, pair("f"), pair("b"))[at]
+
+
+def _by_region(own: DataFrame) -> DataFrame:
+    """``t, y, x, w``: the free pixels of ``own`` with the region ``w`` that they lie in, and the marked ones once for
+    each region that they lead into."""
+    from driftframe.operators.tracking import flat_label
+
+    free = (F.col("label") == 0) & (F.col("m") > 0)
+    parts = stored(flat_label(own.select(*KEY, free.alias("m"))).withColumnRenamed("label", "part"))
+    whole = own.select(*KEY, *(F.rint(c).alias(c) for c in ("fx", "fy", "bx", "by")))
+    around = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
+    led = taps(parts.withColumn("part", F.nullif("part", F.lit(0))), whole, around, "nearest", "part").where(F.col("value").isNotNull())
+    led = stored(led.select(*KEY, F.col("value").alias("to")).distinct().join(parts, KEY).join(own.select(*KEY, (F.col("label") != 0).alias("marked")), KEY))
+    links = led.where((F.col("part") != 0) & (F.col("part") != F.col("to"))).select(F.col("part").alias("src"), F.col("to").alias("dst")).distinct()
+    roots = components(links)
+    rooted = lambda df: df.join(roots, F.col("part") == F.col("node"), "left").select(*KEY, F.coalesce("root", "part").alias("w"))
+    return rooted(parts.where("part <> 0")).unionByName(rooted(led.where("marked").select(*KEY, F.col("to").alias("part"))).distinct())
+
+
+def watershed(flow: DataFrame, field: DataFrame, markers: DataFrame, allowed: DataFrame | None = None, chunk: int | None = None, halo: int = 6, regions: bool = False) -> DataFrame:
     """``label`` of each pixel: that of the marker (any number but 0) whose flood reaches it first; only pixels that
     are ``allowed`` (column ``m``) are flooded. Missing values flood last."""
     own = field.select(*KEY, F.col("v").cast("double").alias("v")).join(markers.select(*KEY, "label"), KEY).join(flow.select(*KEY, "fx", "fy", "bx", "by"), KEY)
     own = own.withColumn("m", F.lit(True)) if allowed is None else own.join(allowed.select(*KEY, "m"), KEY)
-    if chunk is None:
-        own = own.withColumn("w", F.lit(0))
-    else:
-        window = F.floor(F.col("t") / chunk)
+    own = own.withColumns({c: F.col(c).cast("int") for c in [*KEY, "label"]}).withColumn("m", F.col("m").cast("int"))
+    result = "t int, y int, x int, label int"
+    if chunk is not None:
         first, last = F.floor((F.col("t") - halo) / chunk), F.floor((F.col("t") + halo) / chunk)
-        own = own.withColumn("home", window).withColumn("w", F.explode(F.sequence(first, last)))
+        own = own.withColumn("home", F.floor(F.col("t") / chunk)).withColumn("w", F.explode(F.sequence(first, last)))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        lo = {c: int(part[c].min()) for c in KEY}
-        at = tuple(part[c].to_numpy() - lo[c] for c in KEY)
-        shape = tuple(int(a.max()) + 1 for a in at)
+        def window(part: pd.DataFrame) -> pd.DataFrame:
+            return part[KEY].assign(label=_flooded(part))[part["home"].to_numpy() == part["w"].to_numpy()]
 
-        def cube(c: str, fill: float) -> np.ndarray:
-            a = np.full(shape, fill)
-            a[at] = part[c].to_numpy(dtype=float, na_value=fill)
-            return a
+        return own.groupBy("w").applyInPandas(window, result)
+    if not regions:
+        return own.withColumn("w", F.lit(0)).groupBy("w").applyInPandas(lambda part: part[KEY].assign(label=_flooded(part)), result)
+    own = stored(own)
 
-        pair = lambda p: np.stack([cube(f"{p}y", 0.0), cube(f"{p}x", 0.0)], axis=-1)
-        out = kernels.flood(cube("v", np.inf).astype(np.float32), cube("label", 0).astype(np.int32), cube("m", 0) > 0, pair("f"), pair("b"))
-        got = pd.DataFrame({c: part[c].to_numpy() for c in KEY}).assign(label=out[at])
-        return got if chunk is None else got[part["home"].to_numpy() == part["w"].to_numpy()]
+    def region(part: pd.DataFrame) -> pd.DataFrame:
+        return part[KEY].assign(label=_flooded(part))[part["label"].to_numpy() == 0]
 
-    own = own.withColumns({c: F.col(c).cast("int") for c in KEY}).withColumn("m", F.col("m").cast("int"))
-    return own.groupBy("w").applyInPandas(run, "t int, y int, x int, label int")
+    found = own.join(_by_region(own), KEY).groupBy("w").applyInPandas(region, result).withColumnRenamed("label", "_found")
+    return own.join(found, KEY, "left").select(*KEY, F.coalesce("_found", "label").alias("label"))
 
 
 def descent(flow: DataFrame, field: DataFrame, markers: DataFrame) -> DataFrame:

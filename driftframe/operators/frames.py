@@ -87,13 +87,19 @@ def nearest(labels: DataFrame) -> DataFrame:
     return own.groupBy("t").applyInPandas(run, "t int, y int, x int, v double, near long")
 
 
-def optical_flow(df: DataFrame, model: str = "farneback", smoothing: int = 0, limit: float = 20.0, value: str = "v") -> DataFrame:
-    """``t, y, x, fx, fy, bx, by`` from consecutive frames of a field.
+def optical_flow(df: DataFrame, model: str = "farneback", smoothing: int = 0, limit: float = 20.0, value: str = "v", vr_steps: int = 0, scale: str | None = None) -> DataFrame:
+    """``t, y, x, fx, fy, bx, by`` from consecutive frames of a field, refined in ``vr_steps`` variational steps and
+    smoothed. ``scale`` names a method of normalising both frames of a pair together before.
 
     Each frame goes to the pair that begins with it and the one that ends with it; a pair is one group. The last
     forward vectors are the last backward ones reversed, and the first backward ones the first forward ones.
     """
+    from driftframe.functions import normalise
+
     kernels.model(model)  # fails here rather than in a task
+    own = scale and normalise.method(scale)
+    if scale == "local_linear":  # around each pixel of its own frame
+        df, own = own(df, ["t"], value), None
     steps = df.select("t").distinct()
     from pyspark.sql import Window
 
@@ -101,11 +107,13 @@ def optical_flow(df: DataFrame, model: str = "farneback", smoothing: int = 0, li
     both = F.filter(F.array("t", "prev"), lambda v: v.isNotNull())
     pairs = df.join(F.broadcast(order), "t").select(F.explode(both).alias("pair"), *KEY, F.col(value).cast("double").alias("v"), "next").where((F.col("pair") != F.col("t")) | F.col("next").isNotNull())
 
+    pairs = own(pairs, ["pair"], "v") if own else pairs
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
         pair = int(part["pair"].iloc[0])
         first, second = part[part["t"] == pair], part[part["t"] != pair]
         (a, y, x), (b, y2, x2) = dense(first, "v", box=part), dense(second, "v", box=part)
-        u = kernels.pair_flow(a, b, model, smoothing, limit)
+        u = kernels.pair_flow(a, b, model, smoothing, limit, vr_steps)
         base = lambda rows, t: pd.DataFrame({"y": rows["y"].to_numpy(), "x": rows["x"].to_numpy(), "t": t})
         fwd = base(first, pair).assign(ux=u[0][y, x], uy=u[1][y, x], kind=0)
         back = base(second, int(second["t"].iloc[0])).assign(ux=u[2][y2, x2], uy=u[3][y2, x2], kind=1)

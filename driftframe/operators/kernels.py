@@ -259,7 +259,90 @@ def block_match(a: np.ndarray, b: np.ndarray, reach: int = 3, window: float = 2.
     return u, v
 
 
-MODELS = {"farneback": farneback, "block_match": block_match}
+def clamped(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Linear interpolation; the border goes on outside."""
+    h, w = a.shape
+    y, x = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
+    i, j = np.floor(y).astype(int), np.floor(x).astype(int)
+    p, q, i2, j2 = y - i, x - j, np.minimum(i + 1, h - 1), np.minimum(j + 1, w - 1)
+    return (1 - p) * ((1 - q) * a[i, j] + q * a[i, j2]) + p * ((1 - q) * a[i2, j] + q * a[i2, j2])
+
+
+def gradients(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Along y and x; 0 along an axis of one pixel."""
+    return tuple(np.gradient(a, axis=k) if a.shape[k] > 1 else np.zeros(a.shape) for k in (0, 1))
+
+
+def patch_search(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray, patch: int, stride: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Displacements of overlapping patches, from ``u, v`` on, by Gauss-Newton steps with the gradients of the first
+    frame and without the patches' means; pixels average those of their patches, well-matched ones most."""
+    (h, w), mean = a.shape, lambda p: p - p.mean(axis=(1, 2), keepdims=True)
+    ph, pw = min(patch, h), min(patch, w)
+    top, left = (g.ravel()[:, None, None] for g in np.meshgrid(*(np.unique(np.r_[np.arange(0, n - k + 1, stride), n - k]) for n, k in ((h, ph), (w, pw))), indexing="ij"))
+    dy, dx = np.mgrid[:ph, :pw]
+    y, x = top + dy, left + dx
+    gy, gx = (mean(g[y, x]) for g in gradients(a))
+    total = lambda p: p.sum(axis=(1, 2))
+    hxx, hxy, hyy = total(gx * gx), total(gx * gy), total(gy * gy)
+    det = hxx * hyy - hxy * hxy
+    clear = det > 1e-6 * (hxx + hyy + 1e-9) ** 2
+    det = np.where(clear, det, 1.0)
+    pu, pv = u[y, x].mean(axis=(1, 2)), v[y, x].mean(axis=(1, 2))
+    start, best, found = (pu, pv), np.full(len(pu), np.inf), (pu, pv)
+    for _ in range(steps + 1):
+        d = mean(clamped(b, y + pv[:, None, None], x + pu[:, None, None]) - a[y, x])
+        error = total(d * d)
+        closer = error < best
+        best, found = np.where(closer, error, best), (np.where(closer, pu, found[0]), np.where(closer, pv, found[1]))
+        rx, ry = total(gx * d), total(gy * d)
+        pu, pv = pu - np.where(clear, (hyy * rx - hxy * ry) / det, 0.0), pv - np.where(clear, (hxx * ry - hxy * rx) / det, 0.0)
+        lost = (np.abs(pu - start[0]) > patch) | (np.abs(pv - start[1]) > patch)
+        pu, pv = np.where(lost, start[0], pu), np.where(lost, start[1], pv)
+    pu, pv = (c[:, None, None] for c in found)
+    weight = 1 / np.maximum(1.0, np.abs(clamped(b, y + pv, x + pu) - a[y, x]))
+    sums = np.zeros((3, h, w))
+    for k, c in enumerate((weight, weight * pu, weight * pv)):
+        np.add.at(sums[k], (y, x), c)
+    return sums[1] / sums[0], sums[2] / sums[0]
+
+
+def refined(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray, smooth: float = 5000.0, warps: int = 5, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Variational refinement: brightness that moves along and vectors that vary little, linearised at each warp."""
+    yy, xx = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
+
+    def around(c: np.ndarray) -> np.ndarray:
+        p = np.pad(c, 1, mode="edge")
+        return (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]) / 6 + (p[:-2, :-2] + p[2:, 2:] + p[2:, :-2] + p[:-2, 2:]) / 12
+
+    for _ in range(warps):
+        y, x = yy + v, xx + u
+        there = clamped(b, y, x)
+        inside = (y >= 0) & (y <= a.shape[0] - 1) & (x >= 0) & (x <= a.shape[1] - 1)
+        gy, gx = (np.where(inside, g, 0.0) for g in gradients((a + there) / 2))
+        gt, u0, v0 = np.where(inside, there - a, 0.0), u, v
+        for _ in range(steps):
+            mu, mv = around(u), around(v)
+            r = (gx * (mu - u0) + gy * (mv - v0) + gt) / (smooth + gx * gx + gy * gy)
+            u, v = mu - gx * r, mv - gy * r
+    return u, v
+
+
+def inverse_search(a: np.ndarray, b: np.ndarray, patch: int = 8, stride: int = 4, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """Dense flow by inverse search of patches from coarse to fine, refined on each level."""
+    sizes = [a.shape]
+    while min(sizes[-1]) >= 4 * patch:
+        sizes.append(tuple((n + 1) // 2 for n in sizes[-1]))
+    u = v = np.zeros(sizes[-1])
+    for shape in reversed(sizes):
+        fa, fb = (nan_gaussian(f, 0.5 * a.shape[0] / shape[0], False) if shape != a.shape else f for f in (a, b))
+        fa, fb = (_resized(f, shape) if shape != a.shape else f.astype(float) for f in (fa, fb))
+        if u.shape != shape:
+            u, v = _resized(u, shape) * (shape[1] / u.shape[1]), _resized(v, shape) * (shape[0] / u.shape[0])
+        u, v = refined(fa, fb, *patch_search(fa, fb, u, v, patch, stride, steps))
+    return u, v
+
+
+MODELS = {"farneback": farneback, "dis": inverse_search, "block_match": block_match}
 
 
 def model(name: str) -> Callable:
@@ -267,7 +350,7 @@ def model(name: str) -> Callable:
     key = name.lower()
     if key in MODELS:
         return MODELS[key]
-    if key in ("deepflow", "pca", "simpleflow", "sparsetodense", "dis", "dualtvl1", "denserlof"):
+    if key in ("deepflow", "pca", "simpleflow", "sparsetodense", "dualtvl1", "denserlof"):
         raise NotImplementedError(f"{name}: supply flow columns from elsewhere")
     raise ValueError(f"{name} is none of {sorted(MODELS)}")
 
@@ -297,10 +380,12 @@ def smoothed(f: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return side(f, b), side(b, f)
 
 
-def pair_flow(a: np.ndarray, b: np.ndarray, name: str = "farneback", smoothing: int = 0, limit: float = 20.0) -> tuple[np.ndarray, ...]:
+def pair_flow(a: np.ndarray, b: np.ndarray, name: str = "farneback", smoothing: int = 0, limit: float = 20.0, vr_steps: int = 0) -> tuple[np.ndarray, ...]:
     """Forward and backward vectors (fx, fy, bx, by) of two frames scaled together to 8 bits, clamped to ±limit."""
     qa, qb = pair_8bit(a, b)
     f, g = model(name)(qa, qb), model(name)(qb, qa)
+    if vr_steps:
+        f, g = refined(qa, qb, *f, warps=5 * vr_steps), refined(qb, qa, *g, warps=5 * vr_steps)
     for _ in range(smoothing):
         f, g = smoothed(f, g)
     return tuple(np.clip(c, -limit, limit) for c in (*f, *g))

@@ -6,8 +6,9 @@ a join; only the buckets' counts are ordered as a whole.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,3 +140,15 @@ def apply_to_labels(pixels: DataFrame, keys: Sequence[str], aggregate: Column, i
         return got
     joined = index.select(*keys).join(got, list(keys), "left")
     return joined if default is None else joined.withColumn("value", F.coalesce("value", F.lit(default)))
+
+
+def apply_with_positions(pixels: DataFrame, keys: Sequence[str], f: Callable[[pd.DataFrame], dict[str, object]], returns: str) -> DataFrame:
+    """What ``f`` makes of the rows of each label, places and values together and in the order of places: the columns
+    ``returns`` (DDL). A task holds the rows of one label, so an aggregate expression is better where there is one."""
+    names = [*keys, *(c.split()[0] for c in returns.split(","))]
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{**dict(zip(keys, key, strict=True)), **f(part.sort_values(KEY, kind="stable"))}])[names]
+
+    types = {c.name: c.dataType.simpleString() for c in pixels.schema}
+    return pixels.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), returns]))

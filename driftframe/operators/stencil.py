@@ -243,7 +243,7 @@ class FlowFrame:
     def watershed(self, field: DataFrame, markers: DataFrame, allowed: DataFrame | None = None, chunk: int | None = None) -> DataFrame:
         from driftframe.operators import flooding
 
-        return flooding.watershed(self.df, field, markers, allowed, chunk)
+        return flooding.watershed(self.df, field, markers, allowed, chunk, regions=True)
 
     def label(self, mask: DataFrame, overlap: float = 0.0, absolute_overlap: int = 1, shrink: float = 0.0, undirected: bool = False) -> DataFrame:
         from driftframe.operators import tracking

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftframe.operators import entities
@@ -146,3 +146,32 @@ def monthly_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects and steps by the month in which an object begins."""
     o = entities.monthly(fx.table(spark, sf_dir, "orders"), "o_custkey", F.trunc("o_orderdate", "month"))
     return o.groupBy("month").agg(F.count_distinct("o_custkey").alias("objects"), F.count(F.lit(1)).alias("steps"))
+
+
+FILES = """f as (select o_custkey as core, o_orderkey % 4 as file, o_orderdate as t, row_number() over (partition by o_orderkey % 4 order by o_orderkey) as step from orders),
+n as (select file, coalesce(sum(max(step)) over (order by file rows between unbounded preceding and 1 preceding), 0)::bigint as start from f group by file),
+m as (select core, min(date_trunc('month', t))::date as month from f group by core)"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = fx.table(spark, sf_dir, "orders")
+    file = F.col("o_orderkey") % 4
+    steps = o.select(F.col("o_custkey").alias("core"), file.alias("file"), F.col("o_orderdate").alias("t"), F.row_number().over(Window.partitionBy(file).orderBy("o_orderkey")).alias("step"))
+    key = F.col("core") * 7 + F.col("file")
+    flags = steps.select("core", "file").distinct().select("core", "file", (key % 5 == 0).alias("edge"), (key % 3 == 0).alias("nan"), (key % 2 == 0).alias("start"), (key % 4 == 1).alias("end"), (key % 6).alias("parent"))
+    return flags, steps
+
+
+@query(f"with {FILES} select core, start + step as step, month from f join n using (file) join m using (core)")
+def combined_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of linked files numbered on, by the month in which their object begins."""
+    steps = entities.combined_files(*_files(spark, sf_dir), "core")[1]
+    return steps.select("core", F.col("step").cast("long").alias("step"), F.col("month").cast("date").alias("month"))
+
+
+@query(f"""with {FILES}, d as (select distinct core, file, core * 7 + file as k from f) select core, month, bool_or(k % 5 = 0) as edge, bool_or(k % 3 = 0) as nan, arg_min(k % 2 = 0, file) as start, arg_max(k % 4 = 1, file) as "end",
+ coalesce(arg_min(k % 6, file) filter (k % 6 <> 0), 0)::bigint as parent from d join m using (core) group by core, month""")
+def combined_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of linked files with their flags merged."""
+    flags = entities.combined_files(*_files(spark, sf_dir), "core")[0]
+    return flags.withColumns({"month": F.col("month").cast("date"), "parent": F.col("parent").cast("long")})

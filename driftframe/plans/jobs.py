@@ -1,4 +1,4 @@
-"""Command-line jobs over Parquet tables: ``python -m driftframe.plans.jobs detect|link|statistics|validate ...``.
+"""Command-line jobs over Parquet tables: ``python -m driftframe.plans.jobs detect|link|statistics|monthly|validate ...``.
 
 Pixels are tables ``t, y, x`` with the channels or fields named; outputs are Parquet folders. Each job is a plan over
 whole tables: files of a link job are rows of one table, not a loop.
@@ -7,6 +7,7 @@ whole tables: files of a link job are rows of one table, not a loop.
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,7 @@ def detect(pixels: DataFrame, preset: Preset, flow: DataFrame | None = None, chu
     """``core, thick_anvil, thin_anvil`` labels of fields ``bt, wvd, swd``; the flow is worked out unless given."""
     field = lambda c: pixels.select(*KEY, c.alias("v"))
     bt, wvd, swd = F.col("bt"), F.col("wvd"), F.col("swd")
-    flow = linking.stored(frames.optical_flow(field(bt), smoothing=preset.smoothing) if flow is None else flow)
+    flow = linking.stored(frames.optical_flow(field(bt), "dis", preset.smoothing, vr_steps=1) if flow is None else flow)
     cores = detection.detect_cores(flow, field(bt), field(wvd), field(swd), preset.bt_growth, preset.wvd_growth, preset.overlap, preset.absolute, min_length=preset.min_length)
     thick_field, thin_field = field(wvd - swd), field(wvd + swd)
     markers = detection.anvil_markers(flow, thick_field, preset.thick[0], preset.overlap, preset.absolute, preset.min_length)
@@ -63,10 +64,20 @@ def residual(field: DataFrame, flow: DataFrame, smoothing: int = 1) -> DataFrame
     return stencil.magnitude(f.withColumn("t", F.floor(F.col("t") / 2)))
 
 
-def link(pixels: DataFrame) -> DataFrame:
-    """Global labels of pixels of many files (``file``), neighbours merged, steps of each file kept once."""
+def link(pixels: DataFrame, output: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Global labels of pixels of many files (``file``), neighbours merged, steps of each file kept once. ``output`` is
+    given the merged pixels of all files and returns what is to be written of them."""
     linked = linking.relabel_files(pixels, linking.link_map(pixels))
-    return linking.merge_neighbours(linking.stored(linked))
+    merged = linking.merge_neighbours(linking.stored(linked))
+    return merged if output is None else output(linking.stored(merged))
+
+
+def monthly_statistics(steps: DataFrame, objects: DataFrame, key: str = "core") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Objects of linked files with merged flags, their steps, and the objects rolled up from those, all with ``month``."""
+    flags, numbered = entities.combined_files(objects, steps, key)
+    numbered = linking.stored(numbered.withColumn("ts", F.col("t")).withColumn("t", F.unix_micros(F.col("t").cast("timestamp")) / 1e6))
+    rolled = entities.roll_up(numbered.drop("month", "ts"), key, key)
+    return flags, numbered, rolled.join(flags.select(key, "month"), key)
 
 
 def statistics(pixels: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -83,12 +94,13 @@ def statistics(pixels: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFra
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("job", choices=("detect", "link", "statistics", "validate"))
+    p.add_argument("job", choices=("detect", "link", "statistics", "monthly", "validate"))
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--preset", default="goes", choices=sorted(PRESETS))
     p.add_argument("--chunk", type=int, help="steps flooded at once")
     p.add_argument("--fields", nargs="*", default=["bt"])
+    p.add_argument("--objects", help="table file, core, edge, nan, start, end, parent of a monthly job; its input are the steps")
     p.add_argument("--events", help="table t, y, x, n of point events")
     p.add_argument("--margin", type=int, default=10)
     p.add_argument("--time-margin", type=int, default=3)
@@ -106,6 +118,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         steps, objects = statistics(pixels, a.fields)
         source.write(steps, f"{a.output}/steps")
         source.write(objects, f"{a.output}/objects")
+    elif a.job == "monthly":
+        for name, table in zip(("flags", "steps", "objects"), monthly_statistics(pixels, source.read(spark, a.objects)), strict=True):
+            source.write(table, f"{a.output}/{name}", "month")
     else:
         events = source.read(spark, a.events)
         on_grid = pixels.select(*KEY).join(events, KEY, "left").select(*KEY, F.coalesce("n", F.lit(0)).alias("label"))

@@ -119,6 +119,12 @@ def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return c, frames.gaussian(c, 1.0).withColumn("v", -F.col("v")), c.withColumn("v", 10 * F.col("v") + F.col("x") / 16)
 
 
+@query()
+def inverse_search_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow by inverse search of patches, refined and smoothed."""
+    return r6(frames.optical_flow(frames.gaussian(fx.cube(spark, sf_dir), 1.0), "dis", 1, vr_steps=1, scale="linear"))
+
+
 @query()
 def detect_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cores in two channels, with filters and cubic sampling."""

@@ -162,3 +162,14 @@ select left(node, 1) as side, substr(node, 2)::bigint as label, min(root) as roo
 def bipartite_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of two cubes closed over their overlaps."""
     return linking.bipartite_closure(_label(spark, sf_dir), _label(spark, sf_dir, 3), 0.0, 300)
+
+
+@query(f"""with {fx.LABEL} select label, t, round(arg_min(v, y * 64 + x), 6) as first, round(arg_max(v, y * 64 + x), 6) as last, arg_max((y * 64 + x)::bigint, v) as place from label where label <> 0 group by label, t""")
+def label_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several results for each label from its values and their places together."""
+
+    def ends(part) -> dict[str, object]:
+        top = part.loc[part["v"].idxmax()]
+        return {"first": round(float(part["v"].iloc[0]), 6), "last": round(float(part["v"].iloc[-1]), 6), "place": int(top["y"] * 64 + top["x"])}
+
+    return labels.apply_with_positions(_label(spark, sf_dir).where("label <> 0"), ["label", "t"], ends, "first double, last double, place long")

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from driftframe.operators import detection, kernels, stencil, tiles, tracking, validation
+from driftframe.operators import detection, flooding, kernels, stencil, tiles, tracking, validation
 
 CROSS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
 
@@ -282,3 +282,17 @@ def test_small_tiles_give_the_same(spark, scene, method):
     for one in (tiles.diff, tiles.growth, tiles.average, lambda tile: tiles.sobel(tile, "uphill")):
         whole, small = (cube_of(tiles.moving(t, f, one, method, tile=n), "value", bt.shape) for n in (512, 4))
         assert np.allclose(whole, small, equal_nan=True) and np.isfinite(whole).any()
+
+
+@pytest.mark.parametrize("share", [0.02, 0.5, 0.8])
+def test_regions_flood_as_the_whole(spark, share):
+    rng = np.random.default_rng(int(share * 100))
+    shape = (5, 11, 13)
+    field = rng.integers(0, 6, shape).astype(float)
+    marks = np.where(rng.random(shape) < share, rng.integers(-1, 4, shape), 0)
+    allowed = rng.random(shape) < 0.9
+    f, b = (tuple(rng.choice([-1.0, -0.5, 0.0, 0.5, 1.5], shape) for _ in range(2)) for _ in range(2))
+    args = flow_table(spark, f, b), table(spark, field), table(spark, marks, "label", "int"), table(spark, allowed, "m", "boolean")
+    want = kernels.flood(field.astype(np.float32), marks.astype(np.int32), allowed, *(np.stack([v[1], v[0]], axis=-1) for v in (f, b)))
+    for regions in (False, True):
+        assert (cube_of(flooding.watershed(*args, regions=regions), "label", shape) == want).all()

@@ -65,7 +65,7 @@ def test_flow_of_a_smooth_field():
 def test_flow_models():
     assert kernels.model("Farneback") is kernels.farneback
     with pytest.raises(NotImplementedError):
-        kernels.model("DIS")
+        kernels.model("DualTVL1")
     with pytest.raises(ValueError):
         kernels.model("other")
 
@@ -351,3 +351,32 @@ def test_watershed_query_floods_the_whole_cube(spark):
     f, b = (np.stack([cube(flow, f"{p}y"), cube(flow, f"{p}x")], axis=-1) for p in "fb")
     want = kernels.flood(-cube(v, "v").astype(np.float32), cube(marks, "label").astype(np.int32), np.ones(shape, bool), f, b)
     assert (array(kernel_queries.watershed(spark, sf), shape, "label") == want).all()
+
+
+@pytest.mark.parametrize("move", [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0), (-1, -1)])
+def test_inverse_search_to_a_twentieth(move):
+    yy, xx = np.mgrid[:10, :15].astype(float)
+    blob = (49 - (xx - 7) ** 2) * (20.25 - (yy - 4.5) ** 2)
+    fx, fy, bx, by = kernels.pair_flow(blob, np.roll(blob, move, (0, 1)), "dis")
+    assert max(np.abs(c - w).max() for c, w in ((fx, move[1]), (fy, move[0]), (bx, -move[1]), (by, -move[0]))) < 0.05
+
+
+def test_inverse_search_over_several_levels():
+    yy, xx = np.mgrid[:90, :120].astype(float)
+    field = lambda y, x: 40 * np.sin(y / 7) + 30 * np.cos(x / 9) + 20 * np.sin((x + y) / 13)
+    fx, fy, _, _ = kernels.pair_flow(field(yy, xx), field(yy - 4.5, xx + 6.25), "dis", vr_steps=1)
+    inner = np.s_[30:-30, 30:-30]  # nearer the border, what leaves the frame tells
+    assert np.abs(fx[inner] + 6.25).max() < 0.1 and np.abs(fy[inner] - 4.5).max() < 0.1
+
+
+def test_flow_with_gaps_and_scales(spark):
+    yy, xx = np.mgrid[:10, :15].astype(float)
+    blob = (49 - (xx - 7) ** 2) * (20.25 - (yy - 4.5) ** 2)
+    cube = np.stack([blob, np.roll(blob, 1, 1)])
+    cube[1, 3, 4] = np.nan
+    for scale in (None, "linear", "z_score", "local_linear"):
+        f = frames.optical_flow(pixels(spark, cube), "dis", scale=scale).where("t = 0").toPandas()
+        assert len(f) == 150 and (f["fx"] - 1).abs().median() < 0.1
+    part = pixels(spark, cube).where("t = 0 or x > 2")  # frames of different extent
+    f = frames.optical_flow(part, "dis").where("t = 0 and x > 4").toPandas()
+    assert (f["fx"] - 1).abs().median() < 0.1
