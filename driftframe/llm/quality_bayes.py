@@ -13,7 +13,8 @@
 segment makes the path. The sample is chosen among the labels, so nothing else reaches the driver, and every
 text is measured once, when the model is known; of the sampled ones also for the fit. Labels and paths are joined
 without hints: Spark broadcasts them if their size allows, else rows are shuffled by id and then by path, where a hot
-path is split as a skewed join. ``classify`` carries no texts through either, ``keep`` carries its rows.
+path is split as a skewed join. No texts go through either; ``keep`` takes the rejected rows out of the documents, by
+broadcast or one shuffle of their rows.
 """
 
 from __future__ import annotations
@@ -126,16 +127,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(got[list(FEATURES)].to_numpy(), (got["good"].to_numpy() >= 0.5).astype(float))
 
 
-def measured(docs: DataFrame, labels: DataFrame, model: Model, row: Column | None = None) -> DataFrame:
-    """``doc_id, path, worded, evidence, outcome`` of every document and ``row`` if given, worked out once."""
-    extra = [] if row is None else [row.alias("row")]
+def row_key() -> Column:
+    """A hash of what a row's score depends on besides its id."""
+    return F.xxhash64(F.col("text").cast("string"), F.col("source").cast("string"))
+
+
+def measured(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, key, host, path, worded, evidence, outcome`` of every document, worked out once."""
     host, path = site(F.col("source").cast("string"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), path.alias("path"), features(F.col("text").cast("string")).alias("f"), *extra)
-    known = stored(labelled(labels))
-    rows = own.join(known, F.col("doc_id") == F.col("l_id"), "left").withColumn("evidence", model.probability(F.col("f")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), host.alias("host"), path.alias("path"), features(F.col("text").cast("string")).alias("f"))
+    rows = own.withColumn("evidence", model.probability(F.col("f"))).join(stored(labelled(labels)), F.col("doc_id") == F.col("l_id"), "left")
     # whole numbers of 1 / UNIT, so that sums don't depend on their order
     outcome = F.round(F.coalesce("good", "evidence") * UNIT).cast("long")
-    return stored(rows.select("doc_id", "host", "path", (F.col("f.n_words") > 0).alias("worded"), "evidence", outcome.alias("outcome"), *(["row"] if extra else [])))
+    return stored(rows.select("doc_id", "key", "host", "path", (F.col("f.n_words") > 0).alias("worded"), "evidence", outcome.alias("outcome")))
 
 
 def posteriors(rows: DataFrame) -> DataFrame:
@@ -170,7 +174,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, all their columns. The rows are stored once with their evidence."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = measured(docs, labels, train(docs, labels, sample), row)
-    return score(rows, posteriors(rows)).where("kept").select("row.*")
+    """The rows of ``docs`` that ``classify`` keeps, all their columns: those that are not among the rejected ones."""
+    rows = measured(docs, labels, train(docs, labels, sample))
+    bad = stored(score(rows, posteriors(rows)).where(~F.col("kept")).select(F.col("doc_id").alias("b_id"), F.col("key").alias("b_key")).distinct())
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), row_key().alias("key"))
+    return own.join(bad, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")), "left_anti").select("row.*")
