@@ -3,6 +3,11 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes it as Parquet to the shared
 checkpoint folder and reads it back as the next one's ``docs``, so a lost executor costs a stage at most. All
 but the last return the columns of ``documents``.
+
+Null and empty texts have no words and go in the first stage, like all that it rejects; rows with null ids or sources are
+documents like any others. Repeated rows are judged alike by the first two stages, the third keeps one row of a class of
+near-duplicates (the smallest id, then the smallest text hash). Ties in the mix are settled by a hash of id and size. An
+empty table gives an empty result. Extra columns are carried along up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
