@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftframe.functions.stats import arg_extreme, gradient, wmean
-from driftframe.operators import linking
+from driftframe.operators import labels, linking
 
 #: Step fields whose extremes are reported: name, whether the largest is of interest, whether a rate of change is.
 EXTREMES = (("bt", False, True), ("ctt", False, True), ("ctt_corrected", False, True), ("cth", True, True), ("cth_corrected", True, True))
@@ -132,7 +132,7 @@ class Objects:
     def at(self, kind: str, positions: Sequence[int]) -> Objects:
         """Objects by their places, from 0, in the order of their ids."""
         own = getattr(self, kind)
-        picked = own.withColumn("_i", F.row_number().over(Window.orderBy(kind)) - 1).where(F.col("_i").isin(*positions)).drop("_i")
+        picked = own.join(labels.numbered(own, [kind], "_i"), kind).where((F.col("_i") - 1).isin(*positions)).drop("_i")
         return self.only(**{kind: picked})
 
     def without_orphans(self) -> Objects:

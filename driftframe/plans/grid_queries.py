@@ -98,7 +98,22 @@ def azimuth_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(roll_up(s, "core", "c", rates=False).select("core", F.col("c_propagation_direction").alias("azimuth"), F.col("c_propagation_speed").alias("speed")))
 
 
-@query()
+def _vincenty(points: str, rounds: int = 8) -> str:
+    """CTEs from ``points`` (``k, lat1, lon1, lat2, lon2``) to ``geodesic`` (``k, km``); the rounds are written out."""
+    a, b = 6378137.0, 6356752.314245179
+    f = (a - b) / a
+    angles = """sqrt((c2 * sin(l)) ** 2 + (c1 * s2 - s1 * c2 * cos(l)) ** 2) as ss, s1 * s2 + c1 * c2 * cos(l) as cs"""
+    out = f"""{points}, v0 as (select *, sin(u1) as s1, cos(u1) as c1, sin(u2) as s2, cos(u2) as c2, span as l from (select k, atan({1 - f!r} * tan(radians(lat1))) as u1, atan({1 - f!r} * tan(radians(lat2))) as u2, radians(lon2) - radians(lon1) as span from points))"""
+    for n in range(rounds + 1):
+        out += f""", a{n} as (select *, {angles} from v{n}), b{n} as (select *, case when ss > 0 then c1 * c2 * sin(l) / ss else 0 end as sa from a{n}), d{n} as (select *, 1 - sa * sa as q from b{n}),
+e{n} as (select *, case when q > 1e-15 then cs - 2 * s1 * s2 / q else 0 end as cm, {f!r} / 16 * q * (4 + {f!r} * (4 - 3 * q)) as c from d{n})"""
+        if n < rounds:
+            out += f", v{n + 1} as (select k, s1, c1, s2, c2, span, span + (1 - c) * {f!r} * sa * (atan2(ss, cs) + c * ss * (cm + c * cs * (2 * cm * cm - 1))) as l from e{n})"
+    return out + f""", w as (select *, q * {(a * a - b * b) / (b * b)!r} as w from e{rounds}), g as (select *, 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))) as p, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) as r from w),
+geodesic as (select k, {b!r} * p * (atan2(ss, cs) - r * ss * (cm + r / 4 * (cs * (2 * cm * cm - 1) - r / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) / 1000 as km from g)"""
+
+
+@query(f"with {PLACES}, {_vincenty('points as (select k, lat as lat1, lon as lon1, lat + 1 as lat2, lon + 1 as lon2 from places)')} select k, round(km, 6) as km from geodesic")
 def geodesic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance on the ellipsoid between places."""
     p = _places(spark, sf_dir)
@@ -246,7 +261,10 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.without(f, corrupt).select("page_id", "name", files.goes_time(F.col("name")).cast("timestamp_ntz").alias("t"))
 
 
-@query()
+@query(f"""with {fx.CUBE}, grid as (select distinct y, x, 20 + y / 4.0 as lat, -90 + x / 4.0 as lon from cube), {_vincenty("""points as (select [a.y, a.x, 0] as k, a.lat as lat1, a.lon as lon1, b.lat as lat2, b.lon as lon2 from grid a join grid b on b.y = a.y and b.x = a.x + 1
+ union all select [a.y, a.x, 1], a.lat, a.lon, b.lat, b.lon from grid a join grid b on b.y = a.y + 1 and b.x = a.x)""")},
+s as (select k[1] as y, k[2] as x, k[3] as axis, km from geodesic), ends as (select y, x, axis, km from s union all select case axis when 1 then y + 1 else y end, case axis when 0 then x + 1 else x end, axis, km from s),
+m as (select y, x, avg(km) filter (axis = 0) as dx, avg(km) filter (axis = 1) as dy from ends group by y, x) select y, x, round(dx, 6) as dx, round(dy, 6) as dy, round(dx * dy, 6) as area from m""")
 def pixel_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spacing and area of a regular grid of a quarter of a degree."""
     grid = fx.cube(spark, sf_dir).select("y", "x").distinct().select("y", "x", (20 + F.col("y") / 4).alias("lat"), (-90 + F.col("x") / 4).alias("lon"))
@@ -287,7 +305,17 @@ def edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.edge_filter(c, 3, 1, F.col("v") > 0.35, times)
 
 
-@query()
+@query(f"""with {RARE}, {fx.LABEL.removeprefix(fx.CUBE + ", ")}, {EVENTS}, idx as (select r.label as core, max(case when l.label % 2 = 0 then l.label else 0 end) as anvil from rare r join label l using (t, y, x) where r.label <> 0 group by 1),
+k as (select unnest(['core', 'core_with_anvil', 'anvil', 'anvil_with_core']) as kind),
+mk as (select 'core' as kind, t, y, x, label from m union all select 'anvil', t, y, x, label from label where label <> 0 union all select 'core_with_anvil', t, y, x, label from m where label in (select core from idx where anvil <> 0)
+ union all select 'anvil_with_core', t, y, x, label from label where label in (select anvil from idx where anvil <> 0)),
+i as (select t, y, x, y between 3 and 16 and x between 3 and 60 and t between 1 and (select max(t) from cube) - 1 as inside from cube),
+pe as (select k.kind, e.t, e.y, e.x, any_value(n) as n, min(sqrt((e.y - mk.y) ** 2 + (e.x - mk.x) ** 2)) as v from ev e join i using (t, y, x) cross join k left join mk on mk.kind = k.kind and abs(mk.t - e.t) <= 1 where inside group by all),
+p as (select kind, sum(case when v <= 6 then n else 0 end) / sum(n) as pod, sum(n)::bigint as n_events from pe group by kind),
+d as (select mk.kind, mk.label, mk.t, mk.y, mk.x, min(sqrt((e.y - mk.y) ** 2 + (e.x - mk.x) ** 2)) as d from mk left join ev e on abs(e.t - mk.t) <= 1 group by all),
+o as (select kind, label, min(d) as dist, bool_and(inside) as ok from d join i using (t, y, x) group by kind, label),
+f as (select kind, avg(case when ok then coalesce(dist > 6, true)::int end) as far, count(*) filter (ok) as n_objects from o group by kind)
+select kind, round(pod, 6) as pod, n_events, round(far, 6) as far, coalesce(n_objects, 0) as n_objects, round(2 * pod * (1 - far) / nullif(pod + 1 - far, 0), 6) as f1 from p left join f using (kind)""")
 def validation_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection and false alarms of cores, of anvils, and of those that have each other."""
     cores, ev = _rare(spark, sf_dir), _events(spark, sf_dir)
