@@ -2,8 +2,8 @@
 
 A tap of pixel (t, y, x) with offset (dt, dy, dx) samples frame t + dt at (y + fy + dy, x + fx + dx), where the
 vector is the pixel's forward one for dt = 1, its backward one for dt = -1 and zero for dt = 0. Same-step and
-nearest taps are one equi-join on integer coordinates; linear, cubic and Lanczos ones a join on the 4, 16 or 64
-pixels around with weights.
+nearest taps are one equi-join on integer coordinates; linear and cubic ones a join on the 4 or 16 pixels around with
+weights, and so are Lanczos ones on 64 at borders that bring samples back; others of them run on tiles.
 Joins and the aggregation that follows hash on coordinates, so work spreads evenly over frames. The stencils that
 detection is made of (differences, means along the flow, Sobel) run on tiles instead, see ``tiles``.
 """
@@ -39,7 +39,8 @@ CUBIC, LANCZOS = -0.75, 4
 
 
 def _weights(a: Column, method: str) -> list[tuple[int, Column]]:
-    """Offsets of the pixels on one axis that make up a sample ``a`` beyond a pixel, with their weights."""
+    """Offsets of the pixels on one axis that make up a sample ``a`` beyond a pixel, with their weights; those of Lanczos
+    are still to be divided by their sum."""
     if method == "linear":
         return [(0, 1 - a), (1, a)]
     if method == "cubic":
@@ -51,9 +52,7 @@ def _weights(a: Column, method: str) -> list[tuple[int, Column]]:
         d = F.pi() * (a - i)
         return F.when(a == float(i), F.lit(1.0)).when(F.floor(a) == a, F.lit(0.0)).otherwise(F.sin(d) * F.sin(d / LANCZOS) * LANCZOS / (d * d))
 
-    each = [(i, windowed(i)) for i in range(1 - LANCZOS, LANCZOS + 1)]
-    total = sum((w for _, w in each), F.lit(0.0))
-    return [(i, w / total) for i, w in each]
+    return [(i, windowed(i)) for i in range(1 - LANCZOS, LANCZOS + 1)]
 
 
 def _bordered(at: Column, low: int, n: int, border: str) -> Column:
@@ -90,6 +89,8 @@ def taps(data: DataFrame, flow: DataFrame | None, offsets: Sequence[Offset], met
         own = own.join(flow.select(*KEY, "fx", "fy", "bx", "by"), KEY)
     elif any(o[0] for o in offsets):
         raise ValueError("offsets in time need a flow")
+    if method == "lanczos" and border == "constant" and flow is not None and all(abs(o[0]) <= 1 for o in offsets):
+        return tiles.taps(data, flow, offsets, method, value)
     fit = lambda c, axis: c
     if border != "constant":
         box = data.agg(*(f(c).alias(f"{k}{c}") for c in "yx" for k, f in (("lo", F.min), ("hi", F.max)))).first()
@@ -107,13 +108,12 @@ def taps(data: DataFrame, flow: DataFrame | None, offsets: Sequence[Offset], met
         return at.join(source, ["s_t", "s_y", "s_x"], "left").select(*KEY, "tap", F.col("s_v").alias("value"))
     fy, fx = F.floor("py"), F.floor("px")
     each = each.select(*KEY, "tap", "s_t", fy.alias("fy"), fx.alias("fx"), (F.col("py") - fy).alias("ay"), (F.col("px") - fx).alias("ax"))
-    corners = F.array(*(
-        F.struct(fit((F.col("fy") + i).cast("int"), "y").alias("s_y"), fit((F.col("fx") + j).cast("int"), "x").alias("s_x"), (a * b).alias("w"))
-        for i, a in _weights(F.col("ay"), method) for j, b in _weights(F.col("ax"), method)
-    ))
-    at = each.withColumn("c", F.explode(corners)).select(*KEY, "tap", "s_t", "c.*").where("w <> 0")
-    met = at.join(source, ["s_t", "s_y", "s_x"], "left")
-    whole = F.when(F.count(F.lit(1)) == F.count("s_v"), F.sum(F.col("w") * F.col("s_v")))
+    for axis in "yx":  # one after the other: an array of all pairs would hold each weight once for each of the other axis
+        near = F.array(*(F.struct(fit((F.col(f"f{axis}") + i).cast("int"), axis).alias(f"s_{axis}"), w.alias(f"w{axis}")) for i, w in _weights(F.col(f"a{axis}"), method)))
+        each = each.withColumn("c", F.explode(near)).select("*", "c.*").drop("c", f"f{axis}", f"a{axis}").where(f"w{axis} <> 0")
+    met = each.withColumn("w", F.col("wy") * F.col("wx")).drop("wy", "wx").join(source, ["s_t", "s_y", "s_x"], "left")
+    total = F.sum(F.col("w") * F.col("s_v"))
+    whole = F.when(F.count(F.lit(1)) == F.count("s_v"), total / F.sum("w") if method == "lanczos" else total)
     return met.groupBy(*KEY, "tap").agg(whole.alias("value"))
 
 

@@ -296,3 +296,13 @@ def test_regions_flood_as_the_whole(spark, share):
     want = kernels.flood(field.astype(np.float32), marks.astype(np.int32), allowed, *(np.stack([v[1], v[0]], axis=-1) for v in (f, b)))
     for regions in (False, True):
         assert (cube_of(flooding.watershed(*args, regions=regions), "label", shape) == want).all()
+
+
+def test_lanczos_taps_have_a_small_plan(spark, scene):
+    bt, _, _, flow = scene
+    for border in ("constant", "reflect"):
+        got = stencil.taps(table(spark, bt), flow_table(spark, *flow), [(1, 0, 0)], "lanczos", border=border)
+        assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    own = np.array([along(bt, flow, p, 1, "lanczos") for p in np.ndindex(bt.shape)]).reshape(bt.shape)
+    both = cube_of(got, "value", bt.shape)[np.isfinite(own)], own[np.isfinite(own)]
+    assert np.allclose(*both, atol=1e-9) and len(own[np.isfinite(own)])
