@@ -151,6 +151,32 @@ def distance(target: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndar
     return np.sqrt(best), own
 
 
+def carried(column: np.ndarray, t: np.ndarray, square: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least root of ``square`` + (``step`` * steps between)^2 over the rows of the same column, and its row, the
+    first on ties; rows that are not finite are no sources, and -1 stands where a column has none. Rows are sorted by
+    (column, t). The best source moves on with the step, so the best one of the middle row of a stretch bounds those of
+    both halves: n log n for n rows, wherever the sources are."""
+    best, at = np.full(len(t), np.inf), np.full(len(t), -1)
+    sources = np.flatnonzero(np.isfinite(square))
+    of, d, time = column[sources], square[sources], t[sources].astype(float)
+    lo = np.flatnonzero(np.r_[True, column[1:] != column[:-1]][: len(t)])
+    hi = np.r_[lo[1:], len(t)][: len(lo)]
+    a, b = np.searchsorted(of, column[lo], "left"), np.searchsorted(of, column[lo], "right")
+    while True:
+        some = (lo < hi) & (a < b)
+        lo, hi, a, b = lo[some], hi[some], a[some], b[some]
+        if not len(lo):
+            return np.sqrt(best), at
+        mid, n = (lo + hi) // 2, b - a
+        start = np.cumsum(n) - n
+        each = np.arange(n.sum()) + np.repeat(a - start, n)
+        far = d[each] + (step * (time[each] - np.repeat(t[mid].astype(float), n))) ** 2
+        least = np.minimum.reduceat(far, start)
+        first = np.minimum.reduceat(np.where(far == np.repeat(least, n), each, len(d)), start)
+        best[mid], at[mid] = least, sources[first]
+        lo, hi, a, b = np.r_[lo, mid + 1], np.r_[mid, hi], np.r_[a, first], np.r_[first + 1, b]
+
+
 def peaks(a: np.ndarray, min_distance: int, threshold: float | None = None) -> np.ndarray:
     """Local maxima of squares of 2 * ``min_distance`` + 1 pixels, above the threshold (the minimum by default), not
     closer than ``min_distance`` to the border."""

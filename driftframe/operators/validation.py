@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftframe.operators import kernels
 from driftframe.operators.frames import distance, nearest
 from driftframe.operators.stencil import KEY
 from driftframe.sources.store import stored
 
+#: Pixels of a row whose steps make up one task of ``ellipse_distance``.
+COLUMNS = 8
+
 
 def cylinder_distance(markers: DataFrame, time_margin: int = 3, ids: bool = False) -> DataFrame:
     """``v``: distance of each pixel to the nearest marker (``label`` not 0) of its step or of ``time_margin`` steps on
@@ -22,13 +28,25 @@ def cylinder_distance(markers: DataFrame, time_margin: int = 3, ids: bool = Fals
 
 def ellipse_distance(markers: DataFrame, time_margin: float, margin: float) -> DataFrame:
     """``v, nearest``: distance of each pixel to the nearest marker of any step, a step counting as ``margin /
-    time_margin`` pixels, and its label; NULL where the cube has none. A row meets the other steps of its pixel."""
+    time_margin`` pixels, and its label, of the earliest step on ties; NULL where the cube has none. The distances within
+    steps are carried over time by ``kernels.carried``, ``COLUMNS`` pixels of a row at a time."""
     step = margin / time_margin
-    near = nearest(markers)
-    column = near.where(F.col("v").isNotNull()).groupBy("y", "x").agg(F.collect_list(F.struct("t", "v", "near")).alias("_steps"))
-    far = lambda s: F.struct(F.sqrt(s["v"] * s["v"] + F.pow((s["t"] - F.col("t")) * step, 2)).alias("v"), s["t"].alias("t"), s["near"].alias("near"))
-    best = F.array_min(F.transform("_steps", far))
-    return near.select(*KEY).join(column, ["y", "x"], "left").withColumn("_b", best).select(*KEY, F.col("_b.v").alias("v"), F.col("_b.near").alias("nearest"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["x", "t"], kind="stable")
+        mine = part["own"].to_numpy(dtype=bool)
+        own = part["v"].to_numpy(dtype=float, na_value=np.nan)
+        # squares of distances between pixels are whole numbers
+        v, at = kernels.carried(part["x"].to_numpy(), part["t"].to_numpy(), np.rint(own * own), step)
+        ok = at >= 0
+        near = part["near"].to_numpy(dtype=float, na_value=0)[at].astype(np.int64)
+        out = pd.DataFrame({c: part[c].to_numpy() for c in KEY})
+        return out.assign(v=pd.Series(np.where(ok, v, 0.0)).astype(object).where(ok, None), nearest=pd.Series(near).astype(object).where(ok, None))[mine]
+
+    b = markers.agg(*(f(c).alias(f"{c}{k}") for c in "yx" for k, f in ((0, F.min), (1, F.max)))).first()
+    # a step may lack pixels whose nearest marker it has
+    box = None if b["y0"] is None else tuple(int(b[c]) for c in ("y0", "y1", "x0", "x1"))
+    return nearest(markers, box or (0, 0, 0, 0)).groupBy("y", F.floor(F.col("x") / COLUMNS)).applyInPandas(run, "t int, y int, x int, v double, nearest long")
 
 
 def edge_filter(grid: DataFrame, margin: int, time_margin: int, missing: Column | None = None, times: DataFrame | None = None, longest_gap: float = 900.0) -> DataFrame:

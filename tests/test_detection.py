@@ -306,3 +306,32 @@ def test_lanczos_taps_have_a_small_plan(spark, scene):
     own = np.array([along(bt, flow, p, 1, "lanczos") for p in np.ndindex(bt.shape)]).reshape(bt.shape)
     both = cube_of(got, "value", bt.shape)[np.isfinite(own)], own[np.isfinite(own)]
     assert np.allclose(*both, atol=1e-9) and len(own[np.isfinite(own)])
+
+
+def test_ellipse_distance_over_many_steps_and_incomplete_ones(spark):
+    rng = np.random.default_rng(4)
+    marks = (rng.random((70, 4, 9)) < 0.004) * rng.integers(1, 5, (70, 4, 9))
+    marks[69, 1, 3] = 2
+    t = table(spark, marks, "label", "int").where("t < 69 or y < 2")
+    at = np.argwhere(marks)
+    at = at[(at[:, 0] < 69) | (at[:, 1] < 2)]
+    got = validation.ellipse_distance(t, 3, 6)
+    assert "array_min" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = got.collect()
+    assert len(rows) == t.count()
+    for r in rows:
+        far = ((at - (r.t, r.y, r.x)) ** 2 * [4, 1, 1]).sum(axis=1)
+        assert math.isclose(r.v, math.sqrt(far.min())) and r.nearest in {marks[tuple(p)] for p in at[far == far.min()]}
+
+
+def test_carried_distances_of_any_columns():
+    rng = np.random.default_rng(5)
+    for share in (0.0, 0.05, 1.0):
+        column = np.sort(rng.integers(0, 6, 300))
+        t = np.concatenate([np.sort(rng.integers(0, 200, (column == c).sum())) for c in range(6)])
+        square = np.where(rng.random(300) < share, rng.integers(0, 40, 300), np.nan)
+        v, own = kernels.carried(column, t, square, 2.0)
+        for i in range(300):
+            far = np.where((column == column[i]) & np.isfinite(square), square + (2.0 * (t - t[i])) ** 2, np.inf)
+            assert v[i] == math.sqrt(far.min()) and own[i] == (np.argmin(far) if np.isfinite(far.min()) else -1)
+    assert [len(k) for k in kernels.carried(*(np.zeros(0, int),) * 2, np.zeros(0), 1.0)] == [0, 0]
