@@ -36,11 +36,11 @@ def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
     return correlate(correlate(a, k, 0), k, 1)
 
 
-def nan_gaussian(a: np.ndarray, sigma: float, propagate: bool = True) -> np.ndarray:
-    """Normalised convolution over what is not missing."""
+def nan_gaussian(a: np.ndarray, sigma: float, propagate: bool = True, normalised: bool = True) -> np.ndarray:
+    """Normalised convolution over what is not missing, or plain with 0 for that."""
     ok = np.isfinite(a)
     weight = gaussian(ok.astype(float), sigma)
-    out = gaussian(np.where(ok, a, 0.0), sigma) / np.where(weight > 0, weight, np.nan)
+    out = gaussian(np.where(ok, a, 0.0), sigma) / np.where(weight > 0, weight if normalised else 1.0, np.nan)
     return np.where(ok, out, np.nan) if propagate else out
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows and columns of the cube.
 HEIGHT, WIDTH = 20, 64
+#: Its first and last row, first and last column; its last step may lack rows.
+BOX = (0, HEIGHT - 1, 0, WIDTH - 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

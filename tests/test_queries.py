@@ -58,3 +58,21 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(registry.queries()) <= set(entry.queries())
+
+
+@pytest.fixture(scope="module")
+def uneven(tmp_path_factory):
+    """A folder of tables whose cube has steps from 100 on and one that lacks rows."""
+    folder, e = tmp_path_factory.mktemp("uneven"), f"read_parquet('{SF}/embeddings.parquet')"
+    duckdb.sql(f"select 2000 + vec_id as vec_id, embedding, label from {e} where vec_id < 256 or vec_id = 257").write_parquet(f"{folder}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
+    return str(folder), c
+
+
+@pytest.mark.parametrize("name", ["fill_holes", "ellipse_distance"])
+def test_matches_sql_on_uneven_steps(spark, uneven, name):
+    folder, c = uneven
+    df = registry.queries()[name](spark, folder)
+    r = c.execute(registry.oracle_sql()[name])
+    assert rows(df.columns, df.collect()) == rows([k[0] for k in r.description], r.fetchall())
