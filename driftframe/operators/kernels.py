@@ -455,6 +455,26 @@ def subsegments(mask: np.ndarray, shrink: float = 0.1, min_distance: int = 5) ->
     return np.searchsorted(both, split) * (split > 0) + (split > 0)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each node of the links ``a``, ``b`` to the smallest one of its component; a node that is linked to
+    itself only keeps that."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    parent = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        i, j = find(i), find(j)
+        parent[max(i, j)] = min(i, j)
+    root = np.array([find(i) for i in range(len(nodes))], dtype=int)
+    keep = (root != np.arange(len(nodes))) | (np.bincount(root, minlength=len(nodes))[root] == 1)
+    return nodes[keep], nodes[root[keep]]
+
+
 def ordered_groups(known: list[int], forward: dict[int, list[int]], backward: dict[int, list[int]]) -> dict[int, int]:
     """Step labels (ascending) -> the first label of their object: from the lowest label without an object, follow its
     list in the order of insertion, taking labels without an object, forward ones first, ascending."""

@@ -6,13 +6,17 @@ each file with the next, and one closure over all links gives the global labels.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftframe.operators import labels
+from driftframe.operators import kernels, labels
 from driftframe.operators.stencil import KEY
 from driftframe.sources.store import forget, stored
 
+#: Links that begin among so many consecutive numbers (a power of 2) are joined by one task before the rounds of a closure.
+BUCKET_BITS = 14
+
 
 def edges_between(current: DataFrame, following: DataFrame, atol: int = 5, rtol: float = 0.5, trim: bool = True) -> DataFrame:
     """Links of labels of two files over their common steps without the first and the last: at least ``atol``
@@ -32,10 +36,24 @@ def offsets(files: DataFrame) -> DataFrame:
     return files.select("file", F.coalesce(before, F.lit(0)).alias("start"), F.lag("file").over(w).alias("previous"), F.lead("file").over(w).alias("next"))
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Links with the same nodes and components as ``src, dst`` (whole numbers), each node only to the smallest one that
+    links of its bucket lead to. Labels are numbered by step, so most of a chain over time lies in one bucket."""
+    kind = "bigint" if "bigint" in dict(edges.dtypes).values() else "int"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("src", "dst"), kernels.stars(part["src"].to_numpy(), part["dst"].to_numpy()), strict=True)))
+
+    bucket = F.shiftright(F.least("src", "dst"), BUCKET_BITS)
+    return edges.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst")).groupBy(bucket).applyInPandas(run, f"src {kind}, dst {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of undirected ``src, dst``: the smallest node that can be reached. Each round takes the
-    smallest root among neighbours, then the root's root; the number of rounds is logarithmic on chains. Tables of
-    rounds that are over are removed."""
+    smallest root among neighbours, then the root's root; the number of rounds is logarithmic on chains of buckets, or
+    of nodes that are no whole numbers. Tables of rounds that are over are removed."""
+    edges = edges.select("src", "dst")
+    edges = contracted(edges) if set(dict(edges.dtypes).values()) <= {"int", "bigint"} else edges
     both = stored(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     roots = step = stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:

@@ -380,3 +380,26 @@ def test_flow_with_gaps_and_scales(spark):
     part = pixels(spark, cube).where("t = 0 or x > 2")  # frames of different extent
     f = frames.optical_flow(part, "dis").where("t = 0 and x > 4").toPandas()
     assert (f["fx"] - 1).abs().median() < 0.1
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string"])
+def test_closure_of_long_chains_takes_few_rounds(spark, monkeypatch, kind):
+    rounds = []
+    keep = linking.stored
+    monkeypatch.setattr(linking, "stored", lambda df: rounds.append(1) or keep(df))
+    edges = [(i, i + 5) for i in range(600) if i % 150 > 4] + [(70_000, 70_001), (70_001, 599), (80_000, 80_000)]
+    if kind == "string":
+        edges = [(f"{a:05d}", f"{b:05d}") for a, b in edges[-40:]]
+    got = {r.node: r.root for r in linking.components(spark.createDataFrame(edges, f"src {kind}, dst {kind}")).collect()}
+    near = {n: {n} for e in edges for n in e}
+    for a, b in edges:
+        near[a].add(b), near[b].add(a)
+    want = {}
+    for n in sorted(near):
+        todo = [] if n in want else [n]
+        while todo:
+            if (m := todo.pop()) not in want:
+                want[m] = n
+                todo += near[m]
+    assert got == want
+    assert kind == "string" or len(rounds) <= 5
