@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftframe.llm import ann, bpe, host_reputation, line_dedup, mixture, order_minhash, pii, quality_bayes, quality_rules, sharding
+from driftframe.llm import ann, bpe, exact_dedup, host_reputation, line_dedup, merkle, mixture, order_minhash, pii, quality_bayes, quality_rules, sharding, token_alignment
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,14 +77,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and overlaps of two tokenizers over every whole text."""
+    import public_tokenizers
+
+    paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equal texts that stays."""
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and whether it still verifies once its text has been tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(docs, tampered).drop("source")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_cross_polytope": op1_cross_polytope, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_order_minhash": op5_order_minhash, "op6_url_reputation": op6_url_reputation, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe, "pipeline": pipeline}
+    return {"op1_cross_polytope": op1_cross_polytope, "op2_mixing": op2_mixing, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_order_minhash": op5_order_minhash, "op6_url_reputation": op6_url_reputation, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_sharding": op9_sharding, "op10_byte_bpe": op10_byte_bpe, "op11_token_alignment": op11_token_alignment, "op12_exact_dedup": op12_exact_dedup, "op13_merkle_manifest": op13_merkle_manifest, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixture.sql(), "op4_quality_rules": quality_rules.sql(), "op6_url_reputation": host_reputation.sql(), "op8_line_dedup": line_dedup.sql()}
+    return {"op2_mixing": mixture.sql(), "op4_quality_rules": quality_rules.sql(), "op6_url_reputation": host_reputation.sql(), "op8_line_dedup": line_dedup.sql(), "op12_exact_dedup": exact_dedup.sql(), "op13_merkle_manifest": merkle.sql()}
