@@ -16,6 +16,8 @@ from driftframe.sources.store import forget, stored
 
 #: Links that begin among so many consecutive numbers (a power of 2) are joined by one task before the rounds of a closure.
 BUCKET_BITS = 14
+#: Links of a bucket that one task joins.
+GROUP_LINKS = 1 << 17
 
 
 def edges_between(current: DataFrame, following: DataFrame, atol: int = 5, rtol: float = 0.5, trim: bool = True) -> DataFrame:
@@ -37,15 +39,29 @@ def offsets(files: DataFrame) -> DataFrame:
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """Links with the same nodes and components as ``src, dst`` (whole numbers), each node only to the smallest one that
-    links of its bucket lead to. Labels are numbered by step, so most of a chain over time lies in one bucket."""
+    """Links with the same nodes and components as ``src, dst`` (whole numbers). Where both ends lie in one bucket, each
+    node is linked only to the smallest one that the links of its group lead to: labels are numbered by step, so most of a
+    chain over time lies in one bucket. Links to other buckets stay as they are, so a node with many has no group of them;
+    a bucket with over ``GROUP_LINKS`` links is dealt out by the larger end, which leaves the components the same."""
     kind = "bigint" if "bigint" in dict(edges.dtypes).values() else "int"
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(dict(zip(("src", "dst"), kernels.stars(part["src"].to_numpy(), part["dst"].to_numpy()), strict=True)))
 
-    bucket = F.shiftright(F.least("src", "dst"), BUCKET_BITS)
-    return edges.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst")).groupBy(bucket).applyInPandas(run, f"src {kind}, dst {kind}")
+    ends = edges.select(F.least("src", "dst").cast(kind).alias("src"), F.greatest("src", "dst").cast(kind).alias("dst"))
+    near, far = dealt(ends)
+    return near.groupBy("bucket", "part").applyInPandas(run, f"src {kind}, dst {kind}").unionByName(far)
+
+
+def dealt(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links ``src, dst`` (the smaller end first) within one bucket, with the ``bucket`` and the ``part`` of it that one task
+    takes, and the links between buckets."""
+    bucket = F.shiftright("src", BUCKET_BITS)
+    ends = ends.withColumn("bucket", F.when(bucket == F.shiftright("dst", BUCKET_BITS), bucket))
+    near, far = ends.where("bucket is not null"), ends.where("bucket is null").select("src", "dst")
+    parts = near.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / GROUP_LINKS).alias("parts")).where("parts > 1")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.hash("dst"), F.col("parts")))
+    return near.join(parts, "bucket", "left").withColumn("part", part).drop("parts"), far
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -53,20 +69,58 @@ def components(edges: DataFrame) -> DataFrame:
     smallest root among neighbours, then the root's root; the number of rounds is logarithmic on chains of buckets, or
     of nodes that are no whole numbers. Tables of rounds that are over are removed."""
     edges = edges.select("src", "dst")
-    edges = contracted(edges) if set(dict(edges.dtypes).values()) <= {"int", "bigint"} else edges
+    if set(dict(edges.dtypes).values()) <= {"int", "bigint"}:
+        given = stored(edges)  # counted, then contracted
+        edges = contracted(given)
+    else:
+        given = None
     both = stored(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    roots = step = stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("root")))
+    if given is not None:
+        forget(given)
+    roots = _lowest(both, stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("root"))))
+    forget(both)
+    return roots
+
+
+def _lowest(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, root`` when every node has taken the smallest root among those that ``links`` (``src, dst``) let it take
+    from, ``dst`` from ``src``, and then that root's own, until nothing changes. Tables of rounds that are over are removed."""
+    step = roots
     while True:
-        near = both.join(roots.select(F.col("node").alias("dst"), F.col("root").alias("near")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("near").alias("near"))
-        new = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("new"))
+        near = links.join(roots.select(F.col("node").alias("src"), F.col("root").alias("near")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("near").alias("near"))
+        new = roots.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("new"))
         new = stored(new.join(roots.select(F.col("node").alias("new"), F.col("root").alias("top")), "new").select("node", "old", F.least("new", "top").alias("root")))
         forget(step)
         step, roots = new, new.select("node", "root")
         if step.where("old <> root").isEmpty():
-            forget(both)
             return roots
 
 
+def ancestors(edges: DataFrame) -> DataFrame:
+    """``node, root`` of directed ``src, dst`` (whole numbers): the smallest node that leads to each one along links, or itself.
+
+    If objects are discovered from the lowest label that has none, each taking what its links lead to, a label goes to just
+    that node: nothing smaller leads to it, so it begins an object, and what lies between can't have been taken before.
+    Nodes that link each other both ways have the same ancestors; they are joined as components first, which takes a
+    logarithmic number of rounds. Between what is left, roots are handed on along links and replaced by their own roots, so
+    chains of rising numbers halve in each round too; others take a round for each rise after a fall.
+    """
+    edges = stored(edges.select("src", "dst").where("src <> dst").distinct())
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    parts = components(edges.where("src < dst").join(back, ["src", "dst"]))
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("root").alias(f"part_{c}"))
+    part = lambda c: F.coalesce(f"part_{c}", c).alias(c)
+    between = edges.join(of("src"), "src", "left").join(of("dst"), "dst", "left").select(part("src"), part("dst")).where("src <> dst").distinct()
+    between = stored(between)
+    ends = between.select(F.col("src").alias("node")).union(between.select("dst")).distinct()
+    roots = _lowest(between, stored(ends.select("node", F.col("node").alias("root"))))
+    top = roots.select(F.col("node").alias("part_node"), "root")
+    out = stored(nodes.join(of("node"), "node", "left").withColumn("part_node", part("node")).join(top, "part_node", "left").select("node", F.coalesce("root", "part_node").alias("root")))
+    forget(edges, between)
+    return out
+
+
 def link_map(pixels: DataFrame, atol: int = 5, rtol: float = 0.5) -> DataFrame:
     """``file, label, global_label`` for pixels of many files (``file, t, y, x, label``): overlaps of each file with
     the next, closed over all files, numbered from 1 in the order of file and label."""

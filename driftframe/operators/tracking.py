@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftframe.operators import kernels
 from driftframe.operators.frames import per_frame
 from driftframe.operators.labels import numbered
-from driftframe.operators.linking import components, stored
+from driftframe.operators.linking import ancestors, components, stored
 from driftframe.operators.stencil import KEY, taps
 
 
@@ -46,31 +45,14 @@ def flow_edges(flow: DataFrame, steps: DataFrame, overlap: float = 0.0, absolute
 def link_overlap(flow: DataFrame, steps: DataFrame, overlap: float = 0.0, absolute: int = 0, undirected: bool = False) -> DataFrame:
     """Step labels (``label``) joined to objects.
 
-    By default objects follow directed overlaps from the lowest label without an object. That order matters only
-    among labels that links connect in any direction, so each such component is one group, in the order of its lowest
-    label; objects are numbered by theirs. ``undirected`` takes the components themselves.
+    By default objects follow directed overlaps from the lowest label without an object, so a label belongs to the lowest
+    one that leads to it; objects are numbered by theirs. ``undirected`` takes connected components.
     """
     steps = stored(steps)  # read for the links, their sizes and the result
-    edges = flow_edges(flow, steps, overlap, absolute)
-    edges = edges if undirected else stored(edges)
+    edges = flow_edges(flow, steps, overlap, absolute).select("src", "dst")
     every = steps.where(F.col("label") != 0).select("label").distinct()
-    roots = components(edges.select("src", "dst")).withColumnRenamed("node", "label")
-    if undirected:
-        rooted = every.join(roots, "label", "left").withColumn("root", F.coalesce("root", "label"))
-    else:
-        of = roots.select(F.col("label").alias("src"), F.col("root").alias("part"))
-        own = roots.select(F.col("root").alias("part"), F.col("label").alias("src"), F.lit(None).cast("int").alias("dst"), F.lit(None).cast("boolean").alias("forward"))
-        grouped = edges.join(of, "src").select("part", "src", "dst", "forward").unionByName(own)
-
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            known = np.sort(part.loc[part["dst"].isna(), "src"].to_numpy())
-            links: tuple[dict, dict] = ({}, {})
-            for s, d, f in part.loc[part["dst"].notna(), ["src", "dst", "forward"]].itertuples(index=False):
-                links[0 if f else 1].setdefault(int(s), []).append(int(d))
-            return pd.DataFrame(list(kernels.ordered_groups(known.tolist(), *links).items()), columns=["label", "root"])
-
-        seeds = grouped.groupBy("part").applyInPandas(run, "label int, root int")
-        rooted = every.join(seeds, "label", "left").withColumn("root", F.coalesce("root", "label"))
+    roots = (components(edges) if undirected else ancestors(edges)).withColumnRenamed("node", "label")
+    rooted = every.join(roots, "label", "left").withColumn("root", F.coalesce("root", "label"))
     objects = rooted.join(numbered(rooted, ["root"], "object"), "root").select("label", "object")
     return steps.join(objects, "label", "left").select(*KEY, F.coalesce("object", F.lit(0)).alias("label"))
 

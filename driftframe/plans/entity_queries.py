@@ -43,13 +43,13 @@ def anvil_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(entities.thick_anvil_properties(s))
 
 
-@query(f"""with {fx.LABEL}, p as (select *, (100 + y)::double as area, label * 1000 + t as step from label where label <> 0),
+@query(f"""with {fx.LABEL}, p as (select *, (100 + y)::double as area, t::bigint * 32 + label as step from label where label <> 0),
 s as (select label, step, count(*) as n, sum(area) as area, min(t) as t, sum(x * area) / sum(area) as x, sum(y * area) / sum(area) as y from p group by all)
 select label, sum(n)::bigint as pixel_count, round(sum(area), 6) as total_area, round(max(area), 6) as max_area, min(t) as start_t, max(t) as end_t, max(t) - min(t) as lifetime,
  arg_min(t, {{'a': -area, 's': step}}) as max_area_t, round(arg_min(x, step), 6) as start_x, round(arg_min(y, step), 6) as start_y from s group by label""")
 def label_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of labels by way of their steps."""
-    p = fx.label(spark, sf_dir).withColumns({"area": (F.col("y") + 100).cast("double"), "step": F.col("label") * 1000 + F.col("t"), "x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
+    p = fx.label(spark, sf_dir).withColumns({"area": (F.col("y") + 100).cast("double"), "step": F.col("t").cast("long") * 32 + F.col("label"), "x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
     return r6(entities.label_properties(p, "step", "label")[1])
 
 
@@ -120,14 +120,14 @@ def edge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.edge_flags(p)
 
 
-@query(f"""with {fx.LABEL}, p as (select t, y, x, label * 100 + t as label, case when t % 6 <> 2 or x <> 20 then v end as v from label where label <> 0 or (t % 6 = 2 and x = 20)),
+@query(f"""with {fx.LABEL}, p as (select t, y, x, case when label <> 0 then t::bigint * 32 + label else 0 end as label, case when t % 6 <> 2 or x <> 20 then v end as v from label),
 h as (select distinct t + dt as t, y + dy as y, x + dx as x from p, (select unnest([-1, 0, 1]) as dt), (select unnest([-1, 0, 1]) as dy), (select unnest([-1, 0, 1]) as dx) where v is null)
-select label, bool_or(h.t is not null) as nan_flag from p left join h using (t, y, x) where label >= 100 group by label""")
+select label, bool_or(h.t is not null) as nan_flag from p left join h using (t, y, x) where label <> 0 group by label""")
 def nan_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of each step that touch a missing value; background has none, missing or not."""
     hole = (F.col("t") % 6 == 2) & (F.col("x") == 20)
-    # what the SQL counts as a label: holes outside of labels too, from step 100 on
-    p = fx.label(spark, sf_dir).where((F.col("label") != 0) | hole).withColumns({"v": F.when(~hole, F.col("v")), "label": F.col("label") * 100 + F.col("t")})
-    return entities.nan_adjacent(p).where("label >= 100")
+    code = F.when(F.col("label") != 0, F.col("t").cast("long") * 32 + F.col("label")).otherwise(0)
+    return entities.nan_adjacent(fx.label(spark, sf_dir).withColumns({"v": F.when(~hole, F.col("v")), "label": code}))
 
 
 @query("""with f as (select user_id as core, date_trunc('day', ts)::date as file, bool_or(event_id % 17 = 0) as edge, bool_or(event_id % 29 = 0) as nan, bool_or(event_type = 'click') as start, bool_or(event_type = 'error') as "end", max(event_id % 4) as parent from events group by 1, 2)

@@ -121,7 +121,7 @@ def geodesic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(p.select("k", d.alias("km")))
 
 
-FLASH = "flash as (select epoch_us(ts) / 1e6 as s, user_id % 20 as y, event_id % 64 as x from events where event_type = 'error'), scan as (select i as t, m + i * 21600.0 as s from range(200) r(i), (select min(epoch_us(ts)) / 1e6 as m from events))"
+FLASH = "flash as (select epoch_us(ts) / 1e6 as s, user_id % 20 as y, event_id % 64 as x from events where event_type = 'error'), scan as (select i as t, m + i * 21600.0 as s from (select m, unnest(range(n + 1)) as i from (select min(epoch_us(ts)) / 1e6 as m, ceil((max(epoch_us(ts)) - min(epoch_us(ts))) / 21600e6)::bigint as n from events)))"
 SPAN = "span as (select t, s, s - least(coalesce(s - lag(s) over g, lead(s) over g - s), 10800) / 2 as lo, s + least(coalesce(lead(s) over g - s, s - lag(s) over g), 10800) / 2 as hi from scan window g as (order by s))"
 
 
@@ -129,8 +129,8 @@ def _flashes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = fx.table(spark, sf_dir, "events")
     s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     flash = e.where("event_type = 'error'").select(s.alias("s"), (F.col("user_id") % 20).alias("y"), (F.col("event_id") % 64).alias("x"))
-    first = e.agg(F.min(s).alias("m"))
-    scan = spark.range(200).join(F.broadcast(first)).select(F.col("id").alias("t"), (F.col("m") + F.col("id") * 21600.0).alias("s"))
+    span = e.agg(F.min(s).alias("m"), F.ceil((F.max(s) - F.min(s)) / 21600).alias("n"))  # a scan every six hours
+    scan = span.select("m", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("t")).select("t", (F.col("m") + F.col("t") * 21600.0).alias("s"))
     return flash, scan
 
 
@@ -173,12 +173,15 @@ def flash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regrid.counted(flash.withColumn("t", F.floor(F.col("s") / 259200) % 10), grid, covered)
 
 
-@query("""with e as (select i, case when i = 0 then 0.0 else i * 2500.0 - 1250 end as lo, case when i = 20 then 50000.0 else i * 2500.0 + 1250 end as hi from range(21) r(i))
-select e.i as bin, count(*) as n from lineitem l join e on l_extendedprice >= lo and (l_extendedprice < hi or (i = 20 and l_extendedprice = hi)) group by e.i""")
+@query("""with k as (select ceil(max(l_extendedprice) / 2500)::bigint as k from lineitem), r as (select k, unnest(range(k + 1)) as i from k),
+e as (select i, k, case when i = 0 then 0.0 else i * 2500.0 - 1250 end as lo, case when i = k then k * 2500.0 else i * 2500.0 + 1250 end as hi from r)
+select e.i as bin, count(*) as n from lineitem l join e on l_extendedprice >= lo and (l_extendedprice < hi or (i = k and l_extendedprice = hi)) group by e.i""")
 def bin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points counted in bins around coordinates, half-width at the ends."""
-    grid = regrid.edges(spark.range(21).select((F.col("id") * 2500.0).alias("c")))
-    return regrid.binned(fx.table(spark, sf_dir, "lineitem"), grid, "l_extendedprice", "bin").groupBy(F.col("bin").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Points counted in bins around coordinates that span the table, half-width at the ends."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    last = li.agg(F.ceil(F.max("l_extendedprice") / 2500).alias("k"))
+    grid = regrid.edges(last.select(F.explode(F.sequence(F.lit(0).cast("long"), "k")).alias("id")).select((F.col("id") * 2500.0).alias("c")))
+    return regrid.binned(li, grid, "l_extendedprice", "bin").groupBy(F.col("bin").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""with g as (select l_suppkey % 7 as t, l_suppkey % 20 as y, l_partkey % 64 as x, l_extendedprice / 5 as alt, case when l_returnflag <> 'N' then l_quantity end as ref from lineitem),

@@ -10,18 +10,18 @@ from driftframe.plans import fixtures as fx
 from driftframe.plans.registry import query
 from driftframe.plans.stat_queries import r6
 
-REGIONS = fx.MASK + """, e as (select a.t, a.y * 64 + a.x as p, b.y * 64 + b.x as q from mask a join mask b on a.t = b.t and a.m and b.m and abs(a.y - b.y) + abs(a.x - b.x) = 1),
-r as (select t, y * 64 + x as p, y * 64 + x as root from mask where m union select e.t, e.q, r.root from r join e on e.t = r.t and e.p = r.p),
-c as (select t, p, min(root) as root from r group by t, p), n as (select t, root, row_number() over (order by t, root) as label from (select distinct t, root from c))"""
+REGIONS = fx.MASK + """, beside as (select a.t, a.y * 64 + a.x as p, b.y * 64 + b.x as q from mask a join mask b on a.t = b.t and a.m and b.m and abs(a.y - b.y) + abs(a.x - b.x) = 1),
+joined as (select t, y * 64 + x as p, y * 64 + x as root from mask where m union select d.t, d.q, j.root from joined j join beside d on d.t = j.t and d.p = j.p),
+lowest as (select t, p, min(root) as root from joined group by t, p), n as (select t, root, row_number() over (order by t, root) as label from (select distinct t, root from lowest))"""
 
 
-@query(f"with recursive {REGIONS} select mask.t, y, x, coalesce(label, 0)::int as label from mask left join c on c.t = mask.t and c.p = y * 64 + x left join n on n.t = c.t and n.root = c.root")
+@query(f"with recursive {REGIONS} select mask.t, y, x, coalesce(label, 0)::int as label from mask left join lowest c on c.t = mask.t and c.p = y * 64 + x left join n on n.t = c.t and n.root = c.root")
 def flat_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected regions of each step."""
     return tracking.flat_label(fx.mask(spark, sf_dir))
 
 
-@query(f"""with recursive {REGIONS}, g as (select mask.t, y, x, label, x // 16 as part from mask join c on c.t = mask.t and c.p = y * 64 + x join n on n.t = c.t and n.root = c.root)
+@query(f"""with recursive {REGIONS}, g as (select mask.t, y, x, label, x // 16 as part from mask join lowest c on c.t = mask.t and c.p = y * 64 + x join n on n.t = c.t and n.root = c.root)
 select m.t, m.y, m.x, coalesce(s, 0)::int as step_label from mask m left join (select t, y, x, dense_rank() over (order by label, part) as s from g) using (t, y, x)""")
 def make_step_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions split by an existing label."""
@@ -72,22 +72,41 @@ def subsegments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.subsegments(m, 0.5, 2)
 
 
-@query()
+#: Pixels of step labels ``s`` led to the steps beside them, and links of those that share enough; a label's number is its
+#: step and its own number, which stays below 32.
+LED = """z as (select step, count(*) as n from s group by step),
+w as (select s.step as a, f.step as b, true as fwd from s join flow k using (t, y, x) join s f on f.t = s.t + 1 and f.y = s.y + fy and f.x = s.x + fx union all
+ select s.step, f.step, false from s join flow k using (t, y, x) join s f on f.t = s.t - 1 and f.y = s.y - fy and f.x = s.x - fx),
+e as (select a, b from w join z x on x.step = a join z y on y.step = b group by a, b, fwd having count(*) > {absolute} and count(*) >= {overlap} * least(any_value(x.n), any_value(y.n)))"""
+TWO_WAYS = "u as (select a, b from e union select b, a from e)"
+REACHED = "reach as (select step as node, step as root from z union select {links}.b, reach.root from reach join {links} on {links}.a = reach.node), c as (select node, min(root) as root from reach group by node), o as (select node, dense_rank() over (order by root) as label from c)"
+CODED = f"{fx.LABEL}, flow as (select t, y, x, (t + y) % 3 - 1 as fx, (t + x) % 3 - 1 as fy from cube), s as (select t, y, x, t::bigint * 32 + label as step from label where label <> 0)"
+OBJECTS = "select l.t, l.y, l.x, coalesce(o.label, 0)::int as label from label l left join o on o.node = l.t::bigint * 32 + l.label and l.label <> 0"
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.when(F.col("label") != 0, F.col("t").cast("long") * 32 + F.col("label")).otherwise(0)
+    return fx.label(spark, sf_dir).select("t", "y", "x", code.alias("label"))
+
+
+@query(f"""with recursive {REGIONS},
+flow as (select t, y, x, (t + y) % 3 - 1 as fx, (t + x) % 3 - 1 as fy from cube), s as (select m.t, m.y, m.x, n.label as step from mask m join lowest on lowest.t = m.t and lowest.p = m.y * 64 + m.x join n on n.t = lowest.t and n.root = lowest.root),
+{LED.format(absolute=1, overlap=0.1)}, {REACHED.format(links="e")} select m.t, m.y, m.x, coalesce(o.label, 0)::int as label from mask m left join s using (t, y, x) left join o on o.node = s.step""")
 def flow_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions linked along the flow, in the order of their discovery."""
     return tracking.flow_label(fx.flow(spark, sf_dir), fx.mask(spark, sf_dir), 0.1, 1)
 
 
-@query(f"""with recursive {fx.LABEL}, flow as (select t, y, x, (t + y) % 3 - 1 as fx, (t + x) % 3 - 1 as fy from cube), s as (select t, y, x, (label * 1000 + t)::int as step from label where label <> 0), z as (select step, count(*) as n from s group by step),
-w as (select s.step as a, f.step as b, true as fwd from s join flow k using (t, y, x) join s f on f.t = s.t + 1 and f.y = s.y + fy and f.x = s.x + fx union all
- select s.step, f.step, false from s join flow k using (t, y, x) join s f on f.t = s.t - 1 and f.y = s.y - fy and f.x = s.x - fx),
-e as (select a, b from w group by a, b, fwd having count(*) > 4 and count(*) >= 0.3 * least((select n from z where step = a), (select n from z where step = b))),
-u as (select a, b from e union select b, a from e), r as (select step as node, step as root from z union select u.b, r.root from r join u on u.a = r.node), c as (select node, min(root) as root from r group by node),
-o as (select node, dense_rank() over (order by root) as label from c) select l.t, l.y, l.x, coalesce(o.label, 0)::int as label from label l left join o on o.node = l.label * 1000 + l.t and l.label <> 0""")
+@query(f"with recursive {CODED}, {LED.format(absolute=4, overlap=0.3)}, {TWO_WAYS}, {REACHED.format(links='u')} {OBJECTS}")
 def link_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step labels linked along the flow, undirected."""
-    steps = fx.label(spark, sf_dir).select("t", "y", "x", F.when(F.col("label") != 0, F.col("label") * 1000 + F.col("t")).otherwise(0).cast("int").alias("label"))
-    return tracking.link_overlap(fx.flow(spark, sf_dir), steps, 0.3, 4, undirected=True)
+    return tracking.link_overlap(fx.flow(spark, sf_dir), _coded(spark, sf_dir), 0.3, 4, undirected=True)
+
+
+@query(f"with recursive {CODED}, {LED.format(absolute=4, overlap=0.3)}, {REACHED.format(links='e')} {OBJECTS}")
+def link_overlap_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step labels linked along the flow in the order of their discovery."""
+    return tracking.link_overlap(fx.flow(spark, sf_dir), _coded(spark, sf_dir), 0.3, 4)
 
 
 def _markers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,13 +184,6 @@ def relabel_anvils(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.relabel_anvils(fx.flow(spark, sf_dir), own, _markers(spark, sf_dir).select("t", "y", "x", F.greatest("label", F.lit(0)).alias("label")), 0.1, 1, 1)
 
 
-@query()
-def link_overlap_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step labels linked along the flow in the order of their discovery."""
-    steps = fx.label(spark, sf_dir).select("t", "y", "x", F.when(F.col("label") != 0, F.col("label") * 1000 + F.col("t")).otherwise(0).cast("int").alias("label"))
-    return tracking.link_overlap(fx.flow(spark, sf_dir), steps, 0.3, 4)
-
-
 @query()
 def peak_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surroundings of the peaks of the smoothed field."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe.functions import stats
-from driftframe.operators import labels, linking
+from driftframe.operators import incremental, labels, linking
 from driftframe.plans import fixtures as fx
 from driftframe.plans.registry import query
+from driftframe.sources.store import shared_folder
 
 
 def _label(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
@@ -40,11 +43,11 @@ def remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILTERED = "k as (select label, dense_rank() over (order by label)::int as n from c where {cond}) select t, y, x, coalesce(n, 0)::int as label from label l left join k using (label)"
 
 
-@query(f"with {fx.LABEL}, g as (select * replace (case when label = 0 then 0 else label * 1000 + t // label end as label) from label), label_ as (select * from g), c as (select label, max(t) - min(t) + 1 as len from g where label <> 0 group by label), k as (select label, dense_rank() over (order by label)::int as n from c where len >= 5) select t, y, x, coalesce(n, 0)::int as label from g left join k using (label)")
+@query(f"with {fx.LABEL}, g as (select * replace (case when label = 0 then 0 else (t // label)::bigint * 32 + label end as label) from label), label_ as (select * from g), c as (select label, max(t) - min(t) + 1 as len from g where label <> 0 group by label), k as (select label, dense_rank() over (order by label)::int as n from c where len >= 5) select t, y, x, coalesce(n, 0)::int as label from g left join k using (label)")
 def filter_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels cut in time into pieces of as many steps as their number; those of five or more stay."""
     p = _label(spark, sf_dir)
-    cut = F.when(F.col("label") == 0, 0).otherwise(F.col("label") * 1000 + F.floor(F.col("t") / F.col("label"))).cast("int")
+    cut = F.when(F.col("label") == 0, 0).otherwise(F.floor(F.col("t") / F.col("label")) * 32 + F.col("label"))
     return labels.filter_labels(p.withColumn("label", cut), 5).select("t", "y", "x", "label")
 
 
@@ -105,14 +108,14 @@ def fill_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.fill_from(own, _label(spark, sf_dir, 3)).select("t", "y", "x", "label")
 
 
-CROSS = fx.LABELS2 + """, w as (select min(t) + 1 as lo, max(t) - 1 as hi from label), a as (select t, y, x, (label * 100 + t // 9)::int as a from label, w where label <> 0 and t between lo and hi),
-b as (select t, y, x, (label * 100 + t // 7)::int as b from label2, w where label <> 0 and t between lo and hi), na as (select a, count(*) as n_a from a group by a), nb as (select b, count(*) as n_b from b group by b),
+CROSS = fx.LABELS2 + """, w as (select min(t) + 1 as lo, max(t) - 1 as hi from label), a as (select t, y, x, (t // 9)::bigint * 32 + label as a from label, w where label <> 0 and t between lo and hi),
+b as (select t, y, x, (t // 7)::bigint * 32 + label as b from label2, w where label <> 0 and t between lo and hi), na as (select a, count(*) as n_a from a group by a), nb as (select b, count(*) as n_b from b group by b),
 c as (select a, b, count(*) as n from a join b using (t, y, x) group by all), e as (select a, b, n, n_a, n_b from c join na using (a) join nb using (b) where n >= 5 and n >= 0.5 * least(n_a, n_b))"""
 
 
 def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     def cut(df: DataFrame, k: int) -> DataFrame:
-        return df.withColumn("label", F.when(F.col("label") == 0, 0).otherwise(F.col("label") * 100 + F.floor(F.col("t") / k)).cast("int"))
+        return df.withColumn("label", F.when(F.col("label") == 0, 0).otherwise(F.floor(F.col("t") / k) * 32 + F.col("label")))
 
     return cut(_label(spark, sf_dir), 9), cut(_label(spark, sf_dir, 3), 7)
 
@@ -122,13 +125,59 @@ def cross_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.edges_between(*_files(spark, sf_dir))
 
 
-@query(f"""with recursive {CROSS}, u as (select a as p, 10000 + b as q from e union all select 10000 + b, a from e), r as (select p as node, p as root from u union select u.q, r.root from r join u on u.p = r.node)
-select node, min(root)::int as root from r group by node""")
+@query(f"""with recursive {CROSS}, u as (select a as p, 1099511627776 + b as q from e union all select 1099511627776 + b, a from e), r as (select p as node, p as root from u union select u.q, r.root from r join u on u.p = r.node)
+select node, min(root) as root from r group by node""")
 def cross_file_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = linking.edges_between(*_files(spark, sf_dir)).select(F.col("a").alias("src"), (F.col("b") + 10000).alias("dst"))
+    e = linking.edges_between(*_files(spark, sf_dir)).select(F.col("a").alias("src"), (F.col("b") + 2**40).cast("long").alias("dst"))
     return linking.components(e)
 
 
+#: Six files over all steps, each with the first five steps of the next one; labels are those of two cubes by turns, cut
+#: after every few steps. Links of each file with the next one, and their closure.
+ARRIVING = fx.LABELS2 + """, n as (select (max(t) // 6 + 1)::bigint as k from label),
+c as (select *, unnest([t // k, t // k - 1]) as f from (select label.*, label2.label as other, k from label join label2 using (t, y, x), n)),
+p as (select f, t, y, x, case when f % 2 = 0 then label else other end as own, case when f % 2 = 0 then 9 else 7 end as cut from c where f >= 0 and t < (f + 1) * k + 5),
+px as (select f, t, y, x, case when own = 0 then 0 else ((t - f * (select k from n)) // cut) * 32 + own end as label from p),
+spans as (select a.f, min(a.t) as lo, max(a.t) as hi from px a join px b on b.f = a.f + 1 and b.t = a.t and b.y = a.y and b.x = a.x group by a.f),
+pa as (select px.* from px join spans using (f) where label <> 0 and t > lo and t < hi), pb as (select px.f - 1 as f, t, y, x, label from px join spans on spans.f = px.f - 1 where label <> 0 and t > lo and t < hi),
+na as (select f, label as a, count(*) as na from pa group by all), nb as (select f, label as b, count(*) as nb from pb group by all),
+met as (select pa.f, pa.label as a, pb.label as b, count(*) as n from pa join pb using (f, t, y, x) group by all),
+e as (select f, f * 4294967296 + a as p, (f + 1) * 4294967296 + b as q from met join na using (f, a) join nb using (f, b) where n >= 5 and n >= 0.5 * least(na, nb)),
+u as (select p, q from e union select q, p from e), ids as (select distinct f, label, f * 4294967296 + label as id from px where label <> 0),
+r as (select id as node, id as root from ids union select u.q, r.root from r join u on u.p = r.node), roots as (select node, min(root) as root from r group by node),
+map as (select f, label, dense_rank() over (order by root) as global_label from ids join roots on node = id)"""
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> incremental.LinkTable:
+    """The files of ``ARRIVING``, added one by one."""
+    both = _label(spark, sf_dir).select("t", "y", "x", "label").join(_label(spark, sf_dir, 3).select("t", "y", "x", F.col("label").alias("other")), ["t", "y", "x"])
+    k = both.agg(F.floor(F.max("t") / 6).alias("k")).first()["k"] + 1
+    table = incremental.LinkTable(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    for f in range(6):
+        own, cut = ("label", 9) if f % 2 == 0 else ("other", 7)
+        here = both.where((F.col("t") >= f * k) & (F.col("t") < (f + 1) * k + 5))
+        table.add(str(f), here.select("t", "y", "x", F.when(F.col(own) == 0, 0).otherwise(F.floor((F.col("t") - f * k) / cut) * 32 + F.col(own)).alias("label")))
+    return table
+
+
+@query(f"with recursive {ARRIVING} select f::varchar as file, label::bigint as label, global_label::int as global_label from map")
+def incremental_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Global labels of files that are added one by one."""
+    return _arriving(spark, sf_dir).label_map().select("file", "label", "global_label")
+
+
+@query(f"""with recursive {ARRIVING}, g as (select px.f, t, y, x, coalesce(global_label, 0) as label from px left join map using (f, label)),
+pre as (select g.f + 1 as f, t, y, x, label, lo, hi from g join spans using (f) where t between lo and hi and label <> 0), has_pre as (select distinct g.f, label from g join spans on spans.f = g.f - 1 where t between lo and hi),
+fill_pre as (select f, t, y, x, label as pl from pre where t > lo and t < hi and (f, label) not in (select f, label from pre where t = hi and (f, label) not in (select f, label from has_pre))),
+g1 as (select f, t, y, x, coalesce(nullif(label, 0), pl, 0) as label from g left join fill_pre using (f, t, y, x)),
+nxt as (select g.f - 1 as f, t, y, x, label, lo, hi from g join spans on spans.f = g.f - 1 where t between lo and hi and label <> 0), has_nxt as (select distinct g1.f, label from g1 join spans using (f) where t between lo and hi),
+fill_nxt as (select f, t, y, x, label as nl from nxt where t > lo and t < hi and (f, label) not in (select f, label from nxt where t = lo and (f, label) not in (select f, label from has_nxt)))
+select f::varchar as file, t, y, x, coalesce(nullif(label, 0), nl, 0)::bigint as label from g1 left join fill_nxt using (f, t, y, x)""")
+def linked_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of files added one by one with their global labels, gaps filled from their neighbours without stubs."""
+    return _arriving(spark, sf_dir).outputs()
+
+
 @query("""with f as (select date_trunc('month', ts)::date as file, max(user_id) as m from events group by 1)
 select file, coalesce(sum(m) over (order by file rows between unbounded preceding and 1 preceding), 0)::bigint as start, lag(file) over (order by file) as previous, lead(file) over (order by file) as next from f""")
 def file_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,14 +194,14 @@ def carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.carry_over(known, F.when(c % 3 == 0, c * 10), 100).select("label", F.col("global_label").cast("long").alias("global_label"))
 
 
-@query(f"""with {fx.LABEL}, p as (select f, t, y, x, case when (t + f) % 3 = 0 then 0 else label * 10 + f end as label from label, (select unnest([0, 1, 2]) as f) where t between 6 * f and 6 * f + 10),
+@query(f"""with {fx.LABEL}, c as (select *, unnest([t // 6, t // 6 - 1]) as f from label), p as (select f, t, y, x, case when (t + f) % 3 = 0 or label = 0 then 0 else f::bigint * 32 + label end as label from c where f >= 0 and t <= 6 * f + 10),
 s as (select f, min(t) as lo, max(t) as hi from p group by f), i as (select p.* from p join s using (f) where t > lo and t < hi)
-select p.f as file, p.t, p.y, p.x, coalesce(nullif(p.label, 0), nullif(a.label, 0), nullif(b.label, 0), 0) as label from p left join i a on a.f = p.f - 1 and a.t = p.t and a.y = p.y and a.x = p.x left join i b on b.f = p.f + 1 and b.t = p.t and b.y = p.y and b.x = p.x""")
+select p.f::bigint as file, p.t, p.y, p.x, coalesce(nullif(p.label, 0), nullif(a.label, 0), nullif(b.label, 0), 0) as label from p left join i a on a.f = p.f - 1 and a.t = p.t and a.y = p.y and a.x = p.x left join i b on b.f = p.f + 1 and b.t = p.t and b.y = p.y and b.x = p.x""")
 def merge_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps of files filled from the files before and after."""
-    c = F.col
-    p = _label(spark, sf_dir).withColumn("file", F.explode(F.array(*map(F.lit, range(3))))).where("t between 6 * file and 6 * file + 10")
-    own = F.when((c("t") + c("file")) % 3 == 0, 0).otherwise(c("label") * 10 + c("file"))
+    """Gaps of files filled from the files before and after; a file begins every six steps and has eleven."""
+    c, first = F.col, F.floor(F.col("t") / 6)
+    p = _label(spark, sf_dir).withColumn("file", F.explode(F.array(first, first - 1))).where("file >= 0 and t <= 6 * file + 10")
+    own = F.when(((c("t") + c("file")) % 3 == 0) | (c("label") == 0), 0).otherwise(c("file") * 32 + c("label"))
     return linking.merge_neighbours(p.select("file", "t", "y", "x", own.alias("label")))
 
 
