@@ -148,15 +148,24 @@ r as (select id as node, id as root from ids union select u.q, r.root from r joi
 map as (select f, label, dense_rank() over (order by root) as global_label from ids join roots on node = id)"""
 
 
-def _arriving(spark: SparkSession, sf_dir: str) -> incremental.LinkTable:
-    """The files of ``ARRIVING``, added one by one."""
+def arriving(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The files of ``ARRIVING``, as ``t, y, x, label``."""
     both = _label(spark, sf_dir).select("t", "y", "x", "label").join(_label(spark, sf_dir, 3).select("t", "y", "x", F.col("label").alias("other")), ["t", "y", "x"])
     k = both.agg(F.floor(F.max("t") / 6).alias("k")).first()["k"] + 1
-    table = incremental.LinkTable(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
-    for f in range(6):
+
+    def file(f: int) -> DataFrame:
         own, cut = ("label", 9) if f % 2 == 0 else ("other", 7)
         here = both.where((F.col("t") >= f * k) & (F.col("t") < (f + 1) * k + 5))
-        table.add(str(f), here.select("t", "y", "x", F.when(F.col(own) == 0, 0).otherwise(F.floor((F.col("t") - f * k) / cut) * 32 + F.col(own)).alias("label")))
+        return here.select("t", "y", "x", F.when(F.col(own) == 0, 0).otherwise(F.floor((F.col("t") - f * k) / cut) * 32 + F.col(own)).alias("label"))
+
+    return [file(f) for f in range(6)]
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> incremental.LinkTable:
+    """The files, added one by one."""
+    table = incremental.LinkTable(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    for f, pixels in enumerate(arriving(spark, sf_dir)):
+        table.add(str(f), pixels)
     return table
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -66,6 +67,18 @@ def carry_ids(steps: DataFrame, key: str, gap_seconds: float = 960.0, forget_aft
     )
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """States of many kinds need a store of column families; the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drained(spark: SparkSession, stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None) -> DataFrame:
     """What a stream gives when it has read all there is, as a table in the folder for checkpoints: all batches, or the
     last one of a stream in ``complete`` mode."""
