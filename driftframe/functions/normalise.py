@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,12 +69,38 @@ def uniform_norm(df: DataFrame, keys: list[str], value: str = "v", quantiles: in
     return linear_norm(binned, keys, value)
 
 
-def local_linear_norm(df: DataFrame, keys: list[str], value: str = "v", size: int = 100) -> DataFrame:
-    """Scaling by the extremes of a square of ``size`` pixels around each (reflected at borders): dense frames."""
-    from driftframe.operators.frames import per_frame
-    from driftframe.operators.kernels import local_range
-
-    return per_frame(df, lambda a: local_range(a, size), value)
+def local_linear_norm(df: DataFrame, keys: list[str], value: str = "v", size: int = 100, tile: int = 512) -> DataFrame:
+    """Scaling by the extremes of a square of ``size`` pixels around each, cut off at the border; missing values count as the
+    mean of the frame (``keys``), pixels without a row as nothing. Each pixel goes to the tiles of ``tile`` rows and columns
+    whose squares it lies in, so a task holds a tile and its surroundings, not a frame."""
+    from driftframe.operators.kernels import sliding
+
+    before, after = size // 2, size - 1 - size // 2
+    names = [*keys, "y", "x"]
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*names).schema}
+    # a square reaches ``before`` pixels up and left, so a pixel counts for tiles that end as far after it, and begin ``after`` before
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - after) / tile), F.floor((F.col(c) + before) / tile)))
+    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    own = df.select(*names, F.col(value).cast("double").alias("_v"))
+    around = own.withColumn("_ty", near("y")).withColumn("_tx", near("x")).join(means, keys)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        y, x, mean = part["y"].to_numpy(), part["x"].to_numpy(), part["_mean"].iloc[0]
+        mean = 0.0 if pd.isna(mean) else float(mean)
+        at = y - y.min(), x - x.min()
+        a, there = (np.full((at[0].max() + 1, at[1].max() + 1), fill) for fill in (np.nan, False))
+        a[at], there[at] = part["_v"].to_numpy(dtype=float, na_value=np.nan), True
+        v = np.where(np.isfinite(a), a, mean)
+        low, high = (sliding(np.where(there, v, worst), size, f)[at] for worst, f in ((np.inf, np.minimum), (-np.inf, np.maximum)))
+        spread = np.where(high > low, high - low, 1.0)
+        mine = (y // tile == part["_ty"].to_numpy()) & (x // tile == part["_tx"].to_numpy())
+        return part[names].assign(_new=np.where(high > low, (v[at] - low) / spread, 0.0))[mine]
+
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", _new double"
+    found = around.groupBy(*keys, "_ty", "_tx").applyInPandas(run, schema)
+    rest = [c for c in df.columns if c not in (*names, value)]
+    scaled = found.select(*names, F.col("_new").alias(value))
+    return df.select(*names, *rest).join(scaled, names).select(*df.columns) if rest else scaled.select(*df.columns)
 
 
 METHODS: dict[str, Callable[..., DataFrame]] = {

@@ -1,12 +1,13 @@
-"""Watershed of a field in the moving frame: an exact flood, whole or by region, and a descent in joins.
+"""Watershed of a field in the moving frame: an exact flood by region, and basins joined over their passes.
 
 The exact flood takes its pixels one by one from a queue. Floods in regions of free pixels that no link connects don't
-meet, and the order within a region doesn't depend on the others; so ``regions`` floods each region, with the
-markers that lead into it, as a group of its own, with the same result as the whole cube. How far that spreads the work
-depends on the markers: background that is marked, as in detection, cuts a cube into many regions, a few seeds in an open
-field leave one. ``chunk`` bounds what a task holds in that case too, by windows of steps with ``halo`` steps on either
-side, whose labels are then left to their own window; labels of floods that meet or come from further away can then differ.
-``descent`` follows each pixel to the lowest neighbour in joins alone, for cubes of any size.
+meet, and the order within a region doesn't depend on the others; so each region, with the markers that lead into
+it, is a group of its own, with the same result as the whole cube. How far that spreads the work depends on the markers:
+background that is marked, as in detection, cuts a cube into many regions, a few seeds in an open field leave one.
+For those there is ``basins``, which no task holds a region for: pixels are followed downhill, and what they end in is joined
+over the lowest passes between basins, in joins alone. ``chunk`` bounds what a task of the flood holds as well, by windows
+of steps with ``halo`` steps on either side, but changes labels of floods that meet or come from further away.
+``descent`` joins basins to the marked ones beside them, round by round.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftframe.operators import kernels
-from driftframe.operators.linking import components, stored
+from driftframe.operators.linking import components
 from driftframe.operators.stencil import KEY, full, taps
+from driftframe.sources.store import forget, stored
 
 
 def _flooded(part: pd.DataFrame) -> np.ndarray:
@@ -44,8 +46,7 @@ def _by_region(own: DataFrame) -> DataFrame:
     free = (F.col("label") == 0) & (F.col("m") > 0)
     parts = stored(flat_label(own.select(*KEY, free.alias("m"))).withColumnRenamed("label", "part"))
     whole = own.select(*KEY, *(F.rint(c).alias(c) for c in ("fx", "fy", "bx", "by")))
-    around = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
-    led = taps(parts.withColumn("part", F.nullif("part", F.lit(0))), whole, around, "nearest", "part").where(F.col("value").isNotNull())
+    led = taps(parts.withColumn("part", F.nullif("part", F.lit(0))), whole, AROUND, "nearest", "part").where(F.col("value").isNotNull())
     led = stored(led.select(*KEY, F.col("value").alias("to")).distinct().join(parts, KEY).join(own.select(*KEY, (F.col("label") != 0).alias("marked")), KEY))
     links = led.where((F.col("part") != 0) & (F.col("part") != F.col("to"))).select(F.col("part").alias("src"), F.col("to").alias("dst")).distinct()
     roots = components(links)
@@ -53,7 +54,7 @@ def _by_region(own: DataFrame) -> DataFrame:
     return rooted(parts.where("part <> 0")).unionByName(rooted(led.where("marked").select(*KEY, F.col("to").alias("part"))).distinct())
 
 
-def watershed(flow: DataFrame, field: DataFrame, markers: DataFrame, allowed: DataFrame | None = None, chunk: int | None = None, halo: int = 6, regions: bool = False) -> DataFrame:
+def watershed(flow: DataFrame, field: DataFrame, markers: DataFrame, allowed: DataFrame | None = None, chunk: int | None = None, halo: int = 6) -> DataFrame:
     """``label`` of each pixel: that of the marker (any number but 0) whose flood reaches it first; only pixels that
     are ``allowed`` (column ``m``) are flooded. Missing values flood last."""
     own = field.select(*KEY, F.col("v").cast("double").alias("v")).join(markers.select(*KEY, "label"), KEY).join(flow.select(*KEY, "fx", "fy", "bx", "by"), KEY)
@@ -68,8 +69,6 @@ def watershed(flow: DataFrame, field: DataFrame, markers: DataFrame, allowed: Da
             return part[KEY].assign(label=_flooded(part))[part["home"].to_numpy() == part["w"].to_numpy()]
 
         return own.groupBy("w").applyInPandas(window, result)
-    if not regions:
-        return own.withColumn("w", F.lit(0)).groupBy("w").applyInPandas(lambda part: part[KEY].assign(label=_flooded(part)), result)
     own = stored(own)
 
     def region(part: pd.DataFrame) -> pd.DataFrame:
@@ -79,6 +78,90 @@ def watershed(flow: DataFrame, field: DataFrame, markers: DataFrame, allowed: Da
     return own.join(found, KEY, "left").select(*KEY, F.coalesce("_found", "label").alias("label"))
 
 
+#: Numbers of basins that end at a marker: its label less this, so below those of all pixels.
+MARKED = 1 << 40
+#: Where a flood goes from a pixel.
+AROUND = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
+
+
+def _ends(step: DataFrame) -> DataFrame:
+    """``id, to`` with ``to`` followed to its end; ends lead to themselves. The length of what is followed doubles in each
+    round; tables of rounds that are over are removed."""
+    jump = kept = stored(step)
+    while True:
+        far = jump.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        new = stored(jump.join(far, "to").select("id", F.col("to").alias("old"), F.col("next").alias("to")))
+        forget(kept)
+        kept, jump = new, new.select("id", "to")
+        if new.where("old <> to").isEmpty():
+            return jump
+
+
+def passes(flow: DataFrame, field: DataFrame, markers: DataFrame, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Basins of a field and the passes between them: ``t, y, x, node``, where a number below 0 is a marker's label less
+    ``MARKED`` and any other the place of the basin's lowest pixel, and ``a, b, h``, the lowest height at which links
+    lead from one basin into another, ``a`` the smaller number. Every pixel goes to the lowest of those that its links lead to, the first
+    of equal ones, if that is lower than itself or as low and before it; marked pixels go nowhere."""
+    own = field.select(*KEY, F.coalesce("v", F.lit(float("inf"))).alias("v")).join(markers.select(*KEY, "label"), KEY, "left")
+    own = own if allowed is None else own.join(allowed.where(F.col("m")).select(*KEY), KEY, "left_semi")
+    b = own.agg(*(f(c).alias(f"{c}{k}") for c in "yx" for k, f in ((0, F.min), (1, F.max)))).first()
+    height, width = ((b[f"{c}1"] or 0) - (b[f"{c}0"] or 0) + 1 for c in "yx")
+    place = (F.col("t") * height + F.col("y") - F.lit(b["y0"] or 0)) * width + F.col("x") - F.lit(b["x0"] or 0)
+    own = stored(own.withColumns({"id": place.cast("long"), "label": F.coalesce("label", F.lit(0))}))
+    # only pixels with vectors lead to other steps; all lead to those beside them
+    whole = own.select(*KEY).join(flow.select(*KEY, *(F.rint(c).alias(c) for c in ("fx", "fy", "bx", "by"))), KEY, "left")
+    led = taps(own.withColumn("to", F.struct("v", "id")), whole, AROUND, "nearest", "to").where(F.col("value").isNotNull())
+    led = stored(led.select(*KEY, F.col("value.v").alias("v_to"), F.col("value.id").alias("to")).join(own.select(*KEY, "v", "id"), KEY).drop(*KEY))
+    low = led.groupBy("id").agg(F.min(F.struct("v_to", "to")).alias("low"))
+    lower = (F.col("low.v_to") < F.col("v")) | ((F.col("low.v_to") == F.col("v")) & (F.col("low.to") < F.col("id")))
+    down = own.join(low, "id", "left").select("id", F.when((F.col("label") == 0) & lower, F.col("low.to")).otherwise(F.col("id")).alias("to"))
+    marked = own.where("label <> 0").select(F.col("id").alias("to"), (F.col("label") - F.lit(MARKED)).alias("mark"))
+    ends = stored(_ends(down).join(marked, "to", "left").select("id", F.coalesce("mark", "to").alias("node")))
+    between = led.join(ends, "id").join(ends.select(F.col("id").alias("to"), F.col("node").alias("node_to")), "to").where("node <> node_to and not (node < 0 and node_to < 0)")
+    found = between.groupBy(F.least("node", "node_to").alias("a"), F.greatest("node", "node_to").alias("b")).agg(F.min(F.greatest("v", "v_to")).alias("h"))
+    return own.select(*KEY, "id").join(ends, "id").select(*KEY, "node"), found
+
+
+def joined(edges: DataFrame) -> DataFrame:
+    """``node, label`` of basins that passes ``a, b, h`` join to a marker: over the lowest pass that leads to one, at equal
+    heights the one with the smaller ``a``, then ``b``, where markers have the smallest numbers. That is the minimal spanning
+    forest whose trees have one marker each. In a round each tree without one takes its lowest pass outwards, so at least half
+    as many remain."""
+    order = F.struct("h", "a", "b")
+    edges = stored(edges.select(F.col("a").alias("p"), F.col("b").alias("q"), order.alias("w")))
+    nodes = edges.select(F.col("p").alias("node")).union(edges.select("q")).where("node >= 0").distinct()
+    names = stored(nodes.withColumn("tree", F.col("node")))
+    while True:
+        out = edges.select("p", "q", "w").union(edges.select(F.col("q").alias("p"), F.col("p").alias("q"), "w")).where("p >= 0")
+        chosen = stored(out.groupBy("p").agg(F.min_by("q", "w").alias("q")))
+        if chosen.isEmpty():
+            break
+        # of two trees that choose each other the smaller number is the end; so is a tree with a marker
+        back = chosen.select(F.col("p").alias("q"), F.col("q").alias("over"))
+        step = chosen.join(back, "q", "left").select(F.col("p").alias("id"), F.when((F.col("over") == F.col("p")) & (F.col("p") < F.col("q")), F.col("p")).otherwise(F.col("q")).alias("to"))
+        known = step.where("to < 0").select(F.col("to").alias("id"), "to").distinct()
+        ends = _ends(step.unionByName(known))
+        of = lambda c: ends.select(F.col("id").alias(c), F.col("to").alias(f"{c}_end"))
+        names_new = stored(names.join(of("tree"), "tree", "left").select("node", F.coalesce("tree_end", "tree").alias("tree")))
+        moved = edges.join(of("p"), "p", "left").join(of("q"), "q", "left").select(F.coalesce("p_end", "p").alias("p"), F.coalesce("q_end", "q").alias("q"), "w")
+        moved = moved.where("p <> q and not (p < 0 and q < 0)").groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.min("w").alias("w"))
+        edges_new = stored(moved)
+        forget(edges, names, chosen)
+        edges, names = edges_new, names_new
+    return names.where("tree < 0").select("node", (F.col("tree") + F.lit(MARKED)).alias("label"))
+
+
+def basins(flow: DataFrame, field: DataFrame, markers: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """``label`` of each pixel: that of the marker (any number but 0) which its basin reaches over the lowest passes, 0 where
+    there is none or the pixel isn't ``allowed``. Missing values are highest. Links count both ways for passes."""
+    pixels, edges = passes(flow, field, markers, allowed)
+    pixels = stored(pixels)
+    found = pixels.join(joined(edges), "node", "left")
+    label = F.when(F.col("node") < 0, F.col("node") + F.lit(MARKED)).otherwise(F.coalesce("label", F.lit(0)))
+    own = found.select(*KEY, label.cast("int").alias("label"))
+    return own if allowed is None else field.select(*KEY).join(own, KEY, "left").select(*KEY, F.coalesce("label", F.lit(0)).alias("label"))
+
+
 def descent(flow: DataFrame, field: DataFrame, markers: DataFrame) -> DataFrame:
     """Each pixel takes the label of the marker or the local minimum that steepest descent ends at; minima without
     a marker join the marked basin with the lowest pass to them, round by round."""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftframe.operators import kernels
@@ -72,9 +72,37 @@ def fill_holes(mask: DataFrame, box: tuple[int, int, int, int] | None = None) ->
     return masked(mask, kernels.fill_holes, box=box, missing=True)
 
 
+#: Rows of a frame whose distances one task works out together.
+ROWS = 32
+
+
 def distance(mask: DataFrame) -> DataFrame:
-    """``v``: distance of each pixel to the nearest pixel of the mask in its step, NULL in steps without any."""
-    return per_frame(mask.withColumn("v", F.col("m").cast("double")), lambda a: kernels.distance(np.nan_to_num(a) > 0.5)[0])
+    """``v``: distance of each pixel to the nearest pixel of the mask in its step, NULL in steps without any.
+
+    Squares of distances separate: the nearest pixel of the mask in each column comes from two windows over the column, and
+    over these the lower envelope of each row's parabolas is exact. So a task holds ``ROWS`` rows of a frame, not a frame.
+    Pixels that a step lacks carry distances too; they are added for that step and left out of the result.
+    """
+    own = mask.select(*(F.col(c).cast("int").alias(c) for c in KEY), F.coalesce("m", F.lit(False)).alias("m"))
+    span = own.groupBy("t").agg(*(f(c).alias(f"{c}{k}") for c in "yx" for k, f in ((0, F.min), (1, F.max))), F.count(F.lit(1)).alias("n"))
+    gaps = span.where("n < (y1 - y0 + 1) * (x1 - x0 + 1)")
+    grid = gaps.select("t", F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1").select("t", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    more = grid.join(own.select(*KEY), KEY, "left_anti").withColumns({"m": F.lit(False), "own": F.lit(False)})
+    whole = own.withColumn("own", F.lit(True)).unionByName(more)
+    column = Window.partitionBy("t", "x").orderBy("y")
+    at = F.when(F.col("m"), F.col("y"))
+    above = F.last(at, True).over(column.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.first(at, True).over(column.rowsBetween(0, Window.unboundedFollowing))
+    far = F.least(F.col("y") - above, below - F.col("y")).cast("double")
+    nearest_y = whole.withColumn("d", far * far)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["y", "x"], kind="stable")
+        v, at = kernels.carried(part["y"].to_numpy(), part["x"].to_numpy(), part["d"].to_numpy(dtype=float, na_value=np.nan), 1.0)
+        out = part[KEY].assign(v=pd.Series(np.where(at >= 0, v, 0.0), index=part.index).astype(object).where(at >= 0, None))
+        return out[part["own"].to_numpy(dtype=bool)]
+
+    return nearest_y.groupBy("t", F.floor(F.col("y") / ROWS)).applyInPandas(run, "t int, y int, x int, v double")
 
 
 def nearest(labels: DataFrame, box: tuple[int, int, int, int] | None = None) -> DataFrame:
@@ -114,8 +142,6 @@ def optical_flow(df: DataFrame, model: str = "farneback", smoothing: int = 0, li
     if scale == "local_linear":  # around each pixel of its own frame
         df, own = own(df, ["t"], value), None
     steps = df.select("t").distinct()
-    from pyspark.sql import Window
-
     order = steps.withColumns({"next": F.lead("t").over(Window.orderBy("t")), "prev": F.lag("t").over(Window.orderBy("t"))})
     both = F.filter(F.array("t", "prev"), lambda v: v.isNotNull())
     pairs = df.join(F.broadcast(order), "t").select(F.explode(both).alias("pair"), *KEY, F.col(value).cast("double").alias("v"), "next").where((F.col("pair") != F.col("t")) | F.col("next").isNotNull())

@@ -44,22 +44,28 @@ def nan_gaussian(a: np.ndarray, sigma: float, propagate: bool = True, normalised
     return np.where(ok, out, np.nan) if propagate else out
 
 
-def sliding(a: np.ndarray, size: int, f: Callable = np.maximum) -> np.ndarray:
-    """Extremes over squares of ``size`` pixels, mirrored at the borders."""
+def sliding(a: np.ndarray, size: int, f: np.ufunc = np.maximum) -> np.ndarray:
+    """Extremes (``np.maximum`` or ``np.minimum``) over squares of ``size`` pixels, mirrored at the borders, which adds no
+    pixel that isn't in what is left of the square. Along each axis blocks of ``size`` have a running extreme from either end;
+    a window is the rest of one block and the beginning of the next, so the work doesn't depend on ``size``."""
+    before, worst = size // 2, -np.inf if f is np.maximum else np.inf
     for axis in (0, 1):
-        before = size // 2
         n = a.shape[axis]
-        idx = reflect(n, size)[size - before :]
-        out = None
-        for i in range(size):
-            part = np.take(a, idx[i : i + n], axis=axis)
-            out = part if out is None else f(out, part)
-        a = out
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (before, -(n + before) % size + size)
+        p = np.moveaxis(np.pad(a, pad, constant_values=worst), axis, -1)
+        blocks = p.reshape(*p.shape[:-1], -1, size)
+        head = f.accumulate(blocks, axis=-1).reshape(p.shape)
+        tail = f.accumulate(blocks[..., ::-1], axis=-1)[..., ::-1].reshape(p.shape)
+        a = np.moveaxis(f(tail[..., :n], head[..., size - 1 : size - 1 + n]), -1, axis)
     return a
 
 
-def local_range(a: np.ndarray, size: int) -> np.ndarray:
-    v = np.where(np.isfinite(a), a, np.nanmean(a) if np.isfinite(a).any() else 0.0)
+def local_range(a: np.ndarray, size: int, mean: float | None = None) -> np.ndarray:
+    """Scaled between the extremes around each pixel; what is missing counts as ``mean``, or the mean of the array."""
+    if mean is None:
+        mean = np.nanmean(a) if np.isfinite(a).any() else 0.0
+    v = np.where(np.isfinite(a), a, mean)
     low, high = sliding(v, size, np.minimum), sliding(v, size, np.maximum)
     return np.where(high > low, (v - low) / np.where(high > low, high - low, 1.0), 0.0)
 

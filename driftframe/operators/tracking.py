@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +21,51 @@ def _global(local: DataFrame) -> DataFrame:
     return local.join(F.broadcast(start), "t").select(*KEY, F.when(F.col("label") > 0, F.col("label") + F.col("start")).otherwise(0).cast("int").alias("label"))
 
 
-def flat_label(mask: DataFrame, diagonal: bool = False) -> DataFrame:
-    """``label``: connected regions of each step, numbered in the order of (t, first pixel)."""
-    return _global(per_frame(mask.select(*KEY, F.col("m").cast("double").alias("label")), lambda a: kernels.components(np.nan_to_num(a) > 0.5, diagonal), "label", "int"))
+#: Rows and columns of a tile in which regions are found before they are joined over its borders.
+TILE = 512
+
+
+def tile_regions(mask: DataFrame, diagonal: bool = False, tile: int = TILE) -> tuple[DataFrame, tuple[int, int, int, int]]:
+    """``t, y, x, part`` of the pixels of a mask: the place of the first pixel of the region within the tile, in the order of
+    step, row and column; and the first row, first column, rows and columns that places are counted in."""
+    b = mask.agg(*(f(c).alias(f"{c}{k}") for c in "yx" for k, f in ((0, F.min), (1, F.max)))).first()
+    y0, x0 = (int(b[f"{c}0"] or 0) for c in "yx")
+    height, width = (int(b[f"{c}1"] or 0) - o + 1 for c, o in (("y", y0), ("x", x0)))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        y, x = part["y"].to_numpy(), part["x"].to_numpy()
+        grid = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
+        at = y - y.min(), x - x.min()
+        grid[at] = True
+        regions = kernels.components(grid, diagonal)[at]
+        place = (int(part["t"].iloc[0]) * height + y.astype(np.int64) - y0) * width + x - x0
+        first = np.full(regions.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, regions, place)
+        return pd.DataFrame({"t": part["t"], "y": part["y"], "x": part["x"], "part": first[regions]})
+
+    own = mask.where(F.col("m")).select(*(F.col(c).cast("int").alias(c) for c in KEY))
+    cell = lambda c, o: F.floor((F.col(c) - o) / tile)
+    return own.groupBy("t", cell("y", y0).alias("_y"), cell("x", x0).alias("_x")).applyInPandas(run, "t int, y int, x int, part long"), (y0, x0, height, width)
+
+
+def flat_label(mask: DataFrame, diagonal: bool = False, tile: int = TILE) -> DataFrame:
+    """``label``: connected regions of each step, numbered in the order of (t, first pixel).
+
+    Regions are found in tiles of ``tile`` rows and columns; those that touch over a border of tiles are joined as
+    components, so no task holds more of a frame than a tile. Only pixels beside borders take part in that.
+    """
+    parts, (y0, x0, _, _) = tile_regions(mask, diagonal, tile)
+    parts = stored(parts)
+    y, x = (F.pmod(F.col(c) - o, F.lit(tile)) for c, o in (("y", y0), ("x", x0)))
+    rim = parts.where((y == 0) | (y == tile - 1) | (x == 0) | (x == tile - 1))
+    offsets = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]
+    there = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets)))
+    led = rim.select("t", "y", "x", F.col("part").alias("src"), there.alias("o")).select("t", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "src")
+    links = led.join(rim.withColumnRenamed("part", "dst"), KEY).where("src <> dst").select("src", "dst").distinct()
+    roots = components(links).select(F.col("node").alias("part"), "root")
+    rooted = parts.join(roots, "part", "left").withColumn("root", F.coalesce("root", "part"))
+    named = rooted.join(numbered(rooted, ["root"], "_n"), "root").select(*KEY, "_n")
+    return mask.select(*(F.col(c).cast("int").alias(c) for c in KEY)).join(named, KEY, "left").select(*KEY, F.coalesce("_n", F.lit(0)).alias("label"))
 
 
 def subsegments(mask: DataFrame, shrink: float = 0.1, min_distance: int = 5) -> DataFrame:

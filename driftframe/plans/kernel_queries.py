@@ -120,6 +120,13 @@ def watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flooding.watershed(fx.flow(spark, sf_dir), field, _markers(spark, sf_dir))
 
 
+@query()
+def basin_watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basins of a field joined to markers over their lowest passes."""
+    field = fx.cube(spark, sf_dir).withColumn("v", -F.col("v"))
+    return flooding.basins(fx.flow(spark, sf_dir), field, _markers(spark, sf_dir))
+
+
 @query()
 def network_watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flood by descent, in joins."""

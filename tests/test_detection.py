@@ -294,8 +294,7 @@ def test_regions_flood_as_the_whole(spark, share):
     f, b = (tuple(rng.choice([-1.0, -0.5, 0.0, 0.5, 1.5], shape) for _ in range(2)) for _ in range(2))
     args = flow_table(spark, f, b), table(spark, field), table(spark, marks, "label", "int"), table(spark, allowed, "m", "boolean")
     want = kernels.flood(field.astype(np.float32), marks.astype(np.int32), allowed, *(np.stack([v[1], v[0]], axis=-1) for v in (f, b)))
-    for regions in (False, True):
-        assert (cube_of(flooding.watershed(*args, regions=regions), "label", shape) == want).all()
+    assert (cube_of(flooding.watershed(*args), "label", shape) == want).all()
 
 
 def test_lanczos_taps_have_a_small_plan(spark, scene):
