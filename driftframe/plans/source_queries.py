@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.functions import radiance
+from driftframe.functions import emit, radiance
 from driftframe.plans import fixtures as fx
 from driftframe.plans.registry import query
 from driftframe.plans.stat_queries import r6
-from driftframe.sources import files, frames
+from driftframe.sources import archives, files, frames
+from driftframe.sources.store import shared_folder
 
 CHANNELS = fx.CUBE + """, ch as (select t, y, x, 270 + 20 * v as C13, case when (t + y + x) % 17 <> 0 then 240 + 10 * v end as C08, 245 + 5 * v as C10, 268 + 19 * v as C15, case when (y * x) % 31 = 7 then 1 else 0 end as DQF_C13 from cube)"""
 
@@ -114,3 +117,40 @@ def radiative_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") * 1000).alias("toa_lwup"), (F.col("l_quantity") * 990).alias("toa_lwup_clr"),
     )
     return r6(radiance.add_effects(f).select("k", "n", "toa_swup_cre", "toa_lwup_cre", "toa_net_cre"))
+
+
+@query("""select event_id, user_id, 'day_' || strftime(ts, '%Y%m%d') || '.tar' as archive, 'events_' || strftime(time_bucket(interval 6 hours, ts), '%Y%m%d%H%M%S') || '.csv.gz' as member from events""")
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events packed as an archive for each day with a member for six hours, and read back, early and late members each by a
+    filter in planning."""
+    ts = F.col("ts").cast("timestamp")
+    slot = F.timestamp_seconds(F.floor(F.unix_seconds(ts) / 21600) * 21600)
+    e = fx.table(spark, sf_dir, "events").withColumns({
+        "archive": F.concat(F.lit("day_"), F.date_format(ts, "yyyyMMdd"), F.lit(".tar")), "member": F.concat(F.lit("events_"), F.date_format(slot, "yyyyMMddHHmmss"), F.lit(".csv.gz")),
+    })
+    content = F.concat_ws("\n", F.collect_list(F.concat_ws(",", "event_id", "user_id")))
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    archives.pack(e.groupBy("archive", "member").agg(content.alias("content")), folder, "tar").collect()  # a row for each day
+    middle = e.agg(F.timestamp_micros(F.avg(F.unix_micros(ts)).cast("long")).alias("m")).first()["m"]
+    early, late = archives.read(spark, folder).where(F.col("time") < F.lit(middle)), archives.read(spark, folder).where(F.col("time") >= F.lit(middle))
+    lines = early.unionByName(late).select("archive", "member", F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
+    part = lambda i: F.split("line", ",")[i].cast("long")
+    return lines.select(part(0).alias("event_id"), part(1).alias("user_id"), "archive", "member")
+
+
+@query(f"""with {fx.LABEL}, a as (select y, t, list(distinct label order by label) as labels from label where label <> 0 group by y, t),
+b as (select user_id, ts::date as day, list(distinct event_type order by event_type) as types from events group by 1, 2),
+ea as (select y::bigint as key, t::varchar as step, unnest(labels)::varchar as label, generate_subscripts(labels, 1)::int - 1 as position from a),
+eb as (select user_id as key, day::varchar as step, unnest(types) as label, generate_subscripts(types, 1)::int - 1 as position from b)
+select 'a' as source, key, step, position, label, row_number() over (partition by key, label order by step::int, position) = 1 as first from ea
+union all select 'b', key, step, position, label, row_number() over (partition by key, label order by step, position) = 1 from eb""")
+def emit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of labels by row and step, and of event types by user and day, as rows, from one table function."""
+    emit.register(spark)
+    own = fx.label(spark, sf_dir).where("label <> 0").groupBy("y", "t").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    days = fx.table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_set("event_type")).alias("types"))
+    return spark.sql(
+        """select 'a' as source, cast(y as bigint) as key, cast(t as string) as step, position, cast(label as string) as label, first from emit_labels(table(select * from {own}) partition by y order by t)
+        union all select 'b', user_id, cast(day as string), position, label, first from emit_labels(table(select * from {days}) partition by user_id order by day)""",
+        own=own, days=days,
+    )
