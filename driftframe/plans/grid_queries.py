@@ -78,7 +78,17 @@ def ecef_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("k", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), F.round(alt, 3).alias("alt"))
 
 
-@query()
+LA, LB = geo.LIGHTNING
+LH, GH = LA + geo.SATELLITE_HEIGHT, A + geo.SATELLITE_HEIGHT
+
+
+@query(f"""with {PLACES}, g as (select k, lat, lon, atan(tan(radians(lat)) * {LB * LB / (LA * LA)!r}) as p, radians(lon + 75) as d from places), r as (select *, {LB!r} / sqrt(1 - {1 - LB * LB / (LA * LA)!r} * cos(p) * cos(p)) as r from g),
+s as (select *, {LH!r} - r * cos(p) * cos(d) as sx, -r * cos(p) * sin(d) as sy, r * sin(p) as sz from r),
+a as (select k, lat, lon, case when {LH!r} * ({LH!r} - sx) >= sy * sy + {LA * LA / (LB * LB)!r} * sz * sz then asin(-sy / sqrt(sx * sx + sy * sy + sz * sz)) end as x, case when {LH!r} * ({LH!r} - sx) >= sy * sy + {LA * LA / (LB * LB)!r} * sz * sz then atan(sz / sx) end as y from s),
+q as (select *, sin(x) ** 2 + cos(x) ** 2 * (cos(y) ** 2 + {A * A / (B * B)!r} * sin(y) ** 2) as aa, -2 * {GH!r} * cos(x) * cos(y) as bb, {GH * GH - A * A!r} as cc from a),
+w as (select *, bb * bb - 4 * aa * cc as disc, (-bb - sqrt(greatest(bb * bb - 4 * aa * cc, 0))) / (2 * aa) as rs from q),
+e as (select *, rs * cos(x) * cos(y) as ex, -rs * sin(x) as ey, rs * cos(x) * sin(y) as ez from w)
+select k, case when disc >= 0 then round(lon - (-75 - degrees(atan(ey / ({GH!r} - ex)))), 6) end as dlon, case when disc >= 0 then round(lat - degrees(atan({A * A / (B * B)!r} * ez / sqrt(({GH!r} - ex) ** 2 + ey * ey))), 6) end as dlat from e""")
 def lightning_parallax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shift between the ellipsoid of lightning and the grid's."""
     lon, lat = geo.parallax_offsets(F.col("lon"), F.col("lat"))

@@ -59,7 +59,21 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.peaks(fx.cube(spark, sf_dir), 2, box=fx.BOX, threshold=float("-inf"))
 
 
-@query()
+def smooth_sql(sigma: float) -> str:
+    """Tables up to ``sm`` (t, y, x, v, y1): ``cube`` smoothed, each step mirrored at its own first and last row."""
+    r = int(4 * sigma + 0.5)
+    mirrored = lambda c, n: f"case when ({c} + i + 8 * {n}) % (2 * {n}) < {n} then ({c} + i + 8 * {n}) % (2 * {n}) else 2 * {n} - 1 - ({c} + i + 8 * {n}) % (2 * {n}) end"
+    return f"""k as (select range - {r} as i, exp(-0.5 * ((range - {r}) / {sigma}) ** 2) as w from range({2 * r + 1})), kn as (select i, w / sum(w) over () as w from k), h as (select t, max(y) + 1 as n from cube group by t),
+ry as (select c.t, c.y, c.x, w, {mirrored("c.y", "h.n")} as q from cube c join h using (t) cross join kn), sy as (select r.t, r.y, r.x, sum(w * s.v) as v from ry r join cube s on s.t = r.t and s.y = r.q and s.x = r.x group by all),
+rx as (select t, y, x, w, {mirrored("x", "64")} as q from cube cross join kn), sm as (select r.t, r.y, r.x, sum(w * s.v) as v, any_value(h.n) - 1 as y1 from rx r join h using (t) join sy s on s.t = r.t and s.y = r.y and s.x = r.q group by r.t, r.y, r.x)"""
+
+
+@query(f"""with recursive {fx.CUBE}, {smooth_sql(2.0)},
+bend as (select t, y, x, y1, y > 0 and y < y1 and x > 0 and x < 63 and coalesce(lag(v) over r + lead(v) over r - 2 * v < 0, false) and coalesce(lag(v) over c + lead(v) over c - 2 * v < 0, false) as m from sm window r as (partition by t, y order by x), c as (partition by t, x order by y)),
+out as (select t, y, x from bend where not m and (y in (0, y1) or x in (0, 63)) union select b.t, b.y, b.x from out o join bend b on b.t = o.t and abs(b.y - o.y) + abs(b.x - o.x) = 1 and not b.m),
+filled as (select b.t, b.y, b.x, o.t is null as m from bend b left join out o using (t, y, x)), cross_ as (select unnest([0, 0, 0, -1, 1]) as dy, unnest([0, -1, 1, 0, 0]) as dx),
+thin as (select f.t, f.y, f.x, bool_and(coalesce(g.m, false)) as m from filled f cross join cross_ left join filled g on g.t = f.t and g.y = f.y + dy and g.x = f.x + dx group by all)
+select f.t, f.y, f.x, bool_or(coalesce(g.m, false)) as m from thin f cross join cross_ left join thin g on g.t = f.t and g.y = f.y + dy and g.x = f.x + dx group by f.t, f.y, f.x""")
 def curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the smoothed field bends down."""
     return frames.curvature_filter(fx.cube(spark, sf_dir))
@@ -184,17 +198,23 @@ def edge_watershed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.edge_watershed(fx.flow(spark, sf_dir), field, _markers(spark, sf_dir), 0.1, 0.0, 1, literal=False)
 
 
-@query()
+@query(f"""with recursive {REGIONS.replace("v > 0.1", "v > 0")}, flow as (select t, y, x, (t + y) % 3 - 1 as fx, (t + x) % 3 - 1 as fy from cube),
+own as (select t, y, x, 1 + (y // 5) * 4 + x // 16 as label from cube), s as (select own.t, own.y, own.x, dense_rank() over (order by n.label, own.label) as step from own join lowest on lowest.t = own.t and lowest.p = own.y * 64 + own.x join n on n.t = lowest.t and n.root = lowest.root),
+{LED.format(absolute=1, overlap=0.1)}, {REACHED.format(links="e")}, px as (select c.t, c.y, c.x, v, coalesce(o.label, 0) as label from cube c left join s using (t, y, x) left join o on o.node = s.step),
+kept as (select label, dense_rank() over (order by label) as n from (select label from px where label <> 0 group by label having max(t) - min(t) + 1 > 1 and bool_or(v > 0.3)))
+select t, y, x, coalesce(kept.n, 0)::int as label from px left join kept using (label)""")
 def relabel_anvils(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels split into regions and linked again, those that hold a high pixel."""
     own = fx.label(spark, sf_dir).select("t", "y", "x", "label")
     return detection.relabel_anvils(fx.flow(spark, sf_dir), own, _markers(spark, sf_dir).select("t", "y", "x", F.greatest("label", F.lit(0)).alias("label")), 0.1, 1, 1)
 
 
-@query()
+@query(f"""with {fx.CUBE}, {smooth_sql(0.5)}, top as (select a.t, a.y, a.x, max(b.v) as top from sm a join sm b on a.t = b.t and abs(a.y - b.y) <= 3 and abs(a.x - b.x) <= 3 group by all), low as (select t, min(v) as low from sm group by t),
+p as (select t, y, x from sm join top using (t, y, x) join low using (t) where v = top and v > low and y between 3 and y1 - 3 and x between 3 and 60)
+select t, y, x, exists (select 1 from p where p.t = sm.t and (p.y - sm.y) ** 2 + (p.x - sm.x) ** 2 < 25) as m from sm""")
 def peak_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surroundings of the peaks of the smoothed field."""
-    return frames.peak_filter(fx.cube(spark, sf_dir), 0.5)
+    return frames.peak_filter(fx.cube(spark, sf_dir), 0.5, 3)
 
 
 @query()
