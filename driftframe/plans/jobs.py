@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.operators import detection, entities, frames, labels, linking, stencil, validation
+from driftframe.operators import detection, entities, frames, incremental, labels, linking, stencil, validation
 from driftframe.operators.stencil import KEY
 from driftframe.session import session
 from driftframe.sources import frames as source
@@ -72,6 +72,18 @@ def link(pixels: DataFrame, output: Callable[[DataFrame], DataFrame] | None = No
     return merged if output is None else output(linking.stored(merged))
 
 
+def link_next(spark: SparkSession, table: str, file: str, pixels: DataFrame, output: str) -> str | None:
+    """Add a file to a link table and write the one before it, which has both neighbours now, under ``output``; its name, or
+    None for the first file. Labels are roots, so they stay unless a later file joins objects (``moves`` of the table)."""
+    links = incremental.LinkTable(spark, table)
+    before = links.last()
+    links.add(file, pixels)
+    if before is None:
+        return None
+    source.write(links.output(before["file"], "root").withColumn("file", F.lit(before["file"])), f"{output}/{before['file']}")
+    return before["file"]
+
+
 def monthly_statistics(steps: DataFrame, objects: DataFrame, key: str = "core") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Objects of linked files with merged flags, their steps, and the objects rolled up from those, all with ``month``."""
     flags, numbered = entities.combined_files(objects, steps, key)
@@ -94,7 +106,7 @@ def statistics(pixels: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFra
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("job", choices=("detect", "link", "statistics", "monthly", "validate"))
+    p.add_argument("job", choices=("detect", "link", "link-next", "statistics", "monthly", "validate"))
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--preset", default="goes", choices=sorted(PRESETS))
@@ -102,6 +114,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--fields", nargs="*", default=["bt"])
     p.add_argument("--objects", help="table file, core, edge, nan, start, end, parent of a monthly job; its input are the steps")
     p.add_argument("--events", help="table t, y, x, n of point events")
+    p.add_argument("--table", help="folder of the link table that link-next adds its input to; its output is the file before, now complete")
+    p.add_argument("--file", help="name of the file that link-next adds")
     p.add_argument("--margin", type=int, default=10)
     p.add_argument("--time-margin", type=int, default=3)
     a = p.parse_args(argv)
@@ -114,6 +128,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         source.write(detect(source.goes_fields(pixels) if "C13" in pixels.columns else pixels, PRESETS[a.preset], chunk=a.chunk), a.output)
     elif a.job == "link":
         source.write(link(pixels), a.output, "file")
+    elif a.job == "link-next":
+        name = link_next(spark, a.table, a.file or a.input.rstrip("/").rsplit("/", 1)[-1], pixels, a.output)
+        print(f"complete: {name}" if name else "first file")
     elif a.job == "statistics":
         steps, objects = statistics(pixels, a.fields)
         source.write(steps, f"{a.output}/steps")

@@ -156,3 +156,18 @@ def test_labels_over_more_than_a_thousand_steps(spark, long_cube, name):
 
 def test_a_label_has_one_step_over_more_than_a_thousand(spark, long_cube):
     assert registry.queries()["nan_adjacent"](spark, long_cube).count() == 1100 * 16
+
+
+def test_a_job_links_the_next_file_and_writes_the_one_before(spark, tmp_path):
+    from driftframe.plans import jobs
+
+    pixels = spark.createDataFrame(files_of(random.Random(6), n_files=3), "file long, t int, y int, x int, label int")
+    for f in range(3):
+        pixels.where(F.col("file") == f).drop("file").write.parquet(str(tmp_path / f"f{f}"))
+        jobs.main(["link-next", "--input", str(tmp_path / f"f{f}"), "--table", str(tmp_path / "table"), "--output", str(tmp_path / "out")])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["f0", "f1"]
+    table = incremental.LinkTable(spark, str(tmp_path / "table"))
+    known = {(r["file"], r["label"]): r["root"] for r in table.label_map().collect()}
+    moved = {r["node"] for r in table._all("moves").collect()}
+    got = {r["label"] for r in spark.read.parquet(str(tmp_path / "out" / "f0")).where("label <> 0").collect()}
+    assert got <= {v for (f, _), v in known.items() if f in ("f0", "f1")} | moved
