@@ -30,8 +30,8 @@ from driftframe.llm.text import stored
 
 #: Labelled documents that the model is fitted to, at most.
 SAMPLE = 20_000
-#: Outcomes that a parent's rate counts for.
-STRENGTH = 20.0
+#: Least and most outcomes that a parent's rate counts for.
+STRENGTHS = (1.0, 1000.0)
 #: Documents with a score from here on are kept.
 THRESHOLD = 0.5
 #: Outcomes are summed as whole numbers of 1 / UNIT, so that sums don't depend on their order.
@@ -142,21 +142,43 @@ def measured(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
     return stored(rows.select("doc_id", "key", "host", "path", (F.col("f.n_words") > 0).alias("worded"), "evidence", outcome.alias("outcome")))
 
 
+def strength(children: DataFrame) -> float:
+    """How many outcomes the parent's rate counts for, for ``n, good, up`` (documents, their good outcomes and the parent's
+    rate): that of the beta prior under which the children's rates scatter about it as they do, by moments. Children
+    that scatter no more than documents of one rate would give the most."""
+    n, up = F.col("n").cast("double"), F.col("up")
+    s = children.agg(
+        F.sum(n).alias("all"), F.sum(n * n).alias("squares"), F.count(F.lit(1)).alias("k"),
+        F.sum((F.col("good") - n * up) * (F.col("good") - n * up) / n).alias("scatter"), F.sum(n * up * (1 - up)).alias("binomial"),
+    ).first()
+    least, most = STRENGTHS
+    if not s["k"] or not s["binomial"] or s["all"] * s["all"] <= s["squares"]:
+        return most
+    each = s["binomial"] / s["all"]
+    spread = (s["scatter"] - (s["k"] - 1) * each) / (s["all"] - s["squares"] / s["all"])
+    # rounded, since the order of sums is open
+    return round(min(max(each / spread - 1, least), most), 3) if spread > 0 else most
+
+
 def posteriors(rows: DataFrame) -> DataFrame:
-    """``s_host, s_path, g, n, hg, hn, world``: outcomes and documents of each path and host, and the global rate."""
+    """``s_host, s_path, g, n, hg, hn, world, hs, ps``: outcomes and documents of each path and host, the global rate, and the
+    strengths of the priors of hosts and of paths."""
     paths = stored(rows.groupBy("host", "path").agg(F.sum("outcome").alias("g"), F.count(F.lit(1)).alias("n")))
     total = paths.agg(F.sum("g").alias("g"), F.sum("n").alias("n")).first()
-    world = total["g"] / UNIT / total["n"] if total["n"] else 0.5
-    hosts = paths.groupBy(F.col("host").alias("s_host")).agg(F.sum("g").alias("hg"), F.sum("n").alias("hn"))
-    return stored(paths.join(hosts, F.col("host") == F.col("s_host")).select("s_host", F.col("path").alias("s_path"), "g", "n", "hg", "hn", F.lit(float(world)).alias("world")))
+    world = float(total["g"] / UNIT / total["n"]) if total["n"] else 0.5
+    hosts = stored(paths.groupBy(F.col("host").alias("s_host")).agg(F.sum("g").alias("hg"), F.sum("n").alias("hn")))
+    hs = strength(hosts.select(F.col("hn").alias("n"), (F.col("hg") / UNIT).alias("good"), F.lit(world).alias("up")))
+    both = paths.join(hosts, F.col("host") == F.col("s_host")).withColumn("up", (hs * world + F.col("hg") / UNIT) / (hs + F.col("hn")))
+    ps = strength(both.where("path <> host").select("n", (F.col("g") / UNIT).alias("good"), "up"))
+    return stored(both.select("s_host", F.col("path").alias("s_path"), "g", "n", "hg", "hn", *(F.lit(float(v)).alias(c) for c, v in (("world", world), ("hs", hs), ("ps", ps)))))
 
 
-def score(rows: DataFrame, sites: DataFrame, strength: float = STRENGTH) -> DataFrame:
+def score(rows: DataFrame, sites: DataFrame) -> DataFrame:
     """``rows`` of ``measured`` with ``path_rate``, ``score`` and ``kept``."""
     joined = rows.join(sites, F.col("path") == F.col("s_path"))
-    rate = lambda parent, g, n: (strength * parent + (F.col(g) - F.col("outcome")) / UNIT) / (strength + F.col(n) - 1)
-    host_rate = rate(F.col("world"), "hg", "hn")
-    joined = joined.withColumn("path_rate", F.when(F.col("path") == F.col("s_host"), host_rate).otherwise(rate(host_rate, "g", "n")))
+    rate = lambda by, parent, g, n: (F.col(by) * parent + (F.col(g) - F.col("outcome")) / UNIT) / (F.col(by) + F.col(n) - 1)
+    host_rate = rate("hs", F.col("world"), "hg", "hn")
+    joined = joined.withColumn("path_rate", F.when(F.col("path") == F.col("s_host"), host_rate).otherwise(rate("ps", host_rate, "g", "n")))
     z = _logit(F.col("evidence")) + _logit(F.col("path_rate")) - _logit(F.col("world"))
     joined = joined.withColumn("score", F.when(F.col("worded"), 1 / (1 + F.exp(-z))).otherwise(F.lit(0.0)))
     return joined.withColumn("kept", F.col("score") >= THRESHOLD)

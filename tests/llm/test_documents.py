@@ -100,6 +100,28 @@ def test_classifier_odd_cases(spark, odd):
     assert kept.columns == odd.columns and kept.count() == 5  # those with words
 
 
+def plain_strength(children):
+    """By moments, for (n, good, up) of each child."""
+    if not children:
+        return 1000.0
+    all_, squares = sum(n for n, _, _ in children), sum(n * n for n, _, _ in children)
+    each = sum(n * up * (1 - up) for n, _, up in children) / all_
+    if not each or all_ * all_ <= squares:
+        return 1000.0
+    spread = (sum(n * (g / n - up) ** 2 for n, g, up in children) - (len(children) - 1) * each) / (all_ - squares / all_)
+    return round(min(max(each / spread - 1, 1.0), 1000.0), 3) if spread > 0 else 1000.0
+
+
+def test_strength_of_priors_is_that_of_the_scatter(spark):
+    rng = np.random.default_rng(2)
+    for true in (4.0, 30.0):
+        n = rng.integers(20, 60, 4000)
+        good = rng.binomial(n, rng.beta(0.4 * true, 0.6 * true, 4000))
+        got = quality_bayes.strength(spark.createDataFrame([(int(a), float(b), 0.4) for a, b in zip(n, good, strict=True)], "n long, good double, up double"))
+        assert got == pytest.approx(true, rel=0.2) and got == plain_strength([(int(a), int(b), 0.4) for a, b in zip(n, good, strict=True)])
+    assert quality_bayes.strength(spark.createDataFrame([(10, 5.0, 0.5)] * 9, "n long, good double, up double")) == 1000.0
+
+
 def test_shrinkage_of_sparse_sites(spark):
     rows = spark.createDataFrame([("big", i) for i in range(400)] + [("small", 400), ("small", 401)], "source string, doc_id long").withColumn("text", F.lit("same words in all of them"))
     labels = rows.select("doc_id", F.when(F.col("source") == "big", (F.col("doc_id") % 2)).otherwise(0).cast("int").alias("quality"))
@@ -107,7 +129,8 @@ def test_shrinkage_of_sparse_sites(spark):
     rates = {r["source"]: (r["lo"], r["hi"]) for r in got.collect()}
     # a document's own outcome is left out: the other one of "small" alone pulls its rate below the global one
     world = 200 / 402
-    assert rates["small"] == pytest.approx((20 * world / 21,) * 2) and all(abs(x - 0.5) < 0.01 for x in rates["big"])
+    m = plain_strength([(400, 200, world), (2, 0, world)])
+    assert rates["small"] == pytest.approx((m * world / (m + 1),) * 2) and all(abs(x - 0.5) < 0.01 for x in rates["big"])
 
 
 def plain_features(text):
@@ -152,12 +175,21 @@ def test_classifier_against_brute_force(spark):
     evidence = [1 / (1 + math.exp(-z(f))) for f in x]
     out = [quality.get(i, e) for (i, _, _), e in zip(docs, evidence, strict=True)]
     world, logit = sum(out) / len(out), lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    sums = [Counter(), Counter(), Counter(), Counter()]  # documents and outcomes of hosts, then of paths
+    for (host, path), o in zip(sites, out, strict=True):
+        for n, g, own in ((0, 1, host), (2, 3, path)):
+            sums[n][own] += 1
+            sums[g][own] += round(o * 1e6) / 1e6
+    hs = plain_strength([(n, sums[1][h], world) for h, n in sums[0].items()])
+    up = {h: (hs * world + sums[1][h]) / (hs + n) for h, n in sums[0].items()}
+    ps = plain_strength([(n, sums[3][p], up[h]) for h, p in sorted(set(sites)) if p != h for n in [sums[2][p]]])
+    assert 1 < hs < 1000 and 1 < ps < 1000
     want = Counter()
     for k, (host, path) in enumerate(sites):
         rest = lambda level, own: [out[j] for j in range(len(out)) if j != k and sites[j][level] == own]  # noqa: B023, E731
-        rate = (20 * world + sum(rest(0, host))) / (20 + len(rest(0, host)))
+        rate = (hs * world + sum(rest(0, host))) / (hs + len(rest(0, host)))
         if path != host:
-            rate = (20 * rate + sum(rest(1, path))) / (20 + len(rest(1, path)))
+            rate = (ps * rate + sum(rest(1, path))) / (ps + len(rest(1, path)))
         score = 1 / (1 + math.exp(-(logit(evidence[k]) + logit(rate) - logit(world)))) if (docs[k][1] or "").split() else 0.0
         want[docs[k][0], round(evidence[k], 4), round(rate, 4), round(score, 4), score >= 0.5] += 1
     assert Counter((r["doc_id"], round(r["evidence"], 4), round(r["path_rate"], 4), round(r["score"], 4), r["kept"]) for r in got) == want
