@@ -261,9 +261,11 @@ def rest(members: DataFrame, roots: DataFrame, words: DataFrame, threshold: floa
     held = stored(members.join(roots, "tid").select("bucket", "root").distinct())
     mixed = held.groupBy("bucket").count().where(F.col("count") > 1).select("bucket")
     live = roots.join(held.join(mixed, "bucket", "left_semi").select("root").distinct(), "root", "left_semi")
-    of_shingle, of_text = Window.partitionBy("shingle"), Window.partitionBy("tid")
-    each = shingled(live.join(words, "tid"))
-    each = each.withColumns({"texts": F.count(F.lit(1)).over(of_shingle), "lo": F.min("root").over(of_shingle), "hi": F.max("root").over(of_shingle)}).where("texts > 1")
+    of_text = Window.partitionBy("tid")
+    each = stored(shingled(live.join(words, "tid")))
+    # summed before they are shuffled, so a shingle that very many texts have is a row of each task, and joined back
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("texts > 1")
+    each = each.join(common, "shingle")
     # a text's shingles that no other has come first; of the others, only their number is needed
     each = each.withColumn("place", F.col("n") - F.count(F.lit(1)).over(of_text) + F.row_number().over(of_text.orderBy("texts", "shingle")) - 1)
     prefix = stored(each.where((F.col("lo") != F.col("hi")) & (F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9))).select("shingle", "tid", "root", "n", "place"))
