@@ -59,21 +59,30 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.peaks(fx.cube(spark, sf_dir), 2, box=fx.BOX, threshold=float("-inf"))
 
 
-def smooth_sql(sigma: float) -> str:
-    """Tables up to ``sm`` (t, y, x, v, y1): ``cube`` smoothed, each step mirrored at its own first and last row."""
+def smooth_sql(sigma: float, source: str = "cube", p: str = "") -> str:
+    """Tables up to ``{p}sm`` (t, y, x, v, y1): ``source`` smoothed, each step mirrored at its own first and last row."""
     r = int(4 * sigma + 0.5)
     mirrored = lambda c, n: f"case when ({c} + i + 8 * {n}) % (2 * {n}) < {n} then ({c} + i + 8 * {n}) % (2 * {n}) else 2 * {n} - 1 - ({c} + i + 8 * {n}) % (2 * {n}) end"
-    return f"""k as (select range - {r} as i, exp(-0.5 * ((range - {r}) / {sigma}) ** 2) as w from range({2 * r + 1})), kn as (select i, w / sum(w) over () as w from k), h as (select t, max(y) + 1 as n from cube group by t),
-ry as (select c.t, c.y, c.x, w, {mirrored("c.y", "h.n")} as q from cube c join h using (t) cross join kn), sy as (select r.t, r.y, r.x, sum(w * s.v) as v from ry r join cube s on s.t = r.t and s.y = r.q and s.x = r.x group by all),
-rx as (select t, y, x, w, {mirrored("x", "64")} as q from cube cross join kn), sm as (select r.t, r.y, r.x, sum(w * s.v) as v, any_value(h.n) - 1 as y1 from rx r join h using (t) join sy s on s.t = r.t and s.y = r.y and s.x = r.q group by r.t, r.y, r.x)"""
+    return f"""{p}k as (select range - {r} as i, exp(-0.5 * ((range - {r}) / {sigma}) ** 2) as w from range({2 * r + 1})), {p}kn as (select i, w / sum(w) over () as w from {p}k), {p}h as (select t, max(y) + 1 as n from {source} group by t),
+{p}ry as (select c.t, c.y, c.x, w, {mirrored("c.y", "h.n")} as q from {source} c join {p}h h using (t) cross join {p}kn), {p}sy as (select r.t, r.y, r.x, sum(w * s.v) as v from {p}ry r join {source} s on s.t = r.t and s.y = r.q and s.x = r.x group by all),
+{p}rx as (select t, y, x, w, {mirrored("x", "64")} as q from {source} cross join {p}kn), {p}sm as (select r.t, r.y, r.x, sum(w * s.v) as v, any_value(h.n) - 1 as y1 from {p}rx r join {p}h h using (t) join {p}sy s on s.t = r.t and s.y = r.y and s.x = r.q group by r.t, r.y, r.x)"""
 
 
-@query(f"""with recursive {fx.CUBE}, {smooth_sql(2.0)},
-bend as (select t, y, x, y1, y > 0 and y < y1 and x > 0 and x < 63 and coalesce(lag(v) over r + lead(v) over r - 2 * v < 0, false) and coalesce(lag(v) over c + lead(v) over c - 2 * v < 0, false) as m from sm window r as (partition by t, y order by x), c as (partition by t, x order by y)),
-out as (select t, y, x from bend where not m and (y in (0, y1) or x in (0, 63)) union select b.t, b.y, b.x from out o join bend b on b.t = o.t and abs(b.y - o.y) + abs(b.x - o.x) = 1 and not b.m),
-filled as (select b.t, b.y, b.x, o.t is null as m from bend b left join out o using (t, y, x)), cross_ as (select unnest([0, 0, 0, -1, 1]) as dy, unnest([0, -1, 1, 0, 0]) as dx),
-thin as (select f.t, f.y, f.x, bool_and(coalesce(g.m, false)) as m from filled f cross join cross_ left join filled g on g.t = f.t and g.y = f.y + dy and g.x = f.x + dx group by all)
-select f.t, f.y, f.x, bool_or(coalesce(g.m, false)) as m from thin f cross join cross_ left join thin g on g.t = f.t and g.y = f.y + dy and g.x = f.x + dx group by f.t, f.y, f.x""")
+def filled_sql(source: str, p: str) -> str:
+    """Tables up to ``{p}wide``: a mask (t, y, x, y1, m) with its holes filled, thinned and widened by a cross."""
+    near = lambda of, name, how: f"{name} as (select f.t, f.y, f.x, {how}(coalesce(g.m, false)) as m from {of} f cross join {p}cross left join {of} g on g.t = f.t and g.y = f.y + dy and g.x = f.x + dx group by f.t, f.y, f.x)"
+    return f"""{p}out as (select t, y, x from {source} where not m and (y in (0, y1) or x in (0, 63)) union select b.t, b.y, b.x from {p}out o join {source} b on b.t = o.t and abs(b.y - o.y) + abs(b.x - o.x) = 1 and not b.m),
+{p}filled as (select b.t, b.y, b.x, o.t is null as m from {source} b left join {p}out o using (t, y, x)), {p}cross as (select unnest([0, 0, 0, -1, 1]) as dy, unnest([0, -1, 1, 0, 0]) as dx),
+{near(f"{p}filled", f"{p}thin", "bool_and")}, {near(f"{p}thin", f"{p}wide", "bool_or")}"""
+
+
+def bend_sql(p: str, sign: str) -> str:
+    """The mask ``{p}bend`` of where ``{p}sm`` bends in both directions, and ``filled_sql`` of it."""
+    return f"""{p}bend as (select t, y, x, y1, y > 0 and y < y1 and x > 0 and x < 63 and coalesce(lag(v) over r + lead(v) over r - 2 * v {sign} 0, false) and coalesce(lag(v) over c + lead(v) over c - 2 * v {sign} 0, false) as m
+ from {p}sm window r as (partition by t, y order by x), c as (partition by t, x order by y)), {filled_sql(f"{p}bend", p)}"""
+
+
+@query(f"with recursive {fx.CUBE}, {smooth_sql(2.0, p='a_')}, {bend_sql('a_', '<')} select t, y, x, m from a_wide")
 def curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the smoothed field bends down."""
     return frames.curvature_filter(fx.cube(spark, sf_dir))
@@ -172,7 +181,13 @@ def detect_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.detect_cores(fx.flow(spark, sf_dir, 0.5), bt, wvd, swd, 0.02, 0.01, overlap=0.1, absolute=1, min_length=1, min_wvd=0.05, min_cooling=0.05)
 
 
-@query()
+# peaks lie ten pixels off the border, where steps of twenty rows have none
+@query(f"""with recursive {fx.FLOW}, {smooth_sql(2.0, p="a_")}, {bend_sql("a_", ">")}, {smooth_sql(1.0, p="b_")}, {smooth_sql(2.0, "b_sm", "c_")}, {bend_sql("c_", ">")},
+both_ as (select t, y, x, a.m or c.m as m from a_wide a join c_wide c using (t, y, x)),
+led as (select f.t, f.y, f.x, b.m from flow f join both_ b on b.t = f.t and b.y = f.y and b.x = f.x union all select f.t, f.y, f.x, b.m from flow f join both_ b on b.t = f.t + 1 and b.y = f.y + fy and b.x = f.x + fx
+ union all select f.t, f.y, f.x, b.m from flow f join both_ b on b.t = f.t - 1 and b.y = f.y + f."by" and b.x = f.x + bx),
+around as (select t, y, x, bool_or(led.m) as m, any_value(a_h.n) - 1 as y1 from led join a_h using (t) group by t, y, x), {filled_sql("around", "d_")}
+select t, y, x, round(d.m::int * (1 - greatest(least((10 * v + x / 16 - 2.5) / 5, 1), 0)), 6) as f from d_wide d join cube using (t, y, x)""")
 def combined_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where either channel bends or peaks, less cirrus."""
     return r6(detection.combined_filter(fx.flow(spark, sf_dir), *_channels(spark, sf_dir)))
