@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,35 +29,43 @@ from pyspark.sql import functions as F
 from driftframe.llm.text import stored
 
 #: Bytes of text in a bundle; a longer text is a bundle of its own.
-BUNDLE_BYTES = 4 << 20
+BUNDLE_BYTES = 5 << 19
 #: Units that are handed to a tokenizer at once.
 BATCH = 20_000
-#: Before a space that follows a letter, digit or mark of ASCII and precedes a letter or digit. Byte-level BPE begins
-#: a new piece there, and sentence pieces hold the sign for a space at their beginning only.
-UNIT = re.compile(r"(?<=[\w!-/:-@\[-`{-~])(?= \w)")
+#: A unit ends at a space between two such characters: a letter, digit or mark of ASCII before it, a letter or digit after it.
+#: Byte-level BPE begins a new piece there, and sentence pieces hold the sign for a space at their beginning only.
+ENDS, BEGINS = re.compile(r"[\w!-/:-@\[-`{-~]"), re.compile(r"\w")
+
+
+@lru_cache(maxsize=1 << 16)
+def _ends(character: str) -> bool:
+    return ENDS.match(character) is not None
+
+
+@lru_cache(maxsize=1 << 16)
+def _begins(character: str) -> bool:
+    return BEGINS.match(character) is not None
+
 
 SCHEMA = """bundle string, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string,
-    units array<int>, times array<int>, a array<int>, b array<int>, n array<bigint>"""
+    units binary, pairs binary, a array<int>, b array<int>, n array<bigint>"""
 RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
-ALIGN = """
-create or replace temp table spans as
-  select a.unit, a.ord, a.id, lo.ord as lo, hi.ord as hi
-  from tok_a a asof join tok_b lo on a.start >= lo.start asof join tok_b hi on a.stop > hi.start;
-create or replace temp table links as
-  select s.unit, s.id as a, b.id as b from (select unit, id, unnest(range(lo, hi + 1)) as ord from spans) s join tok_b b using (ord);
-create or replace temp table pairs as
-  select (row_number() over (order by a, b) - 1)::int as pair, a, b from (select distinct a, b from links);
-create or replace temp table unit_pairs as select unit, pair from links join pairs using (a, b);
+#: Overlaps of tokens: the unit of each, and its ids as one number.
+LINKS = """
+with spans as (
+  select a.unit, a.id, lo.ord as lo, hi.ord as hi from tok_a a asof join tok_b lo on a.start >= lo.start asof join tok_b hi on a.stop > hi.start),
+each as (select unit, id, unnest(range(lo, hi + 1)) as ord from spans)
+select e.unit, (e.id::bigint << 32) + b.id as ids from each e join tok_b b using (ord)
 """
+#: Documents that hold each pair.
 HELD = """
-select p.pair, p.a, p.b, sum(d.copies)::bigint as n
-from (select distinct doc, copies, pair from doc_units join (select distinct unit, pair from unit_pairs) using (unit)) d join pairs p using (pair)
-group by all order by p.pair
+select pair, sum(copies)::bigint as n from (select distinct doc, copies, pair from doc_units join unit_pairs using (unit)) group by pair order by pair
 """
+#: Where tokens of A end with one of B, and the number of such ends before each, that is its group.
 GROUPS = """
-select coalesce(sum(cut) over (order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as g
-from (select own.ord, (own.stop = other.stop)::int as cut from tok_{own} own asof left join tok_{other} other on own.stop >= other.stop)
+select coalesce(sum(cut) over (order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as g, coalesce(cut, 0) = 1 as cut
+from (select a.ord, (a.stop = b.stop)::int as cut from tok_a a asof left join tok_b b on a.stop >= b.stop)
 order by ord
 """
 
@@ -69,6 +78,10 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Ids of units one after the other, and how many each unit has.
+Tokens = tuple[np.ndarray, np.ndarray]
+
+
 class Tokenizers:
     """Both tokenizers of a worker, with the bytes of every token."""
 
@@ -82,39 +95,58 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         of, vocabulary = _byte_of_char(), self.a.get_vocab()
         special = {t["content"] for t in json.loads(self.a.to_str())["added_tokens"]}
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
-            self.bytes_a[i] = piece.encode() if piece in special else bytes(of[c] for c in piece)
+            bytes_a[i] = piece.encode() if piece in special else bytes(of[c] for c in piece)
         pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
-        self.bytes_b = [
+        bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
-        self.length_a, self.length_b = (np.array([len(b) for b in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
-
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B for units that begin with a space, which B adds itself."""
-        ids_a: list[list[int]] = []
-        ids_b: list[list[int]] = []
-        for i in range(0, len(units), BATCH):
-            part = units[i : i + BATCH]
-            ids_a += [e.ids for e in self.a.encode_batch(part, add_special_tokens=False)]
-            ids_b += self.b.encode([u[1:] for u in part], num_threads=1)
-        return ids_a, ids_b
-
-    def broken(self, units: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[int]:
-        """The units of which either row of tokens doesn't give back the bytes."""
-        raw = [u.encode("utf-8", "surrogatepass") for u in units]
-        out: set[int] = set()
-        for ids, of, length in ((ids_a, self.bytes_a, self.length_a), (ids_b, self.bytes_b, self.length_b)):
-            flat, size = b"".join(map(of.__getitem__, chain.from_iterable(ids))), sum(map(len, raw))
-            if len(flat) != size or flat != b"".join(raw):
-                out |= {i for i, x in enumerate(ids) if b"".join(map(of.__getitem__, x)) != raw[i]}
-            else:  # the same bytes in all, so units differ only where one ends elsewhere
-                ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
-                stop = np.cumsum(length[_flat(ids)])
-                got = np.r_[0, stop][ends]
-                out |= set(np.flatnonzero(np.diff(got, prepend=0) != np.fromiter(map(len, raw), int, len(raw))).tolist())
-        return sorted(out)
+        self.bytes = (bytes_a, bytes_b)
+        self.length = [np.array([len(b) for b in x], dtype=np.int64) for x in self.bytes]
+
+    def _ids(self, side: int, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that begin with a space, which B adds itself."""
+        if side:
+            return self.b.encode([t[1:] for t in texts], num_threads=1)
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, units: list[str], joinable: int = 0) -> tuple[list[Tokens], np.ndarray]:
+        """The tokens of each unit on both sides, and which units are given back byte by byte by both. Of the first
+        ``joinable`` units many are tokenised as one text; if that text isn't given back, each one on its own."""
+        flat: tuple[list, list] = ([], [])
+        counts: tuple[list, list] = ([], [])
+        whole = []
+        for i in [*range(0, joinable, BATCH), *range(joinable, len(units), BATCH)]:
+            part = units[i : min(i + BATCH, joinable) if i < joinable else i + BATCH]
+            raw = [u.encode("utf-8", "surrogatepass") for u in part]
+            got = self._together(part, raw) if i < joinable else None
+            fits = np.ones(len(part), dtype=bool)
+            if got is None:
+                got = []
+                for side in (0, 1):
+                    ids = self._ids(side, part)
+                    fits &= np.array([b"".join(map(self.bytes[side].__getitem__, x)) == r for x, r in zip(ids, raw, strict=True)], dtype=bool)
+                    got.append((np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(x) for x in ids], dtype=np.int64)))
+            for side in (0, 1):
+                flat[side].append(got[side][0])
+                counts[side].append(got[side][1])
+            whole.append(fits)
+        joined = lambda x, kind: np.concatenate([*x, np.zeros(0, dtype=kind)])
+        return [(joined(flat[k], np.int32), joined(counts[k], np.int64)) for k in (0, 1)], joined(whole, bool)
+
+    def _together(self, units: list[str], raw: list[bytes]) -> list[Tokens] | None:
+        """Tokens of units that follow each other in one text, if both sides give it back and end tokens where units end."""
+        text, ends = "".join(units), np.cumsum([len(r) for r in raw])
+        out = []
+        for side in (0, 1):
+            ids = np.array(self._ids(side, [text])[0], dtype=np.int32)
+            stop = np.cumsum(self.length[side][ids])
+            at = np.searchsorted(stop, ends)
+            if at.max(initial=0) >= len(stop) or (stop[at] != ends).any() or b"".join(map(self.bytes[side].__getitem__, ids.tolist())) != b"".join(raw):
+                return None
+            out.append((ids, np.diff(at + 1, prepend=0)))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -125,16 +157,24 @@ def _tokenizers(path_a: str, path_b: str) -> Tokenizers:
     return Tokenizers(path_a, path_b)
 
 
-def _flat(ids: list[list[int]]) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=sum(map(len, ids)))
+def _intervals(tokens: Tokens, length: np.ndarray) -> pa.Table:
+    """Token table of units laid end to end: ``unit, ord, id, start, stop``."""
+    ids, counts = tokens
+    size = length[ids]
+    stop = np.cumsum(size, dtype=np.int64)
+    if len(stop) and stop[-1] < 1 << 31:  # as for all but single texts beyond that
+        stop = stop.astype(np.int32)
+    unit = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    return pa.table({"unit": unit, "ord": np.arange(len(ids), dtype=np.int32), "id": ids, "start": stop - size.astype(stop.dtype), "stop": stop})
 
 
-def _intervals(ids: list[list[int]], length: np.ndarray) -> pa.Table:
-    """Token table of units laid end to end: ``unit, ord, id, start, stop``."""
-    flat = _flat(ids)
-    stop = np.cumsum(length[flat], dtype=np.int64)
-    unit = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
-    return pa.table({"unit": unit, "ord": np.arange(len(flat), dtype=np.int64), "id": flat, "start": stop - length[flat], "stop": stop})
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers, best ascending, as compressed differences."""
+    return zlib.compress(np.diff(numbers.astype("<i4"), prepend=np.int32(0)).astype("<i4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i4"), dtype=np.int64)
 
 
 def _joined(parts: pa.Array, starts: np.ndarray, mark: str) -> pa.Array:
@@ -169,72 +209,98 @@ class Bundle:
             self.bytes += len(text)
         self.texts.append(self.known.setdefault(text, len(self.known)) if text else -1)
 
-    def _units(self) -> tuple[list[np.ndarray], list[list[int]], list[list[int]]]:
-        """Units of each different text, and the tokens of each unit. A text of which a unit isn't whole is one unit of
-        its own; if that isn't whole either, the text has no units."""
+    def _cut(self) -> tuple[list[np.ndarray], list[str], np.ndarray]:
+        """Each different text as numbers of units, and the units: parts between spaces, those joined again between which
+        no unit ends; and which units may follow each other in any order."""
+        split = pc.split_pattern(pa.array(list(self.known), pa.string()), pattern=" ")
+        coded = split.flatten().dictionary_encode()
+        parts, flat, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy()
         index: dict[str, int] = {}
-        cut = [np.array([index.setdefault(u, len(index)) for u in UNIT.split(" " + t)], dtype=np.int32) for t in self.known]
-        units = list(index)
-        ids_a, ids_b = self.both.encode(units)
-        broken = self.both.broken(units, ids_a, ids_b)
+        ends, begins = np.array([_ends(p[-1:]) for p in parts], dtype=bool), np.array([_begins(p[:1]) for p in parts], dtype=bool)
+        cut = []
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            u = flat[i:j]
+            bound = ends[u[:-1]] & begins[u[1:]]
+            if not bound.all():
+                if not index:
+                    index = {p: k for k, p in enumerate(parts)}
+                where = [0, *(np.flatnonzero(bound) + 1).tolist(), len(u)]
+                names = [" ".join([parts[k] for k in u[a:b].tolist()]) for a, b in zip(where, where[1:], strict=False)]
+                u = np.array([index.setdefault(n, len(index)) for n in names], dtype=np.int32)
+            cut.append(u)
+        more = list(index)[len(parts) :]
+        free = np.r_[ends & begins, np.array([_ends(p[-1:]) and _begins(p[:1]) for p in more], dtype=bool)]
+        return cut, [" " + p for p in (*parts, *more)], free
+
+    def _units(self) -> tuple[list[np.ndarray], list[Tokens]]:
+        """Units of each different text, and the tokens of each unit. A text of which a unit isn't whole is one unit of
+        its own; if that isn't whole either, the text has no units. Units that no text holds have no tokens."""
+        cut, units, free = self._cut()
+        used = np.zeros(len(units), dtype=bool)
+        used[np.concatenate([*cut, np.zeros(0, dtype=np.int32)])] = True
+        safe = used & free & np.fromiter(("▁" not in u for u in units), bool, len(units))
+        order = np.r_[np.flatnonzero(safe), np.flatnonzero(used & ~safe)]
+        rank = np.full(len(units), -1, dtype=np.int32)
+        rank[order] = np.arange(len(order))
+        cut, units = [rank[u] for u in cut], [units[i] for i in order.tolist()]
+        tokens, whole = self.both.encode(units, int(safe.sum()))
+        broken = [i for i, u in enumerate(cut) if not whole[u].all()]
         if broken:
-            for i, text in enumerate(self.known):
-                if np.isin(cut[i], broken).any():
-                    x, y = self.both.encode([" " + text])
-                    fits = not self.both.broken([" " + text], x, y)
-                    cut[i] = np.array([len(ids_a)] if fits else [], dtype=np.int32)
-                    ids_a += x if fits else []
-                    ids_b += y if fits else []
-            for i in set(range(len(units))).difference(*(u.tolist() for u in cut)):  # no text holds them any more
-                ids_a[i], ids_b[i] = [], []
-        return cut, ids_a, ids_b
+            texts = list(self.known)
+            more, fits = self.both.encode([" " + texts[i] for i in broken])
+            kept = np.zeros(len(units) + len(broken), dtype=bool)
+            for k, i in enumerate(broken):
+                cut[i] = np.array([len(units) + k] if fits[k] else [], dtype=np.int32)
+            kept[np.concatenate([*cut, np.zeros(0, dtype=np.int32)])] = True
+            for side in (0, 1):
+                ids, counts = (np.concatenate([x, y]) for x, y in zip(tokens[side], more[side], strict=True))
+                tokens[side] = ids[np.repeat(kept, counts)], np.where(kept, counts, 0)
+        return cut, tokens
 
     def rows(self) -> pa.RecordBatch:
-        """One row for each document and one for the bundle's pairs: there ``units`` and ``times`` are the unit and
-        the pair of each link, and ``a``, ``b``, ``n`` the ids of each pair and the documents that hold it."""
-        cut, ids_a, ids_b = self._units()
+        """One row for each document, with its units, and one for the bundle's pairs: there ``units`` and ``pairs`` are the
+        unit and the pair of each link, and ``a``, ``b``, ``n`` the ids of each pair and the documents that hold it."""
+        cut, found = self._units()
         copies = np.bincount(np.array([t for t in self.texts if t >= 0], dtype=int), minlength=len(cut))
-        held = [np.unique(u, return_counts=True) for u in cut]
-        doc_units = pa.table({
-            "doc": np.repeat(np.arange(len(cut), dtype=np.int32), [len(u) for u, _ in held]),
-            "copies": np.repeat(copies, [len(u) for u, _ in held]),
-            "unit": np.concatenate([u for u, _ in held] or [np.zeros(0, dtype=np.int32)]),
-        })
-        tokens = [_intervals(ids_a, self.both.length_a), _intervals(ids_b, self.both.length_b)]
+        held = [np.unique(u) for u in cut]
+        sizes = [len(u) for u in held]
+        tokens = [_intervals(x, length) for x, length in zip(found, self.both.length, strict=True)]
         with duckdb.connect(config={"threads": 1}) as db:
-            for name, table in (("tok_a", tokens[0]), ("tok_b", tokens[1]), ("doc_units", doc_units)):
+            for name, table in zip(("tok_a", "tok_b"), tokens, strict=True):
                 db.register(name, table)
-            db.execute(ALIGN)
-            pairs = db.sql(HELD).to_arrow_table()
-            links = db.sql("select unit, pair from unit_pairs").to_arrow_table()
-            group = [db.sql(GROUPS.format(own=x, other=y)).to_arrow_table()["g"].to_numpy() for x, y in ("ab", "ba")]
-        n_units = len(ids_a)
+            links = db.sql(LINKS).to_arrow_table()
+            ends = db.sql(GROUPS).to_arrow_table()
+            stops = [t["stop"].to_numpy() for t in tokens]
+            group = [ends["g"].to_numpy(), np.searchsorted(stops[0][ends["cut"].to_numpy()], stops[1])]
+            ids, pair = np.unique(links["ids"].to_numpy(), return_inverse=True)
+            unit = links["unit"].to_numpy()
+            once = np.sort(unit * np.int64(max(len(ids), 1)) + pair)
+            once = once[np.r_[True, once[1:] != once[:-1]][: len(once)]]  # a unit may have a pair more than once
+            db.register("unit_pairs", pa.table({"unit": (once // max(len(ids), 1)).astype(np.int32), "pair": (once % max(len(ids), 1)).astype(np.int32)}))
+            db.register("doc_units", pa.table({
+                "doc": np.repeat(np.arange(len(cut), dtype=np.int32), sizes), "copies": np.repeat(copies, sizes), "unit": np.concatenate([*held, np.zeros(0, dtype=np.int32)]),
+            }))
+            n = db.sql(HELD).to_arrow_table()["n"].to_numpy()
+        order = np.argsort(unit, kind="stable")
+        n_units = len(found[0][1])
         listed, n_groups = _listed(tokens, group, n_units)
-        unit = links["unit"].to_numpy()
-        sums = np.stack([[len(x) for x in ids_a], [len(x) for x in ids_b], n_groups, np.bincount(unit, minlength=n_units)], axis=1)
+        sums = np.stack([found[0][1], found[1][1], n_groups, np.bincount(unit, minlength=n_units)], axis=1)
         totals = np.array([sums[u].sum(axis=0) for u in cut], dtype=np.int64).reshape(len(cut), 4)
         starts = np.cumsum([0, *map(len, cut)])
         whole = _joined(listed.take(pa.array(np.concatenate([*cut, np.zeros(0, dtype=np.int32)]))), starts, ";")
         digest = [hashlib.sha256(x.as_buffer()).hexdigest() if len(u) else "" for x, u in zip(whole, cut, strict=True)]
-        out: dict[str, list] = {k: [] for k in ("units", "times")}
-        numbers, hashes = np.zeros((len(self.texts) + 1, 4), dtype=np.int64), []
-        for i, t in enumerate(self.texts):
-            u, n = held[t] if t >= 0 else (np.zeros(0, dtype=np.int32),) * 2
-            out["units"].append(u)
-            out["times"].append(n.astype(np.int32))
-            hashes.append(digest[t] if t >= 0 else "")
-            numbers[i] = totals[t] if t >= 0 else 0
-        size, lists = len(self.texts) + 1, pa.list_(pa.int32())
-        only = lambda values, kind: pa.array([None] * (size - 1) + [values], pa.list_(kind))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([self.name] * size), pa.array([*self.doc_ids, None], pa.int64()),
-                *(pa.array(numbers[:, k]) for k in range(4)), pa.array([*hashes, None], pa.string()),
-                pa.array([*out["units"], unit], lists), pa.array([*out["times"], links["pair"].to_numpy()], lists),
-                only(pairs["a"].to_numpy(), pa.int32()), only(pairs["b"].to_numpy(), pa.int32()), only(pairs["n"].to_numpy(), pa.int64()),
-            ],
-            names=["bundle", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "times", "a", "b", "n"],
-        )
+        packed, nothing = [_packed(np.sort(u)) for u in cut], _packed(np.zeros(0, dtype=np.int32))
+        texts, size = np.array(self.texts, dtype=int), len(self.texts) + 1
+        numbers = np.vstack([totals, np.zeros((1, 4), dtype=np.int64)])[np.r_[texts, -1]]  # -1 is the row of zeros
+        only = lambda value, kind: pa.array([None] * (size - 1) + [value], kind)
+        lists = {c: only(v, pa.list_(t)) for c, v, t in (("a", (ids >> 32).astype(np.int32), pa.int32()), ("b", (ids & 0xFFFFFFFF).astype(np.int32), pa.int32()), ("n", n, pa.int64()))}
+        return pa.RecordBatch.from_pydict({
+            "bundle": pa.array([self.name] * size), "doc_id": pa.array([*self.doc_ids, None], pa.int64()),
+            **{c: pa.array(numbers[:, k]) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
+            "groups_sha256": pa.array([*(digest[t] if t >= 0 else "" for t in self.texts), None], pa.string()),
+            "units": pa.array([*(packed[t] if t >= 0 else nothing for t in self.texts), _packed(unit[order])], pa.binary()),
+            "pairs": only(_packed(pair[order]), pa.binary()), **lists,
+        })
 
 
 def bundles(docs: DataFrame, path_a: str, path_b: str, size: int = BUNDLE_BYTES) -> DataFrame:
@@ -269,21 +335,17 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 
 def _sums(documents: pa.Table, totals: pa.Table) -> pa.Table:
     """The rows of a bundle with the totals of its pairs summed over the links of each document."""
-    own = documents.filter(pc.is_null(documents["a"]))
-    links = documents.filter(pc.is_valid(documents["a"])).combine_chunks()
-    unit, pair = (links[c].combine_chunks().flatten().to_numpy() for c in ("units", "times"))
+    own = documents.filter(pc.is_null(documents["pairs"]))
+    (link,) = documents.filter(pc.is_valid(documents["pairs"])).to_pylist()
+    unit, pair = _unpacked(link["units"]), _unpacked(link["pairs"])
+    each = [_unpacked(x.as_py()) for x in own["units"]]
     at = np.argsort(totals["pair"].to_numpy())
-    flat = own["units"].combine_chunks()
-    units, times = flat.flatten().to_numpy(), own["times"].combine_chunks().flatten().to_numpy()
-    row = np.repeat(np.arange(len(own)), pc.list_value_length(flat).to_numpy(zero_copy_only=False))
     found = []
     for name in ("best", "documents"):
         value = totals[name].to_numpy()[at].astype(np.int64)
-        per_unit = np.zeros(int(max(unit.max(initial=-1), units.max(initial=-1))) + 1, dtype=np.int64)
+        per_unit = np.zeros(int(max(unit.max(initial=-1), *(u.max(initial=-1) for u in each))) + 1, dtype=np.int64)
         np.add.at(per_unit, unit, value[pair])
-        sums = np.zeros(len(own), dtype=np.int64)
-        np.add.at(sums, row, per_unit[units] * times)
-        found.append(pa.array(sums))
+        found.append(pa.array([int(per_unit[u].sum()) for u in each], pa.int64()))
     kept = own.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"])
     return kept.append_column("n_best", found[0]).append_column("count_sum", found[1]).append_column("groups_sha256", own["groups_sha256"])
 
@@ -299,5 +361,5 @@ def align(docs: DataFrame, path_a: str, path_b: str, size: int = BUNDLE_BYTES) -
     rows = stored(bundles(docs, path_a, path_b, size))
     each = rows.where("a is not null").select("bundle", F.posexplode(F.arrays_zip("a", "b")).alias("pair", "p")).select("bundle", "pair", "p.a", "p.b")
     totals = each.join(pair_counts(rows), ["a", "b"]).select(F.col("bundle").alias("of"), "pair", "documents", "best")
-    left = rows.select("bundle", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "times", F.when(F.col("a").isNotNull(), True).alias("a"))
+    left = rows.select("bundle", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "pairs")
     return left.groupBy("bundle").cogroup(totals.groupBy("of")).applyInArrow(_sums, RESULT)
