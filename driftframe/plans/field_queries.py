@@ -247,7 +247,7 @@ def norm_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rows and columns of the squares, and the pixels of one before and after its own.
-SQUARE, REST = 10, "rows between 5 preceding and 4 following"
+SIDE, REST = 10, "rows between 5 preceding and 4 following"
 
 
 @query(f"""with {fx.HOLED}, f as (select t, y, x, coalesce(v, avg(v) over (partition by t)) as v from holed),
@@ -256,7 +256,7 @@ c as (select t, y, x, v, min(lo) over w as lo, max(hi) over w as hi from r windo
 select t, y, x, round(case when hi > lo then (v - lo) / (hi - lo) else 0 end, 6) as v from c""")
 def norm_local_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaling by the extremes around each pixel."""
-    return r6(normalise.local_linear_norm(fx.holed(spark, sf_dir), ["t"], size=SQUARE))
+    return r6(normalise.local_linear_norm(fx.holed(spark, sf_dir), ["t"], size=SIDE))
 
 
 @query(f"with {fx.HOLED} select t, y, x, coalesce(floor((v - min(v) over g) * (255 / (max(v) over g - min(v) over g))), 127)::int as v from holed window g as (partition by t)")

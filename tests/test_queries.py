@@ -76,3 +76,10 @@ def test_matches_sql_on_uneven_steps(spark, uneven, name):
     df = registry.queries()[name](spark, folder)
     r = c.execute(registry.oracle_sql()[name])
     assert rows(df.columns, df.collect()) == rows([k[0] for k in r.description], r.fetchall())
+
+
+def test_same_step_stencil_counts_what_is_there(spark):
+    """Nine pixels inside, less those that are missing; each has as many as the SQL's own count of the table."""
+    got = {(r.t, r.y, r.x): r.n for r in registry.queries()["same_step_stencil"](spark, SF).where("t = 3 and y < 4 and x < 4").collect()}
+    there = lambda t, y, x: 0 <= y < 20 and 0 <= x < 64 and (x + 3 * y + t) % 13 != 0
+    assert got == {(3, y, x): sum(there(3, y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) for y in range(4) for x in range(4)}
