@@ -10,6 +10,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of files beyond which a kept table is not sent whole to all executors. Files of pixels and labels hold a row in a byte
+#: or two, of which 40 or more are made when it is read, so their size, by which Spark decides, says nothing about a broadcast.
+BROADCAST_BYTES = 1 << 17
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``. Only in one JVM (``local``, as in tests) is a
@@ -32,10 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` worked out once and kept as a compressed table."""
+    """``df`` worked out once and kept as a compressed table. Joins with a large one, and with what is made of its rows,
+    shuffle both sides; a side named ``broadcast`` still is one."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept.hint("merge") if _bytes(df.sparkSession, path) > BROADCAST_BYTES else kept
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
 def forget(*tables: DataFrame) -> None:

@@ -171,3 +171,16 @@ def test_a_job_links_the_next_file_and_writes_the_one_before(spark, tmp_path):
     moved = {r["node"] for r in table._all("moves").collect()}
     got = {r["label"] for r in spark.read.parquet(str(tmp_path / "out" / "f0")).where("label <> 0").collect()}
     assert got <= {v for (f, _), v in known.items() if f in ("f0", "f1")} | moved
+
+
+def test_a_kept_table_of_many_rows_in_few_bytes_is_not_broadcast(spark):
+    """Files of 1,048,576 rows are under the 10 MB up to which Spark broadcasts by default; the rows are over 40."""
+    from driftframe.sources.store import stored
+
+    rows = spark.range(1 << 20).select((F.col("id") / 1280).cast("int").alias("t"), (F.col("id") % 20).cast("int").alias("y"), F.pmod(F.hash("id"), F.lit(64)).alias("x"))
+    kept, other = stored(rows), rows.withColumn("m", F.lit(True))
+    for one in (kept, kept.groupBy("t", "y").agg(F.max("x").alias("x"))):
+        plan = other.join(one, "t")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    small = stored(rows.where("t < 2"))
+    assert "BroadcastHashJoin" in other.join(small, "t")._jdf.queryExecution().executedPlan().toString()
