@@ -2,10 +2,10 @@
 
 A tap of pixel (t, y, x) with offset (dt, dy, dx) samples frame t + dt at (y + fy + dy, x + fx + dx), where the
 vector is the pixel's forward one for dt = 1, its backward one for dt = -1 and zero for dt = 0. Same-step and
-nearest taps are one equi-join on integer coordinates; linear and cubic ones a join on the 4 or 16 pixels around with
-weights, and so are Lanczos ones on 64 at borders that bring samples back; others of them run on tiles.
+nearest taps are one equi-join on integer coordinates; others run on tiles, but for those at borders that bring samples
+back, which are a join on the 4, 16 or 64 pixels around with weights.
 Joins and the aggregation that follows hash on coordinates, so work spreads evenly over frames. The stencils that
-detection is made of (differences, means along the flow, Sobel) run on tiles instead, see ``tiles``.
+detection is made of (differences, means along the flow, Sobel, least taps) run on tiles instead, see ``tiles``.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def taps(data: DataFrame, flow: DataFrame | None, offsets: Sequence[Offset], met
         own = own.join(flow.select(*KEY, "fx", "fy", "bx", "by"), KEY)
     elif any(o[0] for o in offsets):
         raise ValueError("offsets in time need a flow")
-    if method == "lanczos" and border == "constant" and flow is not None and all(abs(o[0]) <= 1 for o in offsets):
+    if method != "nearest" and border == "constant" and flow is not None and all(abs(o[0]) <= 1 for o in offsets):
         return tiles.taps(data, flow, offsets, method, value)
     fit = lambda c, axis: c
     if border != "constant":
@@ -159,15 +159,17 @@ def sobel(data: DataFrame, flow: DataFrame, direction: str | None = None, method
 
 def argmin_tap(data: DataFrame, key: DataFrame, flow: DataFrame, offsets: Sequence[Offset], value: str = "v") -> DataFrame:
     """The value at the tap where ``key`` (its column ``v``) is least, the first tap on ties."""
-    k = taps(key, flow, offsets).withColumnRenamed("value", "k")
-    both = taps(data, flow, offsets, value=value).join(k, [*KEY, "tap"])
-    return both.groupBy(*KEY).agg(F.min_by("value", F.when(F.col("k").isNotNull(), F.struct("k", "tap"))).alias("value"))
+    return tiles.moving(data, flow, lambda tile: tiles.lowest(tile, offsets)[1], "nearest", _reach(offsets), value, key=key)
 
 
 def local_min(data: DataFrame, flow: DataFrame, offsets: Sequence[Offset], value: str = "v") -> DataFrame:
     """Whether a pixel is the least of its taps."""
-    got = taps(data, flow, offsets, value=value).groupBy(*KEY).agg(F.min("value").alias("_m"))
-    return data.join(got, KEY).select(*KEY, F.coalesce(F.col(value) == F.col("_m"), F.lit(False)).alias("value"))
+    got = tiles.moving(data, flow, lambda tile: tiles.lowest(tile, offsets)[0] == tile.own, "nearest", _reach(offsets), value)
+    return got.select(*KEY, (F.col("value") == 1).alias("value"))
+
+
+def _reach(offsets: Sequence[Offset]) -> int:
+    return max(abs(k) for o in offsets for k in o[1:])
 
 
 def edge_field(data: DataFrame, flow: DataFrame, method: str = "linear", value: str = "v") -> DataFrame:

@@ -3,8 +3,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from driftframe.functions import normalise
-from driftframe.operators import frames, kernels, tracking
+from driftframe.operators import frames, kernels, morphology, stencil, tracking
 
 
 def rows_of(spark, a, name, kind, skip=None):
@@ -70,3 +72,19 @@ def test_local_norm_by_tiles(spark, size, tile):
     a[1, 3:6] = 0.5
     got = cube_of(normalise.local_linear_norm(rows_of(spark, a, "v", "double"), ["t"], size=size, tile=tile), a.shape, "v")
     assert np.allclose(got, np.stack([kernels.local_range(x, size) for x in a]))
+
+
+def test_stencils_shuffle_no_row_for_each_tap(spark):
+    """One shuffle and no join, and the same over the edges of tiles and blocks of steps as a plain loop."""
+    rng = np.random.default_rng(3)
+    a = rng.random((19, 9, 131)) < 0.97
+    rows = spark.createDataFrame([(*map(int, p), bool(a[p])) for p in np.ndindex(a.shape) if (p[0] + p[1] * p[2]) % 29], "t int, y int, x int, m boolean")
+    there = {(r.t, r.y, r.x): r.m for r in rows.collect()}
+    for got, of in ((morphology.erode(rows, stencil.full()), all), (morphology.dilate(rows, stencil.full()), any)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+        taps = lambda t, y, x: [there.get((t + i, y + j, x + k), False) for i, j, k in stencil.full()]
+        assert {(r.t, r.y, r.x): r.m for r in got.collect()} == {p: of(taps(*p)) for p in there}
+    still = stencil.FlowFrame(rows.select("t", "y", "x", *(F.lit(0.5).alias(c) for c in ("fx", "fy", "bx", "by"))))
+    for one in (stencil.taps(rows.withColumn("v", F.lit(1.0)), still.df, [(1, 0, 0)], "cubic"), stencil.local_min(rows.withColumn("v", F.lit(1.0)), still.df, stencil.full(1))):
+        assert "Join" not in one._jdf.queryExecution().executedPlan().toString()
