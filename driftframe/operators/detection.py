@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftframe.functions.normalise import linearise
-from driftframe.operators import flooding, frames, labels, morphology, stencil, tracking
+from driftframe.operators import flooding, frames, labels, morphology, stencil, tiles, tracking
 from driftframe.operators.linking import stored
 from driftframe.operators.stencil import KEY
 
@@ -20,8 +21,8 @@ def combined_filter(flow: DataFrame, bt: DataFrame, wvd: DataFrame | None = None
             continue
         for one in (frames.curvature_filter(field, direction=direction), frames.peak_filter(field, 0.5, direction=direction)):
             m = one if m is None else m.join(one.withColumnRenamed("m", "o"), KEY).select(*KEY, (F.col("m") | F.col("o")).alias("m"))
-    around = stencil.taps(m, flow, [(-1, 0, 0), (0, 0, 0), (1, 0, 0)], "nearest", "m")
-    m = around.groupBy(*KEY).agg(F.max(F.coalesce("value", F.lit(False))).alias("m"))
+    around = lambda tile: np.maximum.reduce([np.nan_to_num(tile.tap(dt)) for dt in (-1, 0, 1)])
+    m = tiles.moving(m, flow, around, "nearest", 0, "m").select(*KEY, (F.col("value") > 0).alias("m"))
     m = morphology.opening(frames.fill_holes(m)).withColumn("f", F.col("m").cast("double")).drop("m")
     if swd is None:
         return m

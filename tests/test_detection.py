@@ -334,3 +334,12 @@ def test_carried_distances_of_any_columns():
             far = np.where((column == column[i]) & np.isfinite(square), square + (2.0 * (t - t[i])) ** 2, np.inf)
             assert v[i] == math.sqrt(far.min()) and own[i] == (np.argmin(far) if np.isfinite(far.min()) else -1)
     assert [len(k) for k in kernels.carried(*(np.zeros(0, int),) * 2, np.zeros(0), 1.0)] == [0, 0]
+
+
+def test_combined_filter_led_along_the_flow_needs_no_row_for_each_tap(spark):
+    """The mask of both channels meets the steps beside it on tiles: no rows are made of taps."""
+    from driftframe.plans import fixtures
+
+    c = fixtures.cube(spark, "/root/testdata/sf0.001")
+    plan = detection.combined_filter(fixtures.flow(spark, "/root/testdata/sf0.001"), c)._jdf.queryExecution().executedPlan().toString()
+    assert "max(coalesce" not in plan
