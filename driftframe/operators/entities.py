@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from driftframe.functions.stats import arg_extreme, gradient, wmean
 from driftframe.operators import labels, linking
+from driftframe.sources.store import stored
 
 #: Step fields whose extremes are reported: name, whether the largest is of interest, whether a rate of change is.
 EXTREMES = (("bt", False, True), ("ctt", False, True), ("ctt_corrected", False, True), ("cth", True, True), ("cth_corrected", True, True))
@@ -112,6 +113,17 @@ def gaps(steps: DataFrame, key: str) -> DataFrame:
     return steps.withColumn("_g", F.lead("t").over(w) - F.col("t")).groupBy(key).agg(F.coalesce(F.max("_g"), F.lit(0.0)).alias("max_gap"))
 
 
+#: Ids up to which they are sent whole to all executors.
+MOST_IDS = 1 << 20
+
+
+def _ids(df: DataFrame, key: str) -> DataFrame:
+    """The ids of a table, once each, kept. Steps are filtered by few ids where they are: dealt out by them, a few objects with
+    many steps would be a task each."""
+    ids = stored(df.select(key).distinct())
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
 @dataclass
 class Objects:
     """The tables of a set of tracked objects."""
@@ -124,10 +136,11 @@ class Objects:
 
     def only(self, core: DataFrame | None = None, anvil: DataFrame | None = None) -> Objects:
         """Objects whose ids are in the given tables, and their steps."""
-        c = self.core if core is None else self.core.join(core.select("core"), "core", "left_semi")
-        a = self.anvil if anvil is None else self.anvil.join(anvil.select("anvil"), "anvil", "left_semi")
-        semi = lambda df, other, k: df.join(other.select(k), k, "left_semi")
-        return Objects(c, a, semi(self.core_step, c, "core"), semi(self.thick_anvil_step, a, "anvil"), semi(self.thin_anvil_step, a, "anvil"))
+        c = self.core if core is None else self.core.join(_ids(core, "core"), "core", "left_semi")
+        a = self.anvil if anvil is None else self.anvil.join(_ids(anvil, "anvil"), "anvil", "left_semi")
+        cores, anvils = _ids(c, "core"), _ids(a, "anvil")
+        semi = lambda df, ids, k: df.join(ids, k, "left_semi")
+        return Objects(c, a, semi(self.core_step, cores, "core"), semi(self.thick_anvil_step, anvils, "anvil"), semi(self.thin_anvil_step, anvils, "anvil"))
 
     def at(self, kind: str, positions: Sequence[int]) -> Objects:
         """Objects by their places, from 0, in the order of their ids."""
@@ -137,8 +150,9 @@ class Objects:
 
     def without_orphans(self) -> Objects:
         """Cores with steps, anvils with thick and thin steps, and the steps of those."""
-        anvils = self.anvil.join(self.thick_anvil_step.select("anvil"), "anvil", "left_semi").join(self.thin_anvil_step.select("anvil"), "anvil", "left_semi")
-        return self.only(self.core.join(self.core_step.select("core"), "core", "left_semi"), anvils)
+        held = lambda df, steps, k: df.join(_ids(steps, k), k, "left_semi")
+        anvils = held(held(self.anvil, self.thick_anvil_step, "anvil"), self.thin_anvil_step, "anvil")
+        return self.only(held(self.core, self.core_step, "core"), anvils)
 
 
 def valid_cores(steps: DataFrame, min_lifetime: float = 14 * 60, max_gap: float = 16 * 60, min_cooling: float = 8.0, max_area: float = 1e4) -> DataFrame:

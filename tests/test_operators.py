@@ -413,3 +413,18 @@ def test_closure_of_long_chains_takes_few_rounds(spark, monkeypatch, kind):
                 todo += near[m]
     assert got == want
     assert kind == "string" or len(rounds) <= 5
+
+
+def test_steps_are_not_dealt_out_by_a_few_objects(spark):
+    steps = spark.range(4000).select((F.col("id") % 3).alias("anvil"), F.col("id").alias("step"), (F.col("id") % 50).alias("core"))
+    ids = lambda c, n: spark.range(n).select(F.col("id").alias(c))
+    own = entities.Objects(ids("core", 51), ids("anvil", 4), steps.select("core", "step"), steps.select("anvil", "step"), steps.select("anvil", "step").where("anvil > 0"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = own.without_orphans()
+        assert "SortMergeJoin" not in got.thick_anvil_step._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["anvil"] for r in got.anvil.collect()) == [1, 2] and got.core.count() == 50
+        assert {r["anvil"] for r in got.thick_anvil_step.collect()} == {1, 2} and got.thick_anvil_step.count() == 2666
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
