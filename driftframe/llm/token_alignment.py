@@ -1,9 +1,9 @@
 """Alignment of two tokenizers over the same texts: which tokens of one overlap which of the other.
 
 Texts are taken in bundles of bounded size inside each Arrow partition. A bundle's texts are cut into units at
-places that no token of either tokenizer can span, so each different unit is tokenised and aligned once. DuckDB
-holds the units' tokens as interval tables: as-of joins find the first and the last token of B under each token of
-A, a range join between the two gives the overlaps, and running sums of common ends number the groups. Each bundle
+places that no token of either tokenizer can span, so each different unit is tokenised and aligned once. The first and the
+last token of B under each token of A are searched in the sorted ends, which gives the overlaps; DuckDB numbers the
+groups by an as-of join and running sums of common ends. Each bundle
 gives its different pairs of ids with the number of its documents that hold them; Spark adds these up over
 all bundles, finds the best count of every A id, and sends each bundle only the totals of its own pairs. Documents
 cross the network as numbers of units, never as texts, and no task sees more than a bundle and its pairs.
@@ -31,7 +31,7 @@ from driftframe.llm.text import stored
 #: Bytes of text in a bundle; a longer text is a bundle of its own.
 BUNDLE_BYTES = 5 << 19
 #: Units that are handed to a tokenizer at once.
-BATCH = 20_000
+BATCH = 5_000
 #: A unit ends at a space between two such characters: a letter, digit or mark of ASCII before it, a letter or digit after it.
 #: Byte-level BPE begins a new piece there, and sentence pieces hold the sign for a space at their beginning only.
 ENDS, BEGINS = re.compile(r"[\w!-/:-@\[-`{-~]"), re.compile(r"\w")
@@ -51,17 +51,6 @@ SCHEMA = """bundle string, doc_id bigint, n_a bigint, n_b bigint, n_groups bigin
     units binary, pairs binary, a array<int>, b array<int>, n array<bigint>"""
 RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
-#: Overlaps of tokens: the unit of each, and its ids as one number.
-LINKS = """
-with spans as (
-  select a.unit, a.id, lo.ord as lo, hi.ord as hi from tok_a a asof join tok_b lo on a.start >= lo.start asof join tok_b hi on a.stop > hi.start),
-each as (select unit, id, unnest(range(lo, hi + 1)) as ord from spans)
-select e.unit, (e.id::bigint << 32) + b.id as ids from each e join tok_b b using (ord)
-"""
-#: Documents that hold each pair.
-HELD = """
-select pair, sum(copies)::bigint as n from (select distinct doc, copies, pair from doc_units join unit_pairs using (unit)) group by pair order by pair
-"""
 #: Where tokens of A end with one of B, and the number of such ends before each, that is its group.
 GROUPS = """
 select coalesce(sum(cut) over (order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as g, coalesce(cut, 0) = 1 as cut
@@ -168,6 +157,32 @@ def _intervals(tokens: Tokens, length: np.ndarray) -> pa.Table:
     return pa.table({"unit": unit, "ord": np.arange(len(ids), dtype=np.int32), "id": ids, "start": stop - size.astype(stop.dtype), "stop": stop})
 
 
+def _overlaps(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The unit of each overlap of a token of A with one of B, in order, and both ids as one number. Both sides cover the same
+    bytes, so those under a token of A are the tokens of B from the last that begins where it does or before to the last
+    that begins before its end."""
+    starts = b["start"].to_numpy()
+    lo = np.searchsorted(starts, a["start"].to_numpy(), "right") - 1
+    n = np.maximum(np.searchsorted(starts, a["stop"].to_numpy()) - lo, 0)
+    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.repeat(a["unit"].to_numpy(), n), (np.repeat(a["id"].to_numpy().astype(np.int64), n) << 32) + b["id"].to_numpy()[at]
+
+
+def _held(documents: list[np.ndarray], copies: np.ndarray, unit: np.ndarray, pair: np.ndarray, n_units: int, n_pairs: int) -> np.ndarray:
+    """Documents that hold each pair: ``documents`` are the different units of each, which counts as often as it has
+    copies, ``unit`` and ``pair`` the different pairs of each unit, by unit."""
+    each = np.bincount(unit, minlength=n_units)
+    first = np.cumsum(each) - each
+    n, last = np.zeros(n_pairs, dtype=np.int64), np.zeros(n_pairs, dtype=np.int32)
+    for units, c in zip(documents, copies, strict=True):
+        k = each[units]
+        own = pair[np.repeat(first[units] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        i = np.arange(len(own), dtype=np.int32)
+        last[own] = i
+        n[own[last[own] == i]] += c  # once for each pair of the document
+    return n
+
+
 def _packed(numbers: np.ndarray) -> bytes:
     """Whole numbers, best ascending, as compressed differences."""
     return zlib.compress(np.diff(numbers.astype("<i4"), prepend=np.int32(0)).astype("<i4").tobytes(), 1)
@@ -263,25 +278,18 @@ class Bundle:
         cut, found = self._units()
         copies = np.bincount(np.array([t for t in self.texts if t >= 0], dtype=int), minlength=len(cut))
         held = [np.unique(u) for u in cut]
-        sizes = [len(u) for u in held]
         tokens = [_intervals(x, length) for x, length in zip(found, self.both.length, strict=True)]
+        unit, both = _overlaps(*tokens)
+        ids, pair = np.unique(both, return_inverse=True)
+        once = np.sort(unit * np.int64(max(len(ids), 1)) + pair)
+        once = once[np.r_[True, once[1:] != once[:-1]][: len(once)]]  # a unit may have a pair more than once
+        n = _held(held, copies, (once // max(len(ids), 1)), (once % max(len(ids), 1)).astype(np.int32), len(found[0][1]), len(ids))
         with duckdb.connect(config={"threads": 1}) as db:
             for name, table in zip(("tok_a", "tok_b"), tokens, strict=True):
-                db.register(name, table)
-            links = db.sql(LINKS).to_arrow_table()
+                db.register(name, table.select(["ord", "stop"]))
             ends = db.sql(GROUPS).to_arrow_table()
-            stops = [t["stop"].to_numpy() for t in tokens]
-            group = [ends["g"].to_numpy(), np.searchsorted(stops[0][ends["cut"].to_numpy()], stops[1])]
-            ids, pair = np.unique(links["ids"].to_numpy(), return_inverse=True)
-            unit = links["unit"].to_numpy()
-            once = np.sort(unit * np.int64(max(len(ids), 1)) + pair)
-            once = once[np.r_[True, once[1:] != once[:-1]][: len(once)]]  # a unit may have a pair more than once
-            db.register("unit_pairs", pa.table({"unit": (once // max(len(ids), 1)).astype(np.int32), "pair": (once % max(len(ids), 1)).astype(np.int32)}))
-            db.register("doc_units", pa.table({
-                "doc": np.repeat(np.arange(len(cut), dtype=np.int32), sizes), "copies": np.repeat(copies, sizes), "unit": np.concatenate([*held, np.zeros(0, dtype=np.int32)]),
-            }))
-            n = db.sql(HELD).to_arrow_table()["n"].to_numpy()
-        order = np.argsort(unit, kind="stable")
+        stops = [t["stop"].to_numpy() for t in tokens]
+        group = [ends["g"].to_numpy(), np.searchsorted(stops[0][ends["cut"].to_numpy()], stops[1])]
         n_units = len(found[0][1])
         listed, n_groups = _listed(tokens, group, n_units)
         sums = np.stack([found[0][1], found[1][1], n_groups, np.bincount(unit, minlength=n_units)], axis=1)
@@ -298,8 +306,8 @@ class Bundle:
             "bundle": pa.array([self.name] * size), "doc_id": pa.array([*self.doc_ids, None], pa.int64()),
             **{c: pa.array(numbers[:, k]) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
             "groups_sha256": pa.array([*(digest[t] if t >= 0 else "" for t in self.texts), None], pa.string()),
-            "units": pa.array([*(packed[t] if t >= 0 else nothing for t in self.texts), _packed(unit[order])], pa.binary()),
-            "pairs": only(_packed(pair[order]), pa.binary()), **lists,
+            "units": pa.array([*(packed[t] if t >= 0 else nothing for t in self.texts), _packed(unit)], pa.binary()),
+            "pairs": only(_packed(pair), pa.binary()), **lists,
         })
 
 

@@ -3,7 +3,9 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -121,3 +123,17 @@ def test_empty_table(spark):
 def test_pieces_hold_a_space_at_their_beginning_only():
     b = sentencepiece.SentencePieceProcessor(model_file=B)
     assert not [p for p in map(b.id_to_piece, range(b.get_piece_size())) if "▁" in p.lstrip("▁")]
+
+
+def test_overlaps_and_documents_of_pairs_without_a_database():
+    """Links and counts come from sorted ends; DuckDB's joins for them took 100 MB of a worker."""
+    table = lambda unit, ids, stop: pa.table({"unit": np.array(unit, np.int32), "ord": np.arange(len(ids), dtype=np.int32), "id": np.array(ids, np.int32), "start": np.array([0, *stop][: len(stop)], np.int32), "stop": np.array(stop, np.int32)})
+    a, b = table([0, 0, 2], [7, 8, 7], [3, 4, 9]), table([0, 0, 2, 2], [1, 2, 1, 1], [2, 4, 5, 9])
+    unit, ids = token_alignment._overlaps(a, b)
+    assert unit.tolist() == [0, 0, 0, 2, 2]
+    assert [(i >> 32, i & 0xFFFFFFFF) for i in ids.tolist()] == [(7, 1), (7, 2), (8, 2), (7, 1), (7, 1)]
+    none = table([], [], [])
+    assert [len(x) for x in token_alignment._overlaps(none, none)] == [0, 0]
+    documents = [np.array([0, 2]), np.array([2]), np.array([], dtype=int)]
+    n = token_alignment._held(documents, np.array([1, 3, 5]), np.array([0, 0, 0, 2]), np.array([0, 1, 2, 0]), 3, 3)
+    assert n.tolist() == [4, 1, 1]
