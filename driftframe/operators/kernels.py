@@ -7,6 +7,7 @@ memory is bounded by what it is given. Missing values are NaN inside kernels.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -423,26 +424,103 @@ def pair_flow(a: np.ndarray, b: np.ndarray, name: str = "farneback", smoothing:
     return tuple(np.clip(c, -limit, limit) for c in (*f, *g))
 
 
+def sortable(v: np.ndarray) -> np.ndarray:
+    """32-bit numbers in the order of single-precision values; missing ones come last, both zeros are equal."""
+    bits = (np.where(np.isnan(v), np.float32(np.inf), v).astype(np.float32) + np.float32(0)).view(np.uint32)
+    return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
+
+
+def flooded(height: np.ndarray, out: np.ndarray, free: np.ndarray, before: np.ndarray, after: np.ndarray, width: int) -> np.ndarray:
+    """Priority flood of flat arrays whose rows have ``width`` pixels and a frame of pixels that aren't free, so that none
+    has to be looked for at a border; ``before`` and ``after`` are the pixels of the steps beside it that each leads to, 0 for none.
+    ``out`` has the labels of seeds and gets the others; what was ``free`` and is reached is returned in that order.
+
+    A pixel waits with others of its height's upper half and is sorted in when their turn comes: its height and its age in one
+    number, so 8 bytes and no more, and the queue stays short."""
+    seeds = np.flatnonzero(out)
+    place = np.zeros(len(seeds) + int(np.count_nonzero(free)), before.dtype)
+    place[: len(seeds)] = seeds
+    if len(place) >> 32:
+        raise ValueError("a region of over 4,294,967,295 pixels")
+    key = (height[seeds].astype(np.uint64) << np.uint64(32)) | np.arange(len(seeds), dtype=np.uint64)
+    key.sort()
+    high = (key >> np.uint64(48)).astype(np.int64)
+    waiting = {int(k): array("Q", part.tobytes()) for k, part in zip(*_runs(high, key), strict=True)}
+    turns, heap, age, started = sorted(waiting), [], len(seeds), len(seeds)
+    height, label, open_, back, ahead, at = map(memoryview, (height, out, free.view(np.uint8), before, after, place))
+    pop, push = heapq.heappop, heapq.heappush
+    while turns:
+        turn = pop(turns)
+        heap = waiting.pop(turn).tolist()
+        heapq.heapify(heap)
+        while heap:
+            p = at[pop(heap) & 0xFFFFFFFF]
+            for q in (back[p], p - width, p - 1, p + 1, p + width, ahead[p]):
+                if open_[q]:
+                    open_[q] = 0
+                    label[q] = label[p]
+                    at[age] = q
+                    k = height[q]
+                    if k >> 16 <= turn:
+                        push(heap, k << 32 | age)
+                    else:
+                        if k >> 16 not in waiting:
+                            waiting[k >> 16] = array("Q")
+                            push(turns, k >> 16)
+                        waiting[k >> 16].append(k << 32 | age)
+                    age += 1
+    return place[started:age]
+
+
+def _runs(group: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The different numbers of a sorted ``group``, and the values of each."""
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, int)
+    return group[first].tolist(), np.split(values, first[1:]) if len(first) else []
+
+
+class Cube:
+    """Flat arrays of a region for ``flooded``, filled part by part: 21 bytes for a pixel of its box and the frame of each step."""
+
+    def __init__(self, low: tuple[int, int, int], shape: tuple[int, int, int]):
+        self.low, self.shape, self.width = low, shape, shape[2] + 2
+        self.step = (shape[1] + 2) * self.width
+        n, kind = shape[0] * self.step, np.int32 if shape[0] * self.step < 1 << 31 else np.int64
+        self.height, self.label, self.free = np.zeros(n, np.uint32), np.zeros(n, np.int32), np.zeros(n, bool)
+        self.before, self.after = np.zeros(n, kind), np.zeros(n, kind)
+
+    def _place(self, t: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Places of pixels, 0 for those outside the box."""
+        t, y, x = (np.asarray(c, dtype=np.int64) - o for c, o in zip((t, y, x), self.low, strict=True))
+        inside = np.logical_and.reduce([(c >= 0) & (c < n) for c, n in zip((t, y, x), self.shape, strict=True)])
+        return np.where(inside, t * self.step + (y + 1) * self.width + x + 1, 0)
+
+    def add(self, t: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray, label: np.ndarray, allowed: np.ndarray, forward: np.ndarray, backward: np.ndarray) -> None:
+        """Pixels with their rounded vectors (y, x in the last axis)."""
+        p, y, x = self._place(t, y, x), np.asarray(y, dtype=np.int64), np.asarray(x, dtype=np.int64)
+        self.height[p], self.label[p], self.free[p] = sortable(v), label, np.asarray(allowed, dtype=bool) & (np.asarray(label) == 0)
+        self.before[p] = self._place(np.asarray(t, dtype=np.int64) - 1, y + backward[..., 0], x + backward[..., 1])
+        self.after[p] = self._place(np.asarray(t, dtype=np.int64) + 1, y + forward[..., 0], x + forward[..., 1])
+
+    def flood(self) -> np.ndarray:
+        return flooded(self.height, self.label, self.free, self.before, self.after, self.width)
+
+    def pixels(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t, rest = np.divmod(place, self.step)
+        y, x = np.divmod(rest, self.width)
+        return t + self.low[0], y - 1 + self.low[1], x - 1 + self.low[2]
+
+
 def flood(field: np.ndarray, markers: np.ndarray, allowed: np.ndarray, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
-    """Priority flood of a cube in the moving frame. Seeds enter in raster order; the lowest (value, age, place) is
-    taken next and gives its label to its free neighbours: four in the step, and one in the step before and after
+    """Priority flood of a cube in the moving frame, in single precision. Seeds enter in raster order; the lowest (value, age,
+    place) is taken next and gives its label to its free neighbours: four in the step, and one in the step before and after
     where its rounded vectors (y, x in the last axis) lead."""
-    nt, h, w = field.shape
-    out = markers.astype(np.int32).copy()
-    heap = [(field[p], 0, i, p) for i, p in enumerate(map(tuple, np.argwhere(markers != 0)))]
-    heap = [(v, age, int(np.ravel_multi_index(p, field.shape)), p) for v, age, _, p in heap]
-    heapq.heapify(heap)
-    age = 0
-    rf, rb = np.rint(forward).astype(int), np.rint(backward).astype(int)
-    while heap:
-        _, _, _, (t, y, x) = heapq.heappop(heap)
-        near = [(t - 1, y + rb[t, y, x, 0], x + rb[t, y, x, 1]), (t, y - 1, x), (t, y, x - 1), (t, y, x + 1), (t, y + 1, x), (t + 1, y + rf[t, y, x, 0], x + rf[t, y, x, 1])]
-        for q in near:
-            if 0 <= q[0] < nt and 0 <= q[1] < h and 0 <= q[2] < w and allowed[q] and out[q] == 0:
-                age += 1
-                out[q] = out[t, y, x]
-                heapq.heappush(heap, (field[q], age, (q[0] * h + q[1]) * w + q[2], q))
-    return out
+    cube = Cube((0, 0, 0), field.shape)
+    whole = lambda a: np.rint(a).astype(np.int64)
+    for t in range(field.shape[0]):
+        y, x = np.indices(field.shape[1:])
+        cube.add(np.full(y.shape, t), y, x, field[t], markers[t], allowed[t], whole(forward[t]), whole(backward[t]))
+    cube.flood()
+    return cube.label.reshape(field.shape[0], -1, cube.width)[:, 1:-1, 1:-1]
 
 
 def subsegments(mask: np.ndarray, shrink: float = 0.1, min_distance: int = 5) -> np.ndarray:

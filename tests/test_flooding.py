@@ -1,9 +1,12 @@
 """Basins joined over their passes against a plain version that takes the passes one by one from the lowest."""
 
+import heapq
+import tracemalloc
+
 import numpy as np
 import pytest
 
-from driftframe.operators import flooding, tiles
+from driftframe.operators import flooding, kernels, tiles
 
 
 def plain_basins(v, marks, vectors, allowed=None):
@@ -105,3 +108,44 @@ def test_basins_without_markers_or_pixels(spark):
     none = table(spark, {"label": zero.astype(int)})
     assert (cube_of(flooding.basins(flow, field, none), v.shape) == 0).all()
     assert flooding.basins(flow.limit(0), field.limit(0), none.limit(0)).count() == 0
+
+
+def plain_flood(field, markers, allowed, forward, backward):
+    """The flood with a queue of tuples, pixel by pixel."""
+    out, age = markers.astype(np.int32).copy(), 0
+    heap = [(field[p], 0, i, p) for i, p in enumerate(map(tuple, np.argwhere(markers != 0)))]
+    heapq.heapify(heap)
+    f, b = np.rint(forward).astype(int), np.rint(backward).astype(int)
+    while heap:
+        *_, (t, y, x) = heapq.heappop(heap)
+        for q in ((t - 1, y + b[t, y, x, 0], x + b[t, y, x, 1]), (t, y - 1, x), (t, y, x - 1), (t, y, x + 1), (t, y + 1, x), (t + 1, y + f[t, y, x, 0], x + f[t, y, x, 1])):
+            if all(0 <= i < n for i, n in zip(q, field.shape, strict=True)) and allowed[q] and out[q] == 0:
+                age += 1
+                out[q] = out[t, y, x]
+                heapq.heappush(heap, (field[q], age, 0, q))
+    return out
+
+
+def test_compact_flood_against_tuples_on_plateaus_and_gaps():
+    rng = np.random.default_rng(1)
+    for case in range(60):
+        shape = tuple(rng.integers(1, 9, 3))
+        v = rng.normal(size=shape).astype(np.float32)
+        v = np.round(v) if case % 3 == 0 else v  # with both zeros
+        v[rng.random(shape) < 0.1 * (case % 2)] = np.inf
+        marks = np.where(rng.random(shape) < 0.1, rng.integers(-2, 4, shape), 0)
+        given = v, marks, rng.random(shape) < 0.8, *(rng.normal(scale=1.5, size=(*shape, 2)) for _ in "fb")
+        assert (kernels.flood(*given) == plain_flood(*given)).all()
+
+
+def test_flood_of_an_open_field_takes_few_bytes_a_pixel():
+    """Tuples in a queue and wide arrays took over 500 bytes a pixel."""
+    shape = (60, 20, 64)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=shape).astype(np.float32)
+    given = v, np.where(v < -2.2, 1, 0).astype(np.int32), np.ones(shape, bool), np.zeros((*shape, 2), np.int8), np.zeros((*shape, 2), np.int8)
+    tracemalloc.start()
+    kernels.flood(*given)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 * v.size
