@@ -1,10 +1,10 @@
 """Linking on streams: files that meet the steps around them, and labels carried from file to file by overlap.
 
 ``padded`` joins two streams, the spans of files and the steps, on an interval of event time: each side waits for the
-other only as long as its watermark says. ``overlap_counts`` keeps the labels of the last file of every tile of the grid in
-a map state by step and counts the pixels that labels of the next file share with them; timers drop the state of tiles
-that no longer get rows. Counts are sums over tiles, so an object that spans tiles needs no tile to see it whole, and
-``links`` closes them into the same global labels as ``linking.link_map`` gives for all files at once.
+other only as long as its watermark says. ``overlap_counts`` keeps the labels of the last file of every block of steps of
+every tile of the grid in a map state by step and counts the pixels that labels of the next file share with them; timers
+drop the state of blocks that no longer get rows. Counts are sums over blocks, so an object that spans them needs no block
+to see it whole, a small grid over many steps is many blocks, and ``links`` closes them into the same global labels as ``linking.link_map`` gives for all files at once.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 from driftframe.operators import labels
 from driftframe.operators.linking import components
 
-#: Rows and columns of a tile.
-TILE = 64
+#: Rows and columns of a tile, and steps of a block of it.
+TILE, STEPS = 64, 32
 
 COUNTS = "kind string, file long, next long, t int, a long, b long, n long"
 
@@ -50,7 +50,7 @@ def _tallied(keys: list[np.ndarray]) -> tuple[np.ndarray, ...]:
 
 
 class Overlaps(StatefulProcessor):
-    """State of a tile: ``files``, the file that is being read and the time of its last row; ``now`` and ``before``, the
+    """State of a block of steps of a tile: ``files``, the file that is being read and the time of its last row; ``now`` and ``before``, the
     labelled pixels of that file and the one before it, by step."""
 
     def __init__(self, forget_ms: int | None = None):
@@ -122,21 +122,22 @@ class Overlaps(StatefulProcessor):
         pass
 
 
-def overlap_counts(pixels: DataFrame, late: str | None = None, forget_seconds: float | None = None, tile: int = TILE) -> DataFrame:
+def overlap_counts(pixels: DataFrame, late: str | None = None, forget_seconds: float | None = None, tile: int = TILE, steps: int = STEPS) -> DataFrame:
     """Counts from a stream of pixels of files (``file`` ascending, ``t, y, x, label`` and the time ``ts`` of the step).
 
     Of ``kind`` ``size``: ``n`` pixels of label ``a`` in a step of a file, background included. Of ``pair``: pixels of a step
     that are ``a`` in ``file`` and ``b`` in ``next``. A file's rows may come in several batches, but before those of the next
-    one; rows of an older file are counted as ``late`` and not linked. With ``late`` and ``forget_seconds`` rows behind the
-    watermark are left out, and a tile forgets its labels once the watermark is so far past its last row.
+    one; rows of an older file than the last one of their block are counted as ``late`` and not linked. With ``late`` and
+    ``forget_seconds`` rows behind the watermark are left out, and a block forgets its labels once the watermark is so far
+    past its last row. A block has ``steps`` steps of a tile of ``tile`` rows and columns.
     """
     own = pixels.withWatermark("ts", late) if late else pixels
-    keys = [F.floor(F.col(c) / tile).alias(f"_{c}") for c in "yx"]
+    keys = [F.floor(F.col(c) / n).alias(f"_{c}") for c, n in (("t", steps), ("y", tile), ("x", tile))]
     cast = {"file": "long", "t": "int", "y": "int", "x": "int", "label": "long"}
     own = own.select(*keys, *(F.col(c).cast(k).alias(c) for c, k in cast.items()), "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     timed = forget_seconds is not None
     processor = Overlaps(int(forget_seconds * 1000) if timed else None)
-    return own.groupBy("_y", "_x").transformWithStateInPandas(processor, COUNTS, "Append", "EventTime" if timed else "None")
+    return own.groupBy("_t", "_y", "_x").transformWithStateInPandas(processor, COUNTS, "Append", "EventTime" if timed else "None")
 
 
 def links(counts: DataFrame, atol: int = 5, rtol: float = 0.5) -> DataFrame:

@@ -52,6 +52,16 @@ def test_rows_of_older_files_are_counted_and_not_linked(spark, tmp_path):
     assert named(links.links(counts)) == named(linking.link_map(spark.createDataFrame(rest, "file long, t int, y int, x int, label int")))
 
 
+def test_a_small_grid_over_many_steps_is_many_states(spark, tmp_path):
+    """One tile holds the grid: its steps are dealt out by blocks, and labels still meet those of the file before."""
+    rows = [(f, t, y, x, 1 + t // 50) for f in (0, 1) for t in range(60 * f, 60 * f + 70) for y in range(3) for x in range(3)]
+    write(spark, rows, str(tmp_path / "in"), [r[0] for r in rows])
+    counts = counts_of(spark, str(tmp_path / "in"), str(tmp_path / "base"))
+    assert named(links.links(counts)) == named(linking.link_map(spark.createDataFrame(rows, "file long, t int, y int, x int, label int")))
+    states = spark.read.format("statestore").option("stateVarName", "files").load(str(tmp_path / "base" / "state"))
+    assert states.count() == 5  # of 130 steps
+
+
 def test_a_timer_drops_the_state(spark, tmp_path):
     """The third file comes a week after the second, as the first does again: nothing is left to meet."""
     box = [(t, y, x, 1) for t in range(6) for y in range(4) for x in range(4)]
