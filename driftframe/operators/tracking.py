@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftframe.operators import kernels
-from driftframe.operators.frames import per_frame
+from driftframe.operators.frames import per_frame, streamed
 from driftframe.operators.labels import numbered
 from driftframe.operators.linking import ancestors, components, stored
 from driftframe.operators.stencil import KEY, taps
@@ -32,20 +31,20 @@ def tile_regions(mask: DataFrame, diagonal: bool = False, tile: int = TILE) -> t
     y0, x0 = (int(b[f"{c}0"] or 0) for c in "yx")
     height, width = (int(b[f"{c}1"] or 0) - o + 1 for c, o in (("y", y0), ("x", x0)))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        y, x = part["y"].to_numpy(), part["x"].to_numpy()
+    def run(rows: dict[str, np.ndarray]) -> list[np.ndarray]:
+        t, y, x = (rows[c] for c in KEY)
         grid = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
         at = y - y.min(), x - x.min()
         grid[at] = True
         regions = kernels.components(grid, diagonal)[at]
-        place = (int(part["t"].iloc[0]) * height + y.astype(np.int64) - y0) * width + x - x0
+        place = (int(t[0]) * height + y.astype(np.int64) - y0) * width + x - x0
         first = np.full(regions.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, regions, place)
-        return pd.DataFrame({"t": part["t"], "y": part["y"], "x": part["x"], "part": first[regions]})
+        return [t, y, x, first[regions]]
 
-    own = mask.where(F.col("m")).select(*(F.col(c).cast("int").alias(c) for c in KEY))
-    cell = lambda c, o: F.floor((F.col(c) - o) / tile)
-    return own.groupBy("t", cell("y", y0).alias("_y"), cell("x", x0).alias("_x")).applyInPandas(run, "t int, y int, x int, part long"), (y0, x0, height, width)
+    cell = lambda c, o: F.floor((F.col(c).cast("int") - o) / tile).alias(f"_{c}")
+    own = mask.where(F.col("m")).select(*(F.col(c).cast("int").alias(c) for c in KEY), cell("y", y0), cell("x", x0))
+    return streamed(own, ["t", "_y", "_x"], run, "t int, y int, x int, part long"), (y0, x0, height, width)
 
 
 def flat_label(mask: DataFrame, diagonal: bool = False, tile: int = TILE) -> DataFrame:

@@ -88,3 +88,37 @@ def test_stencils_shuffle_no_row_for_each_tap(spark):
     still = stencil.FlowFrame(rows.select("t", "y", "x", *(F.lit(0.5).alias(c) for c in ("fx", "fy", "bx", "by"))))
     for one in (stencil.taps(rows.withColumn("v", F.lit(1.0)), still.df, [(1, 0, 0)], "cubic"), stencil.local_min(rows.withColumn("v", F.lit(1.0)), still.df, stencil.full(1))):
         assert "Join" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frames_and_tiles_come_as_one_stream(spark):
+    """Small frames cost no group each, and those that several Arrow batches bring are whole, with holes and NULL as before."""
+    rnd = np.random.default_rng(7)
+    cube = rnd.normal(size=(40, 5, 6))
+    gone, there = rnd.random(cube.shape) < 0.1, rnd.random(cube.shape) > 0.1
+    rows = [(*map(int, p), None if gone[p] else float(cube[p])) for p in np.ndindex(cube.shape) if there[p]]
+    field = spark.createDataFrame(rows, "t int, y int, x int, v double").repartition(3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        got = frames.per_frame(field, lambda a: a + np.nansum(a) + a.shape[0], box=(0, 6, 0, 5))
+        parts, _ = tracking.tile_regions(field.select("t", "y", "x", (F.col("v") > 0).alias("m")), tile=4)
+        for df in (got, parts):
+            assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+        found = {(r["t"], r["y"], r["x"]): r["v"] for r in got.collect()}
+        labels = {(r["t"], r["y"], r["x"]): r["part"] for r in parts.collect()}
+    finally:
+        spark.conf.set(name, before)
+    a = np.where(gone | ~there, np.nan, cube)
+    want = a + np.nansum(a, axis=(1, 2), keepdims=True) + 7
+    assert found.keys() == {r[:3] for r in rows}
+    assert all(v is None if np.isnan(want[p]) else abs(v - want[p]) < 1e-9 for p, v in found.items())
+    plain = {}
+    for t in range(40):
+        for y0 in range(0, 5, 4):
+            for x0 in range(0, 6, 4):
+                regions = kernels.components(a[t, y0 : y0 + 4, x0 : x0 + 4] > 0)
+                for p in zip(*np.nonzero(regions), strict=True):
+                    first = np.argwhere(regions == regions[p])[0]
+                    plain[t, p[0] + y0, p[1] + x0] = (t * 5 + first[0] + y0) * 6 + first[1] + x0
+    assert labels.keys() == plain.keys() and labels == plain
